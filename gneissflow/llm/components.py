@@ -1,0 +1,37 @@
+"""Connected components of an edge table, by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import materialize
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp): each node that has an edge, with the smallest node it can reach.
+
+    Every step is joins and minimum aggregates, which combine before they shuffle, so a node with
+    very many edges costs partial sums and not one long task.  Labels only fall, and each round
+    also takes the label of the label, so the rounds grow with the logarithm of a chain's length.
+    Only "did anything change" reaches the driver.  No edges: no rows.
+    """
+    pair = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    both = materialize(pair.union(pair.select("y", "x")).distinct(), "edges")
+    label = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("comp")), "labels")
+    while True:
+        near = (
+            both.join(label.select(F.col("node").alias("y"), "comp"), "y")
+            .groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("near"))
+        )
+        # hooking: a node's old label also learns the better label, so trees merge at their roots
+        step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
+        hook = step.where("low < comp").groupBy(F.col("comp").alias("node")).agg(F.min("low").alias("hook"))
+        hooked = step.join(hook, "node", "left").select("node", "comp", F.least("low", F.coalesce("hook", "low")).alias("low"))
+        jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        new = materialize(
+            hooked.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels"
+        )
+        label = new.select("node", "comp")
+        if new.where("comp < was").isEmpty():
+            return label

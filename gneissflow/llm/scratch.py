@@ -1,0 +1,42 @@
+"""Intermediate tables in the folder that all machines of the cluster share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset (tests)."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    known = spark.sparkContext.getCheckpointDir()
+    if known is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss_ckpt_"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None:
+        return
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone at exit; the folder is scratch space
+        pass
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at files
+    that every executor sees, so a lost executor costs at most the running tasks."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
