@@ -1 +1 @@
-
+"""Column functions: paths, text, hashes."""

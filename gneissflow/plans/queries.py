@@ -1,12 +1,24 @@
-"""Registered queries of the repository-analytics operators on the Parquet test tables."""
+"""Registered queries of the repository-analytics operators on the Parquet test tables.
+
+The tables are no source code, so each operator works on a reading of them: an order is a commit, a
+part a path or a symbol, its brand the file or directory, a document a file.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..functions import text as T
+from ..operators import edges as E
+from ..operators import graph as G
+from ..operators import history, overlap, rank
+from ..operators import risk as R
+from ..session import ensure_worker_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -24,18 +36,367 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ensure_worker_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- readings of the tables ------------------------------------------------------------------
+
+
+def commit_log(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    return lines.select(F.col("l_orderkey").alias("commit_no"), F.col("l_quantity").cast("long").cast("string").alias("added"), F.col("l_linenumber").cast("string").alias("deleted"), F.col("l_partkey").alias("path"))
+
+
+def part_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A line of an order calls the next line: parts are symbols, the brand is their file."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").where("l_orderkey % 50 = 0")
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = lines.select(F.col("l_partkey").alias("a"), nxt.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    return pairs
+
+
+EDGES_SQL = """
+WITH nx AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem WHERE l_orderkey % 50 = 0),
+e AS (SELECT DISTINCT a, b FROM nx WHERE b IS NOT NULL AND a <> b),
+pt AS (SELECT p_partkey AS k, replace(p_brand, '#', '') || '/' || p_name || '#' || p_partkey AS q, replace(p_brand, '#', '') AS brand, p_name AS nm FROM part),
+g AS (SELECT x.q AS src, y.q AS dst, x.brand AS sb, y.brand AS db FROM e JOIN pt x ON e.a = x.k JOIN pt y ON e.b = y.k)
+"""
+
+
+def part_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("")))
+    return p.select(F.col("p_partkey").alias("k"), F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("q"), F.col("p_brand").alias("brand"), F.col("p_name").alias("nm"))
+
+
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    """CALLS between part symbols ``brand/name#key``, IMPORTS between their files."""
+    n = part_names(spark, d)
+    e = part_edges(spark, d).join(n.select(F.col("k").alias("a"), F.col("q").alias("x")), "a").join(n.select(F.col("k").alias("b"), F.col("q").alias("y")), "b")
+    calls = e.select(F.lit("CALLS").alias("kind"), E.sym_id(F.col("x")).alias("src"), E.sym_id(F.col("y")).alias("dst"))
+    imports = e.select(F.lit("IMPORTS").alias("kind"), E.file_id(P.file_of("x")).alias("src"), E.file_id(P.file_of("y")).alias("dst")).where("src <> dst")
+    return calls.union(imports).distinct().select("kind", "src", "dst", F.lit(1.0).alias("confidence"), F.lit("extracted").alias("tier"))
+
+
+def part_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return part_names(spark, d).select(P.file_of("q").alias("path"), F.col("nm").alias("name"), F.col("q").alias("qualified_name"), (F.col("k") % 2 == 0).alias("exported"), (F.col("k") % 7 == 0).alias("is_test"), F.when(F.col("k") % 5 == 0, "interface").otherwise("function").alias("kind"))
+
+
+# ---- history -----------------------------------------------------------------------------------
+
+
+@query("""
+SELECT l_partkey AS path, CAST(sum(CAST(l_quantity AS BIGINT) + l_linenumber) AS BIGINT) AS churn FROM lineitem
+WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 50) GROUP BY 1""")
+def churn_by_part(spark: SparkSession, d: str) -> DataFrame:
+    return history.churn(commit_log(spark, d))
 
 
 @query("""
-SELECT a.l_partkey AS part_a, b.l_partkey AS part_b, CAST(count(*) AS BIGINT) AS n
-FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 50)) a
-JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-GROUP BY 1, 2""")
-def cochange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts ordered together: order = commit, part = path."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    narrow = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("c")).where("c <= 50").select("l_orderkey")
-    parts = lines.join(narrow, "l_orderkey", "left_semi").distinct()
-    a, b = parts.withColumnRenamed("l_partkey", "part_a"), parts.withColumnRenamed("l_partkey", "part_b")
-    return a.join(b, "l_orderkey").where("part_a < part_b").groupBy("part_a", "part_b").agg(F.count(F.lit(1)).alias("n"))
+WITH n AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 50))
+SELECT x.p AS a, y.p AS b, CAST(count(*) AS BIGINT) AS n FROM n x JOIN n y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2""")
+def cochange_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return history.cochange(commit_log(spark, d))
+
+
+# ---- graph -------------------------------------------------------------------------------------
+
+
+@query(EDGES_SQL + """
+SELECT 'CALLS' AS kind, 'sym:' || src AS src, 'sym:' || dst AS dst FROM g UNION
+SELECT 'IMPORTS', 'file:' || split_part(src, '#', 1), 'file:' || split_part(dst, '#', 1) FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)""")
+def edge_build(spark: SparkSession, d: str) -> DataFrame:
+    return call_edges(spark, d).select("kind", "src", "dst")
+
+
+@query(EDGES_SQL + "SELECT dst AS qualified_name, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def in_degree_topk(spark: SparkSession, d: str) -> DataFrame:
+    return G.census(call_edges(spark, d), 20)
+
+
+@query(EDGES_SQL + """
+SELECT dst AS qualified_name, CAST(count(*) AS BIGINT) AS score FROM g GROUP BY 1
+HAVING bool_or(split_part(src, '#', 1) <> split_part(dst, '#', 1)) OR CAST(split_part(dst, '#', 2) AS BIGINT) % 2 = 0""")
+def god_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return G.god_symbols(call_edges(spark, d), part_symbols(spark, d))
+
+
+@query(EDGES_SQL + "SELECT DISTINCT split_part(dst, '#', 1) AS path FROM g WHERE sb <> db")
+def boundary_targets(spark: SparkSession, d: str) -> DataFrame:
+    return G.boundary_files(call_edges(spark, d))
+
+
+@query(EDGES_SQL + """, im AS (SELECT DISTINCT split_part(src, '#', 1) AS s, split_part(dst, '#', 1) AS t, sb, db FROM g)
+SELECT sb AS from_dir, db AS to_dir, CAST(count(*) AS BIGINT) AS n FROM im WHERE sb <> db GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50""")
+def dir_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return G.dir_imports(call_edges(spark, d), 50)
+
+
+@query(EDGES_SQL + """
+SELECT q AS qualified_name, CAST(0.6 AS DOUBLE) AS confidence FROM pt
+WHERE k % 2 = 0 AND k % 7 <> 0 AND k % 5 <> 0 AND q NOT IN (SELECT dst FROM g) AND (SELECT count(*) FROM g) > 0 ORDER BY q LIMIT 50""")
+def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return G.dead_code(call_edges(spark, d), part_symbols(spark, d))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def uncovered_customers(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "orders").select(F.lit("TESTED_BY").alias("kind"), F.concat(F.lit("file:"), F.col("o_custkey")).alias("dst"))
+    owners = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"))
+    return G.test_gaps(seen, owners).select(F.col("path").cast("long").alias("c_custkey"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey AS id FROM part WHERE p_size <= 25)
+SELECT CAST((SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM n)) AS BIGINT) AS missing_sources,
+       CAST((SELECT count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT id FROM n)) AS BIGINT) AS missing_targets""")
+def integrity_census(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
+    return G.integrity(nodes, table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query("""
+SELECT o_custkey AS caller, CAST(count(*) AS BIGINT) AS n FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderpriority NOT IN ('1-URGENT') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+def unresolved_census(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    outside = spark.createDataFrame([("1-URGENT",)], "o_orderpriority string")
+    calls = table(spark, d, "orders").select("o_custkey", "o_orderpriority").where("o_custkey IS NOT NULL")
+    open_ = calls.join(known, "o_custkey", "left_anti").join(outside, "o_orderpriority", "left_anti")
+    return open_.groupBy(F.col("o_custkey").alias("caller")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "caller").limit(50)
+
+
+@query("""
+WITH h AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) // 3600 AS a, CAST(epoch(ts) AS BIGINT) // 3600 + 1 AS b FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+s AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) // 3600 - 2 AS a, CAST(epoch(ts) AS BIGINT) // 3600 + 2 AS b FROM events WHERE event_type <> (SELECT min(event_type) FROM events))
+SELECT DISTINCT s.user_id, s.event_id FROM s JOIN h ON s.user_id = h.user_id AND s.a <= h.b AND s.b >= h.a""")
+def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").withColumn("_h", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600))
+    first = ev.agg(F.min("event_type").alias("_t"))
+    ev = ev.crossJoin(F.broadcast(first))  # one row
+    hunks = ev.where("event_type = _t").select("user_id", F.col("_h").alias("start"), (F.col("_h") + 1).alias("end"))
+    spans = ev.where("event_type <> _t").select("user_id", "event_id", (F.col("_h") - 2).alias("start"), (F.col("_h") + 2).alias("end"))
+    return overlap.interval_overlap(hunks, spans, "user_id", "event_id")
+
+
+@query("""
+WITH h AS (SELECT DISTINCT user_id FROM events WHERE value > (SELECT max(value) FROM events) * 0.5)
+SELECT DISTINCT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM h) AND user_id % 3 = 0""")
+def whole_scope_fallback(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    high = ev.agg((F.max("value") * 0.5).alias("_m"))
+    touched = ev.crossJoin(F.broadcast(high)).where("value > _m").select("user_id").distinct()
+    whole = ev.where("user_id % 3 = 0").select("user_id").distinct().join(touched, "user_id", "left_anti")
+    return ev.join(whole, "user_id", "left_semi").select("user_id", "event_id").distinct()
+
+
+@query("""
+WITH c AS (SELECT s_suppkey, 0 AS pos, 'N' || s_nationkey AS path FROM supplier UNION ALL SELECT s_suppkey, 1, 'R' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, 2, 'W' FROM supplier),
+k AS (SELECT 'N' || n_nationkey AS path FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'R' || r_regionkey FROM region WHERE r_regionkey % 2 = 0)
+SELECT s_suppkey, arg_min(path, pos) AS target FROM c JOIN k USING (path) GROUP BY 1""")
+def priority_resolve(spark: SparkSession, d: str) -> DataFrame:
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    asked = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    asked = asked.select("s_suppkey", F.array(F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("R"), "n_regionkey"), F.lit("W")).alias("c"))
+    known = nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("N"), "n_nationkey").alias("path")).union(region.where("r_regionkey % 2 = 0").select(F.concat(F.lit("R"), "r_regionkey")))
+    return E.resolve_first(asked, ["s_suppkey"], "c", known)
+
+
+@query("""
+WITH s AS (SELECT s_nationkey AS nk, min(s_suppkey) AS s1 FROM supplier GROUP BY 1), r AS (SELECT n_regionkey AS rk, min(s_suppkey) AS s2 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT c_custkey, coalesce(s1, s2) AS s_suppkey, CAST(CASE WHEN s1 IS NOT NULL THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s ON nk = c_nationkey LEFT JOIN r ON rk = n_regionkey WHERE coalesce(s1, s2) IS NOT NULL""")
+def two_tier_match(spark: SparkSession, d: str) -> DataFrame:
+    nation, supplier = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    near = E.first_of(supplier.withColumn("o", F.col("s_suppkey")), ["s_nationkey"], "o", "s_suppkey").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("s1"))
+    far = E.first_of(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("o", F.col("s_suppkey")), ["n_regionkey"], "o", "s_suppkey").withColumnRenamed("s_suppkey", "s2")
+    c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(near, "n_nationkey", "left").join(far, "n_regionkey", "left").where("s1 IS NOT NULL OR s2 IS NOT NULL")
+    return c.select("c_custkey", F.coalesce("s1", "s2").alias("s_suppkey"), F.when(F.col("s1").isNotNull(), 0.95).otherwise(0.9).alias("confidence"))
+
+
+@query(EDGES_SQL + """, ed AS (SELECT 'sym:' || src AS s, 'sym:' || dst AS t, 0.5 AS w FROM g UNION ALL SELECT DISTINCT 'file:' || split_part(src, '#', 1), 'file:' || split_part(dst, '#', 1), 0.4 FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),
+seed AS (SELECT 'sym:' || q AS id FROM pt WHERE k % 100 = 0 UNION SELECT 'file:' || split_part(q, '#', 1) FROM pt WHERE k % 100 = 1),
+l1 AS (SELECT s AS id, max(w) AS score FROM ed JOIN seed ON t = seed.id WHERE s NOT IN (SELECT id FROM seed) GROUP BY 1),
+l2 AS (SELECT s AS id, max(score * w) AS score FROM ed JOIN l1 ON t = l1.id WHERE s NOT IN (SELECT id FROM seed) AND s NOT IN (SELECT id FROM l1) GROUP BY 1),
+l3 AS (SELECT s AS id, max(score * w) AS score FROM ed JOIN l2 ON t = l2.id WHERE s NOT IN (SELECT id FROM seed) AND s NOT IN (SELECT id FROM l1) AND s NOT IN (SELECT id FROM l2) GROUP BY 1)
+SELECT id, CAST(d AS INT) AS depth, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, 1 AS d FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE score >= 0.05""")
+def impact_depth3(spark: SparkSession, d: str) -> DataFrame:
+    n = part_names(spark, d)
+    seeds = n.where("k % 100 = 0").select(E.sym_id(F.col("q")).alias("id")).union(n.where("k % 100 = 1").select(E.file_id(P.file_of("q"))))
+    return G.impact(call_edges(spark, d), seeds).select("id", "depth", F.round("score", 6).alias("score"))
+
+
+COMP_SQL = EDGES_SQL.replace("WITH nx", "WITH RECURSIVE nx") + """, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), reach(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM reach r JOIN u ON r.y = u.x), cc AS (SELECT x AS node, min(y) AS comp FROM reach GROUP BY 1) """
+
+
+@query(COMP_SQL + "SELECT node, comp FROM cc")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return G.components(part_edges(spark, d))
+
+
+@query()
+def communities_pruned(spark: SparkSession, d: str) -> DataFrame:
+    e = call_edges(spark, d)
+    ends = e.where("kind = 'CALLS'").select(F.col("src").alias("id")).union(e.where("kind = 'CALLS'").select("dst")).distinct()
+    return G.communities(e, ends.withColumn("kind", F.lit("symbol")))
+
+
+@query()
+def bfs_tour(spark: SparkSession, d: str) -> DataFrame:
+    e = call_edges(spark, d)
+    top = e.where("kind = 'IMPORTS'").groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).collect()
+    ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    order = G.tour(e, ends, top[0]["src"]) if top else []
+    return spark.createDataFrame([(i, x) for i, x in enumerate(order, 1)], "step int, node_id string")
+
+
+@query(COMP_SQL + """, deg AS (SELECT dst, count(*) AS n FROM g GROUP BY 1), hub AS (SELECT dst AS m FROM deg ORDER BY n DESC, dst LIMIT 5),
+x AS (SELECT g.src, g.dst, a.k % 3 AS ca, b.k % 3 AS cb, sb, db, (g.src IN (SELECT m FROM hub)) AS ha, (g.dst IN (SELECT m FROM hub)) AS hb FROM g JOIN pt a ON a.q = g.src JOIN pt b ON b.q = g.dst),
+s AS (SELECT src, dst, CASE WHEN ca <> cb THEN 3 ELSE 0 END + CASE WHEN sb <> db THEN 2 ELSE 0 END + CASE WHEN ha <> hb THEN 2 ELSE 0 END AS score,
+  concat_ws(',', CASE WHEN ca <> cb THEN 'cross-community' END, CASE WHEN sb <> db THEN 'cross-language' END, CASE WHEN ha <> hb THEN 'hub-periphery' END) AS reasons FROM x)
+SELECT src, dst, CAST(score AS INT) AS score, reasons FROM s WHERE score > 0 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
+def surprise_edges(spark: SparkSession, d: str) -> DataFrame:
+    e, n = call_edges(spark, d), part_names(spark, d)
+    hubs = G.in_degree(e).select(G.bare("dst").alias("member"), "n").orderBy(F.desc("n"), "member").limit(5).select("member")
+    found = G.surprises(e, n.select(F.col("q").alias("member"), (F.col("k") % 3).alias("community")), hubs, n.select(F.col("q").alias("member"), F.col("brand").alias("language")))
+    return found.withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
+# ---- ranking and packing -----------------------------------------------------------------------
+
+TERMS = ["tion", "heit", "aux"]
+
+
+@query("""
+SELECT doc_id, CAST(3 * (contains(lower(source), 'src1'))::INT + 2 * (contains(lower(lang), 'e'))::INT + (contains(lower(text), 'tion'))::INT + (contains(lower(text), 'heit'))::INT + (contains(lower(text), 'aux'))::INT AS INT) AS score FROM documents""")
+def text_score(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    score = F.when(F.lower("source").contains("src1"), 3).otherwise(0) + F.when(F.lower("lang").contains("e"), 2).otherwise(0)
+    for t in TERMS:
+        score = score + F.when(F.lower("text").contains(t), 1).otherwise(0)
+    return docs.select("doc_id", score.alias("score"))
+
+
+@query("""
+WITH q AS (SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (ORDER BY doc_id DESC) AS b FROM q),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id) AS c FROM q WHERE quality IS NOT NULL)
+SELECT doc_id, CAST(round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) + coalesce(1.0::DOUBLE / (60 + c), 0), 12) AS DOUBLE) AS score FROM r LEFT JOIN l USING (doc_id)""")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    marks = table(spark, d, "labels").where("quality IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality")
+    lists = [rank.ranked(docs, "doc_id", [F.desc("n_chars"), F.col("doc_id")], "r"), rank.ranked(docs, "doc_id", [F.desc("doc_id")], "r"), rank.ranked(marks, "doc_id", [F.desc("quality"), F.col("doc_id")], "r")]
+    return rank.fuse(docs, "doc_id", lists).select("doc_id", F.round("score", 12).alias("score"))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, p_partkey AS id, CAST(p_size AS BIGINT) * 10 AS size, p_partkey % 3 = 0 AS clip FROM part QUALIFY o <= 200),
+f(o, id, size, used, rest) AS (
+  SELECT 0, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 9000::BIGINT UNION ALL
+  SELECT c.o, c.id, c.size, CASE WHEN clip THEN least(c.size, greatest(rest, 0)) WHEN c.size <= rest THEN c.size ELSE 0 END,
+         rest - CASE WHEN clip THEN least(c.size, greatest(rest, 0)) WHEN c.size <= rest THEN c.size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1)
+SELECT CAST(o - 1 AS INT) AS ord, CAST(id AS VARCHAR) AS id, size, used, used > 0 AS included, used > 0 AND used < size AS clipped FROM f WHERE o > 0""")
+def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 dearest parts as candidates (a top-k list) under a budget of 9,000."""
+    top = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
+    items = top.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size").cast("long") * 10).alias("size"), (F.col("p_partkey") % 3 == 0).alias("clipable"), (-F.col("p_retailprice")).alias("k"), "p_partkey")
+    return rank.greedy_pack(items, 9000, ["k", "p_partkey"])
+
+
+@query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part QUALIFY rank <= 5")
+def outline_topn(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_n(table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 5).drop("p_retailprice")
+
+
+@query(EDGES_SQL + """, ch AS (SELECT split_part(q, '#', 1) AS path, sum(CAST(l_quantity AS BIGINT) + l_linenumber) AS c FROM lineitem JOIN pt ON k = l_partkey GROUP BY 1),
+fan AS (SELECT dst, count(*) AS n, bool_or(sb <> db) AS far FROM g GROUP BY 1), tst AS (SELECT DISTINCT split_part(q, '#', 1) AS path FROM pt WHERE k % 4 = 0),
+m AS (SELECT max(c) AS mc FROM ch), md AS (SELECT max(n) AS mn FROM fan)
+SELECT q AS qualified_name, CAST(round(CASE WHEN tst.path IS NULL THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(lower(nm), 'auth|token|secret|password|crypto|credential|session|permission') THEN 0.2 ELSE 0 END::DOUBLE
+  + least(0.15::DOUBLE, coalesce(c, 0) / mc::DOUBLE * 0.15::DOUBLE) + CASE WHEN far THEN 0.15 ELSE 0 END::DOUBLE + least(0.1::DOUBLE, coalesce(n, 0) / mn::DOUBLE * 0.1::DOUBLE), 4) AS DOUBLE) AS total_risk
+FROM pt CROSS JOIN m CROSS JOIN md LEFT JOIN tst ON tst.path = split_part(q, '#', 1) LEFT JOIN ch ON ch.path = split_part(q, '#', 1) LEFT JOIN fan ON fan.dst = q""")
+def risk_rubric(spark: SparkSession, d: str) -> DataFrame:
+    n, calls = part_names(spark, d), call_edges(spark, d)
+    tests = n.where("k % 4 = 0").select(F.lit("TESTED_BY").alias("kind"), F.lit("file:t").alias("src"), E.file_id(P.file_of("q")).alias("dst"), F.lit(0.8).alias("confidence"), F.lit("inferred").alias("tier")).distinct()
+    churn = commit_log(spark, d).join(n, F.col("path") == F.col("k")).select("commit_no", "added", "deleted", P.file_of("q").alias("path"))
+    churn = history.churn(churn)
+    most = churn.agg(F.max("churn")).first()[0] or 0
+    fan = G.in_degree(calls).agg(F.max("n")).first()[0] or 0
+    return R.risk(part_symbols(spark, d), calls.unionByName(tests), churn, most, fan).select("qualified_name", "total_risk")
+
+
+# ---- text and paths ----------------------------------------------------------------------------
+
+REDACT_SQL = "text"
+for _rx in (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", r"(?i)\b(Bearer)\s+[A-Za-z0-9._~+/=-]{8,}", r"\b(AKIA|ASIA)[A-Z0-9]{16}\b",
+    r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
+):
+    REDACT_SQL = f"regexp_replace({REDACT_SQL}, '{_rx}', '[REDACTED]', 'g')"
+REDACT_SQL = f"regexp_replace({REDACT_SQL}, '" + T.REDACT_ASSIGN.replace("'", "''") + r"', '\1[REDACTED]', 'g')"
+
+
+@query(f"SELECT doc_id, {REDACT_SQL} AS redacted FROM documents")
+def redact_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.redact("text").alias("redacted"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS raw FROM pages),
+s AS (SELECT page_id, raw, list_filter(string_split(trim(raw), '/'), lambda x: x <> '' AND x <> '.') AS seg FROM p)
+SELECT page_id, CASE WHEN raw = '' OR starts_with(trim(raw), '/') OR list_contains(seg, '..') OR len(seg) = 0 OR regexp_matches(trim(raw), '^[A-Za-z]:') THEN NULL ELSE array_to_string(seg, '/') END AS path FROM s""")
+def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", P.canonical(F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)).alias("path"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, path, (len(list_filter(string_split(path, '/'), lambda x: regexp_full_match(x, '(?i)(www\.[^/]*|[^/]*\.html)'))) > 0 OR regexp_full_match(path, '(?is)m\..*/de/.*')) AS denied,
+  (path = 'blog' OR starts_with(path, 'blog/') OR path = 'm.theron.example.net' OR starts_with(path, 'm.theron.example.net/')) AS included FROM p""")
+def glob_deny(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1).alias("path"))
+    return p.select("page_id", "path", P.denied("path", ["www.*", "*.html", "m.**/de/**"]).alias("denied"), P.included("path", ["blog", "m.theron.example.net"]).alias("included"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages),
+l AS (SELECT page_id, path, split_part(path, '/', -1) AS base, CASE split_part(path, '/', 1) WHEN 'en' THEN 'docs/' WHEN 'de' THEN 'test/' WHEN 'fr' THEN 'graph/' ELSE 'src/' END || path AS p FROM p)
+SELECT CASE WHEN regexp_matches(p, '^(test|tests|__tests__|spec|specs)/') OR regexp_matches(p, '\.(test|spec)\.') THEN 'test'
+  WHEN regexp_matches(p, '^(docs|documentation)/') OR regexp_matches(p, '(?i)\.(md|mdx)$') THEN 'docs'
+  WHEN split_part(p, '/', 1) IN ('bin', 'cli', 'cmd') OR (regexp_matches(base, '(?i)^(cli|index|main|app|server)\.(ts|js|tsx|jsx|mts|cts)$') AND starts_with(p, 'src/')) THEN 'entry'
+  WHEN regexp_matches(p, '^(pipeline|wave|workflow)/') THEN 'workflow' WHEN regexp_matches(p, '^(graph|analysis)/') THEN 'analysis'
+  WHEN regexp_matches(p, '^(infra|git)/') OR starts_with(base, 'git') THEN 'infra' ELSE 'other' END AS layer, CAST(count(*) AS BIGINT) AS n, min(p) AS first_path FROM l GROUP BY 1""")
+def layer_case(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("raw"))
+    first = F.substring_index("raw", "/", 1)
+    p = p.select(F.concat(F.when(first == "en", "docs/").when(first == "de", "test/").when(first == "fr", "graph/").otherwise("src/"), "raw").alias("p"))
+    return p.groupBy(P.layer("p").alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first_path"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, CAST(octet_length(encode(text)) AS INT) AS size FROM documents")
+def content_digest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("size"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS lines FROM documents")
+def line_facts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.line_count("text").alias("lines"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000), b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
+SELECT 'gone' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'new', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def set_verify(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    a, b = o.where("o_totalprice > 1000").select("o_orderkey", "o_orderstatus"), o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus")
+    return a.exceptAll(b).select(F.lit("gone").alias("side"), "*").union(b.exceptAll(a).select(F.lit("new").alias("side"), "*"))
+
+
+@query(r"""
+WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS x FROM conversations), s AS (SELECT conv_id, turn, lower(unnest(string_split(regexp_replace(x, '([A-Z][a-z])', chr(1) || '\1', 'g'), chr(1)))) AS t FROM w WHERE length(x) >= 2)
+SELECT conv_id, turn, CAST(count(DISTINCT t) AS INT) AS n_terms FROM s WHERE length(t) >= 2 AND t NOT IN ('the','a','an','and','or','of','to','in','on','for','with','is','are','was','be','it','this','that','which','as','at','by','from','into','about','over','under','do','does','did') GROUP BY 1, 2""")
+def request_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(T.terms("text")).alias("n_terms")).where("n_terms > 0")
+
+
+@query("SELECT lang, CAST(count(*) AS BIGINT) AS files, CAST(count(DISTINCT source) AS BIGINT) AS dirs, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY 1")
+def language_census(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("source").alias("dirs"), F.sum("n_chars").alias("size"))
