@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneissflow.llm import bbit_minhash, hilbert_shard, mixing, scratch, spaced_seeds, subword_quality
+from gneissflow import scratch
+from gneissflow.llm import bbit_minhash, hilbert_shard, mixing, spaced_seeds, subword_quality
 from gneissflow.session import ensure_worker_path
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from ..scratch import materialize
 from .textcore import mix, shingles, word_hashes
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     chosen = nodes.select("key", "doc_id", "text_hash", "n_shingles", "sig", "bands").join(members, "key", "left_semi")
     sigs = materialize(chosen, "sigs")
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    wanted = sigs.select("key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    texts = wanted.join(full, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("text_hash"))).select("key", "text")
+    wanted = sigs.select("key", F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th"))
+    texts = wanted.join(full, F.col("__g_id").eqNullSafe(F.col("doc_id")) & (F.col("__g_th") == F.col("text_hash"))).select("key", "text")
     sets = materialize(texts.mapInArrow(_full_sets(k), "key binary, members array<long>").dropDuplicates(["key"]), "sets")
     sigs = sigs.select("key", "n_shingles", "sig", "bands")
 
@@ -289,19 +289,19 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = materialize(found, "classes")
     none = F.col("component_id").isNull()
     # the text that stays for each class: its smallest id, then the smallest text hash
-    stay = found.groupBy("component_id", F.when(none, F.col("text_hash")).alias("_g")).agg(F.min_by("text_hash", F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)), "text_hash")).alias("_keep"))
+    stay = found.groupBy("component_id", F.when(none, F.col("text_hash")).alias("__g_g")).agg(F.min_by("text_hash", F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)), "text_hash")).alias("__g_keep"))
     gone = (
-        found.join(stay.select(F.col("component_id").alias("_c"), "_keep"), F.col("component_id") == F.col("_c"))
-        .where((F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() | (F.col("text_hash") != F.col("_keep")))
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+        found.join(stay.select(F.col("component_id").alias("__g_c"), "__g_keep"), F.col("component_id") == F.col("__g_c"))
+        .where((F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() | (F.col("text_hash") != F.col("__g_keep")))
+        .select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
     )
-    twice = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).count().where("count > 1").select("_id", "_th")
+    twice = found.groupBy(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).count().where("count > 1").select("__g_id", "__g_th")
     twice = materialize(twice, "twice")
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.xxhash64("text"))
+    same = F.col("__g_id").eqNullSafe(F.col("doc_id")) & (F.col("__g_th") == F.xxhash64("text"))
     kept = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, same, "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    once = kept.join(twice, same, "left_semi").withColumn("__g_th", F.xxhash64("text")).dropDuplicates(["doc_id", "__g_th"]).drop("__g_th")
     return kept.join(twice, same, "left_anti").unionByName(once)
 
 

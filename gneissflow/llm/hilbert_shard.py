@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 ORDER = 4
 
@@ -88,10 +88,10 @@ def shards(docs: DataFrame, n_shards: int = 8, dims: list[Column] | None = None)
     dims = document_dims() if dims is None else dims
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        hilbert_index(dims).alias("curve"), F.xxhash64("text").alias("_th"),
+        hilbert_index(dims).alias("curve"), F.xxhash64("text").alias("__g_th"),
     )
     rows = materialize(rows, "curve")
-    key = ["curve", "text_crc32", "_th", "doc_id"]
+    key = ["curve", "text_crc32", "__g_th", "doc_id"]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = materialize(rows.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()), "ranged")
     total = ranged.groupBy("_part").agg(F.sum("size").alias("_b"))  # one row for each task of the range step
@@ -100,21 +100,21 @@ def shards(docs: DataFrame, n_shards: int = 8, dims: list[Column] | None = None)
     at = ranged.withColumn("_start", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(F.broadcast(ahead), "_part")
     at = at.withColumn("shard", F.least(F.floor((F.col("_start") + F.col("_ahead")).cast("decimal(38,0)") * n_shards / F.col("_all")), F.lit(n_shards - 1)).cast("int"))
     at = at.withColumn("_nth", F.row_number().over(Window.partitionBy("_part", "shard").orderBy("_start", *key)))
-    counts = at.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return at.join(before, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("_nth") - 1 + F.col("_before")).cast("long").alias("slot"), "_th")
+    counts = at.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("__g_n"))
+    before = counts.select("shard", "_part", F.coalesce(F.sum("__g_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return at.join(before, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("_nth") - 1 + F.col("_before")).cast("long").alias("slot"), "__g_th")
 
 
 def assign(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """``docs`` with curve, shard and slot; repeated rows (same id and text) share out their slots."""
-    own = materialize(shards(docs, n_shards).select(F.col("doc_id").alias("_id"), F.col("_th"), "curve", "shard", "slot"), "slots")
-    left = docs.drop("curve", "shard", "slot").withColumn("_h", F.xxhash64("text"))
-    on = F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_th") == F.col("_h"))
-    if not own.groupBy("_id", "_th").count().where("count > 1").isEmpty():
-        own = own.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("slot")))
-        left = left.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(1))))
-        on = on & (F.col("_k") == F.col("_n"))
-    return left.join(own, on).drop("_id", "_th", "_h", "_k", "_n")
+    own = materialize(shards(docs, n_shards).select(F.col("doc_id").alias("__g_id"), F.col("__g_th"), "curve", "shard", "slot"), "slots")
+    left = docs.drop("curve", "shard", "slot").withColumn("__g_h", F.xxhash64("text"))
+    on = F.col("__g_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__g_th") == F.col("__g_h"))
+    if not own.groupBy("__g_id", "__g_th").count().where("count > 1").isEmpty():
+        own = own.withColumn("__g_k", F.row_number().over(Window.partitionBy("__g_id", "__g_th").orderBy("slot")))
+        left = left.withColumn("__g_n", F.row_number().over(Window.partitionBy("doc_id", "__g_h").orderBy(F.lit(1))))
+        on = on & (F.col("__g_k") == F.col("__g_n"))
+    return left.join(own, on).drop("__g_id", "__g_th", "__g_h", "__g_k", "__g_n")
 
 
 def hilbert_index_py(point: list[int], order: int = ORDER) -> int:

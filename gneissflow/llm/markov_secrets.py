@@ -126,7 +126,7 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
     table = train(labelled_samples(docs.sparkSession)) if table is None else table
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.drop("base_spans", "spans")
-    out = out.withColumns({f"_s{i}": spans(text, k, p, g, n) for i, (k, p, g, n) in enumerate(BASE)} | {"_m": spans(text, "markov", candidate)})
+    out = out.withColumns({f"__g_s{i}": spans(text, k, p, g, n) for i, (k, p, g, n) in enumerate(BASE)} | {"__g_m": spans(text, "markov", candidate)})
     rank = {k: i for i, (k, *_) in enumerate(BASE)} | {"markov": len(BASE)}
     kind_rank = lambda s: F.element_at(F.create_map(*[y for k, i in rank.items() for y in (F.lit(k), F.lit(i))]), s["kind"])
 
@@ -134,12 +134,12 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
         keyed = F.transform(arr, lambda s: F.struct(s["start"].alias("a"), kind_rank(s).alias("r"), s.alias("s")))
         return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
-    base = F.concat(*[F.col(f"_s{i}") for i in range(len(BASE))])
-    out = out.withColumn("base_spans", F.when(F.size(base) > 0, ordered(base)).otherwise(base)).drop(*[f"_s{i}" for i in range(len(BASE))])
+    base = F.concat(*[F.col(f"__g_s{i}") for i in range(len(BASE))])
+    out = out.withColumn("base_spans", F.when(F.size(base) > 0, ordered(base)).otherwise(base)).drop(*[f"__g_s{i}" for i in range(len(BASE))])
     ratio = ratio_table(table)
-    likely = F.filter("_m", lambda m: (llr_per_pair(m["match"], ratio) >= threshold) & ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    out = out.withColumn("_x", F.when(F.size("_m") > 0, likely).otherwise(F.col("_m")))
-    return out.withColumn("spans", F.when(F.size("_x") > 0, ordered(F.concat("base_spans", "_x"))).otherwise(F.col("base_spans"))).drop("_m", "_x")
+    likely = F.filter("__g_m", lambda m: (llr_per_pair(m["match"], ratio) >= threshold) & ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    out = out.withColumn("__g_x", F.when(F.size("__g_m") > 0, likely).otherwise(F.col("__g_m")))
+    return out.withColumn("spans", F.when(F.size("__g_x") > 0, ordered(F.concat("base_spans", "__g_x"))).otherwise(F.col("base_spans"))).drop("__g_m", "__g_x")
 
 
 def told(arr: str) -> Column:

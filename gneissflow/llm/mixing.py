@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 BUCKET_HEX = 3  # a leaf's epoch is cut into 16**3 ranges of the seeded order
 
@@ -128,8 +128,8 @@ def mix(docs: DataFrame, levels: list[Level] | None = None, budget: int | None =
 
 def select_documents(docs: DataFrame, share: tuple[int, int] = (4, 5), levels: list[Level] | None = None, seed: int = 17) -> DataFrame:
     """``docs`` cut to the mixture: each document once at most, whole documents only."""
-    taken = mix(docs, levels, None, share, 1, seed).where("take = n_tokens").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    return docs.join(taken, F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_th") == F.xxhash64("text")), "left_semi")
+    taken = mix(docs, levels, None, share, 1, seed).where("take = n_tokens").select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
+    return docs.join(taken, F.col("__g_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__g_th") == F.xxhash64("text")), "left_semi")
 
 
 #: DuckDB SQL of mix() with its defaults over ``documents``.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 TREES = 8
 LEAF = 256
@@ -184,7 +184,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     dim = dims[0]["n"] if dims else 1
     rows = rows.where(F.size("vec") == dim)
     low = Window.partitionBy("vec").orderBy("vec_id")
-    ids = rows.distinct().withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k + 1)
+    ids = rows.distinct().withColumn("__g_n", F.row_number().over(low)).where(F.col("__g_n") <= k + 1)
     classes = materialize(ids.groupBy("vec").agg(F.min("vec_id").alias("cand"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
     total = classes.count()
     sample = classes.select("cand", "vec").orderBy(F.xxhash64("cand", F.lit(11)), "cand").limit(SAMPLE).toArrow()
@@ -231,13 +231,13 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), "cand")
     first = ranked(routed.where(F.col("turn") < FIRST).withColumn("floor", F.lit(float("-inf")))).distinct()
-    first = materialize(first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1), "first")
-    floor = first.groupBy("query").agg(F.when(F.max("_n") == k + 1, F.min("score")).otherwise(float("-inf")).alias("floor"))
+    first = materialize(first.withColumn("__g_n", F.row_number().over(order)).where(F.col("__g_n") <= k + 1), "first")
+    floor = first.groupBy("query").agg(F.when(F.max("__g_n") == k + 1, F.min("score")).otherwise(float("-inf")).alias("floor"))
     rest = ranked(routed.where(F.col("turn") >= FIRST).join(floor, "query"))
     found = first.select("query", "cand", "score").union(rest).distinct()
-    found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
+    found = found.withColumn("__g_n", F.row_number().over(order)).where(F.col("__g_n") <= k + 1).drop("__g_n")
     each = found.join(classes.select("cand", F.explode("ids").alias("vec_id")), "cand")
-    each = each.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1).drop("_n", "cand")
+    each = each.withColumn("__g_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("__g_n") <= k + 1).drop("__g_n", "cand")
     out = each.join(asked.select(F.col("cand").alias("query"), F.col("vec_id").alias("query_id")), "query").where("vec_id <> query_id")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

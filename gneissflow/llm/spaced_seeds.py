@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 from .textcore import PUNCT, mix, word_hashes
 
 MASKS = ("111010011", "110011101", "101110110")
@@ -136,8 +136,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passed = materialize(passed, "passed")
     hits = passed.select("doc_id", "text_hash", F.explode(F.arrays_zip("hits", "at")).alias("h")).select("doc_id", "text_hash", F.col("h.hits").alias("seed"), F.col("h.at").alias("at"))
     found = hits.join(seeds.select("seed", "cls", "item_at"), "seed").select("doc_id", "text_hash", "cls", (F.col("at") - F.col("item_at")).alias("diag")).distinct()
-    texts = passed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "tokens").dropDuplicates(["_id", "_th"])
-    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
+    texts = passed.select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th"), "tokens").dropDuplicates(["__g_id", "__g_th"])
+    both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("__g_id")) & (F.col("text_hash") == F.col("__g_th")))
     off = F.greatest(F.lit(0), -F.col("diag")).cast("int")
     both = both.select("doc_id", "text_hash", "cls", "diag", off.alias("off"), F.slice("tokens", (F.greatest(F.lit(0), F.col("diag")) + 1).cast("int"), F.lit(1 << 20)).alias("tail"))
     both = both.join(classes.select("cls", "item"), "cls")
@@ -159,9 +159,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
     found = materialize(found, "leaks")
-    return docs.join(found, F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_th") == F.xxhash64("text")), "left_anti")
+    return docs.join(found, F.col("__g_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__g_th") == F.xxhash64("text")), "left_anti")
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:

@@ -152,10 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     The sample is the labelled rows outside the held-out fold in the order of a hash of their id;
     of two labels for one id the larger counts.  Null labels, ids and texts are left out.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").where("_id IS NOT NULL AND quality IS NOT NULL").where(fold_of("_id") != HELD_OUT)
-    marks = marks.groupBy("_id").agg(F.max("quality").cast("int").alias("_y")).withColumn("_o", F.xxhash64("_id", F.lit(3))).orderBy("_o", "_id").limit(rows)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
-    got = got.dropDuplicates(["doc_id"]).withColumn("_b", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("_o", "_id"))).where(F.col("_b") <= size)
+    marks = labels.select(F.col("doc_id").cast("long").alias("__g_id"), "quality").where("__g_id IS NOT NULL AND quality IS NOT NULL").where(fold_of("__g_id") != HELD_OUT)
+    marks = marks.groupBy("__g_id").agg(F.max("quality").cast("int").alias("_y")).withColumn("_o", F.xxhash64("__g_id", F.lit(3))).orderBy("_o", "__g_id").limit(rows)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(marks), F.col("doc_id") == F.col("__g_id"))
+    got = got.dropDuplicates(["doc_id"]).withColumn("_b", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("_o", "__g_id"))).where(F.col("_b") <= size)
     table = got.select("doc_id", "text", "_y").toArrow().sort_by("doc_id")
     return train(table["text"].combine_chunks(), np.clip(table["_y"].to_numpy(), 0, 1))
 

@@ -65,18 +65,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block > allow
     listed = listed.select(full.alias("_digest"), F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.length("host").alias("_hl"))
     listed = listed.withColumn("_short", F.substring("_digest", 1, PREFIX_HEX))
-    urls = pages.select(F.col("url").alias("_url")).where("_url IS NOT NULL").distinct().select("_url", host_of("_url").alias("_host"), path_of("_url").alias("_path"))
+    urls = pages.select(F.col("url").alias("__g_url")).where("__g_url IS NOT NULL").distinct().select("__g_url", host_of("__g_url").alias("_host"), path_of("__g_url").alias("_path"))
     exps = (
         urls.where("_host <> ''")
-        .select("_url", "_path", F.explode(_suffixes(F.col("_host"))).alias("_sfx"))
-        .select("_url", "_sfx", F.explode(_prefixes(F.col("_path"), odd)).alias("_pfx"))
+        .select("__g_url", "_path", F.explode(_suffixes(F.col("_host"))).alias("_sfx"))
+        .select("__g_url", "_sfx", F.explode(_prefixes(F.col("_path"), odd)).alias("_pfx"))
         .withColumn("_full", F.sha2(F.concat("_sfx", F.lit("\u0000"), "_pfx"), 256))
     )
     met = exps.withColumn("_short", F.substring("_full", 1, PREFIX_HEX)).join(listed, "_short").where("_full = _digest")
     rank = F.struct(F.length("_rule").alias("n"), F.col("_hl").alias("h"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
-    best = met.groupBy("_url").agg(F.max(rank).alias("_best"))
-    out = pages.drop("host", "path", "rule", "verdict").join(best, F.col("url") == F.col("_url"), "left")
+    best = met.groupBy("__g_url").agg(F.max(rank).alias("__g_best"))
+    out = pages.drop("host", "path", "rule", "verdict").join(best, F.col("url") == F.col("__g_url"), "left")
     return out.withColumns({
-        "host": host_of("url"), "path": path_of("url"), "rule": F.col("_best.rule"),
-        "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
-    }).drop("_url", "_best")
+        "host": host_of("url"), "path": path_of("url"), "rule": F.col("__g_best.rule"),
+        "verdict": F.coalesce(F.col("__g_best.verdict"), F.lit(default)),
+    }).drop("__g_url", "__g_best")

@@ -1,0 +1,436 @@
+"""Each training-data operator against a plain version, on the small tables and on odd inputs."""
+
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gneissflow.llm import bbit_minhash as mh
+from gneissflow.llm import hilbert_shard as hs
+from gneissflow.llm import markov_secrets as ms
+from gneissflow.llm import mixing as mx
+from gneissflow.llm import patience_license as pl
+from gneissflow.llm import queries as q
+from gneissflow.llm import rp_forest as rp
+from gneissflow.llm import spaced_seeds as ss
+from gneissflow.llm import subword_quality as sq
+from gneissflow.llm import textcore as tc
+from gneissflow.llm import token_scan as ts
+from gneissflow.llm import url_filter as uf
+
+
+def docs_of(spark, sf, name="documents"):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---- shared word hashing
+
+
+def test_words_match_plain_python():
+    texts = ["a B  c\td", None, "", "  ", "É é\x0bX", "z" * 50, "one"]
+    got = [h[offs[r] : offs[r + 1]] for _, h, offs in tc.word_hashes(pa.array(texts)) for r in range(len(offs) - 1)]
+    assert [len(g) for g in got] == [len(tc.words_py(t)) for t in texts]
+    again = [h[offs[0] : offs[1]] for t in texts for _, h, offs in tc.word_hashes(pa.array([t], pa.string()))]
+    assert all((a == b).all() for a, b in zip(got, again, strict=True))
+
+
+def test_long_text_is_hashed_in_pieces():
+    text = " ".join(f"w{i % 5000}" for i in range(700_000))
+    (_, h, offs), = tc.word_hashes(pa.array([text]))
+    short = np.concatenate([x for _, x, _ in tc.word_hashes(pa.array([" ".join(f"w{i}" for i in range(5000))]))])
+    assert offs[-1] == 700_000 and (h == np.tile(short, 140)).all()
+
+
+# ---- 1 decontamination
+
+
+def test_spaced_seeds_against_all_pairs(spark, sf):
+    docs, bench = docs_of(spark, sf), docs_of(spark, sf, "benchmark")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    items = [(r.item_id, r.text) for r in bench.collect()][:12]
+    some = bench.where(F.col("item_id").isin([i for i, _ in items]))
+    # plant copies with every sixth word replaced, and cut ones
+    base = 10**6
+    for n, (_, t) in enumerate(items):
+        w = t.split()
+        rows.append((base + n, "lead in words here " + " ".join("qqq" if i % 6 == 5 else x for i, x in enumerate(w)) + " and out"))
+        rows.append((base + 100 + n, " ".join(w[: len(w) * 3 // 4])))
+    rows = [r for r in rows if r[1] is not None and len(r[1]) < 4000]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in ss.overlaps(table, some).collect()}
+    assert got == ss.brute_force(rows, items)
+    assert {base + n for n in range(12)} <= {d for d, _ in got}
+
+
+def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0) for r in ss.overlaps(odd_docs, bench).collect())
+    assert got == [(d, i) for d in (1, 2) for i in (0, 4, 5)]
+    assert ss.overlaps(no_docs, bench).count() == 0 and ss.overlaps(odd_docs, bench.where("false")).count() == 0
+    kept = ss.clean(odd_docs, bench)
+    assert kept.columns == odd_docs.columns and kept.count() == 9
+
+
+# ---- 2 licences
+
+
+def test_patience_alignment_is_a_common_subsequence():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = (list(rng.integers(0, 12, rng.integers(0, 25))) for _ in range(2))
+        m = pl.patience(a, b)
+        assert all(a[i] == b[j] for i, j in m)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(m, m[1:], strict=False))
+    assert pl.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
+    assert pl.patience([9, 1, 8, 2, 7, 3], [1, 2, 3]) == [(1, 0), (3, 1), (5, 2)]
+
+
+def test_license_scan(spark, odd_docs, no_docs):
+    mit = pl.TEMPLATES["MIT"]
+    changed = " ".join(w for i, w in enumerate(mit.split()) if i % 12 != 3)
+    filler = " ".join(f"filler{i}" for i in range(300))
+    rows = [(1, f"{filler} {mit} {filler}"), (2, f"{filler} {changed}"), (3, "Released under the MIT License. All rights reserved. All rights reserved."), (4, "rights of all are reserved by the license"), (5, filler)]
+    got = pl.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.license, r.start_word, r.coverage))
+    assert by[1] == [("MIT", 300, 1.0)]
+    assert by[2][0][0] == "MIT" and by[2][0][2] > 0.85
+    assert sorted(by[3]) == [("MIT-notice", 0, 1.0), ("all-rights-reserved", 5, 1.0), ("all-rights-reserved", 8, 1.0)]
+    assert 4 not in by and 5 not in by
+    assert pl.scan(odd_docs).count() == 0 and pl.scan(no_docs).count() == 0
+
+
+def test_license_lines_of_the_table(spark, sf):
+    docs = docs_of(spark, sf).collect()
+    want = {(r.doc_id, n) for r in docs for n, t in pl.TEMPLATES.items() if len(t) < 80 and t in r.text}
+    got = {(r.doc_id, r.license) for r in pl.scan(docs_of(spark, sf)).collect()}
+    assert want <= got and len(got) <= len(want) * 1.1 + 2
+
+
+# ---- 3 nearest neighbours
+
+
+def test_forest_recall(spark, sf):
+    e = docs_of(spark, sf, "embeddings")
+    rows = e.collect()
+    ids, vecs = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    want = rp.brute_force(ids, vecs, 20, 20)
+    got = {}
+    for r in rp.nearest(e, share=0.9, least=0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        i, j = np.flatnonzero(ids == r.query_id)[0], np.flatnonzero(ids == r.vec_id)[0]
+        assert abs(r.score - float(vecs[i] @ vecs[j])) < 1e-12
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want]) >= 0.9
+    exact = {}
+    for r in rp.nearest(e).orderBy("query_id", "rank").collect():
+        exact.setdefault(r.query_id, []).append(r.vec_id)
+    assert exact == want  # small tables are searched whole
+
+
+def test_forest_odd_inputs(spark):
+    schema = "vec_id long, embedding array<float>, score string"
+    one = [1.0, 0.0]
+    rows = [(i, one, "a") for i in range(0, 60)] + [(60, [0.0, 0.0], "z"), (80, None, "n"), (100, [float("nan"), 1.0], "x"), (120, [None, 1.0], "x"), (140, [0.5, 0.5], "x"), (140, [0.5, 0.5], "x"), (160, [1.0, 2.0, 3.0], "x"), (None, one, "x")]
+    got = rp.nearest(spark.createDataFrame(rows, schema)).orderBy("query_id", "rank").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(by) == {0, 20, 40, 140}
+    assert [v for _, v, _ in by[20]] == [i for i in range(21) if i != 20]
+    assert [v for _, v, _ in by[140]] == list(range(20)) and by[140][0][2] == 0.5
+    assert rp.nearest(spark.createDataFrame([], schema)).count() == 0
+    assert rp.nearest(spark.createDataFrame([(0, one, "a")], schema)).count() == 0
+
+
+# ---- 4 mixing
+
+
+def _fill(children, budget):
+    """Water level by plain search over whole numbers, largest level that fits."""
+    live, given = dict(children), {}
+    while live:
+        w = sum(c[0] for c in live.values())
+        full = {n for n, (wt, cap) in live.items() if cap * w <= budget * wt}
+        if not full:
+            return given | {n: min(cap, budget * wt // w) for n, (wt, cap) in live.items()}
+        first = min(full, key=lambda n: (live[n][1] / live[n][0], n))
+        given[first] = live[first][1]
+        budget -= live.pop(first)[1]
+    return given
+
+
+def test_budgets_against_a_plain_version(spark, sf):
+    out = mx.mix(docs_of(spark, sf), share=(9, 10), max_epochs=3).collect()
+    docs = docs_of(spark, sf).collect()
+    name = {0: "web", 1: "books", 2: "code", 3: "talk"}
+    leaf = {r.doc_id: (name[int(r.source[3:]) % 4], r.lang, r.source) for r in docs}
+    size = {r.doc_id: len(tc.words_py(r.text)) for r in docs}
+    tokens = {}
+    for i, k in leaf.items():
+        tokens[k] = tokens.get(k, 0) + size[i]
+    total = sum(tokens.values()) * 9 // 10
+    cap = lambda *p: sum(3 * n for k, n in tokens.items() if k[: len(p)] == p)
+    want = {}
+    for d, b in _fill({d: (mx.DOMAIN_WEIGHTS[d], cap(d)) for d in {k[0] for k in tokens}}, total).items():
+        for g, c in _fill({g: (mx.LANG_WEIGHTS.get(g, 1), cap(d, g)) for g in {k[1] for k in tokens if k[0] == d}}, b).items():
+            for s, x in _fill({s: (1, cap(d, g, s)) for s in {k[2] for k in tokens if k[:2] == (d, g)}}, c).items():
+                want[d, g, s] = x
+    got, runs = {}, {}
+    for r in out:
+        k = leaf[r.doc_id]
+        got[k] = got.get(k, 0) + r.take
+        assert r.n_tokens == size[r.doc_id] and 0 <= r.take <= r.n_tokens
+        runs.setdefault((k, r.epoch), []).append((r.start, r.take))
+    assert got == {k: v for k, v in want.items() if v}
+    for pieces in runs.values():
+        at = 0
+        for start, take in sorted(pieces):
+            assert start == at
+            at += take
+
+
+def test_mixing_odd_inputs(spark, odd_docs, no_docs):
+    assert mx.mix(no_docs).count() == 0
+    got = mx.mix(odd_docs, share=(1, 1), max_epochs=1)
+    assert got.where("take < n_tokens").count() == 0
+    kept = mx.select_documents(odd_docs, (1, 1))
+    assert kept.columns == odd_docs.columns
+    assert mx.mix(odd_docs, budget=0).count() == 0
+
+
+# ---- 5 shards
+
+
+def test_hilbert_index_walks_cell_by_cell(spark):
+    for n, o in ((2, 3), (3, 2)):
+        cells = spark.range(1 << n * o).select(*[(F.shiftright("id", o * i) % (1 << o)).alias(f"x{i}") for i in range(n)])
+        rows = cells.select("*", hs.hilbert_index([F.col(f"x{i}") for i in range(n)], o).alias("h")).collect()
+        assert all(r.h == hs.hilbert_index_py(list(r)[:n], o) for r in rows)
+        by = {r.h: tuple(r)[:n] for r in rows}
+        assert sorted(by) == list(range(1 << n * o))
+        assert all(sum(abs(a - b) for a, b in zip(by[i], by[i + 1], strict=True)) == 1 for i in range(len(by) - 1))
+
+
+def test_shards(spark, sf):
+    docs = {r.doc_id: r for r in docs_of(spark, sf).collect()}
+    out = q.op5_hilbert_shards(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    sums, slots, order = {}, {}, {}
+    for r in out:
+        raw = docs[r.doc_id].text.encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        order[r.shard, r.slot] = r.curve
+    assert set(sums) == set(range(8)) and max(sums.values()) - min(sums.values()) <= 2 * max(r.size for r in out)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    curve = [order[k] for k in sorted(order)]
+    assert curve == sorted(curve)
+
+
+def test_shards_odd_inputs(spark, odd_docs, no_docs):
+    out = hs.shards(odd_docs, 3).collect()
+    assert len(out) == 12 and {r.shard for r in out} <= {0, 1, 2}
+    assert hs.shards(no_docs).count() == 0
+    got = hs.assign(odd_docs, 3)
+    assert got.count() == 12 and got.select("shard", "slot").distinct().count() == 12
+    assert hs.assign(no_docs).count() == 0
+
+
+# ---- 6 token counts
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_separator_scan_round_trip(spark, sf, block):
+    docs = docs_of(spark, sf).limit(60)
+    with open(ts.VOCABULARY, "rb") as f:
+        enc = ts.load_encoding(f.read())
+    want = {r.doc_id: len(enc.encode_ordinary(r.text)) for r in docs.collect()}
+    got = ts.separator_scan(ts.token_streams(docs, block=block)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and all(r.closed for r in got)
+    for s in {r.stream for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.stream == s), key=lambda r: r.ordinal):
+            assert r.start == at
+            at += r.n_tokens + 1
+
+
+def test_flat_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    want = {}
+    for n in range(3):
+        t = rng.integers(0, 5, 1000 * n).astype(np.uint16)
+        t[t == 0] = ts.EOD
+        t.tofile(tmp_path / f"f{n}.bin")
+        ends = [*np.flatnonzero(t == ts.EOD), *([len(t)] if len(t) and t[-1] != ts.EOD else [])]
+        want |= {(f"f{n}.bin", i): int(b - a - 1) for i, (a, b) in enumerate(zip([-1, *ends[:-1]], ends, strict=True))} if ends else {}
+    got = {(r.stream.rsplit("/", 1)[1], r.ordinal): r.n_tokens for r in ts.separator_scan(ts.token_files(spark, str(tmp_path), 13)).collect()}
+    assert got == want
+
+
+def test_token_counts_odd_inputs(spark, odd_docs, no_docs):
+    got = ts.separator_scan(ts.token_streams(odd_docs)).collect()
+    assert len(got) == 12 and sum(r.n_tokens == 0 for r in got) == 3
+    assert ts.separator_scan(ts.token_streams(no_docs)).count() == 0
+
+
+# ---- 7 near-duplicates
+
+
+def _variants(rng, words, n, rate):
+    return [" ".join(str(rng.integers(10**6)) if rng.random() < rate else w for w in words) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_against_all_pairs(spark, sf, k, percent):
+    rng = np.random.default_rng(2)
+    rows = [(r.doc_id, r.text) for r in docs_of(spark, sf).collect()]
+    base = [f"w{i}" for i in range(150)]
+    more = _variants(rng, base, 60, 0.015) + _variants(rng, base, 40, 0.04) + [" ".join(base[: 150 - i]) for i in range(0, 60, 4)] * 2
+    rows += [(10**6 + i, t) for i, t in enumerate(more)] + [(2 * 10**6, None), (2 * 10**6 + 1, ""), (2 * 10**6 + 2, "a b"), (2 * 10**6 + 3, "A  b"), (2 * 10**6 + 4, "a")]
+    found, _ = mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
+    assert {r.doc_id: r.component_id for r in found.collect()} == mh.brute_force(rows, k, percent)
+
+
+def test_estimate_is_corrected_for_chance():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        errors = []
+        for _ in range(30):
+            common, own = rng.integers(1 << 62, size=int(400 * share)), [rng.integers(1 << 62, size=int(200 * (1 - share))) for _ in range(2)]
+            sets = [np.unique(np.concatenate([common, o]).astype(np.uint64)) for o in own]
+            a, b = (mh.packed(mh.minima(s)).reshape(mh.BITS, mh.PLANE) for s in sets)
+            mism = int(np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=0)).sum())
+            true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+            errors.append(mh.estimate(mism) - true)
+        assert abs(np.mean(errors)) < 0.02
+
+
+def test_near_duplicates_odd_inputs(spark, odd_docs, no_docs):
+    found, _ = mh.near_duplicates(odd_docs, 3, 85)
+    by = {(r.doc_id, r.n_shingles > 0): r.component_id for r in found.collect()}
+    assert len(found.collect()) == 12
+    assert by[1, True] == by[2, True] == 1 and by[3, False] == 3 and by[4, False] == 4 and by[None, True] == 7 and by[7, True] == 7 and by[None, False] is None
+    kept = mh.keep_one(odd_docs, 3, 85)
+    assert kept.columns == odd_docs.columns
+    ids = sorted((r.doc_id or -1) for r in kept.select("doc_id").collect())
+    assert ids == [-1, 1, 3, 4, 5, 6, 7, 8, 9]
+    assert mh.near_duplicates(no_docs)[0].count() == 0 and mh.keep_one(no_docs).count() == 0
+
+
+# ---- 8 secrets
+
+TRICKY = [
+    None, "", "password=short", "PassWord : 'longenough1'", "token=token:abcdefg", "api_key == abcdefgh", "apikey=\"abc/def+ghi=\" AKIA" + "A1" * 9, "AKIAAKIA" + "B2" * 8,
+    "é🙂 token = \"" + "0a" * 20 + "\" end", "deadbeef" * 3 + "x" + "f" * 23, "secret=secret=secretsecret", "AKIA" + "Z" * 15, "passwd:abcdef,passwd:ghijkl",
+    "xAKIA" + "Q9" * 10 + "q", "token=" + "a" * 5 + " token=" + "b" * 6, "ſecret=abcdefgh toKen=abcdefgh",
+]
+
+
+def test_base_spans(spark, sf):
+    rows = [(i, t) for i, t in enumerate(TRICKY)] + [(100 + r.doc_id, r.text) for r in docs_of(spark, sf).collect()]
+    found = ms.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", ms.told("base_spans").alias("b"), ms.told("spans").alias("s"))
+    got = {r.doc_id: (r.b, r.s) for r in found.collect()}
+    for i, t in rows:
+        want = ms.base_spans_py(t)
+        assert got[i][0] == ",".join(f"{k}:{a}:{b}" for k, a, b in want), t
+        spans = [x.split(":") for x in got[i][1].split(",") if x]
+        assert [s for s in spans if s[0] != "markov"] == [x.split(":") for x in got[i][0].split(",") if x]
+        for k, a, b in spans:
+            if k == "markov":
+                assert all(int(b) <= x or int(a) >= y for _, x, y in want) and re.fullmatch(ms.CANDIDATE, t[int(a) : int(b)])
+
+
+def test_models_tell_random_from_ordinary(spark):
+    table = ms.train(ms.labelled_samples(spark, 2000))
+    fresh = ms.labelled_samples(spark, 4000).where("length(text) >= 20")
+    hit = fresh.select("label", (ms.llr_per_pair(F.col("text"), ms.ratio_table(table)) >= ms.LLR_PER_PAIR).alias("hit")).groupBy("label").agg(F.avg(F.col("hit").cast("int")).alias("r")).collect()
+    rate = {r.label: r.r for r in hit}
+    assert rate[1] > 0.95 and rate[0] < 0.01
+    # the same numbers by plain Python
+    samples = ms.labelled_samples(spark, 300)
+    counts = {}
+    code = lambda c: ms.ALPHABET.find(c) if c in ms.ALPHABET else ms.CLASSES - 1
+    for r in samples.collect():
+        for x, y in zip(r.text, r.text[1:], strict=False):
+            p = code(x) * ms.CLASSES + code(y)
+            n = counts.get(p, (0, 0))
+            counts[p] = (n[0] + (r.label == 0), n[1] + (r.label == 1))
+    assert np.allclose(ms.train(samples), ms.ratios(counts))
+
+
+def test_model_spans_and_odd_inputs(spark, odd_docs, no_docs):
+    rows = [(1, "key 9fJx2LqTz7VbN4mKsW8dYp3R end"), (2, "call get_user_name_from_table_index now"), (3, "Rindfleischetikettierungsaufgabe unterderunteren")]
+    got = {r.doc_id: r.s for r in ms.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", ms.told("spans").alias("s")).collect()}
+    assert got == {1: "markov:4:28", 2: "", 3: ""}
+    out = ms.find_secrets(odd_docs)
+    assert out.count() == 12 and set(odd_docs.columns) < set(out.columns) and ms.find_secrets(no_docs).count() == 0
+
+
+def test_secret_scan_is_native(spark, sf):
+    plan = q.op8_markov_secret_scan(spark, sf)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in plan
+
+
+# ---- 9 URLs
+
+
+def test_url_rules_against_a_plain_version(spark):
+    hosts = ["net", "a.net", "example.net", "x.example.net", "notexample.net", "example.com", "EXAMPLE.com", "b.org", "org", "", "a.b.c.example.com"]
+    paths = ["", "/", "/en/", "/en", "/en/x/y", "/de/", "/de/?q=/en/", "/fr/a#/b", "/fr", "//de/", "?x", "#y"]
+    urls = [f"{s}://{h}{p}" for s in ("http", "HTTPS", "") for h in hosts for p in paths] + [None, "", "nothing", "a/b://net/", "x://y://net/", "http://net:80/", "http://u@a.net/\n/en/"]
+    pages = spark.createDataFrame([(i % 50, u, "keep") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    rules = [*uf.RULES, ("com", "/d", "allow"), ("c.example.com", "", "block")]
+
+    def plain(u):
+        if u is None or "://" not in u:
+            return "", "", None, "allow"
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u)
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1])
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and m[2].startswith(p)]
+        best = max(fit, default=None)
+        return host, m[2], best and best[2], best[3] if best else "allow"
+
+    got = sorted((str(r.url), r.host, r.path, str(r.rule), r.verdict) for r in uf.judge(pages, uf.rule_table(spark, rules)).collect())
+    assert got == sorted((str(u), a, b, str(c), d) for u in urls for a, b, c, d in [plain(u)])
+    assert uf.judge(pages.where("false"), uf.rule_table(spark)).count() == 0
+
+
+# ---- 10 quality
+
+
+def test_quality_held_out(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    out = q.op10_subword_quality(spark, sf).collect()
+    marks = {r.doc_id: r.quality for r in docs_of(spark, sf, "labels").collect()}
+    assert len(out) == docs_of(spark, sf).count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in out)
+    held = [(r.predicted, marks[r.doc_id]) for r in out if r.held_out and r.doc_id in marks]
+    assert np.mean([a == b for a, b in held]) > 0.93
+
+
+def test_scores_do_not_depend_on_batches_and_match_counts(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(rng.integers(0, 80))) for _ in range(60)] + ["", None, "é"]
+    model = rng.normal(size=sq.BUCKETS + 1)
+    whole = sq.score_batch(pa.array(texts), model)
+    one = np.array([sq.score_batch(pa.array([t], pa.string()), model)[0] for t in texts])
+    assert (whole == one).all()
+    for (ids, share), s in zip(sq.document_counts(pa.array(texts)), whole, strict=True):
+        assert abs(1 / (1 + np.exp(-(share @ model[ids] + model[-1]))) - s) < 1e-9
+    long = " ".join(f"w{i % 7919}" for i in range(900_000))
+    (ids, share), = sq.document_counts(pa.array([long]))
+    assert abs(1 / (1 + np.exp(-(share @ model[ids] + model[-1]))) - sq.score_batch(pa.array([long]), model)[0]) < 1e-6
+
+
+def test_quality_odd_inputs(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1), (6, None), (8, 0), (9, 0)], "doc_id long, quality int")
+    model = sq.fit(odd_docs, labels)
+    assert sq.score(odd_docs, model).count() == 12
+    assert sq.keep_good(odd_docs, labels.where("false")).count() == 12
+    assert sq.score(no_docs, sq.fit(no_docs, labels)).count() == 0
