@@ -1 +1 @@
-
+"""Fact tables from source files."""

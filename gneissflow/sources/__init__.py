@@ -1 +1 @@
-
+"""Tables read from Git work trees and commits."""

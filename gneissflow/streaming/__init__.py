@@ -1 +1 @@
-
+"""No streaming operators: one request reads one fixed state of a repository."""
