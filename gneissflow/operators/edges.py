@@ -90,7 +90,7 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
         F.when(F.col("receiver") == "identifier", text).when(F.col("receiver") == "property", parts[0]).alias("name"),
         F.when(F.col("receiver") == "property", F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("prop"),
         F.when((F.col("receiver") == "this") & caller.contains("#") & (F.size(cls) >= 2), F.concat(f, F.lit("#"), cls[0], F.lit("."), F.element_at(parts, -1))).alias("sibling"),
-        F.trim(F.when(F.col("receiver") == "property", parts[0]).otherwise(text)).alias("base"),
+        F.regexp_replace(F.when(F.col("receiver") == "property", parts[0]).otherwise(text), r"^\s+|\s+$", "").alias("base"),
     )
     own = symbols.select("path", F.col("qualified_name").alias("sibling")).distinct().withColumn("to_sibling", F.col("sibling"))
     member = public.select(F.col("path").alias("via_file"), F.col("name").alias("prop"), F.col("qualified_name").alias("to_member"))
