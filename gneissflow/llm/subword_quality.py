@@ -1,8 +1,9 @@
 """Supervised subword embeddings for document quality.
 
-Features of a text are its words and its character n-grams (bytes, ``GRAMS``), hashed into
-``BUCKETS`` rows of a learned embedding; a document is the mean of its rows, a softmax layer gives
-the class.  Training is numpy stochastic gradient descent on a bounded sample of labelled rows.
+Features of a text are its words, its pairs of neighbouring words (a word that is repeated stands as
+one mark, whatever the word) and its character n-grams (bytes, ``GRAMS``), hashed into ``BUCKETS``
+rows of a learned embedding.  A document is the mean of its rows, padded with ``PAD`` zero rows so
+that a few features of a short text decide little; a softmax layer gives the class.  Training is numpy stochastic gradient descent on a bounded sample of labelled rows.
 
 A document's logit difference is the mean over its features of (embedding . output weights), so the
 trained model is folded into one number per bucket and scoring is a table lookup and a sum.
@@ -22,22 +23,23 @@ from .textcore import _P, BLANK, LOWER, _powers, buffers, mix, runs
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
 DIM = 8
-EPOCHS = 8
-RATE = 0.5
+PAD = 40
+EPOCHS = 5
+RATE = 1.5
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 24 << 20
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
-def _features(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, end position) of all features of the texts in a buffer, by kind, unsorted rows.
+def _features(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(kind, position): the bucket of the feature that begins at a byte, or -1.
 
-    Returned as two arrays over (kind, position): the bucket of the feature that begins at a byte,
-    or -1.  Features never reach over the border of two texts.
+    ``bounds`` holds the begins of the texts and the end.  A pair of words stands at its second
+    word.  Features never reach over the border of two texts.
     """
     n = len(raw)
-    out = np.full((1 + len(GRAMS), n), -1, np.int32)
+    out = np.full((2 + len(GRAMS), n), -1, np.int32)
     if not n:
         return out
     border = np.zeros(n + 1, bool)
@@ -54,9 +56,14 @@ def _features(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     p, inv = _powers(n + 1)
     s = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:-1], out=s[1:])
-    out[0, start] = (mix((s[end] - s[start]) * inv[start] + np.uint64(99)) % np.uint64(BUCKETS)).astype(np.int32)
+    word = mix((s[end] - s[start]) * inv[start] + np.uint64(99))
+    out[0, start] = (word % np.uint64(BUCKETS)).astype(np.int32)
+    if len(word) > 1:
+        pair = np.where(word[1:] == word[:-1], np.uint64(7), mix(word[:-1] * _P + word[1:]))
+        near = room[start[:-1]] - room[start[1:]] == np.diff(start)  # both in one text
+        out[1, start[1:]] = np.where(near, (pair % np.uint64(BUCKETS)).astype(np.int32), -1)
     wide = raw.astype(np.uint32)
-    for k, g in enumerate(GRAMS, 1):
+    for k, g in enumerate(GRAMS, 2):
         m = n - g + 1
         if m <= 0:
             continue
@@ -79,7 +86,7 @@ def document_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         f = _features(part, np.array([0, len(part)]))
         f = f[f >= 0]
         ids, n = np.unique(f, return_counts=True)
-        got.append((ids, (n / max(1, n.sum())).astype(np.float64)))
+        got.append((ids, (n / (PAD + n.sum())).astype(np.float64)))
     return got
 
 
@@ -123,22 +130,32 @@ def score_batch(texts: pa.Array, model: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(np.diff(own))
         out[i:j] = 0.0
         if len(full):
-            out[i + full] = np.add.reduceat(value, own[full]) / np.maximum(1, np.add.reduceat(count, own[full]))
+            out[i + full] = np.add.reduceat(value, own[full]) / (PAD + np.add.reduceat(count, own[full]))
     return 1 / (1 + np.exp(-np.clip(out + bias, -500, 500)))
 
 
 def _long(part: np.ndarray, table: np.ndarray, step: int = 1 << 20) -> float:
-    """Mean over the features of one text; a piece ends at a blank, n-grams reach into the next."""
+    """Mean over the features of one text, in pieces that end at blanks.
+
+    A piece is read from the word before it (for the first pair) to the end of the n-grams that
+    begin in it; only features that begin in it count.
+    """
     total, n, a = 0.0, 0, 0
     while a < len(part):
         b = min(len(part), a + step)
         while b < len(part) and not BLANK[part[b - 1]]:
             b += 1
-        f = _features(part[a : min(len(part), b + max(GRAMS) - 1)], np.array([0, min(len(part), b + max(GRAMS) - 1) - a]))[:, : b - a]
+        back = a
+        while back and BLANK[part[back - 1]]:
+            back -= 1
+        while back and not BLANK[part[back - 1]]:
+            back -= 1
+        end = min(len(part), b + max(GRAMS) - 1)
+        f = _features(part[back:end], np.array([0, end - back]))[:, a - back : b - back]
         total += table[f].sum()
         n += int((f >= 0).sum())
         a = b
-    return total / max(1, n)
+    return total / (PAD + n)
 
 
 def fold_of(col: str = "doc_id") -> F.Column:
