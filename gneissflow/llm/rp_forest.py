@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 TREES = 8
-LEAF = 256
+LEAVES = 96  # of a tree; fewer where that would leave under LEAST_IN_LEAF rows in each
+LEAST_IN_LEAF = 16
 SAMPLE = 16384
-LEAST_IN_LEAF = 16  # sample rows
-SHARE, LEAST = 1.0, 4096  # leaves are taken until they hold max(SHARE * rows, LEAST) rows, repeats included
+SHARE, LEAST = 0.85, 4096  # leaves are taken until they hold max(SHARE * rows, LEAST) rows, repeats included
 FIRST = 6  # leaves that give a query its first bound
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -37,7 +37,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 5):
         self.dim = sample.shape[1] if sample.size else 0
-        leaves = min(max(1, rows // max(16, min(LEAF, rows // 64))), max(1, len(sample) // LEAST_IN_LEAF))
+        leaves = min(LEAVES, max(1, rows // LEAST_IN_LEAF), max(1, len(sample) // LEAST_IN_LEAF))
         self.leaf = max(1, len(sample) // leaves)
         self.trees = [self._tree(sample, np.random.default_rng(seed + t)) for t in range(trees)]
 
