@@ -181,8 +181,7 @@ def _majority_dir(members: list[str]) -> str:
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, label, members, member_count, cohesion of groups of symbols that belong together.
 
-    Components are found by joins; one component is one group for Python, so a component must fit
-    one task.  A graph without calls and imports has none.
+    Components are found by joins; a component is cut by one Python task, so it must fit one.  A graph without calls and imports has none.
     """
     symbols = nodes.where("kind = 'symbol'").select(F.col("id")).distinct()
     total = symbols.count()
@@ -193,15 +192,23 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     comps = components(pairs)
     grouped = pairs.join(comps.withColumnRenamed("node", "a"), "a")
 
+    buckets = max(1, pairs.count() // 20_000)  # many small components share a group
+
     def split(table: pa.Table) -> pa.Table:
-        a, b, w = (table[c].to_pylist() for c in ("a", "b", "weight"))
-        rows = [(sorted(x.removeprefix("sym:") for x in own), cohesion) for own, cohesion in prune_component(list({*a, *b}), zip(a, b, w, strict=True), limit) if len(own) > 1]
+        by: dict[str, list[tuple[str, str, float]]] = {}
+        for c, *pair in zip(*(table[x].to_pylist() for x in ("comp", "a", "b", "weight")), strict=True):
+            by.setdefault(c, []).append(tuple(pair))
+        rows = [
+            (sorted(x.removeprefix("sym:") for x in own), cohesion)
+            for links in by.values() for own, cohesion in prune_component(list({x for a, b, _ in links for x in (a, b)}), links, limit) if len(own) > 1
+        ]
         return pa.table({
             "id": pa.array(["c-" + hashlib.sha256("\n".join(m).encode()).hexdigest()[:8] for m, _ in rows], pa.string()), "label": pa.array([_majority_dir(m) for m, _ in rows], pa.string()),
             "members": pa.array([m for m, _ in rows], pa.list_(pa.string())), "member_count": pa.array([len(m) for m, _ in rows], pa.int32()), "cohesion": pa.array([round4(c) for _, c in rows], pa.float64()),
         })
 
-    return grouped.select("comp", "a", "b", "weight").groupBy("comp").applyInArrow(split, "id string, label string, members array<string>, member_count int, cohesion double")
+    grouped = grouped.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).select("bucket", "comp", "a", "b", "weight")
+    return grouped.groupBy("bucket").applyInArrow(split, "id string, label string, members array<string>, member_count int, cohesion double")
 
 
 def membership(groups: DataFrame) -> DataFrame:

@@ -49,23 +49,23 @@ def commit_log(spark: SparkSession, d: str) -> DataFrame:
 
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
     """A line of an order calls the next line: parts are symbols, the brand is their file."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").where("l_orderkey % 50 = 0")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     pairs = lines.select(F.col("l_partkey").alias("a"), nxt.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
     return pairs
 
 
 EDGES_SQL = """
-WITH nx AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH nx AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
 e AS (SELECT DISTINCT a, b FROM nx WHERE b IS NOT NULL AND a <> b),
-pt AS (SELECT p_partkey AS k, replace(p_brand, '#', '') || '/' || p_name || '#' || p_partkey AS q, replace(p_brand, '#', '') AS brand, p_name AS nm FROM part),
+pt AS (SELECT p_partkey AS k, replace(p_brand, '#', '') || '/' || p_name || '#' || p_partkey AS q, replace(p_brand, '#', '') AS brand, p_name AS nm, p_size AS sz FROM part),
 g AS (SELECT x.q AS src, y.q AS dst, x.brand AS sb, y.brand AS db FROM e JOIN pt x ON e.a = x.k JOIN pt y ON e.b = y.k)
 """
 
 
 def part_names(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("")))
-    return p.select(F.col("p_partkey").alias("k"), F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("q"), F.col("p_brand").alias("brand"), F.col("p_name").alias("nm"))
+    return p.select(F.col("p_partkey").alias("k"), F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("q"), F.col("p_brand").alias("brand"), F.col("p_name").alias("nm"), F.col("p_size").alias("sz"))
 
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def part_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return part_names(spark, d).select(P.file_of("q").alias("path"), F.col("nm").alias("name"), F.col("q").alias("qualified_name"), (F.col("k") % 2 == 0).alias("exported"), (F.col("k") % 7 == 0).alias("is_test"), F.when(F.col("k") % 5 == 0, "interface").otherwise("function").alias("kind"))
+    return part_names(spark, d).select(P.file_of("q").alias("path"), F.col("nm").alias("name"), F.col("q").alias("qualified_name"), (F.col("sz") > 20).alias("exported"), (F.col("sz") > 45).alias("is_test"), F.when(F.col("sz") < 25, "interface").otherwise("function").alias("kind"))
 
 
 # ---- history -----------------------------------------------------------------------------------
@@ -114,8 +114,8 @@ def in_degree_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(EDGES_SQL + """
-SELECT dst AS qualified_name, CAST(count(*) AS BIGINT) AS score FROM g GROUP BY 1
-HAVING bool_or(split_part(src, '#', 1) <> split_part(dst, '#', 1)) OR CAST(split_part(dst, '#', 2) AS BIGINT) % 2 = 0""")
+SELECT dst AS qualified_name, CAST(count(*) AS BIGINT) AS score FROM g JOIN pt ON q = dst GROUP BY 1
+HAVING bool_or(split_part(src, '#', 1) <> split_part(dst, '#', 1)) OR max(sz) > 20""")
 def god_symbols(spark: SparkSession, d: str) -> DataFrame:
     return G.god_symbols(call_edges(spark, d), part_symbols(spark, d))
 
@@ -133,9 +133,12 @@ def dir_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(EDGES_SQL + """
 SELECT q AS qualified_name, CAST(0.6 AS DOUBLE) AS confidence FROM pt
-WHERE k % 2 = 0 AND k % 7 <> 0 AND k % 5 <> 0 AND q NOT IN (SELECT dst FROM g) AND (SELECT count(*) FROM g) > 0 ORDER BY q LIMIT 50""")
+WHERE sz BETWEEN 25 AND 45 AND k NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.09) AND (SELECT count(*) FROM lineitem) > 0 ORDER BY q LIMIT 50""")
 def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return G.dead_code(call_edges(spark, d), part_symbols(spark, d))
+    """Parts that no large and much discounted line calls; the 50 first by name."""
+    lines = table(spark, d, "lineitem").where("l_quantity >= 45 AND l_discount >= 0.09").select(F.col("l_partkey").alias("k"))
+    calls = lines.join(part_names(spark, d), "k").select(F.lit("CALLS").alias("kind"), F.lit("file:orders").alias("src"), E.sym_id(F.col("q")).alias("dst"))
+    return G.dead_code(calls, part_symbols(spark, d))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -180,24 +183,25 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT DISTINCT user_id FROM events WHERE value > (SELECT max(value) FROM events) * 0.5)
-SELECT DISTINCT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM h) AND user_id % 3 = 0""")
+SELECT DISTINCT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM h) AND user_id IN (SELECT user_id FROM events WHERE event_type = (SELECT max(event_type) FROM events))""")
 def whole_scope_fallback(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
-    high = ev.agg((F.max("value") * 0.5).alias("_m"))
-    touched = ev.crossJoin(F.broadcast(high)).where("value > _m").select("user_id").distinct()
-    whole = ev.where("user_id % 3 = 0").select("user_id").distinct().join(touched, "user_id", "left_anti")
+    top = ev.agg((F.max("value") * 0.5).alias("_m"), F.max("event_type").alias("_t"))
+    ranked = ev.crossJoin(F.broadcast(top))  # one row
+    touched = ranked.where("value > _m").select("user_id").distinct()
+    whole = ranked.where("event_type = _t").select("user_id").distinct().join(touched, "user_id", "left_anti")
     return ev.join(whole, "user_id", "left_semi").select("user_id", "event_id").distinct()
 
 
 @query("""
 WITH c AS (SELECT s_suppkey, 0 AS pos, 'N' || s_nationkey AS path FROM supplier UNION ALL SELECT s_suppkey, 1, 'R' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, 2, 'W' FROM supplier),
-k AS (SELECT 'N' || n_nationkey AS path FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'R' || r_regionkey FROM region WHERE r_regionkey % 2 = 0)
+k AS (SELECT 'N' || n_nationkey AS path FROM nation WHERE n_nationkey <= 10 UNION ALL SELECT 'R' || r_regionkey FROM region WHERE r_regionkey >= 2)
 SELECT s_suppkey, arg_min(path, pos) AS target FROM c JOIN k USING (path) GROUP BY 1""")
 def priority_resolve(spark: SparkSession, d: str) -> DataFrame:
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     asked = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     asked = asked.select("s_suppkey", F.array(F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("R"), "n_regionkey"), F.lit("W")).alias("c"))
-    known = nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("N"), "n_nationkey").alias("path")).union(region.where("r_regionkey % 2 = 0").select(F.concat(F.lit("R"), "r_regionkey")))
+    known = nation.where("n_nationkey <= 10").select(F.concat(F.lit("N"), "n_nationkey").alias("path")).union(region.where("r_regionkey >= 2").select(F.concat(F.lit("R"), "r_regionkey")))
     return E.resolve_first(asked, ["s_suppkey"], "c", known)
 
 
@@ -214,30 +218,41 @@ def two_tier_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(EDGES_SQL + """, ed AS (SELECT 'sym:' || src AS s, 'sym:' || dst AS t, 0.5 AS w FROM g UNION ALL SELECT DISTINCT 'file:' || split_part(src, '#', 1), 'file:' || split_part(dst, '#', 1), 0.4 FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),
-seed AS (SELECT 'sym:' || q AS id FROM pt WHERE k % 100 = 0 UNION SELECT 'file:' || split_part(q, '#', 1) FROM pt WHERE k % 100 = 1),
+seed AS (SELECT 'sym:' || q AS id FROM pt WHERE sz = 50 UNION SELECT 'file:' || split_part(q, '#', 1) FROM pt WHERE sz = 1),
 l1 AS (SELECT s AS id, max(w) AS score FROM ed JOIN seed ON t = seed.id WHERE s NOT IN (SELECT id FROM seed) GROUP BY 1),
 l2 AS (SELECT s AS id, max(score * w) AS score FROM ed JOIN l1 ON t = l1.id WHERE s NOT IN (SELECT id FROM seed) AND s NOT IN (SELECT id FROM l1) GROUP BY 1),
 l3 AS (SELECT s AS id, max(score * w) AS score FROM ed JOIN l2 ON t = l2.id WHERE s NOT IN (SELECT id FROM seed) AND s NOT IN (SELECT id FROM l1) AND s NOT IN (SELECT id FROM l2) GROUP BY 1)
 SELECT id, CAST(d AS INT) AS depth, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, 1 AS d FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE score >= 0.05""")
 def impact_depth3(spark: SparkSession, d: str) -> DataFrame:
     n = part_names(spark, d)
-    seeds = n.where("k % 100 = 0").select(E.sym_id(F.col("q")).alias("id")).union(n.where("k % 100 = 1").select(E.file_id(P.file_of("q"))))
+    seeds = n.where("sz = 50").select(E.sym_id(F.col("q")).alias("id")).union(n.where("sz = 1").select(E.file_id(P.file_of("q"))))
     return G.impact(call_edges(spark, d), seeds).select("id", "depth", F.round("score", 6).alias("score"))
 
 
-COMP_SQL = EDGES_SQL.replace("WITH nx", "WITH RECURSIVE nx") + """, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), reach(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM reach r JOIN u ON r.y = u.x), cc AS (SELECT x AS node, min(y) AS comp FROM reach GROUP BY 1) """
+def order_links(spark: SparkSession, d: str, days: int) -> DataFrame:
+    """Orders of a customer that follow each other within so many days: a and b of each pair."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    nxt = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.datediff(F.lead("o_orderdate").over(w), "o_orderdate").alias("gap"))
+    return nxt.where(F.col("b").isNotNull() & (F.col("gap") <= days))
 
 
-@query(COMP_SQL + "SELECT node, comp FROM cc")
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS gap, row_number() OVER w AS i FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+r AS (SELECT *, sum(CASE WHEN gap <= 90 THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY i) AS run FROM o)
+SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey, run) AS comp FROM r QUALIFY count(*) OVER (PARTITION BY o_custkey, run) > 1""")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(part_edges(spark, d))
+    """Runs of orders of one customer with gaps of at most 90 days."""
+    return G.components(order_links(spark, d, 90))
 
 
 @query()
 def communities_pruned(spark: SparkSession, d: str) -> DataFrame:
-    e = call_edges(spark, d)
-    ends = e.where("kind = 'CALLS'").select(F.col("src").alias("id")).union(e.where("kind = 'CALLS'").select("dst")).distinct()
-    return G.communities(e, ends.withColumn("kind", F.lit("symbol")))
+    """An order calls the customer's next one within 400 days; the customer is the file."""
+    name = lambda c: F.concat(F.lit("sym:c"), F.col("o_custkey"), F.lit("#"), F.col(c))
+    calls = order_links(spark, d, 400).select(F.lit("CALLS").alias("kind"), name("a").alias("src"), name("b").alias("dst"))
+    orders = table(spark, d, "orders").select(name("o_orderkey").alias("id"), F.lit("symbol").alias("kind"))
+    return G.communities(calls, orders)
 
 
 @query()
@@ -249,15 +264,15 @@ def bfs_tour(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(order, 1)], "step int, node_id string")
 
 
-@query(COMP_SQL + """, deg AS (SELECT dst, count(*) AS n FROM g GROUP BY 1), hub AS (SELECT dst AS m FROM deg ORDER BY n DESC, dst LIMIT 5),
-x AS (SELECT g.src, g.dst, a.k % 3 AS ca, b.k % 3 AS cb, sb, db, (g.src IN (SELECT m FROM hub)) AS ha, (g.dst IN (SELECT m FROM hub)) AS hb FROM g JOIN pt a ON a.q = g.src JOIN pt b ON b.q = g.dst),
+@query(EDGES_SQL + """, deg AS (SELECT dst, count(*) AS n FROM g GROUP BY 1), hub AS (SELECT dst AS m FROM deg ORDER BY n DESC, dst LIMIT 5),
+x AS (SELECT g.src, g.dst, a.sz // 17 AS ca, b.sz // 17 AS cb, sb, db, (g.src IN (SELECT m FROM hub)) AS ha, (g.dst IN (SELECT m FROM hub)) AS hb FROM g JOIN pt a ON a.q = g.src JOIN pt b ON b.q = g.dst),
 s AS (SELECT src, dst, CASE WHEN ca <> cb THEN 3 ELSE 0 END + CASE WHEN sb <> db THEN 2 ELSE 0 END + CASE WHEN ha <> hb THEN 2 ELSE 0 END AS score,
   concat_ws(',', CASE WHEN ca <> cb THEN 'cross-community' END, CASE WHEN sb <> db THEN 'cross-language' END, CASE WHEN ha <> hb THEN 'hub-periphery' END) AS reasons FROM x)
 SELECT src, dst, CAST(score AS INT) AS score, reasons FROM s WHERE score > 0 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def surprise_edges(spark: SparkSession, d: str) -> DataFrame:
     e, n = call_edges(spark, d), part_names(spark, d)
     hubs = G.in_degree(e).select(G.bare("dst").alias("member"), "n").orderBy(F.desc("n"), "member").limit(5).select("member")
-    found = G.surprises(e, n.select(F.col("q").alias("member"), (F.col("k") % 3).alias("community")), hubs, n.select(F.col("q").alias("member"), F.col("brand").alias("language")))
+    found = G.surprises(e, n.select(F.col("q").alias("member"), F.floor(F.col("sz") / 17).alias("community")), hubs, n.select(F.col("q").alias("member"), F.col("brand").alias("language")))
     return found.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
@@ -289,7 +304,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, p_partkey AS id, CAST(p_size AS BIGINT) * 10 AS size, p_partkey % 3 = 0 AS clip FROM part QUALIFY o <= 200),
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, p_partkey AS id, CAST(p_size AS BIGINT) * 10 AS size, p_size > 30 AS clip FROM part QUALIFY o <= 200),
 f(o, id, size, used, rest) AS (
   SELECT 0, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 9000::BIGINT UNION ALL
   SELECT c.o, c.id, c.size, CASE WHEN clip THEN least(c.size, greatest(rest, 0)) WHEN c.size <= rest THEN c.size ELSE 0 END,
@@ -298,7 +313,7 @@ SELECT CAST(o - 1 AS INT) AS ord, CAST(id AS VARCHAR) AS id, size, used, used >
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     """The 200 dearest parts as candidates (a top-k list) under a budget of 9,000."""
     top = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
-    items = top.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size").cast("long") * 10).alias("size"), (F.col("p_partkey") % 3 == 0).alias("clipable"), (-F.col("p_retailprice")).alias("k"), "p_partkey")
+    items = top.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size").cast("long") * 10).alias("size"), (F.col("p_size") > 30).alias("clipable"), (-F.col("p_retailprice")).alias("k"), "p_partkey")
     return rank.greedy_pack(items, 9000, ["k", "p_partkey"])
 
 
@@ -308,14 +323,14 @@ def outline_topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(EDGES_SQL + """, ch AS (SELECT split_part(q, '#', 1) AS path, sum(CAST(l_quantity AS BIGINT) + l_linenumber) AS c FROM lineitem JOIN pt ON k = l_partkey GROUP BY 1),
-fan AS (SELECT dst, count(*) AS n, bool_or(sb <> db) AS far FROM g GROUP BY 1), tst AS (SELECT DISTINCT split_part(q, '#', 1) AS path FROM pt WHERE k % 4 = 0),
+fan AS (SELECT dst, count(*) AS n, bool_or(sb <> db) AS far FROM g GROUP BY 1), tst AS (SELECT DISTINCT split_part(q, '#', 1) AS path FROM pt WHERE sz <= 12),
 m AS (SELECT max(c) AS mc FROM ch), md AS (SELECT max(n) AS mn FROM fan)
 SELECT q AS qualified_name, CAST(round(CASE WHEN tst.path IS NULL THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(lower(nm), 'auth|token|secret|password|crypto|credential|session|permission') THEN 0.2 ELSE 0 END::DOUBLE
   + least(0.15::DOUBLE, coalesce(c, 0) / mc::DOUBLE * 0.15::DOUBLE) + CASE WHEN far THEN 0.15 ELSE 0 END::DOUBLE + least(0.1::DOUBLE, coalesce(n, 0) / mn::DOUBLE * 0.1::DOUBLE), 4) AS DOUBLE) AS total_risk
 FROM pt CROSS JOIN m CROSS JOIN md LEFT JOIN tst ON tst.path = split_part(q, '#', 1) LEFT JOIN ch ON ch.path = split_part(q, '#', 1) LEFT JOIN fan ON fan.dst = q""")
 def risk_rubric(spark: SparkSession, d: str) -> DataFrame:
     n, calls = part_names(spark, d), call_edges(spark, d)
-    tests = n.where("k % 4 = 0").select(F.lit("TESTED_BY").alias("kind"), F.lit("file:t").alias("src"), E.file_id(P.file_of("q")).alias("dst"), F.lit(0.8).alias("confidence"), F.lit("inferred").alias("tier")).distinct()
+    tests = n.where("sz <= 12").select(F.lit("TESTED_BY").alias("kind"), F.lit("file:t").alias("src"), E.file_id(P.file_of("q")).alias("dst"), F.lit(0.8).alias("confidence"), F.lit("inferred").alias("tier")).distinct()
     churn = commit_log(spark, d).join(n, F.col("path") == F.col("k")).select("commit_no", "added", "deleted", P.file_of("q").alias("path"))
     churn = history.churn(churn)
     most = churn.agg(F.max("churn")).first()[0] or 0
@@ -382,11 +397,11 @@ def line_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000), b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000), b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F')
 SELECT 'gone' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'new', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def set_verify(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    a, b = o.where("o_totalprice > 1000").select("o_orderkey", "o_orderstatus"), o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus")
+    a, b = o.where("o_totalprice > 1000").select("o_orderkey", "o_orderstatus"), o.where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus")
     return a.exceptAll(b).select(F.lit("gone").alias("side"), "*").union(b.exceptAll(a).select(F.lit("new").alias("side"), "*"))
 
 
