@@ -78,6 +78,28 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL = {
+    "op1_spaced_seed_decontamination": r"""
+WITH d AS (SELECT doc_id, lower(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')::VARCHAR)::VARCHAR[] AS w FROM documents),
+i AS (SELECT item_id, lower(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')::VARCHAR)::VARCHAR[] AS t FROM benchmark),
+m(k, o) AS (VALUES (1, [0, 1, 2, 4, 7, 8]), (2, [0, 1, 4, 5, 6, 8]), (3, [0, 2, 3, 4, 6, 7])),
+dw AS (SELECT doc_id, w, unnest(range(1, len(w) - 7)) AS p FROM d WHERE len(w) >= 9),
+ds AS (SELECT doc_id, p, k, list_transform(o, lambda q: w[p + q]) AS s FROM dw, m),
+iw AS (SELECT item_id, t, unnest(range(1, len(t) - 7)) AS p FROM i WHERE len(t) >= 9),
+sd AS (SELECT item_id, p, k, list_transform(o, lambda q: t[p + q]) AS s FROM iw, m),
+h AS (SELECT DISTINCT doc_id, item_id, ds.p - sd.p AS g FROM ds JOIN sd USING (k, s)),
+e AS (SELECT doc_id, item_id, g, len(t) AS n, list_transform(range(greatest(1, 1 - g), least(len(t), len(w) - g) + 1), lambda j: CASE WHEN t[j] = w[j + g] THEN 1 ELSE -3 END) AS v FROM h JOIN i USING (item_id) JOIN d USING (doc_id)),
+f AS (SELECT doc_id, item_id, g, n, len(list_filter(v, lambda x: x = 1)) AS matched, list_max(list_transform(range(1, len(v) + 1), lambda b: list_max(list_transform(range(1, b + 1), lambda a: list_sum(v[a:b]))))) AS run FROM e),
+best AS (SELECT doc_id, item_id, n, max({'m': matched, 'r': greatest(run, 0), 'd': -g}) AS x FROM f WHERE matched * 10 >= n * 7 OR run >= 12 GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, CAST(n AS INT) AS item_tokens, CAST(x.m AS INT) AS matched, CAST(x.r AS INT) AS run, CAST(-x.d AS BIGINT) AS doc_start FROM best""",
+    "op7_bbit_minhash_neardup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM n),
+r(x, y) AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
+SELECT doc_id, n AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept FROM n JOIN r ON x = doc_id GROUP BY 1, 2""",
     "op4_hierarchical_mixture": mixing.ORACLE_SQL,
     "op9_url_prefix_filter": r"""
 WITH p AS (
