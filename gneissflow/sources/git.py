@@ -26,11 +26,18 @@ HISTORY = 2000
 HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
 
 
+GIT = ["git", "-c", "core.quotepath=off", "-c", "core.fsmonitor=false"]
+
+
+def neutral_env() -> dict[str, str]:
+    """The environment without Git's own variables, system or user configuration."""
+    env = {k: v for k, v in os.environ.items() if not k.upper().startswith("GIT_")}
+    return env | {"GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_TERMINAL_PROMPT": "0", "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}
+
+
 def git(root: str, *args: str, check: bool = True) -> bytes | None:
     """Output of a Git command in a neutral environment; None if it fails and ``check`` is off."""
-    env = {k: v for k, v in os.environ.items() if not k.upper().startswith("GIT_")}
-    env |= {"GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_TERMINAL_PROMPT": "0", "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}
-    done = subprocess.run(["git", "-c", "core.quotepath=off", "-c", "core.fsmonitor=false", *args], cwd=root, env=env, capture_output=True, check=False)
+    done = subprocess.run([*GIT, *args], cwd=root, env=neutral_env(), capture_output=True, check=False)
     if done.returncode:
         if check:
             raise EngineError("WORKSPACE_INVALID", f"git {args[0]} failed: {done.stderr.decode(errors='replace').strip()[:300]}")
@@ -207,7 +214,7 @@ class Blobs:
 
     def __init__(self, root: str, commit: str, most: int = MAX_BYTES):
         self.commit, self.most = commit, most
-        self.run = subprocess.Popen(["git", "cat-file", "--batch"], cwd=root, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        self.run = subprocess.Popen([*GIT, "cat-file", "--batch"], cwd=root, env=neutral_env(), stdin=subprocess.PIPE, stdout=subprocess.PIPE)
 
     def read(self, path: str) -> tuple[bytes | None, str | None]:
         if "\n" in path:
