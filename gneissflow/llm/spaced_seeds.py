@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed looks at ``WEIGHT`` of the ``SPAN`` tokens of a window, as a fixed mask says, so a changed
-token under a hole of the mask does not hide a hit.  The hashes of all windows of the test items
+A seed looks at five tokens of a window, as a fixed mask says, so a changed token under a hole of the
+mask does not hide a hit.  The masks are lossless: every way to match ``MIN_SHARE`` of 9 to 17 tokens
+holds one of them whole.  A longer item falls into parts of 9 to 17 tokens, one of which matches to
+that share, and so does a stretch that scores ``MIN_RUN``; none of them is missed.  The hashes of all windows of the test items
 fill a Bloom filter of fixed size, whatever the items' number; one Arrow pass over the training
 texts keeps the windows that pass it, an equi-join on the hash settles which are real, and every
 (document, item, diagonal) with a hit is compared token by token.
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 from .textcore import PUNCT, mix, word_hashes
 
-MASKS = ("111010011", "110011101", "101110110")
-WEIGHT, SPAN = 6, 9
+MASKS = ("111011", "11001011", "101111", "111100001", "1100001011", "1001010101", "1000100111", "1010001101", "110111")
+SPAN = 9  # fewest tokens of an item with seeds
 BLOOM_BITS = 26  # 8 MiB
 BLOOM_HASHES = 4
 MIN_SHARE = (7, 10)  # matched tokens of the item
@@ -29,8 +31,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
-    """One hash for each window of ``SPAN`` tokens."""
-    n = len(tokens) - SPAN + 1
+    """One hash for each window as long as the mask."""
+    n = len(tokens) - len(MASKS[mask]) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.full(n, np.uint64(mask + 1), np.uint64)
@@ -41,16 +43,18 @@ def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First column as it is; tokens; mask, position and hash of every window."""
+    """First column as it is; tokens; hash and position of every window of every mask."""
     for batch in batches:
         for i, h, offs in word_hashes(batch.column(1), PUNCT, True):
-            toks, seeds = [], []
+            toks, seeds, at = [], [], []
             for r in range(len(offs) - 1):
                 t = h[offs[r] : offs[r + 1]]
                 toks.append(t.view(np.int64))
-                seeds.append(np.concatenate([seed_hashes(t, m) for m in range(len(MASKS))]).view(np.int64))
+                own = [seed_hashes(t, m) for m in range(len(MASKS))] if len(t) >= SPAN else [np.zeros(0, np.uint64)]
+                seeds.append(np.concatenate(own).view(np.int64))
+                at.append(np.concatenate([np.arange(len(s)) for s in own]))
             n = len(toks)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(toks, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "tokens", "seeds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *(pa.array(x, pa.list_(pa.int64())) for x in (toks, seeds, at))], names=["item_id", "tokens", "seeds", "at"])
 
 
 def _slots(h: np.ndarray) -> Iterator[np.ndarray]:
@@ -94,16 +98,17 @@ def _scanner(bloom):
         for batch in batches:
             for i, h, offs in word_hashes(batch.column(2), PUNCT, True):
                 # all windows of the run at once; those over a border of texts are dropped below
-                pos, val = [], []
+                pos, val, row = [], [], []
                 for m in range(len(MASKS)):
                     s = seed_hashes(h, m)
                     at = _passes(bits, s)
+                    own = np.searchsorted(offs, at, "right") - 1
+                    fits = at + len(MASKS[m]) <= offs[own + 1]
+                    at = at[fits]
                     pos.append(at)
                     val.append(s[at])
-                pos, val = np.concatenate(pos), np.concatenate(val)
-                row = np.searchsorted(offs, pos, "right") - 1
-                fits = pos + SPAN <= offs[row + 1] if len(pos) else np.zeros(0, bool)
-                pos, val, row = pos[fits], val[fits], row[fits]
+                    row.append(own[fits])
+                pos, val, row = np.concatenate(pos), np.concatenate(val), np.concatenate(row)
                 for r in np.unique(row):
                     own = row == r
                     cols = [batch.column(0).slice(i + r, 1), batch.column(1).slice(i + r, 1)]
@@ -126,9 +131,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = materialize(items.mapInArrow(_token_rows, "item_id long, tokens array<long>, seeds array<long>").where(F.size("seeds") > 0).withColumn("cls", F.sha2(F.array_join("tokens", ",").cast("binary"), 256)), "items")
-    classes = materialize(items.groupBy("cls").agg(F.first("tokens").alias("item"), F.first("seeds").alias("seeds")), "item_classes")
-    seeds = classes.select("cls", F.size("item").alias("n"), F.posexplode("seeds").alias("i", "seed")).select("cls", "seed", (F.col("i") % (F.col("n") - SPAN + 1)).alias("item_at"))
+    items = materialize(items.mapInArrow(_token_rows, "item_id long, tokens array<long>, seeds array<long>, at array<long>").where(F.size("seeds") > 0).withColumn("cls", F.sha2(F.array_join("tokens", ",").cast("binary"), 256)), "items")
+    classes = materialize(items.groupBy("cls").agg(F.first("tokens").alias("item"), F.first("seeds").alias("seeds"), F.first("at").alias("at")), "item_classes")
+    seeds = classes.select("cls", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("cls", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at"))
     seeds = materialize(seeds, "seeds")
     bloom = spark.sparkContext.broadcast(bloom_of(seeds.select("seed").distinct()))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
@@ -165,7 +170,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
-    """(doc_id, item_id) over all pairs and diagonals that hold one masked hit, for tests."""
+    """(doc_id, item_id) over all pairs and all diagonals, for tests."""
     import re
 
     def toks(t):
@@ -174,16 +179,14 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
     out = set()
     for item, text in items:
         w = toks(text)
-        for doc, t in docs:
+        for doc, t in docs if len(w) >= SPAN else ():
             d = toks(t)
             for diag in range(-len(w) + 1, len(d)):
                 same = [i + diag >= 0 and i + diag < len(d) and d[i + diag] == w[i] for i in range(len(w))]
-                hit = any(all(same[i + q] for q, c in enumerate(mask) if c == "1") for mask in MASKS for i in range(max(0, -diag), min(len(w), len(d) - diag) - SPAN + 1))
-                if hit:
-                    run = best = 0
-                    for s in same:
-                        run = max(0, run + (1 if s else -MISS))
-                        best = max(best, run)
-                    if sum(same) * MIN_SHARE[1] >= len(w) * MIN_SHARE[0] or best >= MIN_RUN:
-                        out.add((doc, item))
+                run = best = 0
+                for s in same:
+                    run = max(0, run + (1 if s else -MISS))
+                    best = max(best, run)
+                if sum(same) * MIN_SHARE[1] >= len(w) * MIN_SHARE[0] or best >= MIN_RUN:
+                    out.add((doc, item))
     return out

@@ -1,5 +1,6 @@
 """Each training-data operator against a plain version, on the small tables and on odd inputs."""
 
+import itertools
 import re
 import zlib
 
@@ -65,6 +66,28 @@ def test_spaced_seeds_against_all_pairs(spark, sf):
     assert {base + n for n in range(12)} <= {d for d, _ in got}
 
 
+def test_masks_hit_every_admitted_pattern():
+    for n in range(ss.SPAN, 2 * ss.SPAN):
+        k = n - -(-n * ss.MIN_SHARE[0] // ss.MIN_SHARE[1])
+        places = [sum(1 << (i + q) for q, c in enumerate(m) if c == "1") for m in ss.MASKS for i in range(n - len(m) + 1)]
+        lost = [sum(1 << i for i in c) for c in itertools.combinations(range(n), k)]
+        assert all(any(x & p == 0 for p in places) for x in lost), n
+
+
+def test_spaced_seeds_find_changed_short_items(spark):
+    rng = np.random.default_rng(1)
+    items, rows = [], []
+    for n in range(9, 27):
+        w = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(w)))
+        for v in range(12):
+            lost = set(rng.choice(n, n * 3 // 10 + (v == 0), replace=False).tolist())
+            rows.append((n * 100 + v, "before it " + " ".join("zz" if j in lost else x for j, x in enumerate(w)) + " after it"))
+    got = {(r.doc_id, r.item_id) for r in ss.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = ss.brute_force(rows, items)
+    assert got == want and {(n * 100 + v, n) for n in range(9, 27) for v in range(1, 12)} <= want
+
+
 def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or 0) for r in ss.overlaps(odd_docs, bench).collect())
