@@ -3,7 +3,8 @@
 A seed looks at five tokens of a window, as a fixed mask says, so a changed token under a hole of the
 mask does not hide a hit.  The masks are lossless: every way to match ``MIN_SHARE`` of 9 to 17 tokens
 holds one of them whole.  A longer item falls into parts of 9 to 17 tokens, one of which matches to
-that share, and so does a stretch that scores ``MIN_RUN``; none of them is missed.  The hashes of all windows of the test items
+that share, and so does a stretch that scores ``MIN_RUN``; none of them is missed.  An item of fewer
+tokens has one seed, of all its tokens, and must match wholly.  The hashes of all windows of the test items
 fill a Bloom filter of fixed size, whatever the items' number; one Arrow pass over the training
 texts keeps the windows that pass it, an equi-join on the hash settles which are real, and every
 (document, item, diagonal) with a hit is compared token by token.
@@ -22,7 +23,8 @@ from ..scratch import materialize
 from .textcore import PUNCT, mix, word_hashes
 
 MASKS = ("111011", "11001011", "101111", "111100001", "1100001011", "1001010101", "1000100111", "1010001101", "110111")
-SPAN = 9  # fewest tokens of an item with seeds
+SPAN = 9  # fewest tokens of an item that may differ
+WHOLE = tuple("1" * n for n in range(1, SPAN))  # masks of the shorter items, by length
 BLOOM_BITS = 26  # 8 MiB
 BLOOM_HASHES = 4
 MIN_SHARE = (7, 10)  # matched tokens of the item
@@ -30,13 +32,19 @@ MIN_RUN, MISS = 12, 3  # or a stretch scoring so much, a match 1 and a mismatch
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def masks_of(n: int) -> list[int]:
+    """Numbers of the masks, in ``MASKS + WHOLE``, that an item of ``n`` tokens is looked for by."""
+    return list(range(len(MASKS))) if n >= SPAN else [len(MASKS) + n - 1][: max(0, n)]
+
+
 def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
     """One hash for each window as long as the mask."""
-    n = len(tokens) - len(MASKS[mask]) + 1
+    bits = (MASKS + WHOLE)[mask]
+    n = len(tokens) - len(bits) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.full(n, np.uint64(mask + 1), np.uint64)
-    for q in (i for i, c in enumerate(MASKS[mask]) if c == "1"):
+    for q in (i for i, c in enumerate(bits) if c == "1"):
         h = h * _P + tokens[q : q + n]
         h ^= h >> np.uint64(29)
     return mix(h)
@@ -50,7 +58,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(len(offs) - 1):
                 t = h[offs[r] : offs[r + 1]]
                 toks.append(t.view(np.int64))
-                own = [seed_hashes(t, m) for m in range(len(MASKS))] if len(t) >= SPAN else [np.zeros(0, np.uint64)]
+                own = [seed_hashes(t, m) for m in masks_of(len(t))] or [np.zeros(0, np.uint64)]
                 seeds.append(np.concatenate(own).view(np.int64))
                 at.append(np.concatenate([np.arange(len(s)) for s in own]))
             n = len(toks)
@@ -92,22 +100,25 @@ def _passes(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     return at
 
 
-def _scanner(bloom):
+def _scanner(bloom, masks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for batch in batches:
             for i, h, offs in word_hashes(batch.column(2), PUNCT, True):
                 # all windows of the run at once; those over a border of texts are dropped below
-                pos, val, row = [], [], []
-                for m in range(len(MASKS)):
+                pos, val, row = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for m in masks:
                     s = seed_hashes(h, m)
                     at = _passes(bits, s)
                     own = np.searchsorted(offs, at, "right") - 1
-                    fits = at + len(MASKS[m]) <= offs[own + 1]
-                    at = at[fits]
+                    fits = at + len((MASKS + WHOLE)[m]) <= offs[own + 1]
+                    at, own = at[fits], own[fits]
+                    if m >= len(MASKS) and len(at):  # whole items are alike everywhere: the first place in a text is the best
+                        first = np.unique(np.stack([own, s[at].view(np.int64)]), axis=1, return_index=True)[1]
+                        at, own = at[first], own[first]
                     pos.append(at)
                     val.append(s[at])
-                    row.append(own[fits])
+                    row.append(own)
                 pos, val, row = np.concatenate(pos), np.concatenate(val), np.concatenate(row)
                 for r in np.unique(row):
                     own = row == r
@@ -126,7 +137,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of its best stretch), doc_start (token of the document under the item's first token; negative if
     the item begins before the text).  Tokens are runs of letters, digits and non-ASCII bytes, lower-
     cased.  A hit counts if ``MIN_SHARE`` of the item's tokens match, or a stretch scores ``MIN_RUN``.
-    Items of fewer than ``SPAN`` tokens, and null or empty texts, hold no window and give no rows.
+    Items of fewer than ``SPAN`` tokens count if all tokens match, at their first place in the text.
+    Texts without a token give no rows.
     Items with the same tokens are compared once and all reported.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -136,8 +148,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = classes.select("cls", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("cls", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at"))
     seeds = materialize(seeds, "seeds")
     bloom = spark.sparkContext.broadcast(bloom_of(seeds.select("seed").distinct()))
+    sizes = classes.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().toArrow()["n"].to_pylist()  # SPAN rows at most
+    masks = sorted({m for n in sizes for m in masks_of(n)})
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    passed = src.mapInArrow(_scanner(bloom), "doc_id long, text_hash long, tokens array<long>, hits array<long>, at array<long>")
+    passed = src.mapInArrow(_scanner(bloom, masks), "doc_id long, text_hash long, tokens array<long>, hits array<long>, at array<long>")
     passed = materialize(passed, "passed")
     hits = passed.select("doc_id", "text_hash", F.explode(F.arrays_zip("hits", "at")).alias("h")).select("doc_id", "text_hash", F.col("h.hits").alias("seed"), F.col("h.at").alias("at"))
     found = hits.join(seeds.select("seed", "cls", "item_at"), "seed").select("doc_id", "text_hash", "cls", (F.col("at") - F.col("item_at")).alias("diag")).distinct()
@@ -179,7 +193,8 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
     out = set()
     for item, text in items:
         w = toks(text)
-        for doc, t in docs if len(w) >= SPAN else ():
+        least = MIN_SHARE if len(w) >= SPAN else (1, 1)
+        for doc, t in docs if w else ():
             d = toks(t)
             for diag in range(-len(w) + 1, len(d)):
                 same = [i + diag >= 0 and i + diag < len(d) and d[i + diag] == w[i] for i in range(len(w))]
@@ -187,6 +202,6 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                 for s in same:
                     run = max(0, run + (1 if s else -MISS))
                     best = max(best, run)
-                if sum(same) * MIN_SHARE[1] >= len(w) * MIN_SHARE[0] or best >= MIN_RUN:
+                if sum(same) * least[1] >= len(w) * least[0] or best >= MIN_RUN:
                     out.add((doc, item))
     return out

@@ -88,6 +88,16 @@ def test_spaced_seeds_find_changed_short_items(spark):
     assert got == want and {(n * 100 + v, n) for n in range(9, 27) for v in range(1, 12)} <= want
 
 
+def test_spaced_seeds_find_items_of_few_tokens(spark):
+    items = [(n, " ".join(f"I{n}w{j}" for j in range(n))) for n in range(1, 10)] + [(20, "la la"), (21, "?!"), (22, "I3w0 i3w1, i3w2")]
+    rows = [(n, f"so {t.lower()}, and {t} again") for n, t in items[:9]] + [(30, items[4][1].replace("w2", "x")), (31, items[2][1][5:]), (32, "la la la"), (33, items[6][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.item_tokens, r.matched, r.run, r.doc_start) for r in ss.overlaps(docs, bench).collect()}
+    assert got == {(n, n): (n, n, n, 1) for n in range(1, 10)} | {(3, 22): (3, 3, 3, 1), (32, 20): (2, 2, 2, 0), (33, 7): (7, 7, 7, 0)}
+    assert set(got) == ss.brute_force(rows, items)
+    assert {r.doc_id for r in ss.clean(docs, bench).collect()} == {30, 31}
+
+
 def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or 0) for r in ss.overlaps(odd_docs, bench).collect())
