@@ -4,8 +4,8 @@ A seed looks at five tokens of a window, as a fixed mask says, so a changed toke
 mask does not hide a hit.  The masks are lossless: every way to match ``MIN_SHARE`` of 9 to 17 tokens
 holds one of them whole.  A longer item falls into parts of 9 to 17 tokens, one of which matches to
 that share, and so does a stretch that scores ``MIN_RUN``; none of them is missed.  An item of fewer
-tokens has one seed, of all its tokens, and must match wholly.  The hashes of all windows of the test items
-fill a Bloom filter of fixed size, whatever the items' number; one Arrow pass over the training
+tokens has one seed, of all its tokens, and must match wholly.  The hashes of all windows of the test
+items fill a Bloom filter of fixed size, whatever the items' number; one Arrow pass over the training
 texts keeps the windows that pass it, an equi-join on the hash settles which are real, and every
 (document, item, diagonal) with a hit is compared token by token.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -130,6 +130,13 @@ def _scanner(bloom, masks: list[int]):
     return run
 
 
+def alike() -> Column:
+    """Whether each token of ``item`` from its first inside the text on is that of ``tokens`` along ``diag``."""
+    off = F.greatest(F.lit(0), -F.col("diag")).cast("int")
+    tail = F.slice("tokens", (F.greatest(F.lit(0), F.col("diag")) + 1).cast("int"), F.size("item") - off)
+    return F.zip_with(F.slice("item", off + 1, F.size("item")), tail, lambda x, y: F.coalesce(x == y, F.lit(False)))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold a test item: one row for each distinct (doc_id, text) and item.
 
@@ -157,11 +164,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = hits.join(seeds.select("seed", "cls", "item_at"), "seed").select("doc_id", "text_hash", "cls", (F.col("at") - F.col("item_at")).alias("diag")).distinct()
     texts = passed.select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th"), "tokens").dropDuplicates(["__g_id", "__g_th"])
     both = found.join(texts, F.col("doc_id").eqNullSafe(F.col("__g_id")) & (F.col("text_hash") == F.col("__g_th")))
-    off = F.greatest(F.lit(0), -F.col("diag")).cast("int")
-    both = both.select("doc_id", "text_hash", "cls", "diag", off.alias("off"), F.slice("tokens", (F.greatest(F.lit(0), F.col("diag")) + 1).cast("int"), F.lit(1 << 20)).alias("tail"))
     both = both.join(classes.select("cls", "item"), "cls")
-    pairs = F.zip_with(F.slice("item", F.col("off") + 1, F.size("item")), F.slice("tail", F.lit(1), F.size("item") - F.col("off")), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    both = both.select("doc_id", "text_hash", "cls", "diag", F.size("item").alias("item_tokens"), pairs.alias("same"))
+    both = both.select("doc_id", "text_hash", "cls", "diag", F.size("item").alias("item_tokens"), alike().alias("same"))
     matched = F.size(F.filter("same", lambda s: s))
     state = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"))
 

@@ -98,6 +98,13 @@ def test_spaced_seeds_find_items_of_few_tokens(spark):
     assert {r.doc_id for r in ss.clean(docs, bench).collect()} == {30, 31}
 
 
+def test_spaced_seeds_compare_very_long_items_whole(spark):
+    n = (1 << 20) + 40
+    pair = spark.range(1, n + 1).agg(F.sort_array(F.collect_list("id")).alias("item")).withColumn("tokens", F.concat(F.array(F.lit(0), F.lit(-5)), F.slice("item", 2, n)).cast("array<long>"))
+    got = pair.withColumn("diag", F.lit(1)).select(ss.alike().alias("s")).select(F.size("s").alias("n"), F.size(F.filter("s", lambda x: x)).alias("m")).first()
+    assert tuple(got) == (n, n - 1)
+
+
 def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or 0) for r in ss.overlaps(odd_docs, bench).collect())
