@@ -2,7 +2,9 @@
 
 Two first-order models of character pairs, one of random strings and one of ordinary identifiers,
 are counted from labelled samples.  A run of token characters is a secret if the log-likelihood
-ratio of the two models, per pair, passes a threshold.  Spans of the fixed patterns come first and
+ratio of the two models, per pair, passes a threshold.  In a run that does not pass, the stretches
+between two of the characters ``/ _ - =`` (or the run's ends) that pass are secrets, so a name or
+path joined to a random string does not hide it.  Spans of the fixed patterns come first and
 always stay; a model span that touches one of them is left out.
 
 Positions are code points.  They are found without loops over characters: ``split`` at a pattern
@@ -23,7 +25,9 @@ BASE = [
 #: Characters of the models; the last class is any other.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20  # characters of a stretch
 CLASSES = len(ALPHABET) + 1
+JOINTS = ALPHABET.index("/")  # class of the first of / _ - =, the last ones of the alphabet
 LLR_PER_PAIR = 0.7
 SAMPLES = 4000
 #: Words of the ordinary sample (fixed values).
@@ -97,6 +101,41 @@ def llr_per_pair(text: Column, table: Column) -> Column:
     return F.aggregate(_classes(text), state, step, lambda s: s["sum"] / F.nullif(F.length(text) - 1, F.lit(0)))
 
 
+def stretches(text: Column, table: Column, threshold: float) -> Column:
+    """Array of (a, b): the disjoint stretches of ``LEAST`` characters or more, each between joints or
+    ends of ``text``, with the largest sum of the pairs' ratios less ``threshold``; each passes it.
+
+    One fold over the characters.  ``w`` is the sum so far, ``wait`` has the starts nearer than
+    ``LEAST``, ``top`` the best start of the others, ``best`` the best choice that ends before here.
+    """
+    outs = "array<struct<a:int,b:int>>"
+    start = f"struct<v:double,a:int,out:{outs}>"
+    joint = lambda c: F.coalesce(c, F.lit(JOINTS)).between(JOINTS, CLASSES - 2)
+    codes = _classes(text)
+    steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(text)), lambda c, d: F.struct(c.alias("c"), d.alias("d")))
+    state = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("w"), F.array().cast(f"array<{start}>").alias("wait"), F.lit(None).cast(start).alias("top"), F.lit(0.0).alias("total"), F.array().cast(outs).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        w = s["w"] + F.when(s["last"].isNull(), 0.0).otherwise(F.get(table, s["last"] * CLASSES + x["c"]) - threshold)
+        # the sum is needed in several places: bound once by a one-element array
+        return F.element_at(F.transform(F.array(w), lambda w: moved(s, x, w)), 1)
+
+    def moved(s: Column, x: Column, w: Column) -> Column:
+        here = F.struct((s["total"] - w).alias("v"), s["k"].alias("a"), s["out"].alias("out")).cast(start)
+        wait = F.when(joint(s["last"]), F.concat(s["wait"], F.array(here))).otherwise(s["wait"])
+        far = s["k"] - F.get(s["wait"], F.lit(0))["a"] + 1 >= LEAST
+        first = F.get(s["wait"], F.lit(0))
+        top = F.when(far & (s["top"].isNull() | (first["v"] > s["top"]["v"])), first).otherwise(s["top"])
+        wait = F.when(far, F.slice(wait, F.lit(2), F.lit(LEAST))).otherwise(wait)
+        more = joint(x["d"]) & (top["v"] + w > s["total"])
+        pair = F.array(F.struct(top["a"].alias("a"), (s["k"] + 1).alias("b"))).cast(outs)
+        total = F.when(more, top["v"] + w).otherwise(s["total"])
+        out = F.when(more, F.concat(top["out"], pair)).otherwise(s["out"])
+        return F.struct(x["c"].alias("last"), (s["k"] + 1).alias("k"), w.alias("w"), wait.alias("wait"), top.alias("top"), total.alias("total"), out.alias("out"))
+
+    return F.aggregate(steps, state, step, lambda s: s["out"])
+
+
 def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
     """Array of (start, end, kind, match) of the leftmost non-overlapping matches, failing ones dropped."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -119,8 +158,8 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1)
 def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: float = LLR_PER_PAIR, candidate: str = CANDIDATE) -> DataFrame:
     """``docs`` with base_spans and spans: arrays of (start, end, kind, match), in order.
 
-    Kinds: those of ``BASE``, and ``markov`` for runs of ``candidate`` characters that the models
-    call random and that touch no base span.  Null and empty texts have empty arrays.  Rows and
+    Kinds: those of ``BASE``, and ``markov`` for runs of ``candidate`` characters, or else their
+    ``stretches``, that the models call random and that touch no base span.  Null and empty texts have empty arrays.  Rows and
     other columns stay as they are; nothing is shuffled.
     """
     table = train(labelled_samples(docs.sparkSession)) if table is None else table
@@ -137,7 +176,14 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
     base = F.concat(*[F.col(f"__g_s{i}") for i in range(len(BASE))])
     out = out.withColumn("base_spans", F.when(F.size(base) > 0, ordered(base)).otherwise(base)).drop(*[f"__g_s{i}" for i in range(len(BASE))])
     ratio = ratio_table(table)
-    likely = F.filter("__g_m", lambda m: (llr_per_pair(m["match"], ratio) >= threshold) & ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    typed = "array<struct<start:int,end:int,kind:string,match:string>>"
+
+    def passing(m: Column) -> Column:
+        part = lambda p: F.struct((m["start"] + p["a"]).alias("start"), (m["start"] + p["b"]).alias("end"), m["kind"].alias("kind"), F.substring(m["match"], p["a"] + 1, p["b"] - p["a"]).alias("match"))
+        parts = F.when(m["match"].rlike("[/_=-]"), F.transform(stretches(m["match"], ratio, threshold), part)).otherwise(F.array().cast(typed))
+        return F.when(llr_per_pair(m["match"], ratio) >= threshold, F.array(m)).otherwise(parts.cast(typed))
+
+    likely = F.filter(F.flatten(F.transform("__g_m", passing)), lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     out = out.withColumn("__g_x", F.when(F.size("__g_m") > 0, likely).otherwise(F.col("__g_m")))
     return out.withColumn("spans", F.when(F.size("__g_x") > 0, ordered(F.concat("base_spans", "__g_x"))).otherwise(F.col("base_spans"))).drop("__g_m", "__g_x")
 

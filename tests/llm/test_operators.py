@@ -417,6 +417,33 @@ def test_secret_scan_is_native(spark, sf):
     assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in plan
 
 
+def test_random_strings_joined_to_names_and_paths(spark):
+    rng = np.random.default_rng(3)
+    b64 = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    made = lambda n, kinds=62: "".join(rng.choice(b64[:kinds], n))
+    heads = {"AWS_SECRET_ACCESS_KEY=": (40, 64), "DB_CREDENTIAL=": (24, 62), "client_secret_": (24, 62), "sk_live_": (24, 62), "config/database/": (32, 62), "srv/data/customer/config/session/": (32, 62), "": (24, 62)}
+    rows, where = [], {}
+    for h, (n, kinds) in heads.items():
+        for _ in range(60):
+            where[len(rows)] = (h, 4 + len(h), n)
+            rows.append((len(rows), f"see {h}{made(n, kinds)} there"))
+    two = len(rows)
+    rows.append((two, f"x {made(32)}/customer/account/settings/parser/{made(32)} y"))
+    plain = range(two + 1, two + 401)
+    ordinary = [r.text for r in ms._ordinary_samples(spark, 9000).where("id >= 8000 AND length(text) >= 20").limit(400).collect()]
+    rows += zip(plain, ordinary, strict=False)
+    got = {r.doc_id: [(s.start, s.end, s.match) for s in r.spans] for r in ms.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(t[a:b] == m for i, t in rows for a, b, m in got[i])
+    for head in heads:
+        own = [i for i, (h, *_) in where.items() if h == head]
+        # the random part is covered to nine tenths
+        hit = [sum(max(0, min(b, where[i][1] + where[i][2]) - max(a, where[i][1])) for a, b, _ in got[i]) >= 0.9 * where[i][2] for i in own]
+        print(head, sum(hit) / len(hit))
+        assert sum(hit) >= 0.9 * len(hit), head
+    assert [(a, b) for a, b, _ in got[two]] == [(2, 34), (68, 100)]
+    assert sum(bool(got[i]) for i in plain if i in got) <= 8
+
+
 # ---- 9 URLs
 
 
