@@ -166,14 +166,17 @@ def fold_of(col: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> np.ndarray:
     """The model from at most ``rows`` labelled rows and ``size`` bytes of text.
 
-    The sample is the labelled rows outside the held-out fold in the order of a hash of their id;
-    of two labels for one id the larger counts.  Null labels, ids and texts are left out.  One task
+    The sample is the labelled documents outside the held-out fold in the order of a hash of their id;
+    of two labels for one id the larger counts.  Texts over an eighth of ``size`` come after the others,
+    and those over ``size`` are left out, so that a long text shuts out none but long ones.  Null labels, ids and texts are left out.  One task
     trains, so neither texts nor counts come to the driver, only the model (BUCKETS numbers).
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("__g_id"), "quality").where("__g_id IS NOT NULL AND quality IS NOT NULL").where(fold_of("__g_id") != HELD_OUT)
-    marks = marks.groupBy("__g_id").agg(F.max("quality").cast("int").alias("_y")).withColumn("_o", F.xxhash64("__g_id", F.lit(3))).orderBy("_o", "__g_id").limit(rows)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(marks), F.col("doc_id") == F.col("__g_id"))
-    got = got.dropDuplicates(["doc_id"]).withColumn("_b", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("_o", "__g_id"))).where(F.col("_b") <= size)
+    marks = marks.groupBy("__g_id").agg(F.max("quality").cast("int").alias("_y")).withColumn("_o", F.xxhash64("__g_id", F.lit(3)))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.octet_length(F.col("text").cast("string")).cast("long").alias("_n")).where(F.col("_n") <= size)
+    marks = marks.join(src.select(F.col("doc_id").alias("__g_id")), "__g_id", "left_semi").orderBy("_o", "__g_id").limit(rows)
+    got = src.join(F.broadcast(marks), F.col("doc_id") == F.col("__g_id"))
+    got = got.dropDuplicates(["doc_id"]).withColumn("_b", F.sum("_n").over(Window.orderBy(F.col("_n") > size // 8, "_o", "__g_id"))).where(F.col("_b") <= size)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")

@@ -501,3 +501,17 @@ def test_quality_odd_inputs(spark, odd_docs, no_docs):
     assert sq.score(odd_docs, model).count() == 12
     assert sq.keep_good(odd_docs, labels.where("false")).count() == 12
     assert sq.score(no_docs, sq.fit(no_docs, labels)).count() == 0
+
+
+def test_long_texts_and_labels_without_text_leave_the_sample_to_others(spark):
+    rows = [(i, f"good fine text {i}" if i % 2 else f"bad poor spam {i}") for i in range(60)]
+    docs = "doc_id long, text string"
+    marks = [(i, i % 2) for i in range(60)]
+    labels = lambda extra: spark.createDataFrame(marks + extra, "doc_id long, quality int")
+    want = sq.fit(spark.createDataFrame(rows, docs), labels([]), size=4000)
+    long = [(i, "long " * (1000 if i % 2 else 150)) for i in range(100, 130)]  # over the bound, or over an eighth of it
+    got = sq.fit(spark.createDataFrame(rows + long, docs), labels([(i, 1) for i, _ in long]), size=1200)
+    assert want.any() and (got == want).all()
+    lost = [(i, 1) for i in range(1000, 1400)]
+    got = sq.fit(spark.createDataFrame(rows + [(i, None) for i in range(1000, 1100)], docs), labels(lost), rows=60)
+    assert (got == want).all()
