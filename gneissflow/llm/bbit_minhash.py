@@ -303,26 +303,3 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return kept
     once = kept.join(twice, same, "left_semi").withColumn("__g_th", F.xxhash64("text")).dropDuplicates(["doc_id", "__g_th"]).drop("__g_th")
     return kept.join(twice, same, "left_anti").unionByName(once)
-
-
-def brute_force(rows: list[tuple[int, str | None]], k: int, percent: int) -> dict[int, int]:
-    """doc_id -> component_id over all pairs, for tests."""
-    from .textcore import words_py
-
-    sets = {}
-    for i, t in rows:
-        w = words_py(t)
-        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-    up = {i: i for i, _ in rows}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                up[y] = x
-    return {i: find(i) for i in up}

@@ -115,28 +115,3 @@ def assign(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         left = left.withColumn("__g_n", F.row_number().over(Window.partitionBy("doc_id", "__g_h").orderBy(F.lit(1))))
         on = on & (F.col("__g_k") == F.col("__g_n"))
     return left.join(own, on).drop("__g_id", "__g_th", "__g_h", "__g_k", "__g_n")
-
-
-def hilbert_index_py(point: list[int], order: int = ORDER) -> int:
-    """The same index by rotating sub-cubes on plain ints, for tests."""
-    x, n = list(point), len(point)
-    for plane in range(order - 1, 0, -1):
-        q, low = 1 << plane, (1 << plane) - 1
-        for i in range(n):
-            if x[i] & q:
-                x[0] ^= low
-            else:
-                t = (x[0] ^ x[i]) & low
-                x[0] ^= t
-                x[i] ^= t
-    for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t = 0
-    for plane in range(order - 1, 0, -1):
-        if x[-1] & (1 << plane):
-            t ^= (1 << plane) - 1
-    out = 0
-    for plane in range(order - 1, -1, -1):
-        for v in x:
-            out = out << 1 | ((v ^ t) >> plane & 1)
-    return out

@@ -191,12 +191,3 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
 def told(arr: str) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(F.col(arr), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-
-def base_spans_py(text: str | None) -> list[tuple[str, int, int]]:
-    """The base spans by Python's ``re``, written from their description, for tests."""
-    import re
-
-    pats = [("assign", r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
-    out = [(m.start(), r, k, m.end()) for r, (k, p, g, n) in enumerate(pats) for m in re.finditer(p, text or "", re.ASCII) if len(m.group(g)) >= n]
-    return [(k, a, b) for a, _, k, b in sorted(out)]

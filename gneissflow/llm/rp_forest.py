@@ -1,14 +1,16 @@
 """Nearest neighbours by a forest of random-projection trees.
 
-Trees are fitted on a bounded sample: a node projects its rows on the direction between the centres
-that a few Lloyd steps reach from two random rows, and splits at their middle (at the median if
-that would leave under a twentieth on a side).  Every row is then routed to one leaf of each tree.
-A query keeps one priority queue over all trees, ordered by the largest margin crossed on the way,
-and takes leaves from it until they hold ``search`` rows in sum.  Leaf candidates are ranked by
-their exact inner product.
+Trees, and the centres of their leaves, are fitted on a bounded sample: a node projects its rows on
+the direction between the centres that a few Lloyd steps reach from two random rows, and splits at
+their middle (at the median if that would leave under a twentieth on a side).  Every row is then
+routed to one leaf of each tree.  A query keeps one priority queue over the nodes of all trees,
+ordered by the largest inner product with the centre of a leaf below the node, and takes leaves
+from it until they hold ``SHARE * rows + SPARE`` rows in sum.  Leaf candidates are ranked by their
+exact inner product.
 
 Equal vectors are one class with its smallest ids, so copies of one vector do not fill a leaf.
-Large leaves, and leaves that many queries visit, are cut into blocks of bounded size.
+Neighbouring leaves of a tree form bundles; a vector is sent once to each bundle that it has a leaf
+in, and large bundles, or those of many queries, are cut into blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,28 +22,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import materialize
 
 TREES = 8
-LEAVES = 96  # of a tree; fewer where that would leave under LEAST_IN_LEAF rows in each
-LEAST_IN_LEAF = 16
-SAMPLE = 16384
-SHARE, LEAST = 0.85, 4096  # leaves are taken until they hold max(SHARE * rows, LEAST) rows, repeats included
-FIRST = 6  # leaves that give a query its first bound
+LEAF = 12  # most sample rows of a leaf
+FIT = 8192  # most rows that the trees are fitted on
+SAMPLE, SAMPLE_BYTES = 65536, 32 << 20  # most rows that the leaves' centres come from, and their bytes
+SHARE, SPARE = 0.4, 200  # leaves are taken until they hold SHARE * rows + SPARE rows, repeats included
+FIRST = 24  # leaves that give a query its first bound
+BUNDLES = 16  # of a tree at least
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 class Forest:
-    """Trees as arrays: direction, threshold, the two children; a leaf is its number below 0."""
+    """Trees as arrays: direction, threshold, the two children, the leaves' centres, the root.
+
+    A leaf is its number, counted from left to right, below 0: ``-1 - number``.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 5):
         self.dim = sample.shape[1] if sample.size else 0
-        leaves = min(LEAVES, max(1, rows // LEAST_IN_LEAF), max(1, len(sample) // LEAST_IN_LEAF))
-        self.leaf = max(1, len(sample) // leaves)
-        self.trees = [self._tree(sample, np.random.default_rng(seed + t)) for t in range(trees)]
+        self.trees = [self._tree(sample[:FIT], np.random.default_rng(seed + t)) for t in range(trees)]
+        self.trees = [(*tree[:3], self._centres(sample, t), tree[4]) for t, tree in enumerate(self.trees)]
+        blocks = max(BUNDLES, -(-rows // ROW_BLOCK))
+        self.bundles = [min(self.leaves(t), blocks) for t in range(trees)]
+
+    def _centres(self, sample: np.ndarray, t: int) -> np.ndarray:
+        at, total = self.route(sample, t), np.zeros_like(self.trees[t][3])
+        np.add.at(total, at, sample)
+        return total / np.maximum(1, np.bincount(at, minlength=len(total)))[:, None]
+
+    def leaves(self, t: int) -> int:
+        return len(self.trees[t][3])
 
-    def _direction(self, x: np.ndarray, rng) -> tuple[np.ndarray, float]:
+    def bundle(self, t: int, leaf: np.ndarray) -> np.ndarray:
+        return leaf * self.bundles[t] // max(1, self.leaves(t))
+
+    @staticmethod
+    def _direction(x: np.ndarray, rng) -> tuple[np.ndarray, float]:
         a, b = x[rng.choice(len(x), 2, replace=False)]
         some = x[rng.choice(len(x), min(len(x), 256), replace=False)]
         for _ in range(4):
@@ -61,35 +81,36 @@ class Forest:
         return d, t if 0.05 < share < 0.95 else float(np.median(p))
 
     def _tree(self, x: np.ndarray, rng):
-        dirs, cuts, kids, leaves = [], [], [], 0
+        dirs, cuts, kids, leaf = [], [], [], []
         todo = [(np.arange(len(x)), -1, 0)]
         root = None
         while todo:
             at, up, side = todo.pop()
-            d = None
-            if len(at) > self.leaf:
+            low = None
+            if len(at) > LEAF:
                 d, t = self._direction(x[at], rng)
                 low = x[at] @ d < t
                 if low.all() or not low.any():
-                    d = None
-            if d is None:
-                leaves += 1
-                me = -leaves
+                    low = None
+            if low is None:
+                leaf.append(x[at].mean(0) if len(at) else np.zeros(self.dim))
+                me = -len(leaf)
             else:
                 me = len(dirs)
                 dirs.append(d)
                 cuts.append(t)
                 kids.append([0, 0])
-                todo += [(at[low], me, 0), (at[~low], me, 1)]
+                todo += [(at[~low], me, 1), (at[low], me, 0)]  # the left one is taken first
             if up < 0:
                 root = me
             else:
                 kids[up][side] = me
-        return np.array(dirs).reshape(len(dirs), self.dim), np.array(cuts), np.array(kids, int).reshape(-1, 2), root, leaves
+        dirs, leaf = (np.array(a, np.float64).reshape(len(a), self.dim) for a in (dirs, leaf))
+        return dirs, np.array(cuts), np.array(kids, int).reshape(-1, 2), leaf, root
 
     def route(self, x: np.ndarray, t: int) -> np.ndarray:
         """Leaf of each row in tree ``t``."""
-        dirs, cuts, kids, root, _ = self.trees[t]
+        dirs, cuts, kids, _, root = self.trees[t]
         at = np.full(len(x), root)
         while (live := np.flatnonzero(at >= 0)).size:
             for n in np.unique(at[live]):
@@ -97,30 +118,50 @@ class Forest:
                 at[own] = kids[n, (x[own] @ dirs[n] >= cuts[n]).astype(int)]
         return -at - 1
 
-    def visit(self, v: np.ndarray, sizes: list[np.ndarray], search: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of one queue over all trees."""
-        heap = [(0.0, t, self.trees[t][3]) for t in range(len(self.trees))]
-        margin = [tr[0] @ v - tr[1] if len(tr[0]) else np.zeros(0) for tr in self.trees]
-        heapq.heapify(heap)
-        got, total = [], 0
-        while heap and total < search:
-            m, t, n = heapq.heappop(heap)
-            kids = self.trees[t][2]
-            while n >= 0:
-                g = margin[t][n]
-                side = int(g >= 0)
-                heapq.heappush(heap, (max(m, abs(g)), t, kids[n, 1 - side]))
-                n = kids[n, side]
-            if held := sizes[t][-n - 1]:
-                got.append((t, -n - 1))
-                total += held
-        return got
+    @staticmethod
+    def _promise(vectors: np.ndarray, tree) -> np.ndarray:
+        """Per vector and node: the inner product with a leaf's centre, the best of its leaves for a node.
+
+        The columns are the inner nodes, then the leaves from the last to the first, so that a leaf's
+        number below 0 is its place as well.
+        """
+        kids, inner = tree[2], len(tree[2])
+        out = np.empty((inner + len(tree[3]), len(vectors)))
+        out[inner:] = tree[3][::-1] @ vectors.T
+        for n in range(inner - 1, -1, -1):  # children come after their parents
+            np.maximum(out[kids[n, 0]], out[kids[n, 1]], out=out[n])
+        return out.T
+
+    def visit(self, vectors: np.ndarray, sizes: list[list[int]], search: float) -> Iterator[list[tuple[int, int]]]:
+        """For each vector the (tree, leaf) pairs in the order of one queue over all trees."""
+        best = [self._promise(vectors, tree) for tree in self.trees]
+        kids = [tree[2].tolist() for tree in self.trees]
+        for i in range(len(vectors)):
+            near = [b[i].tolist() for b in best]
+            heap = [(-near[t][tree[4]], t, tree[4]) for t, tree in enumerate(self.trees)]
+            heapq.heapify(heap)
+            got, total = [], 0
+            while heap and total < search:
+                _, t, n = heapq.heappop(heap)
+                score, two = near[t], kids[t]
+                while n >= 0:
+                    a, b = two[n]
+                    if score[a] < score[b]:
+                        a, b = b, a
+                    heapq.heappush(heap, (-score[b], t, b))
+                    n = a
+                if held := sizes[t][-n - 1]:
+                    got.append((t, -n - 1))
+                    total += held
+            yield got
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+    if not len(col):
+        return np.zeros((0, 0))
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,48 +169,63 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1] if a.size else np.zeros(len(a))
 
 
-def _rank_leaf(keep: int):
-    """One block of a leaf against one block of its queries: each query's best classes."""
+_FOUND = pa.schema([("query", pa.int64()), ("cand", pa.int64()), ("score", pa.float64())])
+
+
+def _rank_block(keep: int):
+    """One block of rows of a bundle against one block of queries: each query's best in its leaves."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = pa.schema([("query", pa.int64()), ("cand", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
-            return names.empty_table()
+            return _FOUND.empty_table()
+        right = right.sort_by("leaf")
         q, x = _matrix(left["vec"]), _matrix(right["vec"])
-        qid, xid = left["query"].to_numpy(), right["cand"].to_numpy()
-        floor = left["floor"].to_numpy()
-        rough = q @ x.T
-        oq, oc, os_ = [], [], []
-        for i in range(len(q)):
-            row = rough[i]
-            if len(row) > keep:
-                cut = np.partition(row, len(row) - keep)[len(row) - keep]
-                at = np.flatnonzero(row >= max(cut, floor[i]) - 1e-9)
-            else:
-                at = np.flatnonzero(row >= floor[i] - 1e-9)
-            if len(at):
-                s = exact_scores(np.broadcast_to(q[i], (len(at), q.shape[1])), x[at])
-                if len(at) > keep:  # ties by the smaller class
-                    best = np.lexsort((xid[at], -s))[:keep]
-                    at, s = at[best], s[best]
-                oq.append(np.full(len(at), qid[i]))
-                oc.append(xid[at])
-                os_.append(s)
-        if not oq:
-            return names.empty_table()
-        return pa.table({"query": np.concatenate(oq), "cand": np.concatenate(oc), "score": np.concatenate(os_)}, schema=names)
+        leaf = right["leaf"].to_numpy()
+        visits = left["leaves"].combine_chunks()
+        wanted, who = visits.flatten().to_numpy(), np.repeat(np.arange(len(q)), visits.value_lengths().to_numpy())
+        rough = np.full((len(q), len(x)), -np.inf)
+        for n in np.unique(leaf):
+            a, b = np.searchsorted(leaf, [n, n + 1])
+            own = who[wanted == n]
+            rough[own, a:b] = q[own] @ x[a:b].T
+        least = left["floor"].to_numpy()
+        if len(x) > keep:
+            least = np.maximum(least, np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep])
+        # the rough products may differ from the exact ones by rounding
+        spare = 1e-14 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        at, cand = np.nonzero((rough >= (least - spare)[:, None]) & (rough > -np.inf))
+        parts = range(0, len(at), 1 << 16)
+        score = np.concatenate([np.zeros(0), *(exact_scores(q[at[i : i + (1 << 16)]], x[cand[i : i + (1 << 16)]]) for i in parts)])
+        named = right["cand"].to_numpy()[cand]
+        order = np.lexsort((named, -score, at))  # ties by the smaller class
+        first = np.searchsorted(at[order], at[order])
+        order = order[np.arange(len(order)) - first < keep]
+        return pa.table([left["query"].to_numpy()[at[order]], named[order], score[order]], schema=_FOUND)
 
     return run
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, vec of the rows that take part."""
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
+    """vec_id, vec of the rows that take part; vec keeps single precision where it has it."""
+    kind = "array<float>" if table.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
+    rows = rows.where("vec_id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return rows.where(~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda v: v != 0))
 
 
-def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def _sample(classes: DataFrame, total: int, most: int) -> np.ndarray:
+    """About ``most`` rows of ``total`` (never a tenth more) by a hash of their id, in its order."""
+    u = F.shiftrightunsigned(F.xxhash64("cand", F.lit(11)), 11) / F.lit(float(1 << 53))
+    got = classes.select("cand", "vec", u.alias("u")).where(F.col("u") < min(1.0, most / max(1, total)))
+    got = got.limit(most + most // 10).toArrow().sort_by([("u", "ascending"), ("cand", "ascending")])
+    return _matrix(got["vec"])
+
+
+def nearest(
+    table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
+    share: float = SHARE, spare: int = SPARE,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every row whose id ``every`` divides.
 
     Nearness is the inner product.  A row is not its own neighbour (rows with the query's id).
@@ -180,73 +236,83 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vec_col)
+    kind = rows.schema["vec"].dataType.simpleString()
     dims = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = dims[0]["n"] if dims else 1
     rows = rows.where(F.size("vec") == dim)
     low = Window.partitionBy("vec").orderBy("vec_id")
     ids = rows.distinct().withColumn("__g_n", F.row_number().over(low)).where(F.col("__g_n") <= k + 1)
-    classes = materialize(ids.groupBy("vec").agg(F.min("vec_id").alias("cand"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
+    classes = ids.groupBy("vec").agg(F.min("vec_id").alias("cand"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = materialize(classes, "classes")
     total = classes.count()
-    sample = classes.select("cand", "vec").orderBy(F.xxhash64("cand", F.lit(11)), "cand").limit(SAMPLE).toArrow()
-    forest = Forest(_matrix(sample["vec"]), total)
+    forest = Forest(_sample(classes, total, max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))), total)
     shared = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            for t in range(len(shared.value.trees)):
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(n, t, np.int32)), pa.array(shared.value.route(x, t).astype(np.int32))], names=["cand", "vec", "tree", "leaf"])
-
-    index = materialize(classes.select("cand", "vec").mapInArrow(route, "cand long, vec array<double>, tree int, leaf int"), "index")
-    counted = index.groupBy("tree", "leaf").count().collect()
-    sizes = [np.zeros(tr[4], np.int64) for tr in forest.trees]
+            if batch.num_rows:
+                x = _matrix(batch.column(1))
+                leaves = np.stack([own.route(x, t) for t in range(len(own.trees))], axis=1).astype(np.int32)
+                leaves = pa.ListArray.from_arrays(np.arange(0, leaves.size + 1, leaves.shape[1], dtype=np.int32), leaves.reshape(-1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), leaves], names=["cand", "vec", "leaves"])
+
+    index = materialize(classes.select("cand", "vec").mapInArrow(route, f"cand long, vec {kind}, leaves array<int>"), "index")
+    counted = index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect()
+    sizes = [[0] * forest.leaves(t) for t in range(len(forest.trees))]
     for r in counted:
         sizes[r["tree"]][r["leaf"]] = r["count"]
-    search = max(share * total, least)
+    search = share * total + spare
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query's leaves by (phase, tree, bundle)."""
+        own = shared.value
+        kinds = pa.list_(pa.struct([("phase", pa.int32()), ("tree", pa.int32()), ("bundle", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
         for batch in batches:
-            for i in range(batch.num_rows):
-                v = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-                got = shared.value.visit(v, sizes, search)
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.list_(pa.float64())), pa.array([t for t, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int32()), pa.array(range(n), pa.int32())], names=["query", "vec", "tree", "leaf", "turn"])
+            if not batch.num_rows:
+                continue
+            out = []
+            for got in own.visit(_matrix(batch.column(1)), sizes, search):
+                by: dict[tuple[int, int, int], list[int]] = {}
+                for turn, (t, leaf) in enumerate(got):
+                    by.setdefault((int(turn >= FIRST), t, int(own.bundle(t, leaf))), []).append(leaf)
+                out.append([{"phase": p, "tree": t, "bundle": b, "leaves": x} for (p, t, b), x in by.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kinds)], names=["query", "vec", "visits"])
 
     asked = rows.where(F.col("vec_id") % every == 0).distinct().join(classes.select("vec", "cand"), "vec").select("vec_id", "cand")
     asked = materialize(asked, "asked")
-    queries = classes.select("cand", "vec").join(asked.select("cand").distinct(), "cand", "left_semi")
-    routed = materialize(queries.repartition(16, "cand").mapInArrow(visits, "query long, vec array<double>, tree int, leaf int, turn int"), "visits")
-    held = index.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("long").alias("xb"))
-
-    def ranked(part: DataFrame) -> DataFrame:
-        """Group keys bound both sides: a block of rows and a block of queries of one leaf."""
-        cut = held.join(part.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("qb")), ["tree", "leaf"])
-        left = part.join(cut, ["tree", "leaf"]).withColumn("j", F.pmod(F.xxhash64("query"), "qb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xb") - 1)))
-        right = index.join(cut, ["tree", "leaf"]).withColumn("i", F.pmod(F.xxhash64("cand"), "xb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
-        keys = ["tree", "leaf", "i", "j"]
-        return left.select(*keys, "query", "vec", "floor").groupBy(*keys).cogroup(right.select(*keys, "cand", "vec").groupBy(*keys)).applyInArrow(_rank_leaf(k + 1), "query long, cand long, score double")
+    queries = index.select("cand", "vec").join(asked.select("cand").distinct(), "cand", "left_semi")
+    visited = "array<struct<phase:int,tree:int,bundle:int,leaves:array<int>>>"
+    routed = materialize(queries.mapInArrow(visits, f"query long, vec {kind}, visits {visited}"), "visits")
+    routed = routed.select("query", "vec", F.explode("visits").alias("v")).select("query", "vec", "v.*")
+    held = index.select("cand", "vec", F.posexplode("leaves").alias("tree", "leaf"))
+    parts = F.lit([[b, forest.leaves(t)] for t, b in enumerate(forest.bundles)])
+    part = F.element_at(parts, F.col("tree") + 1)
+    held = held.withColumn("bundle", F.floor(F.col("leaf") * part[0] / part[1]).cast("int"))
+    row_blocks = held.groupBy("tree", "bundle").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("long").alias("xb"))
+
+    def ranked(asking: DataFrame) -> DataFrame:
+        """Group keys bound both sides: a block of rows and a block of queries of one bundle."""
+        query_blocks = asking.groupBy("tree", "bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("qb"))
+        cut = row_blocks.join(query_blocks, ["tree", "bundle"])
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = asking.join(cut, ["tree", "bundle"]).withColumn("j", F.pmod(F.xxhash64("query"), "qb")).withColumn("i", each("xb"))
+        right = held.join(cut, ["tree", "bundle"]).withColumn("i", F.pmod(F.xxhash64("cand"), "xb")).withColumn("j", each("qb"))
+        keys = ["tree", "bundle", "i", "j"]
+        left = left.select(*keys, "query", "vec", "leaves", "floor").groupBy(*keys)
+        return left.cogroup(right.select(*keys, "cand", "vec", "leaf").groupBy(*keys)).applyInArrow(_rank_block(k + 1), "query long, cand long, score double")
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), "cand")
-    first = ranked(routed.where(F.col("turn") < FIRST).withColumn("floor", F.lit(float("-inf")))).distinct()
+    first = ranked(routed.where("phase = 0").withColumn("floor", F.lit(float("-inf")))).distinct()
     first = materialize(first.withColumn("__g_n", F.row_number().over(order)).where(F.col("__g_n") <= k + 1), "first")
     floor = first.groupBy("query").agg(F.when(F.max("__g_n") == k + 1, F.min("score")).otherwise(float("-inf")).alias("floor"))
-    rest = ranked(routed.where(F.col("turn") >= FIRST).join(floor, "query"))
+    rest = ranked(routed.where("phase = 1").join(floor, "query"))
     found = first.select("query", "cand", "score").union(rest).distinct()
     found = found.withColumn("__g_n", F.row_number().over(order)).where(F.col("__g_n") <= k + 1).drop("__g_n")
     each = found.join(classes.select("cand", F.explode("ids").alias("vec_id")), "cand")
-    each = each.withColumn("__g_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("__g_n") <= k + 1).drop("__g_n", "cand")
+    by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    each = each.withColumn("__g_n", F.row_number().over(by_id)).where(F.col("__g_n") <= k + 1).drop("__g_n", "cand")
     out = each.join(asked.select(F.col("cand").alias("query"), F.col("vec_id").alias("query_id")), "query").where("vec_id <> query_id")
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = out.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
-
-
-def brute_force(ids: np.ndarray, vecs: np.ndarray, k: int, every: int) -> dict[int, list[int]]:
-    out = {}
-    for i in np.flatnonzero(ids % every == 0):
-        s = exact_scores(np.broadcast_to(vecs[i], vecs.shape), vecs)
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]]
-        out[int(ids[i])] = [int(ids[j]) for j in order[:k]]
-    return out

@@ -185,27 +185,3 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
     found = materialize(found, "leaks")
     return docs.join(found, F.col("__g_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__g_th") == F.xxhash64("text")), "left_anti")
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
-    """(doc_id, item_id) over all pairs and all diagonals, for tests."""
-    import re
-
-    def toks(t):
-        return re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", (t or "").lower())
-
-    out = set()
-    for item, text in items:
-        w = toks(text)
-        least = MIN_SHARE if len(w) >= SPAN else (1, 1)
-        for doc, t in docs if w else ():
-            d = toks(t)
-            for diag in range(-len(w) + 1, len(d)):
-                same = [i + diag >= 0 and i + diag < len(d) and d[i + diag] == w[i] for i in range(len(w))]
-                run = best = 0
-                for s in same:
-                    run = max(0, run + (1 if s else -MISS))
-                    best = max(best, run)
-                if sum(same) * least[1] >= len(w) * least[0] or best >= MIN_RUN:
-                    out.add((doc, item))
-    return out

@@ -138,11 +138,3 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     for q in range(width):
         h = mix(h * _P + words[q : q + len(h)])
     return np.unique(h)
-
-
-def words_py(text: str | None) -> list[str]:
-    """The same words by plain Python, for tests."""
-    import re
-
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(r"[^\x20\x09-\x0D]+", low)

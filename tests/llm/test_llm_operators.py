@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import plain_versions as plain
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def docs_of(spark, sf, name="documents"):
 def test_words_match_plain_python():
     texts = ["a B  c\td", None, "", "  ", "É é\x0bX", "z" * 50, "one"]
     got = [h[offs[r] : offs[r + 1]] for _, h, offs in tc.word_hashes(pa.array(texts)) for r in range(len(offs) - 1)]
-    assert [len(g) for g in got] == [len(tc.words_py(t)) for t in texts]
+    assert [len(g) for g in got] == [len(plain.words(t)) for t in texts]
     again = [h[offs[0] : offs[1]] for t in texts for _, h, offs in tc.word_hashes(pa.array([t], pa.string()))]
     assert all((a == b).all() for a, b in zip(got, again, strict=True))
 
@@ -62,7 +63,7 @@ def test_spaced_seeds_against_all_pairs(spark, sf):
     rows = [r for r in rows if r[1] is not None and len(r[1]) < 4000]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in ss.overlaps(table, some).collect()}
-    assert got == ss.brute_force(rows, items)
+    assert got == plain.leaks(rows, items)
     assert {base + n for n in range(12)} <= {d for d, _ in got}
 
 
@@ -84,7 +85,7 @@ def test_spaced_seeds_find_changed_short_items(spark):
             lost = set(rng.choice(n, n * 3 // 10 + (v == 0), replace=False).tolist())
             rows.append((n * 100 + v, "before it " + " ".join("zz" if j in lost else x for j, x in enumerate(w)) + " after it"))
     got = {(r.doc_id, r.item_id) for r in ss.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = ss.brute_force(rows, items)
+    want = plain.leaks(rows, items)
     assert got == want and {(n * 100 + v, n) for n in range(9, 27) for v in range(1, 12)} <= want
 
 
@@ -94,7 +95,7 @@ def test_spaced_seeds_find_items_of_few_tokens(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.item_tokens, r.matched, r.run, r.doc_start) for r in ss.overlaps(docs, bench).collect()}
     assert got == {(n, n): (n, n, n, 1) for n in range(1, 10)} | {(3, 22): (3, 3, 3, 1), (32, 20): (2, 2, 2, 0), (33, 7): (7, 7, 7, 0)}
-    assert set(got) == ss.brute_force(rows, items)
+    assert set(got) == plain.leaks(rows, items)
     assert {r.doc_id for r in ss.clean(docs, bench).collect()} == {30, 31}
 
 
@@ -154,22 +155,47 @@ def test_license_lines_of_the_table(spark, sf):
 # ---- 3 nearest neighbours
 
 
-def test_forest_recall(spark, sf):
-    e = docs_of(spark, sf, "embeddings")
+def recall(found, ids, vecs):
+    """Mean share of the true 20 nearest; checks form and scores on the way."""
+    want, got, at = plain.nearest(ids, vecs, 20, 20), {}, {int(i): n for n, i in enumerate(ids)}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r["rank"] == len(got[r.query_id]) and r.vec_id != r.query_id
+        assert abs(r.score - float(vecs[at[r.query_id]] @ vecs[at[r.vec_id]])) < 1e-12
+    assert set(got) == set(want) and all(len(v) == 20 == len(set(v)) for v in got.values())
+    return np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want])
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.1"])
+def test_forest_recall_on_the_tables(spark, sf, size):
+    e = docs_of(spark, sf.replace("0.001", size), "embeddings")
     rows = e.collect()
     ids, vecs = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
-    want = rp.brute_force(ids, vecs, 20, 20)
-    got = {}
-    for r in rp.nearest(e, share=0.9, least=0).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
-        i, j = np.flatnonzero(ids == r.query_id)[0], np.flatnonzero(ids == r.vec_id)[0]
-        assert abs(r.score - float(vecs[i] @ vecs[j])) < 1e-12
-    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
-    assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want]) >= 0.9
-    exact = {}
-    for r in rp.nearest(e).orderBy("query_id", "rank").collect():
-        exact.setdefault(r.query_id, []).append(r.vec_id)
-    assert exact == want  # small tables are searched whole
+    assert recall(rp.nearest(e), ids, vecs) >= 0.9
+
+
+def test_forest_recall_on_many_vectors(spark):
+    """12,000 vectors without any structure, the hardest case, with the settings that run; and grouped ones with few reads."""
+    rng = np.random.default_rng(11)
+    ids = np.arange(1, 12_001)
+    loose = rng.normal(size=(12_000, 64))
+    grouped = rng.normal(size=(200, 64))[rng.integers(0, 200, 12_000)] + 0.4 * rng.normal(size=(12_000, 64))
+    for vecs, share, spare in ((loose, rp.SHARE, rp.SPARE), (grouped, 0.02, 100)):
+        vecs = (vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).astype(np.float32)
+        table = spark.createDataFrame(zip(ids.tolist(), vecs.tolist(), strict=True), "vec_id long, embedding array<float>")
+        assert recall(rp.nearest(table, share=share, spare=spare), ids, vecs.astype(np.float64)) >= 0.9
+
+
+def test_leaves_come_from_one_queue(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16))
+    forest = rp.Forest(x, len(x), trees=3)
+    leaves = [forest.route(x, t) for t in range(3)]
+    sizes = [np.bincount(c, minlength=forest.leaves(t)).tolist() for t, c in enumerate(leaves)]
+    (got,) = forest.visit(x[:1], sizes, 500)
+    scores = {(t, n): float(forest.trees[t][3][n] @ x[0]) for t in range(3) for n in range(forest.leaves(t)) if sizes[t][n]}
+    order = sorted(scores, key=lambda k: -scores[k])
+    assert got == order[: len(got)] and sum(sizes[t][n] for t, n in got[:-1]) < 500 <= sum(sizes[t][n] for t, n in got)
 
 
 def test_forest_odd_inputs(spark):
@@ -209,7 +235,7 @@ def test_budgets_against_a_plain_version(spark, sf):
     docs = docs_of(spark, sf).collect()
     name = {0: "web", 1: "books", 2: "code", 3: "talk"}
     leaf = {r.doc_id: (name[int(r.source[3:]) % 4], r.lang, r.source) for r in docs}
-    size = {r.doc_id: len(tc.words_py(r.text)) for r in docs}
+    size = {r.doc_id: len(plain.words(r.text)) for r in docs}
     tokens = {}
     for i, k in leaf.items():
         tokens[k] = tokens.get(k, 0) + size[i]
@@ -250,7 +276,7 @@ def test_hilbert_index_walks_cell_by_cell(spark):
     for n, o in ((2, 3), (3, 2)):
         cells = spark.range(1 << n * o).select(*[(F.shiftright("id", o * i) % (1 << o)).alias(f"x{i}") for i in range(n)])
         rows = cells.select("*", hs.hilbert_index([F.col(f"x{i}") for i in range(n)], o).alias("h")).collect()
-        assert all(r.h == hs.hilbert_index_py(list(r)[:n], o) for r in rows)
+        assert all(r.h == plain.hilbert_index(list(r)[:n], o) for r in rows)
         by = {r.h: tuple(r)[:n] for r in rows}
         assert sorted(by) == list(range(1 << n * o))
         assert all(sum(abs(a - b) for a, b in zip(by[i], by[i + 1], strict=True)) == 1 for i in range(len(by) - 1))
@@ -334,7 +360,7 @@ def test_near_duplicates_against_all_pairs(spark, sf, k, percent):
     more = _variants(rng, base, 60, 0.015) + _variants(rng, base, 40, 0.04) + [" ".join(base[: 150 - i]) for i in range(0, 60, 4)] * 2
     rows += [(10**6 + i, t) for i, t in enumerate(more)] + [(2 * 10**6, None), (2 * 10**6 + 1, ""), (2 * 10**6 + 2, "a b"), (2 * 10**6 + 3, "A  b"), (2 * 10**6 + 4, "a")]
     found, _ = mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
-    assert {r.doc_id: r.component_id for r in found.collect()} == mh.brute_force(rows, k, percent)
+    assert {r.doc_id: r.component_id for r in found.collect()} == plain.near_classes(rows, k, percent)
 
 
 def test_estimate_is_corrected_for_chance():
@@ -377,7 +403,7 @@ def test_base_spans(spark, sf):
     found = ms.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", ms.told("base_spans").alias("b"), ms.told("spans").alias("s"))
     got = {r.doc_id: (r.b, r.s) for r in found.collect()}
     for i, t in rows:
-        want = ms.base_spans_py(t)
+        want = plain.base_spans(t)
         assert got[i][0] == ",".join(f"{k}:{a}:{b}" for k, a, b in want), t
         spans = [x.split(":") for x in got[i][1].split(",") if x]
         assert [s for s in spans if s[0] != "markov"] == [x.split(":") for x in got[i][0].split(",") if x]

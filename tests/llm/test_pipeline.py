@@ -1,8 +1,7 @@
 """The pipeline's stages, one after another, each against a plain version of what it decides."""
 
 import corpus_pipeline as cp
-from gneissflow.llm import bbit_minhash as mh
-from gneissflow.llm import spaced_seeds as ss
+import plain_versions as plain
 
 
 def test_stages(spark, sf, tmp_path):
@@ -18,7 +17,7 @@ def test_stages(spark, sf, tmp_path):
         after = {r.doc_id: r.text for r in docs.collect()}
         assert len(after) == docs.count() and all(before[i] == t for i, t in after.items())
         if name == "near_duplicates":
-            classes = mh.brute_force(list(before.items()), 5, 80)
+            classes = plain.near_classes(list(before.items()), 5, 80)
             assert set(after) == {i for i, c in classes.items() if i == c}
         if name == "decontamination":
             leaks = {i for i, t in before.items() for _, b in bench if b in t}
