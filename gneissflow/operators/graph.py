@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.text import round4
 from ..scratch import materialize
+from .skew import hot_keys, salted_join
 
 #: Names that never count as hubs (fixed values).
 NOISE = [
@@ -111,16 +112,29 @@ def symbol_pairs(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("w").alias("weight"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable), by minimum labels with pointer jumping."""
-    one = pairs.select("a", "b").where("a <> b")
-    both = materialize(one.union(one.select("b", "a")).distinct().toDF("node", "y"), "pairs")
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, comp: each node that has a link, with the smallest node it can reach.
+
+    Minimum labels with hooking and a jump: in each round a node takes the smallest label among its
+    neighbours, an old label's own node learns the better label, and a node takes the label of its
+    label.  Labels only fall, and the rounds grow with the logarithm of a chain's length.  Minimum
+    aggregates combine before they shuffle; the joins deal out hot nodes (hubs) and hot labels (large
+    components) over many tasks.  Only "did anything change" reaches the driver.  No links: no rows.
+    """
+    one = pairs.select(F.col(a).alias("node"), F.col(b).alias("y")).where("node <> y")
+    both = materialize(one.union(one.select("y", "node")).distinct(), "pairs")
+    hubs = materialize(hot_keys(both, "y"), "hubs")
     label = materialize(both.groupBy("node").agg(F.least(F.min("y"), F.min("node")).alias("comp")), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("y"), "comp"), "y").groupBy("node").agg(F.min("comp").alias("near"))
-        low = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        hop = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = materialize(low.join(hop, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
+        large = hot_keys(label, "comp")
+        of_y = salted_join(both, label.select(F.col("node").alias("y"), "comp"), "y", "node", hubs)
+        near = of_y.groupBy("node").agg(F.min("comp").alias("near"))
+        step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
+        hook = step.where("low < comp").groupBy(F.col("comp").alias("node")).agg(F.min("low").alias("hook"))
+        hooked = step.join(hook, "node", "left").select("node", "comp", F.least("low", F.coalesce("hook", "low")).alias("low"))
+        jump = hooked.select(F.col("node").alias("comp"), F.col("low").alias("far"))
+        new = salted_join(hooked, jump, "comp", "node", large, "left")
+        new = materialize(new.select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
         label = new.select("node", "comp")
         if new.where("comp < was").isEmpty():
             return label
