@@ -4,9 +4,9 @@
    128-bit key of that set, ``ROWS * BANDS`` minima, their low ``BITS`` bits packed in bit planes,
    and one hash per band of minima.  Texts with the same set are one node from here on.
 2. Nodes that share a band are candidates.  In every bucket each node is paired with one leader of
-   the bucket, never with all others; the leaders change from round to round and only pairs that
-   are not connected yet are tried.  After these rounds the few pairs of one bucket that still lie
-   in different components are compared in blocks of packed signatures, so no link is lost.
+   the bucket, never with all others; then with a second leader, unless both are linked to the same
+   first one.  The few pairs of one bucket that still lie in different components are compared in
+   blocks of packed signatures, so no link is lost.
 3. A pair whose b-bit estimate, corrected for chance collisions, lies ``SLACK`` (6 standard
    deviations) under the threshold is dropped; every other pair is confirmed on its full sets.
 4. Links become components.
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import components
+from ..operators.skew import hot_keys, salted_join
 from ..scratch import materialize
 from .textcore import mix, shingles, word_hashes
 
@@ -34,7 +35,6 @@ ROWS, BANDS, BITS = 5, 40, 4
 PLANE = -(-ROWS * BANDS // 64)
 BLOCK = 512
 BLOCK_SIZE = 2_000_000  # shingles of a block, about
-ROUNDS = 2
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -211,23 +211,34 @@ def _across(at: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> Da
     cluster is cut into blocks of about ``BLOCK`` nodes or ``BLOCK_SIZE`` shingles, and only the pairs of blocks that meet in
     a bucket are compared, each as one task-sized group.
     """
-    open_ = at.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("key").alias("head"))
-    open_ = open_.where("c0 <> c1 AND n > 2").select("band", "head")  # a leader has met the other one of two
+    ends = [F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("key").alias("head")]
+    open_ = at.groupBy("band").agg(*ends).where("c0 <> c1 AND n > 2").select("band", "head")  # a leader has met the other one of two
     rows = materialize(at.join(open_, "band"), "open")
     if rows.isEmpty():
         return None
-    cluster = connected_components(rows, "head", "key")
+    cluster = components(rows, "head", "key")
     nodes = rows.select("key", F.col("comp").alias("fine")).distinct().join(cluster.withColumnRenamed("node", "key"), "key")
     nodes = nodes.join(sigs.select("key", "n_shingles"), "key")
-    blocks = nodes.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SIZE)).alias("blocks"))
-    nodes = materialize(nodes.join(blocks, "comp").select("key", F.col("fine").alias("comp"), F.xxhash64("comp", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "blocks")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SIZE)
+    nodes = salted_join(nodes, nodes.groupBy("comp").agg(F.ceil(size).alias("blocks")), "comp", "key", hot_keys(nodes, "comp"))
+    block = F.xxhash64("comp", F.pmod(F.xxhash64("key"), "blocks")).alias("block")
+    nodes = materialize(nodes.select("key", F.col("fine").alias("comp"), block), "blocks")
     there = rows.select("band", "key").join(nodes.select("key", "block"), "key").select("band", "block").distinct()
-    met = there.withColumnRenamed("block", "bi").join(there.withColumnRenamed("block", "bj"), "band").where("bi <= bj").select("bi", "bj").distinct()
-    each = met.select("bi", "bj", F.col("bi").alias("block")).union(met.where("bi <> bj").select("bi", "bj", F.col("bj").alias("block")))
+    met = there.withColumnRenamed("block", "bi").join(there.withColumnRenamed("block", "bj"), "band")
+    met = met.where("bi <= bj").select("bi", "bj").distinct()
+    each = met.select("bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
     full = nodes.join(sigs, "key").join(sets, "key")
     return each.join(full, "block").groupBy("bi", "bj").applyInArrow(_confirm_blocks(percent), "a binary, b binary")
 
 
+def _stars(links: DataFrame, turn) -> DataFrame:
+    """node, star: the first in the leaders' order of a node and those linked to it, its leader as a
+    rule.  Nodes with one star are connected."""
+    ends = links.union(links.select("b", "a")).toDF("node", "y")
+    best = ends.groupBy("node").agg(F.min_by("y", turn("y", 0)).alias("y"))
+    return best.select("node", F.when(turn("y", 0) < turn("node", 0), F.col("y")).otherwise(F.col("node")).alias("star"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(decisions, signed): one row per row of ``docs``.
 
@@ -237,11 +248,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     smallest non-null doc_id of the component.  Columns other than doc_id and text are not read.
     """
     signed = materialize(signatures(docs, k), "signed")
-    nodes = materialize(
-        signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low_id"), F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "sig", "bands"), F.struct("doc_id", "text_hash")).alias("r"))
-        .select("key", "low_id", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.sig").alias("sig"), F.col("r.bands").alias("bands")),
-        "nodes",
-    )
+    first = F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "sig", "bands"), F.struct("doc_id", "text_hash"))
+    nodes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low_id"), first.alias("r"))
+    nodes = materialize(nodes.select("key", "low_id", "r.*"), "nodes")
     rows = nodes.select("key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
     buckets = materialize(rows.join(shared.select("band"), "band"), "buckets")
@@ -254,29 +263,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     sets = materialize(texts.mapInArrow(_full_sets(k), "key binary, members array<long>").dropDuplicates(["key"]), "sets")
     sigs = sigs.select("key", "n_shingles", "sig", "bands")
 
-    links = comps = None
-    for turn in range(ROUNDS):
-        at = buckets if comps is None else buckets.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        order = F.struct(F.xxhash64("key", F.lit(turn)), "key")
-        head = at.groupBy("band").agg(F.min_by("key" if comps is None else F.struct("key", "comp"), order).alias("head"))
-        met = at.join(head, "band")
-        lead = F.col("head") if comps is None else F.col("head.key")
-        unlike = (lead != F.col("key")) if comps is None else (F.col("head.comp") != F.col("comp"))
-        pairs = met.where(unlike).select(F.least(lead, F.col("key")).alias("a"), F.greatest(lead, F.col("key")).alias("b")).distinct()
-        found = _verified(pairs, sigs, sets, percent)
-        links = materialize(found if links is None else links.union(found), "links")
-        comps = connected_components(links)
+    turn = lambda c, n: F.struct(F.xxhash64(c, F.lit(n)), F.col(c))
+    heads = buckets.groupBy("band").agg(F.min_by("key", turn("key", 0)).alias("head"), F.min_by("key", turn("key", 1)).alias("next"))
+    met = materialize(buckets.join(heads, "band").where("key <> head OR key <> next").select("key", "head", "next").distinct(), "met")
+    pair = lambda df, c: df.where(F.col(c) != F.col("key")).select(F.least(c, "key").alias("a"), F.greatest(c, "key").alias("b")).distinct()
+    links = materialize(_verified(pair(met, "head"), sigs, sets, percent), "links")
+    named = _stars(links, turn)
+    open_ = met.where("key <> next").select("key", "next").distinct()
+    open_ = open_.join(named.select(F.col("node").alias("key"), F.col("star").alias("s")), "key", "left")
+    open_ = open_.join(named.select(F.col("node").alias("next"), F.col("star").alias("t")), "next", "left")
+    open_ = open_.where(F.coalesce("s", "key") != F.coalesce("t", "next"))
+    links = materialize(links.union(_verified(pair(open_, "next"), sigs, sets, percent)), "links")
+    comps = components(links)
     at = buckets.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     more = _across(at, sigs, sets, percent)
     if more is not None:
-        comps = connected_components(materialize(links.union(more), "links"))
+        comps = components(materialize(links.union(more), "links"))
 
-    low = nodes.select("key", "low_id").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    low = nodes.select("key", "low_id").join(comps.withColumnRenamed("node", "key"), "key", "left")
+    low = materialize(low.select("key", "low_id", F.coalesce("comp", "key").alias("comp")), "low")
     by_comp = low.groupBy("comp").agg(F.min("low_id").alias("component_id"))
-    named = materialize(low.join(by_comp, "comp").select("key", "component_id"), "named")
-    out = signed.drop("sig", "bands").join(named, "key", "left")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out, signed
+    named = salted_join(low, by_comp, "comp", "key", hot_keys(low, "comp")).select("key", "component_id")
+    slim = signed.drop("sig", "bands")
+    out = salted_join(slim, materialize(named, "named"), "key", "doc_id", hot_keys(slim, "key"), "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")), signed
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -289,12 +300,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = materialize(found, "classes")
     none = F.col("component_id").isNull()
     # the text that stays for each class: its smallest id, then the smallest text hash
-    stay = found.groupBy("component_id", F.when(none, F.col("text_hash")).alias("__g_g")).agg(F.min_by("text_hash", F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)), "text_hash")).alias("__g_keep"))
-    gone = (
-        found.join(stay.select(F.col("component_id").alias("__g_c"), "__g_keep"), F.col("component_id") == F.col("__g_c"))
-        .where((F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() | (F.col("text_hash") != F.col("__g_keep")))
-        .select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
-    )
+    order = F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)), "text_hash")
+    stay = found.groupBy("component_id", F.when(none, F.col("text_hash")).alias("__g_g")).agg(F.min_by("text_hash", order).alias("__g_keep"))
+    gone = salted_join(found, stay.where(~none).drop("__g_g"), "component_id", "doc_id", hot_keys(found, "component_id"))
+    other = (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() | (F.col("text_hash") != F.col("__g_keep"))
+    gone = gone.where(other).select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
     twice = found.groupBy(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).count().where("count > 1").select("__g_id", "__g_th")
     twice = materialize(twice, "twice")
     same = F.col("__g_id").eqNullSafe(F.col("doc_id")) & (F.col("__g_th") == F.xxhash64("text"))
