@@ -31,7 +31,13 @@ JOINTS = ALPHABET.index("/")  # class of the first of / _ - =, the last ones of
 LLR_PER_PAIR = 0.7
 SAMPLES = 4000
 #: Words of the ordinary sample (fixed values).
-WORDS = "get set user name file path list item value index count total size page view model data table column row key map node edge graph text line word string number date time hour day month year start end first last next prev open close read write load save find search sort filter group join merge split parse format print log error warning info debug test check valid default config option param result response request client server session login admin account order invoice price customer product address phone email country city street".split()
+WORDS = """
+get set user name file path list item value index count total size page view model data table column row key map node
+edge graph text line word string number date time hour day month year start end first last next prev open close read
+write load save find search sort filter group join merge split parse format print log error warning info debug test
+check valid default config option param result response request client server session login admin account order invoice
+price customer product address phone email country city street
+""".split()
 
 
 def _random_samples(spark: SparkSession, n: int) -> DataFrame:
@@ -39,7 +45,8 @@ def _random_samples(spark: SparkSession, n: int) -> DataFrame:
     h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(F.concat(h, F.sha2(h, 256))))
     caps = F.upper(F.regexp_replace(b64, "[^A-Za-z0-9]", ""))
-    text = F.element_at(F.array(F.substring(h, 1, 40), b64, caps, F.regexp_replace(b64, "[+/=]", "")), (F.col("id") % 4 + 1).cast("int"))
+    kinds = F.array(F.substring(h, 1, 40), b64, caps, F.regexp_replace(b64, "[+/=]", ""))
+    text = F.element_at(kinds, (F.col("id") % 4 + 1).cast("int"))
     return spark.range(n).select(text.alias("text"), F.lit(1).alias("label"))
 
 
@@ -48,8 +55,13 @@ def _ordinary_samples(spark: SparkSession, n: int) -> DataFrame:
     words = F.lit(WORDS)
     pick = lambda k: F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
     a, b, c, d = (pick(k) for k in range(4))
-    kinds = [F.concat_ws("_", a, b, c, d), F.concat_ws("-", a, b, c, d), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), F.upper(F.concat_ws("_", a, b, c)), F.concat(a, b, c, d), F.concat_ws("/", a, b, c, d), F.concat(F.initcap(a), F.initcap(b), F.lit("_"), (F.col("id") % 3000).cast("string"))]
-    return spark.range(n).select(F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int")).alias("text"), F.lit(0).alias("label"))
+    kinds = [
+        F.concat_ws("_", a, b, c, d), F.concat_ws("-", a, b, c, d), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)),
+        F.upper(F.concat_ws("_", a, b, c)), F.concat(a, b, c, d), F.concat_ws("/", a, b, c, d),
+        F.concat(F.initcap(a), F.initcap(b), F.lit("_"), (F.col("id") % 3000).cast("string")),
+    ]
+    text = F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int"))
+    return spark.range(n).select(text.alias("text"), F.lit(0).alias("label"))
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
@@ -58,8 +70,10 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def _classes(text: Column) -> Column:
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))
-    return F.transform(chars, lambda c: F.when(F.length(c) == 0, F.lit(-1)).otherwise(F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(CLASSES)) - 1))
+    """Class of each character; an empty text gives one -1.  ``split`` at nothing cuts a text into its
+    characters in one pass."""
+    place = lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(CLASSES)) - 1
+    return F.transform(F.split(text, ""), lambda c: F.when(F.length(c) == 0, F.lit(-1)).otherwise(place(c)))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -68,9 +82,12 @@ def train(samples: DataFrame) -> list[float]:
     Counts come from one aggregate over all samples; a table of CLASSES squared rows at most reaches
     the driver.
     """
-    codes = samples.where("text IS NOT NULL AND label IS NOT NULL").select("label", _classes(F.col("text")).alias("c")).where(F.size("c") > 1)
-    pairs = codes.select("label", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda x, y: x * CLASSES + y)).alias("p"))
-    got = pairs.groupBy("p").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("n0")).collect()
+    codes = samples.where("text IS NOT NULL AND label IS NOT NULL").select("label", _classes(F.col("text")).alias("c"))
+    codes, n = codes.where(F.size("c") > 1), F.size("c") - 1
+    pair = F.zip_with(F.slice("c", F.lit(1), n), F.slice("c", F.lit(2), n), lambda x, y: x * CLASSES + y)
+    random = F.when(F.col("label") == 1, 1).otherwise(0)
+    counted = codes.select("label", F.explode(pair).alias("p")).groupBy("p").agg(F.sum(random).alias("n1"), F.sum(1 - random).alias("n0"))
+    got = counted.collect()
     return ratios({r["p"]: (r["n0"], r["n1"]) for r in got})
 
 
@@ -96,7 +113,8 @@ def llr_per_pair(text: Column, table: Column) -> Column:
     state = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, c: Column) -> Column:
-        return F.struct(c.alias("last"), (s["sum"] + F.when(s["last"] < 0, 0.0).otherwise(F.get(table, s["last"] * CLASSES + c))).alias("sum"))
+        own = F.when(s["last"] < 0, 0.0).otherwise(F.get(table, s["last"] * CLASSES + c))
+        return F.struct(c.alias("last"), (s["sum"] + own).alias("sum"))
 
     return F.aggregate(_classes(text), state, step, lambda s: s["sum"] / F.nullif(F.length(text) - 1, F.lit(0)))
 
@@ -113,7 +131,10 @@ def stretches(text: Column, table: Column, threshold: float) -> Column:
     joint = lambda c: F.coalesce(c, F.lit(JOINTS)).between(JOINTS, CLASSES - 2)
     codes = _classes(text)
     steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(text)), lambda c, d: F.struct(c.alias("c"), d.alias("d")))
-    state = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("w"), F.array().cast(f"array<{start}>").alias("wait"), F.lit(None).cast(start).alias("top"), F.lit(0.0).alias("total"), F.array().cast(outs).alias("out"))
+    state = F.struct(
+        F.lit(None).cast("int").alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("w"), F.array().cast(f"array<{start}>").alias("wait"),
+        F.lit(None).cast(start).alias("top"), F.lit(0.0).alias("total"), F.array().cast(outs).alias("out"),
+    )
 
     def step(s: Column, x: Column) -> Column:
         w = s["w"] + F.when(s["last"].isNull(), 0.0).otherwise(F.get(table, s["last"] * CLASSES + x["c"]) - threshold)
@@ -131,7 +152,9 @@ def stretches(text: Column, table: Column, threshold: float) -> Column:
         pair = F.array(F.struct(top["a"].alias("a"), (s["k"] + 1).alias("b"))).cast(outs)
         total = F.when(more, top["v"] + w).otherwise(s["total"])
         out = F.when(more, F.concat(top["out"], pair)).otherwise(s["out"])
-        return F.struct(x["c"].alias("last"), (s["k"] + 1).alias("k"), w.alias("w"), wait.alias("wait"), top.alias("top"), total.alias("total"), out.alias("out"))
+        return F.struct(
+            x["c"].alias("last"), (s["k"] + 1).alias("k"), w.alias("w"), wait.alias("wait"), top.alias("top"), total.alias("total"), out.alias("out"),
+        )
 
     return F.aggregate(steps, state, step, lambda s: s["out"])
 
@@ -159,33 +182,42 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
     """``docs`` with base_spans and spans: arrays of (start, end, kind, match), in order.
 
     Kinds: those of ``BASE``, and ``markov`` for runs of ``candidate`` characters, or else their
-    ``stretches``, that the models call random and that touch no base span.  Null and empty texts have empty arrays.  Rows and
-    other columns stay as they are; nothing is shuffled.
+    ``stretches``, that the models call random and that touch no base span.  Null and empty texts
+    have empty arrays.  Columns of ``docs`` with the two new names are replaced; rows and other
+    columns stay as they are, repeated rows too; nothing is shuffled.
     """
     table = train(labelled_samples(docs.sparkSession)) if table is None else table
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.drop("base_spans", "spans")
-    out = out.withColumns({f"__g_s{i}": spans(text, k, p, g, n) for i, (k, p, g, n) in enumerate(BASE)} | {"__g_m": spans(text, "markov", candidate)})
+    found = {f"__g_s{i}": spans(text, k, p, g, n) for i, (k, p, g, n) in enumerate(BASE)}
+    out = out.withColumns(found | {"__g_m": spans(text, "markov", candidate)})
     rank = {k: i for i, (k, *_) in enumerate(BASE)} | {"markov": len(BASE)}
-    kind_rank = lambda s: F.element_at(F.create_map(*[y for k, i in rank.items() for y in (F.lit(k), F.lit(i))]), s["kind"])
+    ranks = F.create_map(*[y for k, i in rank.items() for y in (F.lit(k), F.lit(i))])
+    kind_rank = lambda s: F.element_at(ranks, s["kind"])
 
     def ordered(arr: Column) -> Column:
         keyed = F.transform(arr, lambda s: F.struct(s["start"].alias("a"), kind_rank(s).alias("r"), s.alias("s")))
         return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
     base = F.concat(*[F.col(f"__g_s{i}") for i in range(len(BASE))])
-    out = out.withColumn("base_spans", F.when(F.size(base) > 0, ordered(base)).otherwise(base)).drop(*[f"__g_s{i}" for i in range(len(BASE))])
+    out = out.withColumn("base_spans", F.when(F.size(base) > 0, ordered(base)).otherwise(base)).drop(*found)
     ratio = ratio_table(table)
     typed = "array<struct<start:int,end:int,kind:string,match:string>>"
 
     def passing(m: Column) -> Column:
-        part = lambda p: F.struct((m["start"] + p["a"]).alias("start"), (m["start"] + p["b"]).alias("end"), m["kind"].alias("kind"), F.substring(m["match"], p["a"] + 1, p["b"] - p["a"]).alias("match"))
-        parts = F.when(m["match"].rlike("[/_=-]"), F.transform(stretches(m["match"], ratio, threshold), part)).otherwise(F.array().cast(typed))
+        def part(p: Column) -> Column:
+            a, b, own = m["start"] + p["a"], m["start"] + p["b"], F.substring(m["match"], p["a"] + 1, p["b"] - p["a"])
+            return F.struct(a.alias("start"), b.alias("end"), m["kind"].alias("kind"), own.alias("match"))
+
+        parts = F.transform(stretches(m["match"], ratio, threshold), part)
+        parts = F.when(m["match"].rlike("[/_=-]"), parts).otherwise(F.array().cast(typed))
         return F.when(llr_per_pair(m["match"], ratio) >= threshold, F.array(m)).otherwise(parts.cast(typed))
 
-    likely = F.filter(F.flatten(F.transform("__g_m", passing)), lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    likely = F.filter(F.flatten(F.transform("__g_m", passing)), free)
     out = out.withColumn("__g_x", F.when(F.size("__g_m") > 0, likely).otherwise(F.col("__g_m")))
-    return out.withColumn("spans", F.when(F.size("__g_x") > 0, ordered(F.concat("base_spans", "__g_x"))).otherwise(F.col("base_spans"))).drop("__g_m", "__g_x")
+    both = F.when(F.size("__g_x") > 0, ordered(F.concat("base_spans", "__g_x"))).otherwise(F.col("base_spans"))
+    return out.withColumn("spans", both).drop("__g_m", "__g_x")
 
 
 def told(arr: str) -> Column:
