@@ -1,8 +1,11 @@
 """URL rules by hash prefixes of host-suffix and path-prefix expressions.
 
-Every distinct URL is expanded into ``host suffix + path prefix`` expressions, as rule lists of
-safe-browsing kind do; an expression joins the rules on the first ``PREFIX_HEX`` hex digits of its
-SHA-256, the full digest confirms the match, and the longest rule decides.
+Every distinct URL is expanded into expressions, as rule lists of safe-browsing kind do: host
+suffixes first, which join the hosts of the rules, then for each host found the path prefixes.  Only
+suffixes of as many labels, and prefixes of as many characters, as some rule of the kind has are
+built, so the work is linear in a URL whatever dots and slashes it holds.  An expression joins on
+the first ``PREFIX_HEX`` hex digits of its SHA-256, the full digest confirms the match, and the
+longest rule decides.
 """
 
 from __future__ import annotations
@@ -32,21 +35,14 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and each parent domain."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, depths: list[int]) -> Column:
+    """The parent domains of so many labels, the host itself included."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    return F.array_compact(F.array(*[F.when(dots >= n - 1, F.substring_index(host, ".", -n)) for n in depths]).cast("array<string>"))
 
 
-def _prefixes(path: Column, lengths: list[int]) -> Column:
-    """Prefixes up to each slash, and those of the given lengths."""
-    parts = F.split(path, "/")
-    slashed = F.transform(
-        F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
-    )
-    cuts = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
-    return F.array_compact(F.array_union(slashed, F.array(*cuts).cast("array<string>"))) if cuts else F.array_distinct(slashed)
+def _hashed(df: DataFrame, text: Column, full: str, short: str) -> DataFrame:
+    return df.withColumn(full, F.sha2(text, 256)).withColumn(short, F.substring(full, 1, PREFIX_HEX))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -56,23 +52,26 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     longest rule (host and path together, then the longer host, then the smaller text) wins; of two
     rules alike, block wins.  No rule: null and ``default``.  A null URL or one without ``://`` has
     an empty host and path and fits no rule.  Columns of ``pages`` with the new names are replaced.
-    The lengths of rule paths that do not end in a slash (a handful in practice, never more than
-    the longest path) are the only thing that is brought to the driver.
+    Rules with a null or empty host fit nothing; a null path is the empty one.  The numbers of labels
+    of rule hosts (one for each number that occurs) are the only thing brought to the driver.
     """
-    rules = rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
-    odd = [r[0] for r in rules.where("path NOT LIKE '%/'").select(F.length("path")).distinct().collect()]
-    full = F.sha2(F.concat("host", F.lit("\u0000"), "path"), 256)
-    listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block > allow
-    listed = listed.select(full.alias("_digest"), F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.length("host").alias("_hl"))
-    listed = listed.withColumn("_short", F.substring("_digest", 1, PREFIX_HEX))
-    urls = pages.select(F.col("url").alias("__g_url")).where("__g_url IS NOT NULL").distinct().select("__g_url", host_of("__g_url").alias("_host"), path_of("__g_url").alias("_path"))
-    exps = (
-        urls.where("_host <> ''")
-        .select("__g_url", "_path", F.explode(_suffixes(F.col("_host"))).alias("_sfx"))
-        .select("__g_url", "_sfx", F.explode(_prefixes(F.col("_path"), odd)).alias("_pfx"))
-        .withColumn("_full", F.sha2(F.concat("_sfx", F.lit("\u0000"), "_pfx"), 256))
-    )
-    met = exps.withColumn("_short", F.substring("_full", 1, PREFIX_HEX)).join(listed, "_short").where("_full = _digest")
+    low = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rules = rules.select(low.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
+    # each host with the lengths of its rules' paths; each rule: of two alike, block > allow
+    hosts = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("_lengths"))
+    hosts = _hashed(hosts, F.col("host"), "_host_digest", "_host_short").drop("host")
+    listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("_verdict"))
+    listed = _hashed(listed, F.concat("host", F.lit("\u0000"), "path"), "_digest", "_short")
+    listed = listed.select("_digest", "_short", F.concat("host", "path").alias("_rule"), "_verdict", F.length("host").alias("_hl"))
+    urls = pages.select(F.col("url").alias("__g_url")).where("__g_url IS NOT NULL").distinct()
+    urls = urls.select("__g_url", host_of("__g_url").alias("_host"), path_of("__g_url").alias("_path")).where("_host <> ''")
+    own = urls.select("__g_url", "_path", F.explode(_suffixes(F.col("_host"), depths)).alias("_sfx"))
+    own = _hashed(own, F.col("_sfx"), "_full", "_host_short").join(hosts, "_host_short").where("_full = _host_digest")
+    fits = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    own = own.select("__g_url", "_sfx", F.explode(F.transform(fits, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_pfx"))
+    own = _hashed(own, F.concat("_sfx", F.lit("\u0000"), "_pfx"), "_full", "_short")
+    met = own.join(listed, "_short").where("_full = _digest")
     rank = F.struct(F.length("_rule").alias("n"), F.col("_hl").alias("h"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
     best = met.groupBy("__g_url").agg(F.max(rank).alias("__g_best"))
     out = pages.drop("host", "path", "rule", "verdict").join(best, F.col("url") == F.col("__g_url"), "left")
