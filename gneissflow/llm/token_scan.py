@@ -52,13 +52,19 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BL
         stream, number = f"part-{TaskContext.get().partitionId():06d}", 0
         held, ids, size = [], [], 0  # pieces, (end of document, id), tokens held
 
-        def cut(n: int) -> pa.RecordBatch:
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            """The whole blocks that are held (with ``last`` the rest too); each token is copied once."""
             nonlocal held, ids, size, number
-            flat = np.concatenate(held) if held else np.zeros(0, WIDTH)
-            names = [i for at, i in ids if at < n]
-            out = pa.RecordBatch.from_arrays([pa.array([stream]), pa.array([number], pa.int64()), pa.array([flat[:n].tobytes()], pa.binary()), pa.array([names], pa.list_(pa.int64()))], names=["stream", "block", "tokens", "doc_ids"])
-            held, ids, size, number = [flat[n:]], [(at - n, i) for at, i in ids if at >= n], size - n, number + 1
-            return out
+            flat, at, name = np.concatenate(held), 0, 0
+            while size - at >= block or (last and at < size):
+                end, first = min(at + block, size), name
+                while name < len(ids) and ids[name][0] < end:
+                    name += 1
+                names = pa.array([[i for _, i in ids[first:name]]], pa.list_(pa.int64()))
+                cols = [pa.array([stream]), pa.array([number], pa.int64()), pa.array([flat[at:end].tobytes()], pa.binary()), names]
+                yield pa.RecordBatch.from_arrays(cols, names=["stream", "block", "tokens", "doc_ids"])
+                at, number = end, number + 1
+            held, ids, size = [flat[at:].copy()], [(x - at, i) for x, i in ids[name:]], size - at
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -70,27 +76,34 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BL
                 held.append(np.array([EOD], WIDTH))
                 ids.append((size, batch.column(0)[i].as_py()))
                 size += 1
-                while size >= block:
-                    yield cut(block)
+                if size >= block:
+                    yield from cut(False)
         if size:
-            yield cut(size)
+            yield from cut(True)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "stream string, block long, tokens binary, doc_ids array<long>")
 
 
 def token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """The same blocks from flat token files (each under 2 GiB, Spark's limit for a binary file)."""
-    width = WIDTH().itemsize * block
+    """The same blocks from flat token files.
+
+    Spark reads a file of this kind as one row, so each must be under 2 GiB and fit a task; a longer
+    stream is to be written as several files.  A last odd byte is no token and is left out.  An empty
+    file has no blocks.
+    """
+    width = WIDTH().itemsize
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_buffer()
-                for number, at in enumerate(range(0, data.size, width)):
-                    part = data.slice(at, min(width, data.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([number], pa.int64()), pa.array([part], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["stream", "block", "tokens", "doc_ids"])
+                whole = data.size - data.size % width
+                for number, at in enumerate(range(0, whole, width * block)):
+                    part = data.slice(at, min(width * block, whole - at)).to_pybytes()
+                    cols = [batch.column(0).slice(i, 1), pa.array([number], pa.int64()), pa.array([part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([None], pa.list_(pa.int64()))], names=["stream", "block", "tokens", "doc_ids"])
 
     return files.mapInArrow(run, "stream string, block long, tokens binary, doc_ids array<long>")
 
@@ -100,10 +113,12 @@ def _search(eod: int):
         for batch in batches:
             n, seps = [], []
             for x in batch.column(2):
-                t = np.frombuffer(x.as_buffer(), WIDTH) if x.is_valid else np.zeros(0, WIDTH)
+                raw = x.as_buffer() if x.is_valid else b""
+                t = np.frombuffer(raw, WIDTH, len(raw) // WIDTH().itemsize)
                 n.append(len(t))
                 seps.append(np.flatnonzero(t == eod))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64()), pa.array(seps, pa.list_(pa.int64()))], names=["stream", "block", "doc_ids", "n", "seps"])
+            cols = [batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64()), pa.array(seps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["stream", "block", "doc_ids", "n", "seps"])
 
     return run
 
@@ -114,10 +129,13 @@ def separator_scan(blocks: DataFrame, eod: int = EOD) -> DataFrame:
     start: the document's first token in its stream.  n_tokens counts no separator; two separators
     in a row hold a document of no tokens.  Tokens behind the last separator are a document with
     closed = false.  An empty stream has no documents.  doc_id is null where the blocks name none.
+    A null block holds no tokens; a block's last odd byte is none.
     """
-    found = blocks.select("stream", "block", "tokens", "doc_ids").mapInArrow(_search(eod), "stream string, block long, doc_ids array<long>, n long, seps array<long>")
+    columns = "stream string, block long, doc_ids array<long>, n long, seps array<long>"
+    found = blocks.select("stream", "block", "tokens", "doc_ids").mapInArrow(_search(eod), columns)
     ahead = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumns({"base": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "before": F.coalesce(F.sum(F.size("seps")).over(ahead), F.lit(0))})
+    so_far = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    found = found.withColumns({"base": so_far("n"), "before": so_far(F.size("seps"))})
     found = found.withColumn("ends", F.transform("seps", lambda s: s + F.col("base")))
     found = found.withColumn("prev", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(ahead), F.lit(-1)))
     found = found.withColumn("final", F.lead("block").over(Window.partitionBy("stream").orderBy("block")).isNull())
@@ -129,6 +147,6 @@ def separator_scan(blocks: DataFrame, eod: int = EOD) -> DataFrame:
     each = found.select("stream", "before", "doc_ids", "m", "starts", F.posexplode("ends").alias("i", "end"))
     start = F.element_at("starts", F.col("i") + 1)
     return each.select(
-        "stream", (F.col("before") + F.col("i")).cast("long").alias("ordinal"), F.try_element_at("doc_ids", F.col("i") + 1).alias("doc_id"), start.alias("start"),
-        (F.col("end") - start).alias("n_tokens"), (F.col("i") < F.col("m")).alias("closed"),
+        "stream", (F.col("before") + F.col("i")).cast("long").alias("ordinal"), F.try_element_at("doc_ids", F.col("i") + 1).alias("doc_id"),
+        start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("i") < F.col("m")).alias("closed"),
     )
