@@ -29,11 +29,55 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "MIT": """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS"
+AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "Apache-2.0": """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable
+law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES
+OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD": """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "GPL-3.0": """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "LGPL-2.1": """
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.""",
+    "MPL-2.0": """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means.""",
+    "Zlib": """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
 }
 
 
@@ -95,29 +139,51 @@ class Templates:
         # a template covered to ``need`` words lacks at most the rest, so shows this many distinct ones
         self.least = self.has.sum(0) - np.array([len(w) - n for w, n in zip(self.words, self.need, strict=True)])
 
+    def _grown(self, doc: np.ndarray, words: list, a: int, b: int) -> list[tuple[int, int]]:
+        """Alignment of the stretch [a, b), drawn in to its matches and out by what the template lacks
+        at either end, as long as that matches more words.  Places are those of the document."""
+        best: list[tuple[int, int]] = []
+        while True:
+            found = [(a + i, j) for i, j in patience(doc[a:b].tolist(), words)]
+            if len(found) <= len(best):
+                return best
+            best = found
+            (first, head), (last, tail) = best[0], best[-1]
+            a = max(0, first - int(head / DENSITY) - 1)
+            b = min(len(doc), last + 2 + int((len(words) - 1 - tail) / DENSITY))
+
     def find(self, doc: np.ndarray, t: int, known: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first word, end, matched) of each place in a document, best first of those that overlap."""
+        """(first word, end, matched) of each place in a document, best first of those that overlap.
+
+        Windows of the longest stretch a copy may take start at a grid of half that length, so each
+        copy lies in one whole or nearly, and at each place where two of the template's first three
+        words stand, so copies that follow each other align from their heads.
+        """
         words = self.words[t]
-        n = len(words)
-        hit = np.isin(doc, words) if known is None else self.has[known, t].astype(bool) & (known >= 0)
+        n, flat = len(words), words.tolist()
+        hit = self.has[known, t].astype(bool) & (known >= 0)
         run = np.concatenate([[0], np.cumsum(hit)])
-        step, width = max(1, n // 2), 2 * n + 2
-        # a grid, and each place of the template's first word: there copies that follow each other align from their heads
-        starts = np.union1d(np.arange(0, max(1, len(doc)), step), np.flatnonzero(doc == words[0]))
-        ends = np.minimum(starts + width, len(doc))
-        got = []
-        full = run[ends] - run[starts] >= self.least[t]
+        longest = int(n / DENSITY) + 2
+        grid = np.arange(0, max(1, len(doc)), max(1, longest // 2))
+        head = np.flatnonzero(doc == words[0])
+        if n > 1:
+            near = [np.append(doc[k:], np.zeros(k, doc.dtype))[head] for k in (1, 2)]
+            head = head[(near[0] == words[1]) | (near[1] == words[min(2, n - 1)])]
+        starts = np.union1d(grid, head)
+        ends = np.minimum(starts + longest + longest // 2, len(doc))
+        full = run[ends] - run[starts] >= max(1, self.least[t])
+        got = set()
         for a, b in zip(starts[full], ends[full], strict=True):
-            if len(np.unique(doc[a:b][hit[a:b]])) < self.least[t]:
-                continue
-            m = patience(doc[a:b].tolist(), words.tolist())
-            if len(m) >= self.need[t] and len(m) >= DENSITY * (m[-1][0] - m[0][0] + 1):
-                got.append((-len(m), int(a + m[0][0]), int(a + m[-1][0] + 1)))
+            if len(np.unique(doc[a:b][hit[a:b]])) >= self.least[t]:
+                m = self._grown(doc, flat, int(a), int(b))
+                if len(m) >= self.need[t] and len(m) >= DENSITY * (m[-1][0] - m[0][0] + 1):
+                    got.add((-len(m), m[0][0], m[-1][0] + 1))
         out: list[tuple[int, int, int]] = []
-        for m, a, b in sorted(set(got)):
-            if all(b <= x or a >= y for x, y, _ in out):
-                out.append((a, b, -m))
-        return sorted(out)
+        for m, a, b in sorted(got):
+            at = bisect_left(out, (a, b, 0))
+            if (at == len(out) or out[at][0] >= b) and (at == 0 or out[at - 1][1] <= a):
+                out.insert(at, (a, b, -m))
+        return out
 
 
 def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -126,14 +192,18 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, coverage: float = C
     Words are runs of letters, digits and non-ASCII bytes, lower-cased.  Templates of up to 5 words
     must match whole; longer ones to ``coverage``, with matches dense in their stretch.  Null and
     empty texts hold none.  Repeated rows each give their places.  Each text is read in windows of
-    twice a template's length that overlap, so the work is linear in the text.
+    a fixed multiple of a template's length that overlap, so the work is linear in the text.  Other
+    columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Templates(texts, coverage))
 
+    names = ["doc_id", "license", "start_word", "end_word", "matched", "template_words", "coverage"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tm = shared.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            rows: list[tuple] = []
             for i, h, offs in word_hashes(batch.column(1), PUNCT, True):
                 at = np.minimum(np.searchsorted(tm.vocab, h), max(0, len(tm.vocab) - 1))
                 known = np.where(tm.vocab[at] == h, at, -1) if len(h) else np.zeros(0, int)
@@ -145,10 +215,10 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, coverage: float = C
                     own = slice(offs[r], offs[r + 1])
                     for a, b, m in tm.find(h[own], t, known[own]):
                         n = len(tm.words[t])
-                        for c, v in zip(cols, (batch.column(0)[int(i + r)].as_py(), tm.names[t], a, b, m, n, m / n), strict=True):
-                            c.append(v)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["doc_id", "license", "start_word", "end_word", "matched", "template_words", "coverage"])
+                        rows.append((batch.column(0)[int(i + r)].as_py(), tm.names[t], a, b, m, n, m / n))
+            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, license string, start_word long, end_word long, matched long, template_words long, coverage double")
+    columns = "doc_id long, license string, start_word long, end_word long, matched long, template_words long, coverage double"
+    return src.mapInArrow(run, columns)
