@@ -3,7 +3,8 @@
 Features of a text are its words, its pairs of neighbouring words (a word that is repeated stands as
 one mark, whatever the word) and its character n-grams (bytes, ``GRAMS``), hashed into ``BUCKETS``
 rows of a learned embedding.  A document is the mean of its rows, padded with ``PAD`` zero rows so
-that a few features of a short text decide little; a softmax layer gives the class.  Training is numpy stochastic gradient descent on a bounded sample of labelled rows.
+that a few features of a short text decide little; a softmax layer gives the class.  Training is
+numpy stochastic gradient descent on a bounded sample of labelled rows.
 
 A document's logit difference is the mean over its features of (embedding . output weights), so the
 trained model is folded into one number per bucket and scoring is a table lookup and a sum.
@@ -167,16 +168,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     """The model from at most ``rows`` labelled rows and ``size`` bytes of text.
 
     The sample is the labelled documents outside the held-out fold in the order of a hash of their id;
-    of two labels for one id the larger counts.  Texts over an eighth of ``size`` come after the others,
-    and those over ``size`` are left out, so that a long text shuts out none but long ones.  Null labels, ids and texts are left out.  One task
-    trains, so neither texts nor counts come to the driver, only the model (BUCKETS numbers).
+    of two labels for one id the larger counts, of two texts the one with the smaller hash.  Texts over
+    an eighth of ``size`` come after the others, and those over ``size`` are left out, so that a long
+    text shuts out none but long ones.  Null labels, ids and texts are left out.  One task trains, so
+    neither texts nor counts come to the driver, only the model (BUCKETS numbers).
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("__g_id"), "quality").where("__g_id IS NOT NULL AND quality IS NOT NULL").where(fold_of("__g_id") != HELD_OUT)
-    marks = marks.groupBy("__g_id").agg(F.max("quality").cast("int").alias("_y")).withColumn("_o", F.xxhash64("__g_id", F.lit(3)))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.octet_length(F.col("text").cast("string")).cast("long").alias("_n")).where(F.col("_n") <= size)
+    marks = labels.select(F.col("doc_id").cast("long").alias("__g_id"), "quality").where("__g_id IS NOT NULL AND quality IS NOT NULL")
+    marks = marks.where(fold_of("__g_id") != HELD_OUT).groupBy("__g_id").agg(F.max("quality").cast("int").alias("_y"))
+    marks = marks.withColumn("_o", F.xxhash64("__g_id", F.lit(3)))
+    text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("_n"))
+    src = src.where(F.col("_n") <= size)
     marks = marks.join(src.select(F.col("doc_id").alias("__g_id")), "__g_id", "left_semi").orderBy("_o", "__g_id").limit(rows)
-    got = src.join(F.broadcast(marks), F.col("doc_id") == F.col("__g_id"))
-    got = got.dropDuplicates(["doc_id"]).withColumn("_b", F.sum("_n").over(Window.orderBy(F.col("_n") > size // 8, "_o", "__g_id"))).where(F.col("_b") <= size)
+    got = src.join(F.broadcast(marks), F.col("doc_id") == F.col("__g_id"))  # broadcast: ``rows`` rows at most
+    own = F.min_by(F.struct("text", "_n", "_y", "_o"), F.struct(F.xxhash64("text"), "_n"))
+    got = got.groupBy("doc_id").agg(own.alias("r")).select("doc_id", "r.*")
+    so_far = F.sum("_n").over(Window.orderBy(F.col("_n") > size // 8, "_o", "doc_id"))
+    got = got.withColumn("_b", so_far).where(F.col("_b") <= size)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -193,11 +201,13 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_batch(batch.column(2), shared.value))], names=["doc_id", "text_hash", "score"])
+            scores = pa.array(score_batch(batch.column(2), shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "text_hash", "score"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     out = src.mapInArrow(run, "doc_id long, text_hash long, score double")
-    return out.select("doc_id", "text_hash", (fold_of() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", "text_hash", (fold_of() == HELD_OUT).alias("held_out"), "score", predicted)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
