@@ -39,7 +39,7 @@ LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
 def default_levels() -> list[Level]:
     return [
         Level("mix_domain", F.expr(DOMAIN_SQL), DOMAIN_WEIGHTS),
-        Level("mix_lang", F.coalesce(F.col("lang"), F.lit("none"))  , LANG_WEIGHTS),
+        Level("mix_lang", F.coalesce(F.col("lang"), F.lit("none")), LANG_WEIGHTS),
         Level("mix_source", F.coalesce(F.col("source"), F.lit("none"))),
     ]
 
@@ -127,9 +127,15 @@ def mix(docs: DataFrame, levels: list[Level] | None = None, budget: int | None =
 
 
 def select_documents(docs: DataFrame, share: tuple[int, int] = (4, 5), levels: list[Level] | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` cut to the mixture: each document once at most, whole documents only."""
-    taken = mix(docs, levels, None, share, 1, seed).where("take = n_tokens").select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
-    return docs.join(taken, F.col("__g_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__g_th") == F.xxhash64("text")), "left_semi")
+    """``docs`` cut to the mixture, in one epoch and by whole documents.
+
+    The document in which a leaf's token prefix ends stays whole, so a leaf exceeds its budget by less
+    than one document and none that was given tokens is left empty.  Repeated rows (same id and text)
+    stay or go together.
+    """
+    taken = mix(docs, levels, None, share, 1, seed).select(F.col("doc_id").alias("__g_id"), F.col("text_hash").alias("__g_th")).distinct()
+    same = F.col("__g_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__g_th") == F.xxhash64("text"))
+    return docs.join(taken, same, "left_semi")
 
 
 #: DuckDB SQL of mix() with its defaults over ``documents``.
