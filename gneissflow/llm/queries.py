@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_worker_path
-from . import bbit_minhash, hilbert_shard, markov_secrets, mixing, patience_license, rp_forest, spaced_seeds, subword_quality, token_scan, url_filter
+from . import bbit_minhash, hilbert_shard, markov_secrets, mixing, patience_license
+from . import rp_forest, spaced_seeds, subword_quality, token_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,8 @@ def op4_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near-equal bytes along a Hilbert curve."""
     out = hilbert_shard.shards(_table(spark, sf_dir, "documents"), 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "curve")
 
 
 def op6_separator_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,8 @@ def op6_separator_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bbit_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of each document: 3-word shingles, similarity of 0.85."""
     found, _ = bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
 
 
 def op8_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,8 @@ def op8_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = markov_secrets.find_secrets(docs)
     n = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(markov_secrets.told("base_spans").cast("binary"), 256).alias("base_sha256"), markov_secrets.told("spans").alias("spans"))
+    digest = F.sha2(markov_secrets.told("base_spans").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), digest, markov_secrets.told("spans").alias("spans"))
 
 
 def op9_url_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,19 +82,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL = {
-    "op1_spaced_seed_decontamination": r"""
-WITH d AS (SELECT doc_id, lower(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')::VARCHAR)::VARCHAR[] AS w FROM documents),
-i AS (SELECT item_id, lower(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')::VARCHAR)::VARCHAR[] AS t FROM benchmark),
-m(k, o) AS (VALUES (1, [0, 1, 2, 4, 7, 8]), (2, [0, 1, 4, 5, 6, 8]), (3, [0, 2, 3, 4, 6, 7])),
-dw AS (SELECT doc_id, w, unnest(range(1, len(w) - 7)) AS p FROM d WHERE len(w) >= 9),
-ds AS (SELECT doc_id, p, k, list_transform(o, lambda q: w[p + q]) AS s FROM dw, m),
-iw AS (SELECT item_id, t, unnest(range(1, len(t) - 7)) AS p FROM i WHERE len(t) >= 9),
-sd AS (SELECT item_id, p, k, list_transform(o, lambda q: t[p + q]) AS s FROM iw, m),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p - sd.p AS g FROM ds JOIN sd USING (k, s)),
-e AS (SELECT doc_id, item_id, g, len(t) AS n, list_transform(range(greatest(1, 1 - g), least(len(t), len(w) - g) + 1), lambda j: CASE WHEN t[j] = w[j + g] THEN 1 ELSE -3 END) AS v FROM h JOIN i USING (item_id) JOIN d USING (doc_id)),
-f AS (SELECT doc_id, item_id, g, n, len(list_filter(v, lambda x: x = 1)) AS matched, list_max(list_transform(range(1, len(v) + 1), lambda b: list_max(list_transform(range(1, b + 1), lambda a: list_sum(v[a:b]))))) AS run FROM e),
-best AS (SELECT doc_id, item_id, n, max({'m': matched, 'r': greatest(run, 0), 'd': -g}) AS x FROM f WHERE matched * 10 >= n * 7 OR run >= 12 GROUP BY 1, 2, 3)
-SELECT doc_id, item_id, CAST(n AS INT) AS item_tokens, CAST(x.m AS INT) AS matched, CAST(x.r AS INT) AS run, CAST(-x.d AS BIGINT) AS doc_start FROM best""",
+    "op1_spaced_seed_decontamination": spaced_seeds.oracle_sql(),
+    "op5_hilbert_shards": hilbert_shard.oracle_sql(),
     "op7_bbit_minhash_neardup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),

@@ -103,3 +103,75 @@ def base_spans(text):
         for r, (k, p, g, n) in enumerate(pats) for m in re.finditer(p, text or "", re.ASCII) if len(m.group(g)) >= n
     ]
     return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def align(a, b):
+    """Matched pairs of two word lists by the definition of patience alignment, recursively."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in align(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*align(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    pairs = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    best = [[(i, j)] for i, j in pairs]
+    for n, (_, j) in enumerate(pairs):
+        before = max((best[m] for m in range(n) if pairs[m][1] < j), key=len, default=[])
+        best[n] = [*before, pairs[n]]
+    chain = max(best, key=len, default=[])
+    if not chain:
+        return []
+    out, i0, j0 = [], 0, 0
+    for i, j in [*chain, (len(a), len(b))]:
+        out += [(i0 + x, j0 + y) for x, y in align(a[i0:i], b[j0:j])]
+        if i < len(a):
+            out.append((i, j))
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def shards(rows, n_shards, order=4):
+    """doc_id -> (curve, shard, slot) of rows (doc_id, text, lang, source)."""
+    import zlib
+
+    top, dims = 1 << order, []
+    for c in (2, 3):
+        names = [r[c] or "" for r in rows]
+        dims.append([sum(x.encode() < v.encode() for x in names) * top // len(names) for v in names])
+    raw = [(r[1] or "").encode() for r in rows]
+    dims.append([min((len(t) + 1).bit_length() - 1, top - 1) for t in raw])
+    curve = [hilbert_index(p, order) for p in zip(*dims, strict=True)]
+    size, total, at = [len(t) + 1 for t in raw], sum(len(t) + 1 for t in raw), 0
+    out, used = {}, [0] * n_shards
+    for i in sorted(range(len(rows)), key=lambda i: (curve[i], zlib.crc32(raw[i]), rows[i][0])):
+        shard = min(at * n_shards // total, n_shards - 1)
+        out[rows[i][0]] = curve[i], shard, used[shard]
+        used[shard] += 1
+        at += size[i]
+    return out
+
+
+def markov_spans(text, base, table, classes, alphabet, candidate, least, threshold):
+    """Model spans of a text: whole runs, or the best disjoint stretches between joints, by trying all."""
+    code = lambda c: alphabet.find(c) if c in alphabet else classes - 1
+    ratio = lambda s: [table[code(x) * classes + code(y)] for x, y in zip(s, s[1:], strict=False)]
+    out = []
+    for m in re.finditer(candidate, text or ""):
+        s = m.group()
+        r = ratio(s)
+        if sum(r) / len(r) >= threshold:
+            out.append((m.start(), m.end()))
+            continue
+        if not re.search("[/_=-]", s):
+            continue
+        cuts_a = [0, *(i + 1 for i, c in enumerate(s) if c in "/_=-")]
+        cuts_b = [*(i for i, c in enumerate(s) if c in "/_=-"), len(s)]
+        gain = np.concatenate([[0.0], np.cumsum(np.array(r) - threshold)])
+        best = [(0.0, [])] * (len(s) + 1)  # of the stretches that end up to here
+        for b in range(1, len(s) + 1):
+            best[b] = best[b - 1]
+            for a in cuts_a if b in cuts_b else ():
+                if b - a >= least and (own := gain[b - 1] - gain[a]) + best[a][0] > best[b][0] + 1e-12:
+                    best[b] = own + best[a][0], [*best[a][1], (a, b)]
+        out += [(m.start() + a, m.start() + b) for a, b in best[-1][1]]
+    return [(a, b) for a, b in out if all(b <= x or a >= y for _, x, y in base)]

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -106,6 +107,14 @@ def test_spaced_seeds_compare_very_long_items_whole(spark):
     assert tuple(got) == (n, n - 1)
 
 
+def test_filter_grows_with_the_seeds_within_its_bounds(spark):
+    assert [ss.bloom_bits(n) for n in (0, 1 << 10, 1 << 20, 1 << 40)] == [20, 20, 24, 28]
+    rng = np.random.default_rng(0)
+    own, other = (rng.integers(0, 1 << 63, 20_000).astype(np.uint64) for _ in range(2))
+    bloom = ss.bloom_of(spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "seed long"), ss.bloom_bits(len(own)))
+    assert len(ss._passes(bloom, own)) == len(own) and len(ss._passes(bloom, other)) < 0.02 * len(other)
+
+
 def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or 0) for r in ss.overlaps(odd_docs, bench).collect())
@@ -118,17 +127,42 @@ def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
 # ---- 2 licences
 
 
-def test_patience_alignment_is_a_common_subsequence():
+def test_patience_alignment_by_definition():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        a, b = (list(rng.integers(0, 12, rng.integers(0, 25))) for _ in range(2))
-        m = pl.patience(a, b)
+    for n in range(300):
+        a, b = (rng.integers(0, 30 if n % 2 else 8, rng.integers(0, 25)).tolist() for _ in range(2))
+        m, want = pl.patience(a, b), plain.align(a, b)
         assert all(a[i] == b[j] for i, j in m)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(m, m[1:], strict=False))
+        once = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == b.count(w) == 1]
+        longest = [1] * len(once)
+        for i in range(len(once)):
+            longest[i] += max((longest[k] for k in range(i) if once[k][1] < once[i][1]), default=0)
+        assert len(pl._increasing(once)) == max(longest, default=0)
+        assert not want or m
     assert pl.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert pl.patience([9, 1, 8, 2, 7, 3], [1, 2, 3]) == [(1, 0), (3, 1), (5, 2)]
 
 
+def test_license_coverage_does_not_depend_on_the_place():
+    tm = pl.Templates()
+    words = lambda t: np.concatenate([h for _, h, _ in tc.word_hashes(pa.array([t]), tc.PUNCT, True)])
+    t = tm.names.index("ISC")
+    n = len(tm.words[t])
+    rng = np.random.default_rng(5)
+    body = pl.TEMPLATES["ISC"].split()
+    for rate in (0.0, 0.12):
+        own = [w if rng.random() >= rate else f"x{i}" for i, w in enumerate(body)]
+        for before in range(0, 2 * n, 7):
+            doc = words(" ".join([f"f{i}" for i in range(before)] + own + [f"g{i}" for i in range(90)]))
+            at = np.minimum(np.searchsorted(tm.vocab, doc), len(tm.vocab) - 1)
+            got = tm.find(doc, t, np.where(tm.vocab[at] == doc, at, -1))
+            # brute force: every stretch that holds the copy, from its first word on
+            best = max(len(pl.patience(doc[before : before + k].tolist(), tm.words[t].tolist())) for k in range(n - 3, n + 4))
+            assert [m for _, _, m in got] == [best]
+            assert rate or got == [(before, before + n, n)]
+
+
 def test_license_scan(spark, odd_docs, no_docs):
     mit = pl.TEMPLATES["MIT"]
     changed = " ".join(w for i, w in enumerate(mit.split()) if i % 12 != 3)
@@ -269,6 +303,14 @@ def test_mixing_odd_inputs(spark, odd_docs, no_docs):
     assert mx.mix(odd_docs, budget=0).count() == 0
 
 
+def test_a_long_document_does_not_empty_its_leaf(spark):
+    rows = [(1, "w " * 1000, "en", "src0"), (2, "v " * 1000, "de", "src1"), (3, "u " * 10, "de", "src1"), (3, "u " * 10, "de", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = mx.select_documents(docs, (1, 2)).groupBy("source").count().collect()
+    assert {r.source for r in kept} == {"src0", "src1"}
+    assert mx.select_documents(docs, (1, 1)).count() == 4
+
+
 # ---- 5 shards
 
 
@@ -282,6 +324,26 @@ def test_hilbert_index_walks_cell_by_cell(spark):
         assert all(sum(abs(a - b) for a, b in zip(by[i], by[i + 1], strict=True)) == 1 for i in range(len(by) - 1))
 
 
+def test_shards_against_a_plain_version(spark, sf, odd_docs):
+    for docs in (docs_of(spark, sf), odd_docs.where("doc_id > 2")):
+        rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+        got = {r.doc_id: (r.curve, r.shard, r.slot) for r in hs.shards(docs, 8).collect()}
+        assert got == plain.shards(rows, 8)
+
+
+def test_shards_can_be_skipped_by_minima_and_maxima(spark, sf):
+    """Readers of one language, one source or the long texts skip shards; by chance they would skip none."""
+    docs = docs_of(spark, sf.replace("0.001", "0.01"))
+    at = hs.assign(docs, 16).withColumn("size", F.octet_length("text"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("lo", F.min), ("hi", F.max))]
+    shards = at.groupBy("shard").agg(*ends).collect()
+    read = lambda c, v: sum(r[f"lo_{c}"] <= v <= r[f"hi_{c}"] for r in shards)
+    langs, sources = ([r[0] for r in docs.select(c).distinct().collect()] for c in ("lang", "source"))
+    assert np.mean([read("lang", v) for v in langs]) <= 8
+    assert np.mean([read("source", v) for v in sources]) <= 12
+    assert sum(r.hi_size >= 1 << 13 for r in shards) < 16
+
+
 def test_shards(spark, sf):
     docs = {r.doc_id: r for r in docs_of(spark, sf).collect()}
     out = q.op5_hilbert_shards(spark, sf).collect()
@@ -303,6 +365,7 @@ def test_shards_odd_inputs(spark, odd_docs, no_docs):
     out = hs.shards(odd_docs, 3).collect()
     assert len(out) == 12 and {r.shard for r in out} <= {0, 1, 2}
     assert hs.shards(no_docs).count() == 0
+    assert sorted(map(str, hs.assign(odd_docs, 3).collect())) == sorted(map(str, hs.assign(odd_docs.repartition(3), 3).collect()))
     got = hs.assign(odd_docs, 3)
     assert got.count() == 12 and got.select("shard", "slot").distinct().count() == 12
     assert hs.assign(no_docs).count() == 0
@@ -339,6 +402,24 @@ def test_flat_files(spark, tmp_path):
     assert got == want
 
 
+def test_flat_files_with_an_odd_end(spark, tmp_path):
+    t = np.array([5, 6, ts.EOD, 7], np.uint16).tobytes()
+    for name, data in (("a.bin", t + b"\x01"), ("b.bin", b"\x01"), ("c.bin", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = ts.separator_scan(ts.token_files(spark, str(tmp_path), 2)).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.closed) for r in got] == [(2, True), (1, False)]
+
+
+def test_one_huge_text_among_small_blocks(spark):
+    """A text of many blocks: each token is copied once, whatever the number of cuts."""
+    text = " ".join(f"w{i % 999}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, "a b"), (2, text), (3, "c")], "doc_id long, text string").coalesce(1)
+    with open(ts.VOCABULARY, "rb") as f:
+        enc = ts.load_encoding(f.read())
+    got = {r.doc_id: r.n_tokens for r in ts.separator_scan(ts.token_streams(docs, block=64)).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in ((1, "a b"), (2, text), (3, "c"))}
+
+
 def test_token_counts_odd_inputs(spark, odd_docs, no_docs):
     got = ts.separator_scan(ts.token_streams(odd_docs)).collect()
     assert len(got) == 12 and sum(r.n_tokens == 0 for r in got) == 3
@@ -438,6 +519,33 @@ def test_model_spans_and_odd_inputs(spark, odd_docs, no_docs):
     assert out.count() == 12 and set(odd_docs.columns) < set(out.columns) and ms.find_secrets(no_docs).count() == 0
 
 
+def test_model_spans_against_a_plain_version(spark):
+    table = ms.train(ms.labelled_samples(spark, 1000))
+    rng = np.random.default_rng(9)
+    chars, words = np.array(list(ms.ALPHABET)), ms.WORDS
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 7)):
+            parts.append("".join(rng.choice(chars[:62], rng.integers(4, 30))) if rng.random() < 0.5 else str(rng.choice(words)))
+        texts.append("x " + str(rng.choice(list("/_-="))).join(parts) + " \u00e9 token=abcdefgh")
+    found = ms.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table)
+    for r in found.collect():
+        got = [(s.start, s.end) for s in r.spans if s.kind == "markov"]
+        want = plain.markov_spans(texts[r.doc_id], plain.base_spans(texts[r.doc_id]), table, ms.CLASSES, ms.ALPHABET, ms.CANDIDATE, ms.LEAST, ms.LLR_PER_PAIR)
+        assert got == sorted(want), texts[r.doc_id]
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    """One run of a million characters; time by the square would be hours."""
+    rng = np.random.default_rng(1)
+    long = "".join(rng.choice(np.array(list(ms.ALPHABET[:62])), 1_000_000))
+    docs = spark.createDataFrame([(1, f"a {long} b"), (2, "word_" * 60_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in ms.find_secrets(docs).collect()}
+    assert got == {1: [(2, 1_000_002)], 2: []} and time.time() - began < 120
+
+
 def test_secret_scan_is_native(spark, sf):
     plan = q.op8_markov_secret_scan(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in plan
@@ -494,6 +602,15 @@ def test_url_rules_against_a_plain_version(spark):
     assert uf.judge(pages.where("false"), uf.rule_table(spark)).count() == 0
 
 
+def test_hostile_urls_take_time_in_proportion(spark):
+    pages = [(1, "http://a.net" + "/" * 100_000), (2, "http://" + "a." * 100_000 + "example.com/de/" + "x/" * 50_000), (3, "http://" + "." * 100_000)]
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.judge(spark.createDataFrame(pages, "page_id long, url string"), uf.rule_table(spark)).collect()}
+    assert got == {1: ("net/", "block"), 2: ("example.com/de/", "block"), 3: (None, "allow")} and time.time() - began < 60
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert [r.verdict for r in uf.judge(spark.createDataFrame(pages, "page_id long, url string"), none).collect()] == ["allow"] * 3
+
+
 # ---- 10 quality
 
 
@@ -541,3 +658,40 @@ def test_long_texts_and_labels_without_text_leave_the_sample_to_others(spark):
     lost = [(i, 1) for i in range(1000, 1400)]
     got = sq.fit(spark.createDataFrame(rows + [(i, None) for i in range(1000, 1100)], docs), labels(lost), rows=60)
     assert (got == want).all()
+
+
+def test_training_against_a_plain_trainer():
+    """The same steps one number at a time, and the fold into one number for each bucket."""
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join(rng.choice(["aa", "bb", "cc", "dd"], 6)) for _ in range(8)])
+    labels = rng.integers(0, 2, 8)
+    got = sq.train(texts, labels, seed=3)
+    docs, r = sq.document_counts(texts), np.random.default_rng(3)
+    emb = r.uniform(-1 / sq.DIM, 1 / sq.DIM, (sq.BUCKETS, sq.DIM))
+    out, bias, steps, done = [[0.0, 0.0] for _ in range(sq.DIM)], [0.0, 0.0], sq.EPOCHS * 8, 0
+    for _ in range(sq.EPOCHS):
+        for i in r.permutation(8):
+            rate = sq.RATE * (1 - done / steps)
+            done += 1
+            ids, share = docs[i]
+            hidden = [sum(float(s) * emb[b, k] for b, s in zip(ids, share, strict=True)) for k in range(sq.DIM)]
+            z = [sum(h * o[c] for h, o in zip(hidden, out, strict=True)) + bias[c] for c in (0, 1)]
+            p1 = 1 / (1 + np.exp(z[0] - z[1]))
+            grad = [1 - p1 - (labels[i] == 0), p1 - (labels[i] == 1)]
+            back = [o[0] * grad[0] + o[1] * grad[1] for o in out]
+            for k in range(sq.DIM):
+                for c in (0, 1):
+                    out[k][c] -= rate * hidden[k] * grad[c]
+            bias = [b - rate * g for b, g in zip(bias, grad, strict=True)]
+            for b, s in zip(ids, share, strict=True):
+                for k in range(sq.DIM):
+                    emb[b, k] -= rate * len(ids) ** 0.5 * s * back[k]
+    want = np.append(emb @ (np.array(out)[:, 1] - np.array(out)[:, 0]), bias[1] - bias[0])
+    assert np.allclose(got, want)
+
+
+def test_model_does_not_depend_on_the_order_of_repeated_ids(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'} text {i} {v}") for i in range(40) for v in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fits = [sq.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert fits[0].any() and (fits[0] == fits[1]).all()
