@@ -27,8 +27,8 @@ MASKS = ("111011", "11001011", "101111", "111100001", "1100001011", "1001010101"
 SPAN = 9  # fewest tokens of an item that may differ
 WHOLE = tuple("1" * n for n in range(1, SPAN))  # masks of the shorter items, by length
 BLOOM_LEAST, BLOOM_MOST = 20, 28  # logarithm of the filter's bits: 128 KiB to 32 MiB
-BLOOM_SHARE = 16  # bits for a seed, as long as BLOOM_MOST allows; beyond it more windows pass and the join drops them
-BLOOM_HASHES = 4
+BLOOM_SHARE = 128  # bits for a seed, as long as BLOOM_MOST allows; beyond it more windows pass and the join drops them
+BLOOM_HASHES = 6  # at 128 bits for a seed one window in 10**8 passes by chance
 MIN_SHARE = (7, 10)  # matched tokens of the item
 MIN_RUN, MISS = 12, 3  # or a stretch scoring so much, a match 1 and a mismatch -MISS
 _P = np.uint64(0x9E3779B97F4A7C15)

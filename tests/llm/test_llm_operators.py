@@ -108,11 +108,11 @@ def test_spaced_seeds_compare_very_long_items_whole(spark):
 
 
 def test_filter_grows_with_the_seeds_within_its_bounds(spark):
-    assert [ss.bloom_bits(n) for n in (0, 1 << 10, 1 << 20, 1 << 40)] == [20, 20, 24, 28]
+    assert [ss.bloom_bits(n) for n in (0, 1 << 10, 1 << 15, 1 << 40)] == [20, 20, 22, 28]
     rng = np.random.default_rng(0)
     own, other = (rng.integers(0, 1 << 63, 20_000).astype(np.uint64) for _ in range(2))
     bloom = ss.bloom_of(spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "seed long"), ss.bloom_bits(len(own)))
-    assert len(ss._passes(bloom, own)) == len(own) and len(ss._passes(bloom, other)) < 0.02 * len(other)
+    assert len(ss._passes(bloom, own)) == len(own) and len(ss._passes(bloom, other)) < 3
 
 
 def test_spaced_seeds_odd_inputs(spark, odd_docs, no_docs):
