@@ -173,6 +173,6 @@ WITH d AS (SELECT doc_id, text, lang, source, CAST(coalesce(octet_length(encode(
 {cells[1]},
 c AS (SELECT doc_id, CAST({woven} AS BIGINT) AS curve, size FROM (SELECT *, {turn} AS t FROM ({curve}))),
 k AS (SELECT doc_id, {crc} AS text_crc32 FROM (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents), (SELECT {table} AS t)),
-o AS (SELECT doc_id, size, text_crc32, curve, sum(size) OVER (ORDER BY curve, text_crc32, doc_id ROWS UNBOUNDED PRECEDING) - size AS at, sum(size) OVER () AS total FROM c JOIN k USING (doc_id)),
-s AS (SELECT *, CAST(least(at * {n_shards} // total, {n_shards - 1}) AS INT) AS shard FROM o)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY at) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM s"""
+o AS (SELECT doc_id, size, text_crc32, curve, sum(size) OVER (ORDER BY curve, text_crc32, doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead, sum(size) OVER () AS total FROM c JOIN k USING (doc_id)),
+s AS (SELECT *, CAST(least(ahead * {n_shards} // total, {n_shards - 1}) AS INT) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY ahead) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM s"""
