@@ -270,8 +270,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     links = materialize(_verified(pair(met, "head"), sigs, sets, percent), "links")
     named = _stars(links, turn)
     open_ = met.where("key <> next").select("key", "next").distinct()
+    of_next = named.select(F.col("node").alias("next"), F.col("star").alias("t"))
+    open_ = salted_join(open_, of_next, "next", "key", hot_keys(open_, "next"), "left")
     open_ = open_.join(named.select(F.col("node").alias("key"), F.col("star").alias("s")), "key", "left")
-    open_ = open_.join(named.select(F.col("node").alias("next"), F.col("star").alias("t")), "next", "left")
     open_ = open_.where(F.coalesce("s", "key") != F.coalesce("t", "next"))
     links = materialize(links.union(_verified(pair(open_, "next"), sigs, sets, percent)), "links")
     comps = components(links)
