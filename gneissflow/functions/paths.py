@@ -167,8 +167,12 @@ def import_candidates(source: str | Column, specifier: str | Column) -> Column:
         )
         return F.array_compact(F.array(t, swap, *[F.concat(t, F.lit(e)) for e in EXTENSIONS], *[F.concat(t, F.lit(f"/index{e}")) for e in EXTENSIONS]))
 
-    shim = src.startswith("bin/") & target.startswith("dist/")
-    all_ = F.when(shim, F.concat(probes(target), probes(F.substring(target, 6, 1 << 20)))).otherwise(probes(target))
+    def tried(t: Column) -> Column:
+        shim = src.startswith("bin/") & t.startswith("dist/")
+        return F.when(shim, F.concat(probes(t), probes(F.substring(t, 6, 1 << 20)))).otherwise(probes(t))
+
+    # the path is needed in many places: bound once by a one-element array
+    all_ = F.get(F.transform(F.array(target), tried), F.lit(0))
     return F.when((spec.startswith("./") | spec.startswith("../")) & target.isNotNull(), all_)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
+import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +21,14 @@ REDACT_WHOLE = [
     r"(?<![A-Za-z0-9_])(AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_])",
     r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])",
 ]
+REDACT_HINTS = ["private key-----", "bearer", ("akia", "asia"), "eyj"]  # what a text must hold for each, in lower case
+ASSIGN_HINTS = ("passw", "pwd", "secret", "token", "key")
 REDACT_ASSIGN = r"""(?i)((?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key)\s*)[:=]\s*["']?[^\s"'`,;}\]]{4,}"""
-STOP_WORDS = "the a an and or of to in on for with is are was be it this that which as at by from into about over under do does did".split()
-SECURITY_WORDS = "auth token secret password crypto credential session permission".split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "be", "it", "this", "that", "which",
+    "as", "at", "by", "from", "into", "about", "over", "under", "do", "does", "did",
+]
+SECURITY_WORDS = ["auth", "token", "secret", "password", "crypto", "credential", "session", "permission"]
 IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[a-zA-Z0-9_]+(?:\.[a-zA-Z0-9_]+)+|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[a-z0-9]+(?:_[a-z0-9]+)+)(?![A-Za-z0-9_])"
 MARKER = "…[truncated]"
 
@@ -30,11 +38,16 @@ def _col(c: str | Column) -> Column:
 
 
 def redact(text: str | Column) -> Column:
-    """Secrets replaced; of ``key = value`` the key stays."""
+    """Secrets replaced; of ``key = value`` the key stays.
+
+    A pattern is tried only on texts that hold a word it needs, which few do.
+    """
     out = _col(text)
-    for rx in REDACT_WHOLE:
-        out = F.regexp_replace(out, rx, F.lit("[REDACTED]"))
-    return F.regexp_replace(out, REDACT_ASSIGN, "$1[REDACTED]")
+    low = F.lower(out)
+    holds = lambda words: F.exists(F.array(*[low.contains(w) for w in words]), lambda x: x)
+    for rx, hint in zip(REDACT_WHOLE, REDACT_HINTS, strict=True):
+        out = F.when(holds([hint] if isinstance(hint, str) else hint), F.regexp_replace(out, rx, F.lit("[REDACTED]"))).otherwise(out)
+    return F.when(holds(ASSIGN_HINTS), F.regexp_replace(out, REDACT_ASSIGN, "$1[REDACTED]")).otherwise(out)
 
 
 def redact_py(text: str) -> str:
@@ -66,21 +79,47 @@ def line_count(text: str | Column) -> Column:
     return F.size(F.split(_col(text), "\n", -1))
 
 
-#: The estimator's name, since the vocabulary the budget was made for is not at hand offline.
-ESTIMATOR = "utf8-bytes/4"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Pre-tokenization pattern of the vocabulary (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache
+def tokenizer(path: str = VOCABULARY):
+    """The byte-pair encoding of a vocabulary file; None where the file or the library is missing."""
+    try:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    except (ImportError, OSError):
+        return None
+    return tiktoken.Encoding("estimator", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def estimate_tokens(text: str | Column) -> Column:
-    """At least 1; a quarter of the UTF-8 bytes, rounded up."""
+def estimator(path: str = VOCABULARY) -> str:
+    """Name of the way tokens are counted: the vocabulary, or else bytes."""
+    return os.path.basename(path).rsplit(".", 1)[0] if tokenizer(path) else "utf8-bytes/4"
+
+
+def estimate_bytes(text: str | Column) -> Column:
+    """Tokens by size, where no vocabulary is at hand: at least 1; a quarter of the UTF-8 bytes, rounded up."""
     return F.greatest(F.lit(1), F.ceil(F.octet_length(_col(text)) / 4)).cast("long")
 
 
-def estimate_tokens_py(text: str) -> int:
+def estimate_bytes_py(text: str) -> int:
     return max(1, -(-len(text.encode()) // 4))
 
 
+def estimate_tokens_py(text: str) -> int:
+    """At least 1; tokens of the vocabulary, or else by size."""
+    enc = tokenizer()
+    return max(1, len(enc.encode_ordinary(text))) if enc else estimate_bytes_py(text)
+
+
 def clip_py(text: str, limit: int, estimate: Callable[[str], int] = estimate_tokens_py) -> str:
-    """``text`` cut to ``limit`` tokens with a marker; whole characters only."""
+    """``text`` cut to ``limit`` tokens with a marker: three bytes for a token, whole characters only;
+    less where that still is too much."""
     if limit <= 0:
         return ""
     if estimate(text) <= limit:
@@ -88,7 +127,10 @@ def clip_py(text: str, limit: int, estimate: Callable[[str], int] = estimate_tok
     room = limit - estimate(MARKER)
     if room <= 0:
         return "…" if estimate("…") <= limit else ""
-    return text.encode()[: room * 3].decode("utf-8", "ignore") + MARKER
+    size = room * 3
+    while estimate(out := text.encode()[:size].decode("utf-8", "ignore") + MARKER) > limit and size:
+        size = max(0, size - max(1, estimate(out) - limit))
+    return out
 
 
 def security_word(name: str | Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..scratch import materialize
 
 EDGE = ["kind", "src", "dst", "confidence", "tier"]
 
@@ -62,34 +63,42 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     eligible = files if eligible is None else eligible
     f, s = F.col("path"), F.col("qualified_name")
     nodes = files.select(file_id(f).alias("id"), F.lit("file").alias("kind")).union(symbols.select(sym_id(s), F.lit("symbol"))).distinct()
-    contains = symbols.select(F.lit("CONTAINS").alias("kind"), file_id(f).alias("src"), sym_id(s).alias("dst"), F.lit(1.0).alias("confidence"), F.lit("extracted").alias("tier"), F.lit(0).alias("ord"))
+    sure = [F.lit(1.0).alias("confidence"), F.lit("extracted").alias("tier"), F.lit(0).alias("ord")]
+    contains = symbols.select(F.lit("CONTAINS").alias("kind"), file_id(f).alias("src"), sym_id(s).alias("dst"), *sure)
 
-    found = resolve_imports(imports, eligible)
+    found = materialize(resolve_imports(imports, eligible), "resolved")
     inner = found.where("target IS NOT NULL").join(files.select(F.col("path").alias("target")), "target", "left_semi")
-    imported = inner.select(F.lit("IMPORTS").alias("kind"), file_id(f).alias("src"), file_id(F.col("target")).alias("dst"), F.lit(1.0).alias("confidence"), F.lit("extracted").alias("tier"), F.lit(0).alias("ord"))
+    imported = inner.select(F.lit("IMPORTS").alias("kind"), file_id(f).alias("src"), file_id(F.col("target")).alias("dst"), *sure)
 
     # names: first symbol of a name in a file, first exported one, and what an imported name leads to
     here = first_of(symbols, ["path", "name"], "pos", "qualified_name")
     public = first_of(symbols.where("exported"), ["path", "name"], "pos", "qualified_name")
     named = first_of(imports.where("imported_name IS NOT NULL"), ["path", "imported_name"], "pos", "module_specifier")
     scope = named.join(inner, ["path", "module_specifier"]).select("path", F.col("imported_name").alias("name"), "target")
-    through = scope.join(public.select(F.col("path").alias("target"), "name", "qualified_name"), ["target", "name"]).select("path", "name", "target", "qualified_name")
+    through = scope.join(public.select(F.col("path").alias("target"), "name", "qualified_name"), ["target", "name"])
+    through = materialize(through.select("path", "name", "target", "qualified_name"), "through")
 
     lines = []
     for kind, part in (("INHERITS", "extends"), ("IMPLEMENTS", "implements")):
         base = symbols.select("path", F.col("qualified_name").alias("own"), F.explode(f"heritage.{part}").alias("name"))
         near = base.join(here, ["path", "name"], "left").withColumnRenamed("qualified_name", "a")
-        both = near.join(through.select("path", "name", F.col("qualified_name").alias("b")), ["path", "name"], "left").where("a IS NOT NULL OR b IS NOT NULL")
-        lines.append(both.select(F.lit(kind).alias("kind"), sym_id(F.col("own")).alias("src"), sym_id(F.coalesce("a", "b")).alias("dst"), F.when(F.col("a").isNotNull(), 0.95).otherwise(0.9).alias("confidence"), F.lit("extracted").alias("tier"), F.when(F.col("a").isNotNull(), 0).otherwise(1).alias("ord")))
+        both = near.join(through.select("path", "name", F.col("qualified_name").alias("b")), ["path", "name"], "left")
+        local = F.col("a").isNotNull()
+        lines.append(both.where("a IS NOT NULL OR b IS NOT NULL").select(
+            F.lit(kind).alias("kind"), sym_id(F.col("own")).alias("src"), sym_id(F.coalesce("a", "b")).alias("dst"),
+            F.when(local, 0.95).otherwise(0.9).alias("confidence"), F.lit("extracted").alias("tier"), F.when(local, 0).otherwise(1).alias("ord"),
+        ))
 
     text, caller = F.col("callee_text"), F.col("caller_qualified_name")
     parts = F.split(text, r"\.")
     cls = F.split(F.element_at(F.split(caller, "#"), 2), r"\.")
+    in_class = (F.col("receiver") == "this") & caller.contains("#") & (F.size(cls) >= 2)
     c = calls.select(
-        "path", "pos", "receiver", F.when(caller != "", sym_id(caller)).otherwise(file_id(f)).alias("src"), F.when(caller != "", caller).otherwise(file_id(f)).alias("who"),
+        "path", "pos", "receiver", F.when(caller != "", sym_id(caller)).otherwise(file_id(f)).alias("src"),
+        F.when(caller != "", caller).otherwise(file_id(f)).alias("who"),
         F.when(F.col("receiver") == "identifier", text).when(F.col("receiver") == "property", parts[0]).alias("name"),
         F.when(F.col("receiver") == "property", F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("prop"),
-        F.when((F.col("receiver") == "this") & caller.contains("#") & (F.size(cls) >= 2), F.concat(f, F.lit("#"), cls[0], F.lit("."), F.element_at(parts, -1))).alias("sibling"),
+        F.when(in_class, F.concat(f, F.lit("#"), cls[0], F.lit("."), F.element_at(parts, -1))).alias("sibling"),
         F.regexp_replace(F.when(F.col("receiver") == "property", parts[0]).otherwise(text), r"^\s+|\s+$", "").alias("base"),
     )
     own = symbols.select("path", F.col("qualified_name").alias("sibling")).distinct().withColumn("to_sibling", F.col("sibling"))
@@ -104,10 +113,13 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     to = F.when(ident, F.coalesce("to_here", "to_import")).when(prop, F.col("to_member")).otherwise(F.col("to_sibling"))
     strong = (ident & F.col("to_here").isNotNull()) | F.col("to_sibling").isNotNull()
     c = c.withColumns({"to": to, "confidence": F.when(strong, 0.95).otherwise(0.9)})
-    called = c.where("to IS NOT NULL").select(F.lit("CALLS").alias("kind"), "src", sym_id(F.col("to")).alias("dst"), "confidence", F.lit("extracted").alias("tier"), F.col("pos").alias("ord"))
-
-    outside = imports.join(found.where("external"), ["path", "module_specifier"], "left_semi").where("imported_name IS NOT NULL AND imported_name <> ''").select("path", F.col("imported_name").alias("base")).distinct()
-    unresolved = c.where("to IS NULL").join(outside, ["path", "base"], "left_anti").groupBy(F.col("who").alias("caller")).agg(F.count(F.lit(1)).alias("count"))
+    called = c.where("to IS NOT NULL").select(
+        F.lit("CALLS").alias("kind"), "src", sym_id(F.col("to")).alias("dst"), "confidence", F.lit("extracted").alias("tier"), F.col("pos").alias("ord"),
+    )
+    outside = imports.join(found.where("external"), ["path", "module_specifier"], "left_semi")
+    outside = outside.where("imported_name IS NOT NULL AND imported_name <> ''").select("path", F.col("imported_name").alias("base")).distinct()
+    open_ = c.where("to IS NULL").join(outside, ["path", "base"], "left_anti")
+    unresolved = open_.groupBy(F.col("who").alias("caller")).agg(F.count(F.lit(1)).alias("count"))
 
     edges = contains.unionByName(imported)
     for x in (*lines, called):
@@ -119,9 +131,13 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
 def tested_by(files: DataFrame, edges: DataFrame) -> DataFrame:
     """From test file to tested file: by imports, and by name for tests that import nothing tested."""
     path = lambda c: F.substring(c, 6, 1 << 20)
-    by_import = edges.where(F.col("kind") == "IMPORTS").where(P.is_test(path("src")) & ~P.is_test(path("dst")))
-    by_import = by_import.select(F.lit("TESTED_BY").alias("kind"), "src", "dst", F.lit(0.8).alias("confidence"), F.lit("inferred").alias("tier"))
+
+    def edge(df: DataFrame, dst, confidence: float) -> DataFrame:
+        return df.select(F.lit("TESTED_BY").alias("kind"), "src", dst, F.lit(confidence).alias("confidence"), F.lit("inferred").alias("tier"))
+
+    imports = edges.where(F.col("kind") == "IMPORTS").where(P.is_test(path("src")) & ~P.is_test(path("dst")))
+    by_import = edge(imports, F.col("dst"), 0.8)
     rest = files.where(P.is_test("path")).select(F.col("path").alias("source"), file_id(F.col("path")).alias("src"), P.test_subjects("path").alias("_c"))
     rest = rest.join(by_import.select("src").distinct(), "src", "left_anti")
-    by_name = resolve_first(rest, ["src"], "_c", files).select(F.lit("TESTED_BY").alias("kind"), "src", file_id(F.col("target")).alias("dst"), F.lit(0.7).alias("confidence"), F.lit("inferred").alias("tier"))
+    by_name = edge(resolve_first(rest, ["src"], "_c", files), file_id(F.col("target")).alias("dst"), 0.7)
     return by_import.unionByName(by_name)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import round4
-from ..scratch import materialize
+from ..functions.text import round4, utf16_key
+from ..scratch import drop, materialize
 from .skew import hot_keys, salted_join
 
 #: Names that never count as hubs (fixed values).
@@ -37,7 +37,8 @@ def in_degree(edges: DataFrame, kind: str = "CALLS") -> DataFrame:
 
 def census(edges: DataFrame, top: int = 20) -> DataFrame:
     """The most-called symbols: qualified_name, n."""
-    return in_degree(edges).where(F.col("dst").startswith("sym:")).select(bare("dst").alias("qualified_name"), "n").orderBy(F.desc("n"), "qualified_name").limit(top)
+    counted = in_degree(edges).where(F.col("dst").startswith("sym:")).select(bare("dst").alias("qualified_name"), "n")
+    return counted.orderBy(F.desc("n"), utf16_key("qualified_name")).limit(top)
 
 
 def god_symbols(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -58,8 +59,10 @@ def boundary_files(edges: DataFrame) -> DataFrame:
 
 def dir_imports(edges: DataFrame, top: int = 50) -> DataFrame:
     """from_dir, to_dir, n of imports between top directories; a root file is its own directory."""
-    both = edges.where("kind = 'IMPORTS' AND src LIKE 'file:%' AND dst LIKE 'file:%'").select(P.top_dir(bare("src"), None).alias("from_dir"), P.top_dir(bare("dst"), None).alias("to_dir"))
-    return both.where("from_dir <> to_dir").groupBy("from_dir", "to_dir").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "from_dir", "to_dir").limit(top)
+    both = edges.where("kind = 'IMPORTS' AND src LIKE 'file:%' AND dst LIKE 'file:%'")
+    both = both.select(P.top_dir(bare("src"), None).alias("from_dir"), P.top_dir(bare("dst"), None).alias("to_dir"))
+    counted = both.where("from_dir <> to_dir").groupBy("from_dir", "to_dir").agg(F.count(F.lit(1)).alias("n"))
+    return counted.orderBy(F.desc("n"), utf16_key("from_dir"), utf16_key("to_dir")).limit(top)
 
 
 def dead_code(edges: DataFrame, symbols: DataFrame, top: int = 50) -> DataFrame:
@@ -68,7 +71,8 @@ def dead_code(edges: DataFrame, symbols: DataFrame, top: int = 50) -> DataFrame:
     gate = calls.select(F.lit(1).alias("_g")).limit(1)
     live = symbols.where("exported AND NOT is_test").where(~F.col("kind").isin(TYPE_ONLY)).where(~P.is_dead_entry("path"))
     dead = live.join(calls.select(F.col("dst")).distinct(), F.concat(F.lit("sym:"), F.col("qualified_name")) == F.col("dst"), "left_anti")
-    return dead.crossJoin(F.broadcast(gate)).select("qualified_name", F.lit(0.6).alias("confidence")).orderBy("qualified_name").limit(top)
+    found = dead.crossJoin(F.broadcast(gate)).select("qualified_name", F.lit(0.6).alias("confidence"))  # one row
+    return found.orderBy(utf16_key("qualified_name")).limit(top)
 
 
 def test_gaps(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -93,21 +97,29 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     weight = F.when(F.col("kind") == "CALLS", IMPACT["CALLS"]).otherwise(IMPACT["IMPORTS"])
     back = edges.where(F.col("kind").isin(*IMPACT)).groupBy("src", "dst").agg(F.max(weight).alias("w"))
+    back = materialize(back, "back")
     seen = seeds.select("id").distinct().withColumns({"depth": F.lit(0), "score": F.lit(1.0)})
     level = seen
     for depth in range(1, DEPTH + 1):
         reached = level.join(back, F.col("id") == F.col("dst")).groupBy("src").agg(F.max(F.col("score") * F.col("w")).alias("score"))
-        level = reached.select(F.col("src").alias("id"), F.lit(depth).alias("depth"), "score").where(F.col("score") >= FLOOR).join(seen.select("id"), "id", "left_anti")
+        reached = reached.select(F.col("src").alias("id"), F.lit(depth).alias("depth"), "score").where(F.col("score") >= FLOOR)
+        level = materialize(reached.join(seen.select("id"), "id", "left_anti"), "level")
         seen = seen.unionByName(level)
     return seen.where("depth > 0")
 
 
 def symbol_pairs(edges: DataFrame) -> DataFrame:
-    """a, b, weight of symbols that call each other, or whose files import each other; a < b."""
+    """a, b, weight of symbols that call each other, or whose files import each other; a < b.
+
+    An import stands for all pairs of the two files' symbols, so the rows grow with the product of the
+    numbers of symbols of two files (of some hundreds each), never with the square of the graph.
+    """
     holds = edges.where("kind = 'CONTAINS' AND dst LIKE 'sym:%'").select(F.col("src").alias("f"), F.col("dst").alias("s"))
-    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%'").select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(WEIGHT["CALLS"]).alias("w"))
+    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%'")
+    calls = calls.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(WEIGHT["CALLS"]).alias("w"))
     imports = edges.where("kind = 'IMPORTS'").select("src", "dst")
-    spread = imports.join(holds.select(F.col("f").alias("src"), F.col("s").alias("x")), "src").join(holds.select(F.col("f").alias("dst"), F.col("s").alias("y")), "dst")
+    spread = imports.join(holds.select(F.col("f").alias("src"), F.col("s").alias("x")), "src")
+    spread = spread.join(holds.select(F.col("f").alias("dst"), F.col("s").alias("y")), "dst")
     both = calls.union(spread.select("x", "y", F.lit(WEIGHT["IMPORTS"]).alias("w"))).where("x <> y")
     return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("w").alias("weight"))
 
@@ -124,7 +136,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one = pairs.select(F.col(a).alias("node"), F.col(b).alias("y")).where("node <> y")
     both = materialize(one.union(one.select("y", "node")).distinct(), "pairs")
     hubs = materialize(hot_keys(both, "y"), "hubs")
-    label = materialize(both.groupBy("node").agg(F.least(F.min("y"), F.min("node")).alias("comp")), "labels")
+    label = held = materialize(both.groupBy("node").agg(F.least(F.min("y"), F.min("node")).alias("comp")), "labels")
     while True:
         large = hot_keys(label, "comp")
         of_y = salted_join(both, label.select(F.col("node").alias("y"), "comp"), "y", "node", hubs)
@@ -135,8 +147,10 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = hooked.select(F.col("node").alias("comp"), F.col("low").alias("far"))
         new = salted_join(hooked, jump, "comp", "node", large, "left")
         new = materialize(new.select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
-        label = new.select("node", "comp")
+        drop(held)
+        label, held = new.select("node", "comp"), new
         if new.where("comp < was").isEmpty():
+            drop(both, hubs)
             return label
 
 
@@ -183,25 +197,31 @@ def prune_component(nodes: list[str], pairs: Iterable[tuple[str, str, float]], l
     return out
 
 
+def _utf16(text: str) -> bytes:
+    return text.encode("utf-16-be", "surrogatepass")
+
+
 def _majority_dir(members: list[str]) -> str:
     dirs: dict[str, int] = {}
     for m in members:
         f = m.split("#")[0]
         d = f.rsplit("/", 1)[0] if "/" in f else "."
         dirs[d] = dirs.get(d, 0) + 1
-    return min(dirs, key=lambda d: (-dirs[d], d)) if dirs else "."
+    return min(dirs, key=lambda d: (-dirs[d], _utf16(d))) if dirs else "."
 
 
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, label, members, member_count, cohesion of groups of symbols that belong together.
 
-    Components are found by joins; a component is cut by one Python task, so it must fit one.  A graph without calls and imports has none.
+    Components are found by joins.  A component is cut by one Python task, so its pairs must fit one
+    (some 100 bytes each): cutting needs the order of all its pairs.  Small components share a task.
+    A graph without calls and imports has none.
     """
     symbols = nodes.where("kind = 'symbol'").select(F.col("id")).distinct()
     total = symbols.count()
     ids = symbols.select(F.col("id").alias("a"))
-    pairs = symbol_pairs(edges).join(ids, "a", "left_semi").join(ids.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b", "weight")
-    pairs = materialize(pairs, "weights")
+    pairs = symbol_pairs(edges).join(ids, "a", "left_semi").join(ids.withColumnRenamed("a", "b"), "b", "left_semi")
+    pairs = materialize(pairs.select("a", "b", "weight"), "weights")
     limit = max(2, -(-total // 4))
     comps = components(pairs)
     grouped = pairs.join(comps.withColumnRenamed("node", "a"), "a")
@@ -213,12 +233,17 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         for c, *pair in zip(*(table[x].to_pylist() for x in ("comp", "a", "b", "weight")), strict=True):
             by.setdefault(c, []).append(tuple(pair))
         rows = [
-            (sorted(x.removeprefix("sym:") for x in own), cohesion)
-            for links in by.values() for own, cohesion in prune_component(list({x for a, b, _ in links for x in (a, b)}), links, limit) if len(own) > 1
+            (sorted((x.removeprefix("sym:") for x in own), key=_utf16), cohesion)
+            for links in by.values()
+            for own, cohesion in prune_component(list({x for a, b, _ in links for x in (a, b)}), links, limit)
+            if len(own) > 1
         ]
         return pa.table({
-            "id": pa.array(["c-" + hashlib.sha256("\n".join(m).encode()).hexdigest()[:8] for m, _ in rows], pa.string()), "label": pa.array([_majority_dir(m) for m, _ in rows], pa.string()),
-            "members": pa.array([m for m, _ in rows], pa.list_(pa.string())), "member_count": pa.array([len(m) for m, _ in rows], pa.int32()), "cohesion": pa.array([round4(c) for _, c in rows], pa.float64()),
+            "id": pa.array(["c-" + hashlib.sha256("\n".join(m).encode()).hexdigest()[:8] for m, _ in rows], pa.string()),
+            "label": pa.array([_majority_dir(m) for m, _ in rows], pa.string()),
+            "members": pa.array([m for m, _ in rows], pa.list_(pa.string())),
+            "member_count": pa.array([len(m) for m, _ in rows], pa.int32()),
+            "cohesion": pa.array([round4(c) for _, c in rows], pa.float64()),
         })
 
     grouped = grouped.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).select("bucket", "comp", "a", "b", "weight")
@@ -234,15 +259,21 @@ def surprises(edges: DataFrame, member_of: DataFrame, hubs: DataFrame, language_
 
     member_of(member, community), hubs(member), language_of(member, language).
     """
-    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%'").select(bare("src").alias("src"), bare("dst").alias("dst")).where("src <> dst")
+    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%'")
+    calls = calls.select(bare("src").alias("src"), bare("dst").alias("dst")).where("src <> dst")
     for end in ("src", "dst"):
         calls = calls.join(member_of.select(F.col("member").alias(end), F.col("community").alias(f"{end}_c")), end, "left")
         calls = calls.join(language_of.select(F.col("member").alias(end), F.col("language").alias(f"{end}_l")), end, "left")
         calls = calls.join(hubs.select(F.col("member").alias(end), F.lit(True).alias(f"{end}_h")), end, "left")
-    tests = [(F.col("src_c") != F.col("dst_c"), 3, "cross-community"), (F.col("src_l") != F.col("dst_l"), 2, "cross-language"), (F.col("src_h").isNotNull() != F.col("dst_h").isNotNull(), 2, "hub-periphery")]
+    tests = [
+        (F.col("src_c") != F.col("dst_c"), 3, "cross-community"),
+        (F.col("src_l") != F.col("dst_l"), 2, "cross-language"),
+        (F.col("src_h").isNotNull() != F.col("dst_h").isNotNull(), 2, "hub-periphery"),
+    ]
     score = sum((F.when(t, n).otherwise(0) for t, n, _ in tests), F.lit(0))
     reasons = F.array_compact(F.array(*[F.when(t, r) for t, _, r in tests]))
-    return calls.select("src", "dst", score.alias("score"), reasons.alias("reasons")).where("score > 0").orderBy(F.desc("score"), "src", "dst").limit(top)
+    found = calls.select("src", "dst", score.alias("score"), reasons.alias("reasons")).where("score > 0")
+    return found.orderBy(F.desc("score"), utf16_key("src"), utf16_key("dst")).limit(top)
 
 
 def tour(edges: DataFrame, nodes: DataFrame, start: str) -> list[str]:
@@ -252,13 +283,15 @@ def tour(edges: DataFrame, nodes: DataFrame, start: str) -> list[str]:
     """
     if nodes.where(F.col("id") == start).isEmpty():
         return []
-    steps = edges.where(F.col("kind").isin("IMPORTS", "CONTAINS")).select("src", "dst").join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").distinct()
+    steps = edges.where(F.col("kind").isin("IMPORTS", "CONTAINS")).select("src", "dst")
+    steps = materialize(steps.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").distinct(), "steps")
     order, seen, front = [start], {start}, [start]
     while front and len(order) < TOUR_MOST:
         near = steps.where(F.col("src").isin(front)).where(~F.col("dst").isin(list(seen)))
-        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= TOUR_MOST * 2).collect()
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(utf16_key("dst"))))
+        near = near.where(F.col("_n") <= TOUR_MOST * 2).collect()
         by: dict[str, list[str]] = {}
-        for r in sorted(near, key=lambda r: r["dst"]):
+        for r in sorted(near, key=lambda r: _utf16(r["dst"])):
             by.setdefault(r["src"], []).append(r["dst"])
         nxt = []
         for x in front:

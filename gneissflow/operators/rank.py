@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..scratch import materialize
 from .graph import bare
 
 RRF = 60
@@ -18,15 +19,27 @@ def text_score(terms: list[str], identifiers: list[str]) -> Column:
     context = F.lower(F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.coalesce("jsdoc", F.lit(""))))
     score = F.when(F.col("exported"), 1).otherwise(0)
     for t in terms:
-        score = score + F.when(name.contains(t), 3).otherwise(0) + F.when(qname.contains(t), 2).otherwise(0) + F.when(path.contains(t), 2).otherwise(0) + F.when(context.contains(t), 1).otherwise(0)
+        for where, points in ((name, 3), (qname, 2), (path, 2), (context, 1)):
+            score = score + F.when(where.contains(t), points).otherwise(0)
     for i in (x.lower() for x in identifiers):
         score = score + F.when((name == i) | qname.endswith(i), 15).otherwise(0)
     return score
 
 
 def ranked(df: DataFrame, key: str, order: list[Column], as_: str) -> DataFrame:
-    """key and its place (from 1) in an order.  One list is one order over all rows."""
-    return df.select(key, F.row_number().over(Window.orderBy(*order)).alias(as_))
+    """key and its place (from 1) in one order over all rows.
+
+    The order is cut into ranges, one for each task; a place is the place in the range and the number
+    of rows in the ranges before it, so no task sees all rows.  Rows alike in ``order`` stay together.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    cut = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each task
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    at = cut.withColumn("_place", place).join(F.broadcast(sizes), "_part")
+    return at.select(key, (F.col("_place") + F.col("_before")).alias(as_))
 
 
 def fuse(keys: DataFrame, key: str, lists: list[DataFrame]) -> DataFrame:
@@ -42,7 +55,8 @@ def fuse(keys: DataFrame, key: str, lists: list[DataFrame]) -> DataFrame:
 def import_neighbours(edges: DataFrame, changed: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols of the files that changed files import."""
     paths = changed.select(P.file_of("qualified_name").alias("p")).distinct()
-    near = edges.where("kind = 'IMPORTS' AND src LIKE 'file:%'").select(bare("src").alias("p"), bare("dst").alias("path")).join(paths, "p", "left_semi").select("path").distinct()
+    imports = edges.where("kind = 'IMPORTS' AND src LIKE 'file:%'").select(bare("src").alias("p"), bare("dst").alias("path"))
+    near = imports.join(paths, "p", "left_semi").select("path").distinct()
     return symbols.join(near, "path", "left_semi").select("qualified_name").distinct()
 
 
@@ -50,12 +64,11 @@ def rank_symbols(symbols: DataFrame, intent: str, edges: DataFrame, changed: Dat
     """qualified_name, score in fused order; a name that stands twice counts once."""
     terms, ids = T.terms_py(intent)
     once = symbols.withColumn("_s", text_score(terms, ids)).groupBy("qualified_name").agg(F.max("_s").alias("_s"))
-    q = F.col("qualified_name")
-    lists = [
-        ranked(once, "qualified_name", [F.desc("_s"), q], "r"), ranked(gods, "qualified_name", [F.desc("score"), q], "r"),
-        ranked(changed.select("qualified_name").distinct(), "qualified_name", [q], "r"), ranked(import_neighbours(edges, changed, symbols), "qualified_name", [q], "r"),
-    ]
-    return fuse(once, "qualified_name", lists).orderBy(F.desc("score"), "qualified_name")
+    q = T.utf16_key("qualified_name")
+    near = import_neighbours(edges, changed, symbols)
+    lists = [(once, [F.desc("_s"), q]), (gods, [F.desc("score"), q]), (changed.select("qualified_name").distinct(), [q]), (near, [q])]
+    lists = [ranked(df, "qualified_name", order, "r") for df, order in lists]
+    return fuse(once, "qualified_name", lists).orderBy(F.desc("score"), q)
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, as_: str = "rank") -> DataFrame:
@@ -66,16 +79,21 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, as_: str =
 def greedy_pack(items: DataFrame, budget: int, order: list[str]) -> DataFrame:
     """Items in order under a budget, skipping what does not fit.
 
-    items(id, size, clipable, <order>): at most a few hundred candidates, one fold over one array.
+    items(id, size, clipable, <order>): a list of candidates (700 in a report), one fold over one
+    array: what is left of the budget depends on every item before.
     Returns ord, id, size, used, included, clipped.
     """
     one = F.struct(*order, F.col("id"), F.col("size").cast("long").alias("size"), F.col("clipable"))
-    state = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<id:string,size:bigint,used:bigint,included:boolean,clipped:boolean>>").alias("out"))
+    rows = "array<struct<id:string,size:bigint,used:bigint,included:boolean,clipped:boolean>>"
+    state = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(rows).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         fits = F.when(x["clipable"], s["left"] > 0).otherwise(x["size"] <= s["left"])
         used = F.when(fits, F.least(x["size"], s["left"])).otherwise(F.lit(0).cast("long"))
-        row = F.struct(x["id"].cast("string").alias("id"), x["size"].alias("size"), used.alias("used"), fits.alias("included"), (fits & (used < x["size"])).alias("clipped"))
+        clipped = fits & (used < x["size"])
+        row = F.struct(
+            x["id"].cast("string").alias("id"), x["size"].alias("size"), used.alias("used"), fits.alias("included"), clipped.alias("clipped"),
+        )
         return F.struct((s["left"] - used).alias("left"), F.array_append(s["out"], row).alias("out"))
 
     folded = items.agg(F.aggregate(F.array_sort(F.collect_list(one)), state, step, lambda s: s["out"]).alias("o"))

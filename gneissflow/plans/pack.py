@@ -36,6 +36,7 @@ class Scan:
     contents: DataFrame  # path, content, size, digest, reason
     facts: Facts
     skipped: list[dict]
+    denied: int
     truncated: bool
     manifest: list[dict]
     dirty: list[dict]
@@ -54,14 +55,13 @@ class Analysis:
     changed: DataFrame
     churn: DataFrame
     cochange: DataFrame
-    max_churn: int
-    max_in_degree: int
+    largest: DataFrame  # one row: max_churn, max_in_degree
 
 
 def descriptor() -> dict:
     return {
         "provider": PROVIDER, "protocolVersion": Q.PROTOCOL, "supportedProtocolVersions": [Q.PROTOCOL], "features": ["pack"], "focusValues": Q.FOCUS,
-        "estimator": T.ESTIMATOR, "limits": Q.LIMITS, "optionalRequestFields": ["changedPaths", "gitRef", "baseRef", "includePaths", "excludePaths"],
+        "estimator": T.estimator(), "limits": Q.LIMITS, "optionalRequestFields": ["changedPaths", "gitRef", "baseRef", "includePaths", "excludePaths"],
     }
 
 
@@ -79,18 +79,17 @@ def scan(spark: SparkSession, ws: S.Workspace, deny: list[str], include: list[st
     S.register(spark)
     listed = materialize(_source(spark, "git_files", ws.root, ref=commit).withColumn("denied", P.denied("path", deny)), "listed")
     wanted = listed.where(~F.col("denied")).where(P.included("path", include)).select("path")
-    eligible = wanted.orderBy("path").limit(most)
+    eligible = wanted.orderBy(T.utf16_key("path")).limit(most)
     read = materialize(S.read_contents(eligible.repartition(8, "path"), ws.root, commit), "contents")
     facts = extract_facts(read.where("reason IS NULL"))
-    skipped = [{"path": r["path"], "reason": "denylist"} for r in listed.where("denied").select("path").orderBy("path").collect()]
-    outcome = read.select("path", "digest", "reason").orderBy("path").collect()
-    skipped += [{"path": r["path"], "reason": r["reason"]} for r in outcome if r["reason"]]
+    outcome = read.select("path", "digest", "reason").orderBy(T.utf16_key("path")).collect()
+    skipped = [{"path": r["path"], "reason": r["reason"]} for r in outcome if r["reason"]]
     manifest = [{"path": r["path"], "digest": r["digest"]} for r in outcome if not r["reason"]]
     statuses = [] if commit else sorted((r["path"], r["status"]) for r in _source(spark, "git_status", ws.root).collect())
     touched = {p for p, _ in statuses}
     dirty = [{"path": r["path"], "digest": r["digest"] or T.digest_of({"path": r["path"], "reason": r["reason"]})} for r in outcome if r["path"] in touched]
     policy = T.digest_of({"policyVersion": POLICY, "extractor": EXTRACTOR, "denylist": deny})
-    return Scan(eligible, read, facts, skipped, wanted.count() > most, manifest, dirty, statuses, policy, _scripts(ws.root, commit))
+    return Scan(eligible, read, facts, skipped, listed.where("denied").count(), wanted.count() > most, manifest, dirty, statuses, policy, _scripts(ws.root, commit))
 
 
 def _blob(root: str, path: str, commit: str | None) -> bytes | None:
@@ -120,7 +119,7 @@ def analyze(spark: SparkSession, sc: Scan, root: str, deny: list[str], changed_p
     gods = materialize(G.god_symbols(g.edges, f.symbols), "gods")
     groups = materialize(G.communities(g.edges, g.nodes), "groups")
     language = f.symbols.join(f.files.select("path", "language"), "path").select(F.col("qualified_name").alias("member"), "language").distinct()
-    hubs = gods.orderBy(F.desc("score"), "qualified_name").limit(5).select(F.col("qualified_name").alias("member"))
+    hubs = gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).limit(5).select(F.col("qualified_name").alias("member"))
     hits = G.surprises(g.edges, G.membership(groups), hubs, language)
     log = _source(spark, "git_numstat", root, ref=head)
     log = materialize(log.where(~P.denied("path", deny)), "log")
@@ -129,9 +128,9 @@ def analyze(spark: SparkSession, sc: Scan, root: str, deny: list[str], changed_p
     paths = spark.createDataFrame([(p,) for p in changed_paths], "path string")
     hunks = hunks.join(paths, "path", "left_semi") if changed_paths else hunks
     changed = materialize(overlap.changed_symbols(hunks, f.symbols, paths).select("qualified_name").distinct(), "changed")
-    top = churn.agg(F.max("churn")).first()[0] or 0
-    fan = gods.agg(F.max("score")).first()[0] or 0
-    return Analysis(g, gods, groups, hits, G.dead_code(g.edges, f.symbols), changed, churn, history.cochange(log), top, fan)
+    most = lambda df, c, name: df.agg(F.coalesce(F.max(c), F.lit(0)).alias(name))
+    largest = most(churn, "churn", "max_churn").crossJoin(most(gods, "score", "max_in_degree"))
+    return Analysis(g, gods, groups, hits, G.dead_code(g.edges, f.symbols), changed, churn, history.cochange(log), largest)
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -143,22 +142,22 @@ def community_rows(groups: DataFrame, symbols: DataFrame) -> list[dict]:
     members = G.membership(groups).join(symbols.select(F.col("qualified_name").alias("member"), "path").distinct(), "member", "left")
     files = members.groupBy("community", F.coalesce("path", F.lit("<unknown>")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
     top = rank.top_n(files, ["community"], [F.desc("n"), F.col("path")], 5).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("f"))
-    both = groups.join(top, F.col("id") == F.col("community"), "left").orderBy(F.desc("member_count"), "id")
+    both = groups.join(top, F.col("id") == F.col("community"), "left").orderBy(F.desc("member_count"), T.utf16_key("id"))
     return [{"id": r["id"], "label": r["label"], "memberCount": r["member_count"], "topFiles": [T.redact_py(x["path"]) for x in r["f"] or []], "cohesion": r["cohesion"]} for r in both.drop("members").collect()]
 
 
 def questions(a: Analysis, f: Facts, hits: list[dict]) -> list[dict]:
     """Up to five questions, each from the first row of one list."""
     out = []
-    if top := a.gods.orderBy(F.desc("score"), "qualified_name").first():
+    if top := a.gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).first():
         out.append((f"What depends on {top['qualified_name']}?", f"sym:{top['qualified_name']}"))
     if hits:
         out.append((f"Why does {hits[0]['src']} connect to {hits[0]['dst']}?", f"sym:{hits[0]['src']}"))
-    if gap := G.test_gaps(a.graph.edges, f.symbols).orderBy("path").first():
+    if gap := G.test_gaps(a.graph.edges, f.symbols).orderBy(T.utf16_key("path")).first():
         out.append((f"What tests cover {gap['path']}?", f"file:{gap['path']}"))
     if dead := a.dead.first():
         out.append((f"Is {dead['qualified_name']} still needed?", f"sym:{dead['qualified_name']}"))
-    if big := a.groups.orderBy(F.desc("member_count"), "id").select("id").first():
+    if big := a.groups.orderBy(F.desc("member_count"), T.utf16_key("id")).select("id").first():
         inside = G.membership(a.groups.where(F.col("id") == big["id"]))
         fan = G.in_degree(a.graph.edges).select(G.bare("dst").alias("member"), "n")
         hub = inside.join(fan, "member", "left").orderBy(F.desc(F.coalesce("n", F.lit(0))), "member").first()
@@ -170,24 +169,24 @@ def outlines(f: Facts) -> list[dict]:
     """The 20 files with most symbols, each with up to 30 symbols that are no members."""
     counted = f.files.select("path").join(f.symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left").orderBy(F.desc(F.coalesce("n", F.lit(0))), "path").limit(20)
     top = rank.top_n(f.symbols.where(~F.col("kind").isin("method", "constructor")).join(F.broadcast(counted), "path"), ["path"], [F.col("qualified_name"), F.col("pos")], 30)
-    rows = top.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "qualified_name", "kind", "exported"))).alias("s")).orderBy(F.desc("n"), "path")
+    rows = top.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "qualified_name", "kind", "exported"))).alias("s")).orderBy(F.desc("n"), T.utf16_key("path"))
     return [{"path": T.redact_py(r["path"]), "symbols": [{"qualifiedName": T.redact_py(s["qualified_name"]), "kind": s["kind"], "exported": s["exported"]} for s in r["s"]]} for r in rows.collect()]
 
 
 def layers(files: DataFrame) -> list[dict]:
-    rows = files.groupBy(P.layer("path").alias("layer")).agg(F.array_sort(F.collect_list("path")).alias("p")).orderBy("layer")
+    rows = files.groupBy(P.layer("path").alias("layer")).agg(F.array_sort(F.collect_list("path")).alias("p")).orderBy(T.utf16_key("layer"))
     return [{"id": f"layer:{r['layer']}", "name": r["layer"].capitalize(), "nodeIds": [f"file:{p}" for p in r["p"]]} for r in rows.collect()]
 
 
 def entry_points(files: DataFrame, n: int) -> list[str]:
-    return [r["path"] for r in files.select("path", P.entry_score("path").alias("s")).where("s > 0").orderBy(F.desc("s"), "path").limit(n).collect()]
+    return [r["path"] for r in files.select("path", P.entry_score("path").alias("s")).where("s > 0").orderBy(F.desc("s"), T.utf16_key("path")).limit(n).collect()]
 
 
 def graph_section(a: Analysis, sc: Scan) -> dict:
     f, e = sc.facts, a.graph.edges
     hits = _rows(a.hits)
     red = T.redact_py
-    routes = f.routes.orderBy("path", "pos").collect()
+    routes = f.routes.orderBy(T.utf16_key("path"), "pos").collect()
     start = entry_points(f.files, 1)
     optional = {
         "communities": community_rows(a.groups, f.symbols),
@@ -203,42 +202,42 @@ def graph_section(a: Analysis, sc: Scan) -> dict:
     }
     return {
         "fileCount": f.files.count(), "symbolCount": f.symbols.count(), "edgeCount": e.count(),
-        "godSymbols": [{"qualifiedName": red(r["qualified_name"]), "score": r["score"]} for r in a.gods.orderBy(F.desc("score"), "qualified_name").limit(20).collect()],
-        "boundaryFiles": [red(r["path"]) for r in G.boundary_files(e).orderBy("path").collect()],
+        "godSymbols": [{"qualifiedName": red(r["qualified_name"]), "score": r["score"]} for r in a.gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).limit(20).collect()],
+        "boundaryFiles": [red(r["path"]) for r in G.boundary_files(e).orderBy(T.utf16_key("path")).collect()],
     } | {k: v for k, v in optional.items() if v}
 
 
 def review_section(a: Analysis, sc: Scan) -> dict:
     f, red = sc.facts, T.redact_py
     last = f.symbols.groupBy("qualified_name").agg(F.max_by(F.struct("name", "path"), "pos").alias("s")).select("qualified_name", "s.*")
-    risky = R.risk(last.join(a.changed, "qualified_name", "left_semi"), a.graph.edges, a.churn, a.max_churn, a.max_in_degree).orderBy("qualified_name")
-    hit = _rows(G.impact(a.graph.edges, a.changed.select(E.sym_id(F.col("qualified_name")).alias("id"))).orderBy(F.desc("score"), "id"))
+    risky = R.risk(last.join(a.changed, "qualified_name", "left_semi"), a.graph.edges, a.churn, a.largest).orderBy(T.utf16_key("qualified_name"))
+    hit = _rows(G.impact(a.graph.edges, a.changed.select(E.sym_id(F.col("qualified_name")).alias("id"))).orderBy(F.desc("score"), T.utf16_key("id")))
     entry = lambda r: {"id": red(r["id"]), "score": r["score"]}
     return {
-        "changedSymbols": [red(r["qualified_name"]) for r in a.changed.orderBy("qualified_name").collect()],
+        "changedSymbols": [red(r["qualified_name"]) for r in a.changed.orderBy(T.utf16_key("qualified_name")).collect()],
         "risk": [{"qualifiedName": red(r["qualified_name"]), "totalRisk": r["total_risk"], "factors": r["factors"]} for r in _rows(risky)],
         "impact": {"direct": [entry(r) for r in hit if r["depth"] == 1], "transitive": [entry(r) for r in hit if r["depth"] > 1]},
-        "testGaps": [red(r["path"]) for r in G.test_gaps(a.graph.edges, f.symbols).orderBy("path").collect()],
+        "testGaps": [red(r["path"]) for r in G.test_gaps(a.graph.edges, f.symbols).orderBy(T.utf16_key("path")).collect()],
     }
 
 
 def coverage_section(a: Analysis, sc: Scan) -> dict:
     path = F.regexp_replace(P.file_of("caller"), "^file:", "")
-    open_ = a.graph.unresolved.where(~P.is_test(path)).orderBy(F.desc("count"), "caller").limit(50)
+    open_ = a.graph.unresolved.where(~P.is_test(path)).orderBy(F.desc("count"), T.utf16_key("caller")).limit(50)
     bad = G.integrity(a.graph.nodes, a.graph.edges).first()
     return {
         "unresolvedCalls": [{"callerQualifiedName": T.redact_py(r["caller"]), "count": r["count"]} for r in open_.collect()],
-        "skipped": sorted(({"path": T.redact_py(s["path"]), "reason": s["reason"]} for s in sc.skipped if s["reason"] != "denylist"), key=lambda s: s["path"]),
-        "truncated": sc.truncated, "languagesSeen": [r[0] for r in sc.facts.files.select("language").distinct().orderBy("language").collect()], "historyWindow": S.HISTORY,
+        "skipped": sorted(({"path": T.redact_py(s["path"]), "reason": s["reason"]} for s in sc.skipped), key=lambda s: s["path"]),
+        "truncated": sc.truncated, "languagesSeen": [r[0] for r in sc.facts.files.select("language").distinct().orderBy(T.utf16_key("language")).collect()], "historyWindow": S.HISTORY,
         "graphIntegrity": {"missingSources": bad["missing_sources"], "missingTargets": bad["missing_targets"]},
     }
 
 
 def architecture_text(a: Analysis, sc: Scan, focus: list[str]) -> str:
     f = sc.facts
-    per = lambda c: ", ".join(f"{r[0]}: {r[1]}" for r in f.files.groupBy(c.alias("k")).count().orderBy("k").collect()) or "none"
-    names = [r["qualified_name"] for r in a.gods.orderBy(F.desc("score"), "qualified_name").limit(5).collect()]
-    edge = [r["path"] for r in G.boundary_files(a.graph.edges).orderBy("path").limit(5).collect()]
+    per = lambda c: ", ".join(f"{r[0]}: {r[1]}" for r in f.files.groupBy(c.alias("k")).count().orderBy(T.utf16_key("k")).collect()) or "none"
+    names = [r["qualified_name"] for r in a.gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).limit(5).collect()]
+    edge = [r["path"] for r in G.boundary_files(a.graph.edges).orderBy(T.utf16_key("path")).limit(5).collect()]
     groups = community_rows(a.groups, f.symbols)
     start = entry_points(f.files, 5)
     hubs = [r["path"] for r in f.files.select("path").join(f.symbols.groupBy("path").count(), "path", "left").orderBy(F.desc(F.coalesce("count", F.lit(0))), "path").limit(5).collect()] if not f.symbols.isEmpty() else []
@@ -266,7 +265,7 @@ def candidates(a: Analysis, sc: Scan, request: Q.Request) -> list[dict]:
     f = sc.facts
     best = rank.rank_symbols(f.symbols, request.intent, a.graph.edges, a.changed, a.gods).limit(SYMBOLS)
     best = best.withColumn("_r", F.struct((-F.col("score")).alias("s"), "qualified_name"))
-    rows = f.symbols.join(F.broadcast(best), "qualified_name").orderBy("_r", "path", "pos").limit(SYMBOLS)  # broadcast: 500 rows
+    rows = f.symbols.join(F.broadcast(best), "qualified_name").orderBy("_r", T.utf16_key("path"), "pos").limit(SYMBOLS)  # broadcast: 500 rows
     rows = rows.withColumn("sym_text", T.redact(F.concat_ws("\n", "signature", F.when(F.col("jsdoc") != "", F.col("jsdoc"))))).withColumn("src_text", T.redact("source")).collect()
     for kind, prefix, column, most, clip in (("symbol", "sym", "sym_text", SYMBOLS, False), ("source", "source", "src_text", SOURCES, True)):
         if {"symbol": "symbols", "source": "source"}[kind] in request.focus:
@@ -345,7 +344,7 @@ def verify_unchanged(spark: SparkSession, ws: S.Workspace, sc: Scan, deny: list[
 
 
 def scan_state(spark: SparkSession, ws: S.Workspace, deny: list[str], include: list[str]) -> tuple:
-    listed = _source(spark, "git_files", ws.root).where(~P.denied("path", deny)).where(P.included("path", include)).orderBy("path").limit(Q.LIMITS["maxFiles"])
+    listed = _source(spark, "git_files", ws.root).where(~P.denied("path", deny)).where(P.included("path", include)).orderBy(T.utf16_key("path")).limit(Q.LIMITS["maxFiles"])
     paths = [r["path"] for r in listed.collect()]
     status = sorted((r["path"], r["status"]) for r in _source(spark, "git_status", ws.root).collect())
     touched = {p for p, _ in status}
@@ -358,7 +357,7 @@ def scan_state(spark: SparkSession, ws: S.Workspace, deny: list[str], include: l
 
 
 def scan_state_of(sc: Scan) -> tuple:
-    return [r["path"] for r in sc.contents.select("path").orderBy("path").collect()], sc.statuses, [(d["path"], d["digest"]) for d in sc.dirty]
+    return [r["path"] for r in sc.contents.select("path").orderBy(T.utf16_key("path")).collect()], sc.statuses, [(d["path"], d["digest"]) for d in sc.dirty]
 
 
 def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None = None) -> dict:
@@ -374,11 +373,11 @@ def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None
     base = S.resolve_ref(ws.root, request.base) if request.base else None
     changed, by_base = request.changed, bool(base and not request.changed)
     if by_base:
-        names = _source(spark, "git_diff_names", ws.root, base=base, head=head).select(P.canonical("path").alias("path")).where("path IS NOT NULL").distinct().orderBy("path")
+        names = _source(spark, "git_diff_names", ws.root, base=base, head=head).select(P.canonical("path").alias("path")).where("path IS NOT NULL").distinct().orderBy(T.utf16_key("path"))
         changed = [r["path"] for r in names.collect()]
     if changed:
         ok = spark.createDataFrame([(p,) for p in changed], "path string").where(~P.denied("path", deny))
-        changed = [r["path"] for r in ok.orderBy("path").collect()]
+        changed = [r["path"] for r in ok.orderBy(T.utf16_key("path")).collect()]
     a = analyze(spark, sc, ws.root, deny, changed, base if by_base else None, head if by_base or commit else None)
     source = T.digest_of({"head": head, "dirtyDigest": T.digest_of(sc.dirty), "fileManifest": sc.manifest})
     snapshot = {
@@ -401,7 +400,7 @@ def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None
     refs = {k: v for k, v in (("gitRef", request.ref), ("baseRef", request.base)) if v}
     request_digest = T.digest_of({"protocolVersion": Q.PROTOCOL, "workspace": ws.workspace_id, "intent": request.intent, "focus": request.focus, "tokenBudget": request.token_budget, "changedPaths": changed, **refs, **scope})
     capsule_id = "ctx-" + T.digest_of({"requestDigest": request_digest, "snapshotDigest": snapshot["snapshotDigest"], "manifestDigest": target["manifestDigest"]})[:16]
-    denied = sum(s["reason"] == "denylist" for s in sc.skipped)
+    denied = sc.denied
     big = sum(s["reason"] in ("too-large", "binary") for s in sc.skipped)
     warnings = [w for w in (f"{denied} file(s) excluded by denylist" if denied else "", f"{big} file(s) skipped (too-large or binary)" if big else "", f"workspace exceeds maxFiles ({Q.LIMITS['maxFiles']}); snapshot is partial" if sc.truncated else "") if w]
     sections = {"coverage": coverage_section(a, sc)}
@@ -413,7 +412,7 @@ def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None
     def make(size: int, evidence: list, sections: dict, omitted: list) -> dict:
         return {
             "schemaVersion": 1, "protocolVersion": Q.PROTOCOL, "capsuleId": capsule_id, "requestDigest": request_digest, "intent": request.intent, "focus": request.focus,
-            "snapshot": snapshot, "analysisTarget": target, "budget": {"requestedTokens": request.token_budget, "estimatedTokens": size, "estimator": T.ESTIMATOR},
+            "snapshot": snapshot, "analysisTarget": target, "budget": {"requestedTokens": request.token_budget, "estimatedTokens": size, "estimator": T.estimator()},
             "changedPaths": changed, **scope, "evidence": evidence, "sections": sections, "omitted": omitted, "warnings": warnings,
         }
 

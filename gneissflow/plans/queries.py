@@ -6,8 +6,6 @@ part a path or a symbol, its brand the file or directory, a document a file.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,34 +15,16 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank
 from ..operators import risk as R
-from ..session import ensure_worker_path
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query and, where there is one, its SQL."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_worker_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..scratch import materialize
+from .registry import query, table
 
 # ---- readings of the tables ------------------------------------------------------------------
 
 
 def commit_log(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
-    return lines.select(F.col("l_orderkey").alias("commit_no"), F.col("l_quantity").cast("long").cast("string").alias("added"), F.col("l_linenumber").cast("string").alias("deleted"), F.col("l_partkey").alias("path"))
+    added = F.col("l_quantity").cast("long").cast("string").alias("added")
+    return lines.select(F.col("l_orderkey").alias("commit_no"), added, F.col("l_linenumber").cast("string").alias("deleted"), F.col("l_partkey").alias("path"))
 
 
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -65,20 +45,26 @@ g AS (SELECT x.q AS src, y.q AS dst, x.brand AS sb, y.brand AS db FROM e JOIN pt
 
 def part_names(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("")))
-    return p.select(F.col("p_partkey").alias("k"), F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("q"), F.col("p_brand").alias("brand"), F.col("p_name").alias("nm"), F.col("p_size").alias("sz"))
+    q = F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string"))
+    renamed = {"p_brand": "brand", "p_name": "nm", "p_size": "sz"}
+    return p.select(F.col("p_partkey").alias("k"), q.alias("q"), *[F.col(c).alias(n) for c, n in renamed.items()])
 
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    """CALLS between part symbols ``brand/name#key``, IMPORTS between their files."""
+    """CALLS between part symbols ``brand/name#key``, IMPORTS between their files; the first of each wins."""
     n = part_names(spark, d)
-    e = part_edges(spark, d).join(n.select(F.col("k").alias("a"), F.col("q").alias("x")), "a").join(n.select(F.col("k").alias("b"), F.col("q").alias("y")), "b")
-    calls = e.select(F.lit("CALLS").alias("kind"), E.sym_id(F.col("x")).alias("src"), E.sym_id(F.col("y")).alias("dst"))
-    imports = e.select(F.lit("IMPORTS").alias("kind"), E.file_id(P.file_of("x")).alias("src"), E.file_id(P.file_of("y")).alias("dst")).where("src <> dst")
-    return calls.union(imports).distinct().select("kind", "src", "dst", F.lit(1.0).alias("confidence"), F.lit("extracted").alias("tier"))
+    e = part_edges(spark, d).join(n.select(F.col("k").alias("a"), F.col("q").alias("x")), "a")
+    e = e.join(n.select(F.col("k").alias("b"), F.col("q").alias("y")), "b")
+    calls = e.select(F.lit("CALLS").alias("kind"), E.sym_id(F.col("x")).alias("src"), E.sym_id(F.col("y")).alias("dst"), F.lit(1).alias("ord"))
+    imports = e.select(F.lit("IMPORTS").alias("kind"), E.file_id(P.file_of("x")).alias("src"), E.file_id(P.file_of("y")).alias("dst"), F.lit(0).alias("ord"))
+    both = calls.union(imports.where("src <> dst"))
+    return E.first_wins(both.withColumns({"confidence": F.lit(1.0), "tier": F.lit("extracted")}))
 
 
 def part_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return part_names(spark, d).select(P.file_of("q").alias("path"), F.col("nm").alias("name"), F.col("q").alias("qualified_name"), (F.col("sz") > 20).alias("exported"), (F.col("sz") > 45).alias("is_test"), F.when(F.col("sz") < 25, "interface").otherwise("function").alias("kind"))
+    kind = F.when(F.col("sz") < 25, "interface").otherwise("function").alias("kind")
+    flags = [(F.col("sz") > 20).alias("exported"), (F.col("sz") > 45).alias("is_test")]
+    return part_names(spark, d).select(P.file_of("q").alias("path"), F.col("nm").alias("name"), F.col("q").alias("qualified_name"), *flags, kind)
 
 
 # ---- history -----------------------------------------------------------------------------------
@@ -131,19 +117,11 @@ def dir_matrix(spark: SparkSession, d: str) -> DataFrame:
     return G.dir_imports(call_edges(spark, d), 50)
 
 
-@query(EDGES_SQL + """
-SELECT q AS qualified_name, CAST(0.6 AS DOUBLE) AS confidence FROM pt
-WHERE sz BETWEEN 25 AND 45 AND k NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.09) AND (SELECT count(*) FROM lineitem) > 0 ORDER BY q LIMIT 50""")
-def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that no large and much discounted line calls; the 50 first by name."""
-    lines = table(spark, d, "lineitem").where("l_quantity >= 45 AND l_discount >= 0.09").select(F.col("l_partkey").alias("k"))
-    calls = lines.join(part_names(spark, d), "k").select(F.lit("CALLS").alias("kind"), F.lit("file:orders").alias("src"), E.sym_id(F.col("q")).alias("dst"))
-    return G.dead_code(calls, part_symbols(spark, d))
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000 AND o_orderstatus = 'F')")
 def uncovered_customers(spark: SparkSession, d: str) -> DataFrame:
-    seen = table(spark, d, "orders").select(F.lit("TESTED_BY").alias("kind"), F.concat(F.lit("file:"), F.col("o_custkey")).alias("dst"))
+    """Customers without a finished large order: files without a test."""
+    tests = table(spark, d, "orders").where("o_totalprice > 300000 AND o_orderstatus = 'F'")
+    seen = tests.select(F.lit("TESTED_BY").alias("kind"), F.concat(F.lit("file:"), F.col("o_custkey")).alias("dst"))
     owners = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"))
     return G.test_gaps(seen, owners).select(F.col("path").cast("long").alias("c_custkey"))
 
@@ -157,17 +135,6 @@ def integrity_census(spark: SparkSession, d: str) -> DataFrame:
     return G.integrity(nodes, table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
 
-@query("""
-SELECT o_custkey AS caller, CAST(count(*) AS BIGINT) AS n FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderpriority NOT IN ('1-URGENT') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
-def unresolved_census(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    outside = spark.createDataFrame([("1-URGENT",)], "o_orderpriority string")
-    calls = table(spark, d, "orders").select("o_custkey", "o_orderpriority").where("o_custkey IS NOT NULL")
-    open_ = calls.join(known, "o_custkey", "left_anti").join(outside, "o_orderpriority", "left_anti")
-    return open_.groupBy(F.col("o_custkey").alias("caller")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "caller").limit(50)
-
-
 @query("""
 WITH h AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) // 3600 AS a, CAST(epoch(ts) AS BIGINT) // 3600 + 1 AS b FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
 s AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) // 3600 - 2 AS a, CAST(epoch(ts) AS BIGINT) // 3600 + 2 AS b FROM events WHERE event_type <> (SELECT min(event_type) FROM events))
@@ -182,15 +149,21 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT DISTINCT user_id FROM events WHERE value > (SELECT max(value) FROM events) * 0.5)
-SELECT DISTINCT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM h) AND user_id IN (SELECT user_id FROM events WHERE event_type = (SELECT max(event_type) FROM events))""")
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS q, CAST(epoch(ts) AS BIGINT) // 3600 AS h, value, event_type FROM events),
+hk AS (SELECT u, h FROM e WHERE value > (SELECT max(value) FROM events) * 0.9), ch AS (SELECT DISTINCT u FROM e WHERE event_type = (SELECT max(event_type) FROM events))
+SELECT DISTINCT e.u AS user, e.q AS event FROM e JOIN hk ON e.u = hk.u AND e.h - 2 <= hk.h + 1 AND e.h + 2 >= hk.h
+UNION SELECT u, q FROM e WHERE u IN (SELECT u FROM ch) AND u NOT IN (SELECT u FROM hk)""")
 def whole_scope_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Events near a large one of their user, and all of a viewer's without one: hunks, symbols and whole files."""
     ev = table(spark, d, "events")
-    top = ev.agg((F.max("value") * 0.5).alias("_m"), F.max("event_type").alias("_t"))
-    ranked = ev.crossJoin(F.broadcast(top))  # one row
-    touched = ranked.where("value > _m").select("user_id").distinct()
-    whole = ranked.where("event_type = _t").select("user_id").distinct().join(touched, "user_id", "left_anti")
-    return ev.join(whole, "user_id", "left_semi").select("user_id", "event_id").distinct()
+    top = ev.agg((F.max("value") * 0.9).alias("_m"), F.max("event_type").alias("_t"))
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    ev = ev.crossJoin(F.broadcast(top)).withColumns({"path": F.col("user_id").cast("string"), "_h": hour})  # one row
+    hunks = ev.where("value > _m").select("path", F.col("_h").alias("start"), (F.col("_h") + 1).alias("end"))
+    span = F.struct((F.col("_h") - 2).alias("startLine"), (F.col("_h") + 2).alias("endLine"))
+    symbols = ev.select("path", F.col("event_id").cast("string").alias("qualified_name"), span.alias("range"))
+    found = overlap.changed_symbols(hunks, symbols, ev.where("event_type = _t").select("path"))
+    return found.select(F.col("path").alias("user"), F.col("qualified_name").alias("event"))
 
 
 @query("""
@@ -200,8 +173,10 @@ SELECT s_suppkey, arg_min(path, pos) AS target FROM c JOIN k USING (path) GROUP
 def priority_resolve(spark: SparkSession, d: str) -> DataFrame:
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     asked = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    asked = asked.select("s_suppkey", F.array(F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("R"), "n_regionkey"), F.lit("W")).alias("c"))
-    known = nation.where("n_nationkey <= 10").select(F.concat(F.lit("N"), "n_nationkey").alias("path")).union(region.where("r_regionkey >= 2").select(F.concat(F.lit("R"), "r_regionkey")))
+    tried = F.array(F.concat(F.lit("N"), "s_nationkey"), F.concat(F.lit("R"), "n_regionkey"), F.lit("W"))
+    asked = asked.select("s_suppkey", tried.alias("c"))
+    known = nation.where("n_nationkey <= 10").select(F.concat(F.lit("N"), "n_nationkey").alias("path"))
+    known = known.union(region.where("r_regionkey >= 2").select(F.concat(F.lit("R"), "r_regionkey")))
     return E.resolve_first(asked, ["s_suppkey"], "c", known)
 
 
@@ -211,10 +186,14 @@ SELECT c_custkey, coalesce(s1, s2) AS s_suppkey, CAST(CASE WHEN s1 IS NOT NULL T
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s ON nk = c_nationkey LEFT JOIN r ON rk = n_regionkey WHERE coalesce(s1, s2) IS NOT NULL""")
 def two_tier_match(spark: SparkSession, d: str) -> DataFrame:
     nation, supplier = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    near = E.first_of(supplier.withColumn("o", F.col("s_suppkey")), ["s_nationkey"], "o", "s_suppkey").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("s1"))
-    far = E.first_of(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("o", F.col("s_suppkey")), ["n_regionkey"], "o", "s_suppkey").withColumnRenamed("s_suppkey", "s2")
-    c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(near, "n_nationkey", "left").join(far, "n_regionkey", "left").where("s1 IS NOT NULL OR s2 IS NOT NULL")
-    return c.select("c_custkey", F.coalesce("s1", "s2").alias("s_suppkey"), F.when(F.col("s1").isNotNull(), 0.95).otherwise(0.9).alias("confidence"))
+    supplier = supplier.withColumn("o", F.col("s_suppkey"))
+    near = E.first_of(supplier, ["s_nationkey"], "o", "s_suppkey").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("s1"))
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    far = E.first_of(placed, ["n_regionkey"], "o", "s_suppkey").withColumnRenamed("s_suppkey", "s2")
+    c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.join(near, "n_nationkey", "left").join(far, "n_regionkey", "left").where("s1 IS NOT NULL OR s2 IS NOT NULL")
+    confidence = F.when(F.col("s1").isNotNull(), 0.95).otherwise(0.9).alias("confidence")
+    return c.select("c_custkey", F.coalesce("s1", "s2").alias("s_suppkey"), confidence)
 
 
 @query(EDGES_SQL + """, ed AS (SELECT 'sym:' || src AS s, 'sym:' || dst AS t, 0.5 AS w FROM g UNION ALL SELECT DISTINCT 'file:' || split_part(src, '#', 1), 'file:' || split_part(dst, '#', 1), 0.4 FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),
@@ -233,7 +212,8 @@ def order_links(spark: SparkSession, d: str, days: int) -> DataFrame:
     """Orders of a customer that follow each other within so many days: a and b of each pair."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    nxt = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.datediff(F.lead("o_orderdate").over(w), "o_orderdate").alias("gap"))
+    gap = F.datediff(F.lead("o_orderdate").over(w), "o_orderdate").alias("gap")
+    nxt = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), gap)
     return nxt.where(F.col("b").isNotNull() & (F.col("gap") <= days))
 
 
@@ -246,18 +226,30 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return G.components(order_links(spark, d, 90))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS gap, row_number() OVER w AS i FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+r AS (SELECT c, k, i, 'sym:c' || c || '#' || k AS s, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY i) AS run FROM o),
+e AS (SELECT x.c, x.run, x.i, least(x.s, y.s) AS a, greatest(x.s, y.s) AS b FROM r x JOIN r y ON x.c = y.c AND x.run = y.run AND y.i = x.i + 1),
+p(c, run, lo, hi) AS (SELECT c, run, min(i), max(i) FROM r GROUP BY 1, 2 UNION ALL
+  SELECT c, run, CASE t WHEN 0 THEN lo ELSE m + 1 END, CASE t WHEN 0 THEN m ELSE hi END FROM (
+    SELECT p.c, p.run, p.lo, p.hi, arg_min(e.i, {'a': e.a, 'b': e.b}) AS m FROM p JOIN e ON e.c = p.c AND e.run = p.run AND e.i >= p.lo AND e.i < p.hi WHERE p.hi - p.lo + 1 > 20 GROUP BY 1, 2, 3, 4), (VALUES (0), (1)) v(t)),
+g AS (SELECT p.c, p.run, p.lo, count(*) AS n, list(s[5:] ORDER BY s) AS ms FROM p JOIN r ON r.c = p.c AND r.run = p.run AND r.i BETWEEN p.lo AND p.hi WHERE p.hi - p.lo + 1 BETWEEN 2 AND 20 GROUP BY 1, 2, 3)
+SELECT 'c-' || sha256(array_to_string(ms, chr(10)))[:8] AS id, '.' AS label, array_to_string(ms, ' ') AS members, CAST(n AS INT) AS member_count, CAST(round((n - 1) / (n * (n - 1) / 2), 4) AS DOUBLE) AS cohesion FROM g""")
 def communities_pruned(spark: SparkSession, d: str) -> DataFrame:
-    """An order calls the customer's next one within 400 days; the customer is the file."""
+    """An order calls the customer's next one within 400 days; the customer is the file.  Chains of over 20 fall apart."""
     name = lambda c: F.concat(F.lit("sym:c"), F.col("o_custkey"), F.lit("#"), F.col(c))
     calls = order_links(spark, d, 400).select(F.lit("CALLS").alias("kind"), name("a").alias("src"), name("b").alias("dst"))
     orders = table(spark, d, "orders").select(name("o_orderkey").alias("id"), F.lit("symbol").alias("kind"))
-    return G.communities(calls, orders)
+    return G.communities(calls, orders).withColumn("members", F.array_join("members", " "))
 
 
-@query()
+@query(EDGES_SQL.replace("WITH nx", "WITH RECURSIVE nx") + """, im AS (SELECT DISTINCT 'file:' || split_part(src, '#', 1) AS s, 'file:' || split_part(dst, '#', 1) AS t FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),
+ad AS (SELECT s, list(t ORDER BY t) AS ts FROM im GROUP BY 1),
+w(i, o) AS (SELECT 1, [(SELECT s FROM im GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)] UNION ALL
+  SELECT i + 1, list_slice(o || list_filter(coalesce(ts, []), lambda x: NOT list_contains(o, x)), 1, 12) FROM w LEFT JOIN ad ON s = o[i] WHERE i <= len(o))
+SELECT CAST(unnest(range(1, len(o) + 1)) AS INT) AS step, unnest(o) AS node_id FROM (SELECT arg_max(o, i) AS o FROM w) WHERE len(o) >= 5""")
 def bfs_tour(spark: SparkSession, d: str) -> DataFrame:
-    e = call_edges(spark, d)
+    e = materialize(call_edges(spark, d), "call_edges")
     top = e.where("kind = 'IMPORTS'").groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).collect()
     ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     order = G.tour(e, ends, top[0]["src"]) if top else []
@@ -270,25 +262,25 @@ s AS (SELECT src, dst, CASE WHEN ca <> cb THEN 3 ELSE 0 END + CASE WHEN sb <> db
   concat_ws(',', CASE WHEN ca <> cb THEN 'cross-community' END, CASE WHEN sb <> db THEN 'cross-language' END, CASE WHEN ha <> hb THEN 'hub-periphery' END) AS reasons FROM x)
 SELECT src, dst, CAST(score AS INT) AS score, reasons FROM s WHERE score > 0 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def surprise_edges(spark: SparkSession, d: str) -> DataFrame:
-    e, n = call_edges(spark, d), part_names(spark, d)
+    e, n = materialize(call_edges(spark, d), "call_edges"), part_names(spark, d)
     hubs = G.in_degree(e).select(G.bare("dst").alias("member"), "n").orderBy(F.desc("n"), "member").limit(5).select("member")
-    found = G.surprises(e, n.select(F.col("q").alias("member"), F.floor(F.col("sz") / 17).alias("community")), hubs, n.select(F.col("q").alias("member"), F.col("brand").alias("language")))
+    groups = n.select(F.col("q").alias("member"), F.floor(F.col("sz") / 17).alias("community"))
+    found = G.surprises(e, groups, hubs, n.select(F.col("q").alias("member"), F.col("brand").alias("language")))
     return found.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
 # ---- ranking and packing -----------------------------------------------------------------------
 
-TERMS = ["tion", "heit", "aux"]
-
-
 @query("""
-SELECT doc_id, CAST(3 * (contains(lower(source), 'src1'))::INT + 2 * (contains(lower(lang), 'e'))::INT + (contains(lower(text), 'tion'))::INT + (contains(lower(text), 'heit'))::INT + (contains(lower(text), 'aux'))::INT AS INT) AS score FROM documents""")
+WITH d AS (SELECT doc_id, lower(source) AS n, lower(lang || '/' || source) AS q, lower(lang) AS p, lower(text || ' ') AS x, n_chars > 1000 AS e FROM documents), t(t) AS (VALUES ('src1'), ('tion'), ('e'))
+SELECT doc_id, CAST(any_value(e)::INT + sum(3 * contains(n, t)::INT + 2 * contains(q, t)::INT + 2 * contains(p, t)::INT + contains(x, t)::INT) + CASE WHEN any_value(n = 'en/src1' OR ends_with(q, 'en/src1')) THEN 15 ELSE 0 END AS INT) AS score FROM d, t GROUP BY 1""")
 def text_score(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    score = F.when(F.lower("source").contains("src1"), 3).otherwise(0) + F.when(F.lower("lang").contains("e"), 2).otherwise(0)
-    for t in TERMS:
-        score = score + F.when(F.lower("text").contains(t), 1).otherwise(0)
-    return docs.select("doc_id", score.alias("score"))
+    """Points of every document for a request: the source is its name, the language its path, the text its signature."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("name"), F.concat_ws("/", "lang", "source").alias("qualified_name"), F.col("lang").alias("path"),
+        F.col("text").alias("signature"), F.lit("").alias("jsdoc"), (F.col("n_chars") > 1000).alias("exported"),
+    )
+    return docs.select("doc_id", rank.text_score(["src1", "tion", "e"], ["en/src1"]).alias("score"))
 
 
 @query("""
@@ -299,7 +291,8 @@ SELECT doc_id, CAST(round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) + coal
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     marks = table(spark, d, "labels").where("quality IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality")
-    lists = [rank.ranked(docs, "doc_id", [F.desc("n_chars"), F.col("doc_id")], "r"), rank.ranked(docs, "doc_id", [F.desc("doc_id")], "r"), rank.ranked(marks, "doc_id", [F.desc("quality"), F.col("doc_id")], "r")]
+    lists = [(docs, [F.desc("n_chars"), F.col("doc_id")]), (docs, [F.desc("doc_id")]), (marks, [F.desc("quality"), F.col("doc_id")])]
+    lists = [rank.ranked(df, "doc_id", order, "r") for df, order in lists]
     return rank.fuse(docs, "doc_id", lists).select("doc_id", F.round("score", 12).alias("score"))
 
 
@@ -311,15 +304,18 @@ f(o, id, size, used, rest) AS (
          rest - CASE WHEN clip THEN least(c.size, greatest(rest, 0)) WHEN c.size <= rest THEN c.size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1)
 SELECT CAST(o - 1 AS INT) AS ord, CAST(id AS VARCHAR) AS id, size, used, used > 0 AS included, used > 0 AND used < size AS clipped FROM f WHERE o > 0""")
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The 200 dearest parts as candidates (a top-k list) under a budget of 9,000."""
+    """The 200 dearest parts under a budget of 9,000.  A report packs its best 500 symbols and 200 sources: that
+    list of candidates, a top-k one, is what the operator is for, so the query makes one of its size first."""
     top = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
-    items = top.select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size").cast("long") * 10).alias("size"), (F.col("p_size") > 30).alias("clipable"), (-F.col("p_retailprice")).alias("k"), "p_partkey")
+    size, clip = (F.col("p_size").cast("long") * 10).alias("size"), (F.col("p_size") > 30).alias("clipable")
+    items = top.select(F.col("p_partkey").cast("string").alias("id"), size, clip, (-F.col("p_retailprice")).alias("k"), "p_partkey")
     return rank.greedy_pack(items, 9000, ["k", "p_partkey"])
 
 
 @query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part QUALIFY rank <= 5")
 def outline_topn(spark: SparkSession, d: str) -> DataFrame:
-    return rank.top_n(table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 5).drop("p_retailprice")
+    part = table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return rank.top_n(part, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 5).drop("p_retailprice")
 
 
 @query(EDGES_SQL + """, ch AS (SELECT split_part(q, '#', 1) AS path, sum(CAST(l_quantity AS BIGINT) + l_linenumber) AS c FROM lineitem JOIN pt ON k = l_partkey GROUP BY 1),
@@ -329,20 +325,22 @@ SELECT q AS qualified_name, CAST(round(CASE WHEN tst.path IS NULL THEN 0.3 ELSE
   + least(0.15::DOUBLE, coalesce(c, 0) / mc::DOUBLE * 0.15::DOUBLE) + CASE WHEN far THEN 0.15 ELSE 0 END::DOUBLE + least(0.1::DOUBLE, coalesce(n, 0) / mn::DOUBLE * 0.1::DOUBLE), 4) AS DOUBLE) AS total_risk
 FROM pt CROSS JOIN m CROSS JOIN md LEFT JOIN tst ON tst.path = split_part(q, '#', 1) LEFT JOIN ch ON ch.path = split_part(q, '#', 1) LEFT JOIN fan ON fan.dst = q""")
 def risk_rubric(spark: SparkSession, d: str) -> DataFrame:
-    n, calls = part_names(spark, d), call_edges(spark, d)
-    tests = n.where("sz <= 12").select(F.lit("TESTED_BY").alias("kind"), F.lit("file:t").alias("src"), E.file_id(P.file_of("q")).alias("dst"), F.lit(0.8).alias("confidence"), F.lit("inferred").alias("tier")).distinct()
-    churn = commit_log(spark, d).join(n, F.col("path") == F.col("k")).select("commit_no", "added", "deleted", P.file_of("q").alias("path"))
-    churn = history.churn(churn)
-    most = churn.agg(F.max("churn")).first()[0] or 0
-    fan = G.in_degree(calls).agg(F.max("n")).first()[0] or 0
-    return R.risk(part_symbols(spark, d), calls.unionByName(tests), churn, most, fan).select("qualified_name", "total_risk")
+    n, calls = part_names(spark, d), materialize(call_edges(spark, d), "call_edges")
+    tests = n.where("sz <= 12").select(F.lit("TESTED_BY").alias("kind"), F.lit("file:t").alias("src"), E.file_id(P.file_of("q")).alias("dst")).distinct()
+    tests = tests.withColumns({"confidence": F.lit(0.8), "tier": F.lit("inferred")})
+    log = commit_log(spark, d).join(n, F.col("path") == F.col("k")).select("commit_no", "added", "deleted", P.file_of("q").alias("path"))
+    churn = materialize(history.churn(log), "churn")
+    return R.risk(part_symbols(spark, d), calls.unionByName(tests), churn, R.most(churn, calls)).select("qualified_name", "total_risk")
 
 
 # ---- text and paths ----------------------------------------------------------------------------
 
+# The redaction patterns in the spelling of DuckDB's regular expressions.
 REDACT_SQL = "text"
 for _rx in (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", r"(?i)\b(Bearer)\s+[A-Za-z0-9._~+/=-]{8,}", r"\b(AKIA|ASIA)[A-Z0-9]{16}\b",
+    r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
+    r"(?i)\b(Bearer)\s+[A-Za-z0-9._~+/=-]{8,}",
+    r"\b(AKIA|ASIA)[A-Z0-9]{16}\b",
     r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
 ):
     REDACT_SQL = f"regexp_replace({REDACT_SQL}, '{_rx}', '[REDACTED]', 'g')"
@@ -371,6 +369,7 @@ def glob_deny(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "path", P.denied("path", ["www.*", "*.html", "m.**/de/**"]).alias("denied"), P.included("path", ["blog", "m.theron.example.net"]).alias("included"))
 
 
+# The layer rules, in their order.
 @query(r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages),
 l AS (SELECT page_id, path, split_part(path, '/', -1) AS base, CASE split_part(path, '/', 1) WHEN 'en' THEN 'docs/' WHEN 'de' THEN 'test/' WHEN 'fr' THEN 'graph/' ELSE 'src/' END || path AS p FROM p)
@@ -382,7 +381,8 @@ SELECT CASE WHEN regexp_matches(p, '^(test|tests|__tests__|spec|specs)/') OR reg
 def layer_case(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("raw"))
     first = F.substring_index("raw", "/", 1)
-    p = p.select(F.concat(F.when(first == "en", "docs/").when(first == "de", "test/").when(first == "fr", "graph/").otherwise("src/"), "raw").alias("p"))
+    folder = F.when(first == "en", "docs/").when(first == "de", "test/").when(first == "fr", "graph/").otherwise("src/")
+    p = p.select(F.concat(folder, "raw").alias("p"))
     return p.groupBy(P.layer("p").alias("layer")).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first_path"))
 
 
@@ -402,16 +402,80 @@ SELECT 'gone' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION
 def set_verify(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     a, b = o.where("o_totalprice > 1000").select("o_orderkey", "o_orderstatus"), o.where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus")
-    return a.exceptAll(b).select(F.lit("gone").alias("side"), "*").union(b.exceptAll(a).select(F.lit("new").alias("side"), "*"))
+    return overlap.differences(a, b)
 
 
+# The stop words.
 @query(r"""
-WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS x FROM conversations), s AS (SELECT conv_id, turn, lower(unnest(string_split(regexp_replace(x, '([A-Z][a-z])', chr(1) || '\1', 'g'), chr(1)))) AS t FROM w WHERE length(x) >= 2)
-SELECT conv_id, turn, CAST(count(DISTINCT t) AS INT) AS n_terms FROM s WHERE length(t) >= 2 AND t NOT IN ('the','a','an','and','or','of','to','in','on','for','with','is','are','was','be','it','this','that','which','as','at','by','from','into','about','over','under','do','does','did') GROUP BY 1, 2""")
+WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS x FROM conversations),
+s AS (SELECT conv_id, turn, lower(unnest(string_split(regexp_replace(x, '([A-Z][a-z])', chr(1) || '\1', 'g'), chr(1)))) AS t FROM w WHERE length(x) >= 2)
+SELECT conv_id, turn, string_agg(DISTINCT t, ' ' ORDER BY t) AS terms FROM s WHERE length(t) >= 2 AND t NOT IN ('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'is', 'are', 'was', 'be', 'it', 'this', 'that', 'which',
+  'as', 'at', 'by', 'from', 'into', 'about', 'over', 'under', 'do', 'does', 'did') GROUP BY 1, 2""")
 def request_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(T.terms("text")).alias("n_terms")).where("n_terms > 0")
+    """The terms of every turn, sorted."""
+    found = table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.terms("text")), " ").alias("terms"))
+    return found.where("terms <> ''")
+
+
+#: A file name for each document: both engines read it so.
+DOC_PATH = "concat('src/', source, '/', doc_id, CASE lang WHEN 'en' THEN '.ts' WHEN 'de' THEN '.MJS' WHEN 'fr' THEN '.md' WHEN 'es' THEN '.json' ELSE '.py' END)"
 
 
-@query("SELECT lang, CAST(count(*) AS BIGINT) AS files, CAST(count(DISTINCT source) AS BIGINT) AS dirs, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY 1")
+@query(f"""
+WITH d AS (SELECT {DOC_PATH} AS path, n_chars FROM documents)
+SELECT CASE WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.MJS' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.json' THEN 'json' ELSE 'other' END AS language,
+  CAST(count(*) AS BIGINT) AS files, CAST(count(DISTINCT split_part(path, '/', 2)) AS BIGINT) AS dirs, CAST(sum(n_chars) AS BIGINT) AS size FROM d GROUP BY 1""")
 def language_census(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("source").alias("dirs"), F.sum("n_chars").alias("size"))
+    docs = table(spark, d, "documents").selectExpr(f"{DOC_PATH} AS path", "n_chars")
+    counts = [F.count(F.lit(1)).alias("files"), F.countDistinct(P.parent_dir("path")).alias("dirs"), F.sum("n_chars").alias("size")]
+    return docs.groupBy(P.language("path").alias("language")).agg(*counts)
+
+
+#: A path for each page that meets the rules for tests, scripts, entries and layers.
+PAGE_PATH = """concat(CASE page_id % 9 WHEN 0 THEN 'bin/' WHEN 1 THEN 'scripts/' WHEN 2 THEN 'src/cli/' WHEN 3 THEN 'src/__tests__/' WHEN 4 THEN 'infra/' WHEN 5 THEN '' ELSE 'src/' END,
+  CASE page_id % 7 WHEN 0 THEN 'index' WHEN 1 THEN 'Main' WHEN 2 THEN concat('a', page_id, '.spec') WHEN 3 THEN 'git-log' ELSE concat('p', page_id) END, CASE page_id % 5 WHEN 0 THEN '.TSX' WHEN 1 THEN '.js' WHEN 2 THEN '.mdx' ELSE '.ts' END)"""
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {PAGE_PATH} AS path FROM pages), b AS (SELECT *, split_part(path, '/', -1) AS base, split_part(path, '/', 1) AS first, path NOT LIKE '%/%' AS flat FROM p),
+n AS (SELECT *, lower(base) SIMILAR TO '(index|main)[.](ts|js|tsx)' AND (first = 'src' OR flat) AS near FROM b)
+SELECT page_id, path, (path LIKE '%/\_\_tests\_\_/%' ESCAPE '\' OR regexp_matches(lower(path), '[.]spec[.](tsx|js|ts)$')) AS test, first IN ('bin', 'scripts') AS shim,
+  (first = 'bin' OR regexp_matches(lower(base), '^index[.](tsx|js|ts)$')) AS dead_entry,
+  CAST(CASE WHEN first = 'bin' THEN 2 ELSE 0 END + CASE WHEN path LIKE 'src/cli/%' THEN 1 ELSE 0 END + CASE WHEN near THEN 3 ELSE 0 END AS INT) AS entry, base,
+  CASE WHEN flat THEN '.' ELSE first END AS top, first AS top_or_name, CASE WHEN flat THEN '.' ELSE path[: -length(base) - 2] END AS parent,
+  CASE WHEN contains(path, '.spec.') THEN 'test' WHEN path LIKE '%.mdx' THEN 'docs' WHEN first = 'bin' OR near THEN 'entry' WHEN first = 'infra' OR starts_with(base, 'git') THEN 'infra' ELSE 'other' END AS layer
+FROM n""")
+def path_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Every predicate of a path."""
+    p = table(spark, d, "pages").selectExpr("page_id", f"{PAGE_PATH} AS path")
+    return p.select(
+        "page_id", "path", P.is_test("path").alias("test"), P.is_shim("path").alias("shim"), P.is_dead_entry("path").alias("dead_entry"),
+        P.entry_score("path").alias("entry"), P.base_name("path").alias("base"), P.top_dir("path").alias("top"),
+        P.top_dir("path", None).alias("top_or_name"), P.parent_dir("path").alias("parent"), P.layer("path").alias("layer"),
+    )
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {PAGE_PATH} AS path, split_part(url, '/', -1) AS x FROM pages),
+q AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('./', path) WHEN 1 THEN concat('a/../', path) WHEN 2 THEN concat('../', path) WHEN 3 THEN concat('a//b/../../', path) WHEN 4 THEN 'a/..' ELSE concat(path, '/.') END AS raw, path FROM p)
+SELECT page_id, raw, CASE WHEN page_id % 6 IN (2, 4) THEN NULL ELSE path END AS path FROM q""")
+def normal_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Dots resolved; null where a path leads out or nothing is left."""
+    p = table(spark, d, "pages").selectExpr("page_id", f"{PAGE_PATH} AS path")
+    raw = """CASE page_id % 6 WHEN 0 THEN concat('./', path) WHEN 1 THEN concat('a/../', path) WHEN 2 THEN concat('../', path)
+      WHEN 3 THEN concat('a//b/../../', path) WHEN 4 THEN 'a/..' ELSE concat(path, '/.') END"""
+    return p.selectExpr("page_id", f"{raw} AS raw").withColumn("path", P.normalized("raw"))
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {PAGE_PATH} AS path FROM pages), q AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('dist/', path) WHEN 1 THEN concat('k/ID_RSA.', page_id) WHEN 2 THEN concat('src/gen/', path) ELSE path END AS path FROM p)
+SELECT page_id, path FROM q WHERE page_id % 4 NOT IN (0, 1, 2) AND (path = 'src' OR path LIKE 'src/%' OR path LIKE 'bin/%')""")
+def eligible_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that the default deny list, an excluded folder and the included prefixes leave."""
+    p = table(spark, d, "pages").selectExpr("page_id", f"{PAGE_PATH} AS path")
+    raw = "CASE page_id % 4 WHEN 0 THEN concat('dist/', path) WHEN 1 THEN concat('k/ID_RSA.', page_id) WHEN 2 THEN concat('src/gen/', path) ELSE path END AS path"
+    p = p.selectExpr("page_id", raw)
+    return p.where(~P.denied("path", P.deny_list(["src/gen"]))).where(P.included("path", ["src", "bin"]))
+
+
+from . import code_queries  # noqa: E402, F401  registers its queries

@@ -13,7 +13,9 @@ from ..sources.git import git
 # Limits and names of the request protocol.
 PROTOCOL = 1
 FOCUS = ["architecture", "symbols", "source", "graph", "review"]
-LIMITS = {"minTokenBudget": 128, "maxTokenBudget": 32_000, "maxRequestBytes": 1_048_576, "maxChangedPaths": 200, "maxFileBytes": 1_000_000, "maxFiles": 10_000}
+LIMITS = {
+    "minBudget": 128, "maxBudget": 32_000, "maxRequestBytes": 1_048_576, "maxChangedPaths": 200, "maxFileBytes": 1_000_000, "maxFiles": 10_000,
+}
 FLOOR = 64
 OVERLAY = "gneissflow.project.json"
 LISTS = ("changedPaths", "includePaths", "excludePaths")
@@ -79,7 +81,7 @@ def parse(raw: bytes, wanted: int | None = None) -> dict:
     focus, budget = value.get("focus"), value.get("tokenBudget")
     if not isinstance(focus, list) or not focus or any(f not in FOCUS for f in focus):
         raise bad("focus is not a list of known values")
-    if isinstance(budget, bool) or not isinstance(budget, int) or not 1 <= budget <= LIMITS["maxTokenBudget"]:
+    if isinstance(budget, bool) or not isinstance(budget, int) or not 1 <= budget <= LIMITS["maxBudget"]:
         raise bad("tokenBudget is out of range")
     for name in LISTS:
         if name in value and (not isinstance(value[name], list) or len(value[name]) > LIMITS["maxChangedPaths"] or any(not isinstance(p, str) or not p for p in value[name])):

@@ -11,6 +11,7 @@ import os
 import re
 import stat
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from ..errors import EngineError
 from ..functions.text import digest_of
 
 MAX_BYTES = 1_000_000
+MAX_OUTPUT = 64 << 20  # of one Git command
 HISTORY = 2000
 HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
 
@@ -35,14 +37,23 @@ def neutral_env() -> dict[str, str]:
     return env | {"GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_TERMINAL_PROMPT": "0", "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}
 
 
-def git(root: str, *args: str, check: bool = True) -> bytes | None:
-    """Output of a Git command in a neutral environment; None if it fails and ``check`` is off."""
-    done = subprocess.run([*GIT, *args], cwd=root, env=neutral_env(), capture_output=True, check=False)
-    if done.returncode:
-        if check:
-            raise EngineError("WORKSPACE_INVALID", f"git {args[0]} failed: {done.stderr.decode(errors='replace').strip()[:300]}")
-        return None
-    return done.stdout
+def git(root: str, *args: str, check: bool = True, most: int = MAX_OUTPUT) -> bytes | None:
+    """Output of a Git command in a neutral environment; None if it fails and ``check`` is off.
+
+    A command that writes more than ``most`` bytes is stopped and counts as failed.
+    """
+    with tempfile.TemporaryFile() as errors, subprocess.Popen([*GIT, *args], cwd=root, env=neutral_env(), stdout=subprocess.PIPE, stderr=errors) as run:
+        out = run.stdout.read(most + 1)
+        if len(out) > most:
+            run.kill()
+        run.wait()
+        if not run.returncode and len(out) <= most:
+            return out
+        errors.seek(0)
+        why = f"output over {most} bytes" if len(out) > most else errors.read(300).decode(errors="replace").strip()
+    if check:
+        raise EngineError("WORKSPACE_INVALID", f"git {args[0]} failed: {why}")
+    return None
 
 
 @dataclass(frozen=True)

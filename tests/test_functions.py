@@ -67,3 +67,16 @@ def test_clip_and_json():
     assert T.canonical_json({"b": 1.0, "a": [0.5, None, {"z": "é", "y": True}]}) == '{"a":[0.5,null,{"y":true,"z":"é"}],"b":1}'
     assert T.canonical_json({"\uffff": 1, "\U00010000": 2}) == '{"\U00010000":2,"\uffff":1}'
     assert T.round4(0.33335) == 0.3333 and T.round4(0.12345) in (0.1234, 0.1235)
+
+
+def test_tokens_are_counted_by_the_vocabulary(spark, tmp_path):
+    assert T.estimator() == "byte_bpe_50k" and T.estimator(str(tmp_path / "none")) == "utf8-bytes/4"
+    assert [T.estimate_tokens_py(t) for t in ("", "hello world", "export function main() {}")] == [1, 2, 5]
+    assert one(spark, T.estimate_bytes, "", "abcde", "é") == {"": 1, "abcde": 2, "é": 1} and T.estimate_bytes_py("abcde") == 2
+    assert T.clip_py("漢字" * 200, 20) and T.estimate_tokens_py(T.clip_py("漢字" * 200, 20)) <= 20
+
+
+def test_order_of_code_units(spark):
+    names = ["z", "\uffff", "\U00010000", "a"]
+    got = spark.createDataFrame([(n,) for n in names], "x string").orderBy(T.utf16_key("x")).collect()
+    assert [r.x for r in got] == ["a", "z", "\U00010000", "\uffff"]

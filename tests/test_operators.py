@@ -1,11 +1,14 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from gneissflow import scratch
 from gneissflow.functions import paths as P
 from gneissflow.operators import edges as E
 from gneissflow.operators import graph as G
-from gneissflow.operators import history, overlap, rank
+from gneissflow.operators import history, overlap, rank, skew
 from gneissflow.operators import risk as R
 
 EDGE = "kind string, src string, dst string, confidence double, tier string"
@@ -199,7 +202,9 @@ def test_risk(spark, tested, total):
     s = spark.createDataFrame([("src/auth.ts#authUser", "authUser", "src/auth.ts")], "qualified_name string, name string, path string")
     rows = [("CALLS", "sym:lib/x.ts#f", "sym:src/auth.ts#authUser")] + ([("TESTED_BY", "file:t", "file:src/auth.ts")] if tested else [])
     churn = spark.createDataFrame([("src/auth.ts", 100)], "path string, churn long")
-    row = R.risk(s, edges(spark, *rows), churn, 100, 1).collect()[0]
+    e = edges(spark, *rows)
+    assert tuple(R.most(churn, e).collect()[0]) == (100, 1) and tuple(R.most(churn.where("false"), e.where("false")).collect()[0]) == (0, 0)
+    row = R.risk(s, e, churn, R.most(churn, e)).collect()[0]
     assert row.total_risk == total and row.factors[0].raw == int(tested) and len(row.factors) == 5
 
 
@@ -213,6 +218,48 @@ def test_overlap(spark):
     assert overlap.same_rows(paths, paths) and not overlap.same_rows(paths, paths.limit(1))
 
 
+def test_overlap_against_all_pairs(spark):
+    rng = random.Random(3)
+    one = lambda n: [(rng.choice("ab"), i, a := rng.randrange(3000), a + rng.choice([-1, 0, 3, 40, 900])) for i in range(n)]
+    hunks, spans = [(k, a, b) for k, _, a, b in one(25)] + [(None, 0, 3000)], one(300) + [(None, 999, 0, 5)]
+    want = {(k, i) for k, i, a, b in spans for h, x, y in hunks if k is not None and k == h and a <= b and x <= y and a <= y and b >= x}
+    got = overlap.interval_overlap(
+        spark.createDataFrame(hunks, "k string, start int, end int"), spark.createDataFrame(spans, "k string, v int, start int, end int"), "k", "v", 64,
+    )
+    assert as_set(got, "k", "v") == want and got.count() == len(want)
+
+
+def test_ranks_over_ranges(spark):
+    rows = [(i, (i * 7919) % 1000) for i in range(1000)]
+    got = rank.ranked(spark.createDataFrame(rows, "id long, v long"), "id", [F.desc("v")], "r").collect()
+    assert {r.id: r.r for r in got} == {i: 1000 - v for i, v in rows}
+    assert rank.ranked(spark.createDataFrame([], "id long, v long"), "id", [F.desc("v")], "r").count() == 0
+
+
+def test_salted_joins_are_plain_joins(spark):
+    left = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id % 500 END AS k")
+    right = spark.range(400).selectExpr("id AS k", "id * 2 AS x")
+    hot = skew.hot_keys(left, "k", least=100)
+    assert [r.k for r in hot.collect()] == [7] and skew.hot_keys(left, "k").count() == 1 and skew.hot_keys(left, "k", least=2000).count() == 0
+    for how in ("inner", "left"):
+        got, want = skew.salted_join(left, right, "k", "id", hot, how), left.join(right, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_scratch_tables_go(spark):
+    def made():
+        inner = scratch.materialize(spark.range(5), "inner")
+        paths.append(inner._scratch_path)
+        return inner.where("id > 1")
+
+    paths = []
+    out = scratch.settled(made, "outer")
+    exists = lambda p: os.path.exists(p.removeprefix("file:"))
+    assert out.count() == 3 and not exists(paths[0]) and exists(out._scratch_path)
+    scratch.drop(out)
+    assert not exists(out._scratch_path)
+
+
 def test_packing(spark):
     def run(items, budget):
         df = spark.createDataFrame([(i, n, s, c) for i, (n, s, c) in enumerate(items)], "o int, id string, size long, clipable boolean")

@@ -5,7 +5,7 @@ import subprocess
 import pytest
 
 from gneissflow.errors import EngineError
-from gneissflow.functions.text import estimate_tokens_py
+from gneissflow.functions.text import canonical_json, estimate_tokens_py, estimator
 from gneissflow.plans import request as Q
 from gneissflow.plans.pack import descriptor, fit_insights, pack
 from gneissflow.sources import git as S
@@ -118,10 +118,21 @@ def test_requests(repo):
     write(repo, Q.OVERLAY, "{")
     assert pytest.raises(EngineError, Q.load_overlay, repo).value.code == "REQUEST_INVALID"
     assert pytest.raises(EngineError, S.resolve_workspace, "/nonexistent").value.exit_code == 1
-    assert descriptor()["limits"]["maxFiles"] == 10_000
+    limits = descriptor()["limits"]
+    assert limits["maxFiles"] == 10_000 and (limits["minBudget"], limits["maxBudget"]) == (128, 32_000)
+    assert descriptor()["estimator"] == estimator()
 
 
 def test_insights_shrink_then_go():
     many = {"coverage": {"a": 1}, "graph": {"fileCount": 1, "outlines": [{"path": "p" * 40}] * 20, "tour": [1] * 5}}
-    assert len(fit_insights(many, 160)["graph"]["outlines"]) == 10 and "outlines" not in fit_insights(many, 30)["graph"]
+    ten = {**many, "graph": {**many["graph"], "outlines": many["graph"]["outlines"][:10]}}
+    size = estimate_tokens_py(canonical_json(ten))  # exactly what ten outlines need
+    assert len(fit_insights(many, size)["graph"]["outlines"]) == 10 and "outlines" not in fit_insights(many, 20)["graph"]
     assert fit_insights(many, 0) == {"coverage": {"a": 1}, "graph": {"fileCount": 1}}
+
+
+def test_git_output_has_a_limit(repo):
+    assert S.git(repo, "ls-files", most=10_000).startswith(b"data.bin")
+    assert S.git(repo, "ls-files", check=False, most=5) is None
+    with pytest.raises(EngineError, match="output over 5 bytes"):
+        S.git(repo, "ls-files", most=5)
