@@ -48,8 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage wrote on its way, and its input once the next stage is done, is removed.
+    """
     docs = ensure_worker_path(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+        own = docs
+        docs = scratch.settled(lambda: stage(spark, own, sf_dir), name)  # noqa: B023  called at once
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
