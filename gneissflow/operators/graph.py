@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.text import round4, utf16_key
 from ..scratch import drop, materialize
-from .skew import hot_keys, salted_join
+from .skew import LEAST, SHARE, hot_keys, salted_join
 
 #: Names that never count as hubs (fixed values).
 NOISE = [
@@ -131,14 +131,15 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours, an old label's own node learns the better label, and a node takes the label of its
     label.  Labels only fall, and the rounds grow with the logarithm of a chain's length.  Minimum
     aggregates combine before they shuffle; the joins deal out hot nodes (hubs) and hot labels (large
-    components) over many tasks.  Only "did anything change" reaches the driver.  No links: no rows.
+    components) over many tasks.  Whether a label fell, and the hot keys, fewer than ``SHARE`` each,
+    reach the driver.  No links: no rows.
     """
     one = pairs.select(F.col(a).alias("node"), F.col(b).alias("y")).where("node <> y")
     both = materialize(one.union(one.select("y", "node")).distinct(), "pairs")
-    hubs = materialize(hot_keys(both, "y"), "hubs")
+    hubs = hot_keys(both, "y")
     label = held = materialize(both.groupBy("node").agg(F.least(F.min("y"), F.min("node")).alias("comp")), "labels")
+    total, large = label.count(), hot_keys(label, "comp")
     while True:
-        large = hot_keys(label, "comp")
         of_y = salted_join(both, label.select(F.col("node").alias("y"), "comp"), "y", "node", hubs)
         near = of_y.groupBy("node").agg(F.min("comp").alias("near"))
         step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
@@ -149,8 +150,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = materialize(new.select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
         drop(held)
         label, held = new.select("node", "comp"), new
-        if new.where("comp < was").isEmpty():
-            drop(both, hubs)
+        sizes = new.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("comp") < F.col("was")).alias("fell"))
+        hot = F.when(F.col("n") > max(total / SHARE, LEAST - 1), F.col("comp"))
+        fell, large = sizes.agg(F.bool_or("fell"), F.collect_list(hot)).first()
+        if not fell:
+            drop(both)
             return label
 
 
