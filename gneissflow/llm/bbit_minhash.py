@@ -220,6 +220,7 @@ def _across(at: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> Da
     nodes = rows.select("key", F.col("comp").alias("fine")).distinct().join(cluster.withColumnRenamed("node", "key"), "key")
     nodes = nodes.join(sigs.select("key", "n_shingles"), "key")
     size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SIZE)
+    nodes = materialize(nodes, "open_nodes")
     nodes = salted_join(nodes, nodes.groupBy("comp").agg(F.ceil(size).alias("blocks")), "comp", "key", hot_keys(nodes, "comp"))
     block = F.xxhash64("comp", F.pmod(F.xxhash64("key"), "blocks")).alias("block")
     nodes = materialize(nodes.select("key", F.col("fine").alias("comp"), block), "blocks")
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     pair = lambda df, c: df.where(F.col(c) != F.col("key")).select(F.least(c, "key").alias("a"), F.greatest(c, "key").alias("b")).distinct()
     links = materialize(_verified(pair(met, "head"), sigs, sets, percent), "links")
     named = _stars(links, turn)
-    open_ = met.where("key <> next").select("key", "next").distinct()
+    open_ = materialize(met.where("key <> next").select("key", "next").distinct(), "open_pairs")
     of_next = named.select(F.col("node").alias("next"), F.col("star").alias("t"))
     open_ = salted_join(open_, of_next, "next", "key", hot_keys(open_, "next"), "left")
     open_ = open_.join(named.select(F.col("node").alias("key"), F.col("star").alias("s")), "key", "left")
