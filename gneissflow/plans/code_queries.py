@@ -23,8 +23,8 @@ FILE = "CAST(floor(k / 20) AS BIGINT)"
 NAME = "CASE p_name WHEN 'red widget' THEN 'toString' WHEN 'blue bolt' THEN 'authToken' ELSE replace(p_name, ' ', '_') END"
 QUALIFIED = "concat(path, '#', CASE WHEN k % 5 = 4 THEN 'C.' ELSE '' END, name)"
 KIND = "CASE WHEN k % 5 = 4 THEN 'method' WHEN sz < 10 THEN 'interface' WHEN sz < 20 THEN 'class' ELSE 'function' END"
-IMPORTED = "sz >= 25 AND f % 20 <> 19"
-SPECIFIER = """CASE WHEN sz = 50 THEN 'lodash' ELSE concat(CASE WHEN f % 10 = 7 THEN '../../' ELSE '../' END,
+IMPORTED = "sz >= 25"
+SPECIFIER = """CASE WHEN sz = 50 OR f % 20 = 19 THEN 'lodash' ELSE concat(CASE WHEN f % 10 = 7 THEN '../../' ELSE '../' END,
   CASE k % 3 WHEN 0 THEN regexp_replace(aim, '(/index)?[.][a-z]+$', '') WHEN 1 THEN aim ELSE regexp_replace(aim, 'ts$', 'js') END) END"""
 CALLEE = """CASE l_linenumber % 4 WHEN 0 THEN called WHEN 1 THEN concat(called, '.small_ring') WHEN 2 THEN concat('this.', called) ELSE 'x()' END"""
 RECEIVER = "CASE l_linenumber % 4 WHEN 0 THEN 'identifier' WHEN 1 THEN 'property' WHEN 2 THEN 'this' ELSE 'unresolved' END"
@@ -178,7 +178,7 @@ def code_test_gaps(spark: SparkSession, d: str) -> DataFrame:
 def code_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Edge ends that are missing once the last five symbols of each file are taken away."""
     r = Reading(spark, d)
-    some = E.build_graph(r.files, r.symbols.where("pos < 15"), r.imports, r.calls.limit(0)).nodes
+    some = E.build_graph(r.files, r.symbols.where("pos < 15"), r.imports, r.calls.where("false")).nodes
     return G.integrity(some, r.graph().edges)
 
 
@@ -240,17 +240,17 @@ def code_risk(spark: SparkSession, d: str) -> DataFrame:
     return R.risk(once, edges, churn, R.most(churn, edges)).select("qualified_name", "total_risk")
 
 
-@query(CODE_SQL + """, sd AS (SELECT 'sym:' || q AS id FROM sy WHERE k % 50 = 1 UNION SELECT 'file:' || path FROM sy WHERE k % 400 = 0),
+@query(CODE_SQL + """, sd AS (SELECT 'sym:' || q AS id FROM sy WHERE sz = 17 UNION SELECT 'file:' || path FROM sy WHERE sz = 40),
 bk AS (SELECT src, dst, max(CASE kind WHEN 'CALLS' THEN 0.5 ELSE 0.4 END) AS w FROM ed WHERE kind IN ('CALLS', 'IMPORTS') GROUP BY 1, 2),
 l1 AS (SELECT src AS id, max(w) AS score FROM bk JOIN sd ON dst = id WHERE src NOT IN (SELECT id FROM sd) GROUP BY 1),
 l2 AS (SELECT src AS id, max(score * w) AS score FROM bk JOIN l1 ON dst = id WHERE src NOT IN (SELECT id FROM sd UNION ALL SELECT id FROM l1) GROUP BY 1),
 l3 AS (SELECT src AS id, max(score * w) AS score FROM bk JOIN l2 ON dst = id WHERE src NOT IN (SELECT id FROM sd UNION ALL SELECT id FROM l1 UNION ALL SELECT id FROM l2) GROUP BY 1)
 SELECT id, CAST(depth AS INT) AS depth, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE score >= 0.05""")
 def code_impact(spark: SparkSession, d: str) -> DataFrame:
-    """What depends on some symbols and files, up to three hops back."""
+    """What depends on the symbols of size 17 and the files of those of size 40, up to three hops back."""
     r = Reading(spark, d)
     s = r.parts
-    seeds = s.where("k % 50 = 1").select(E.sym_id(F.col("q")).alias("id")).union(s.where("k % 400 = 0").select(E.file_id(F.col("path"))))
+    seeds = s.where("sz = 17").select(E.sym_id(F.col("q")).alias("id")).union(s.where("sz = 40").select(E.file_id(F.col("path"))))
     return G.impact(r.graph().edges, seeds).select("id", "depth", F.round("score", 6).alias("score"))
 
 
@@ -260,16 +260,16 @@ INTENT = "find the authToken of small_ring"
 @query(CODE_SQL + """, tm(t) AS (VALUES ('find'), ('auth'), ('token'), ('small'), ('ring')),
 ts AS (SELECT q, max(exported::INT + p + CASE WHEN lower(name) = 'small_ring' OR ends_with(lower(q), 'small_ring') THEN 15 ELSE 0 END) AS s FROM (
   SELECT k, q, name, exported, sum(3 * contains(lower(name), t)::INT + 2 * contains(lower(q), t)::INT + 2 * contains(lower(path), t)::INT + contains(lower(kind || ' ' || name || ' '), t)::INT) AS p FROM sy, tm GROUP BY ALL) GROUP BY 1),
-chg AS (SELECT DISTINCT q FROM sy WHERE k % 50 = 1),
+chg AS (SELECT DISTINCT q FROM sy WHERE sz = 17),
 nb AS (SELECT DISTINCT q FROM sy WHERE path IN (SELECT target FROM rs WHERE path IN (SELECT split_part(q, '#', 1) FROM chg))),
 r1 AS (SELECT q, row_number() OVER (ORDER BY s DESC, q) AS r FROM ts), r2 AS (SELECT q, row_number() OVER (ORDER BY n DESC, q) AS r FROM god),
 r3 AS (SELECT q, row_number() OVER (ORDER BY q) AS r FROM chg), r4 AS (SELECT q, row_number() OVER (ORDER BY q) AS r FROM nb)
 SELECT q AS qualified_name, CAST(round(1.0::DOUBLE / (60 + r1.r) + coalesce(1.0::DOUBLE / (60 + r2.r), 0) + coalesce(1.0::DOUBLE / (60 + r3.r), 0) + coalesce(1.0::DOUBLE / (60 + r4.r), 0), 12) AS DOUBLE) AS score
 FROM r1 LEFT JOIN r2 USING (q) LEFT JOIN r3 USING (q) LEFT JOIN r4 USING (q)""")
 def code_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """All symbols by four fused lists: words of a request, hubs, changed symbols, their imports."""
+    """All symbols by four fused lists: words of a request, hubs, changed symbols (those of size 17), their imports."""
     r = Reading(spark, d)
     s, edges = r.symbols, materialize(r.graph().edges, "code_edges")
-    changed = r.parts.where("k % 50 = 1").select(F.col("q").alias("qualified_name")).distinct()
+    changed = r.parts.where("sz = 17").select(F.col("q").alias("qualified_name")).distinct()
     found = rank.rank_symbols(s, INTENT, edges, changed, G.god_symbols(edges, s))
     return found.select("qualified_name", F.round("score", 12).alias("score"))
