@@ -134,20 +134,21 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     components) over many tasks.  Whether a label fell, and the hot keys, fewer than ``SHARE`` each,
     reach the driver.  No links: no rows.
     """
-    one = pairs.select(F.col(a).alias("node"), F.col(b).alias("y")).where("node <> y")
-    both = materialize(one.union(one.select("y", "node")).distinct(), "pairs")
+    one = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    ends = [F.struct(F.col(p).alias("node"), F.col(q).alias("y")) for p, q in ("xy", "yx", "xx", "yy")]  # each node is its own neighbour
+    both = materialize(one.select(F.explode(F.array(*ends)).alias("e")).select("e.node", "e.y").distinct(), "pairs")
     hubs = hot_keys(both, "y")
-    label = held = materialize(both.groupBy("node").agg(F.least(F.min("y"), F.min("node")).alias("comp")), "labels")
+    label = held = materialize(both.groupBy("node").agg(F.min("y").alias("comp")), "labels")
     total, large = label.count(), hot_keys(label, "comp")
     while True:
         of_y = salted_join(both, label.select(F.col("node").alias("y"), "comp"), "y", "node", hubs)
-        near = of_y.groupBy("node").agg(F.min("comp").alias("near"))
-        step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        hook = step.where("low < comp").groupBy(F.col("comp").alias("node")).agg(F.min("low").alias("hook"))
-        hooked = step.join(hook, "node", "left").select("node", "comp", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        jump = hooked.select(F.col("node").alias("comp"), F.col("low").alias("far"))
-        new = salted_join(hooked, jump, "comp", "node", large, "left")
-        new = materialize(new.select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), F.col("comp").alias("was")), "labels")
+        own = F.max(F.when(F.col("y") == F.col("node"), F.col("comp")))
+        step = of_y.groupBy("node").agg(own.alias("comp"), F.min("comp").alias("low"))
+        # where a label leads: to the best that its own node, or any node with the label, has seen
+        aims = step.select(F.col("node").alias("comp"), "low").union(step.select("comp", "low"))
+        aims = aims.groupBy("comp").agg(F.min("low").alias("far"))
+        new = salted_join(step, aims, "comp", "node", large)
+        new = materialize(new.select("node", F.least("low", "far").alias("comp"), F.col("comp").alias("was")), "labels")
         drop(held)
         label, held = new.select("node", "comp"), new
         sizes = new.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("comp") < F.col("was")).alias("fell"))
