@@ -16,6 +16,7 @@ from ..operators import graph as G
 from ..operators import history, overlap, rank
 from ..operators import risk as R
 from ..scratch import materialize
+from ..session import spread
 from .registry import query, table
 
 # ---- readings of the tables ------------------------------------------------------------------
@@ -349,7 +350,7 @@ REDACT_SQL = f"regexp_replace({REDACT_SQL}, '" + T.REDACT_ASSIGN.replace("'", "'
 
 @query(f"SELECT doc_id, {REDACT_SQL} AS redacted FROM documents")
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.redact("text").alias("redacted"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.redact("text").alias("redacted"))
 
 
 @query(r"""

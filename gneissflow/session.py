@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_worker_path(spark: SparkSession) -> SparkSession:
@@ -19,3 +19,13 @@ def ensure_worker_path(spark: SparkSession) -> SparkSession:
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out evenly where its files give fewer partitions than there are cores.
+
+    A file of one row group is one task however many rows it has; work on whole texts is worth a
+    shuffle then.  Tables of many files or row groups stay as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
