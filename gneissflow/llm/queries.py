@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_worker_path
+from ..session import ensure_worker_path, spread
 from . import bbit_minhash, hilbert_shard, markov_secrets, mixing, patience_license
 from . import rp_forest, spaced_seeds, subword_quality, token_scan, url_filter
 
@@ -14,15 +14,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_worker_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, item_tokens, matched, run, doc_start of each test item found in a document."""
-    found = spaced_seeds.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = spaced_seeds.overlaps(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_tokens", "matched", "run", "doc_start")
 
 
 def op2_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a licence text in every document."""
-    return patience_license.scan(_table(spark, sf_dir, "documents"))
+    return patience_license.scan(_documents(spark, sf_dir))
 
 
 def op3_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +48,19 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_separator_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of each document, found by the separators of the token streams."""
-    return token_scan.separator_scan(token_scan.token_streams(_table(spark, sf_dir, "documents")))
+    return token_scan.separator_scan(token_scan.token_streams(_documents(spark, sf_dir)))
 
 
 def op7_bbit_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of each document: 3-word shingles, similarity of 0.85."""
-    found, _ = bbit_minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
+    found, _ = bbit_minhash.near_duplicates(_documents(spark, sf_dir), 3, 85)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     return found.select("doc_id", "n_shingles", "component_id", kept)
 
 
 def op8_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in each document, by patterns and by the models."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = markov_secrets.find_secrets(docs)
     n = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     digest = F.sha2(markov_secrets.told("base_spans").cast("binary"), 256).alias("base_sha256")
@@ -71,7 +75,7 @@ def op9_url_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of each document."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = subword_quality.fit(docs, _table(spark, sf_dir, "labels"))
     return subword_quality.score(docs, model).drop("text_hash")
 
