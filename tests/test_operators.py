@@ -10,6 +10,7 @@ from gneissflow.operators import edges as E
 from gneissflow.operators import graph as G
 from gneissflow.operators import history, overlap, rank, skew
 from gneissflow.operators import risk as R
+from gneissflow.session import spread
 
 EDGE = "kind string, src string, dst string, confidence double, tier string"
 SYM = "path string, pos int, kind string, name string, qualified_name string, exported boolean, is_test boolean, heritage struct<extends:array<string>,implements:array<string>>"
@@ -246,6 +247,14 @@ def test_salted_joins_are_plain_joins(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
 
 
+def test_spread_deals_out_few_partitions_only(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).repartition(9).write.option("maxRecordsPerFile", 5).parquet(f"{tmp_path}/many")
+    one, many = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("one", "many"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    assert (spread(many) is many) == (many.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism)
+
+
 def test_scratch_tables_go(spark):
     def made():
         inner = scratch.materialize(spark.range(5), "inner")
