@@ -17,6 +17,7 @@ from ..operators import graph as G
 from ..operators import history, rank
 from ..operators import risk as R
 from ..scratch import materialize
+from . import pack
 from .registry import query, table
 
 FILE = "CAST(floor(k / 20) AS BIGINT)"
@@ -273,3 +274,37 @@ def code_ranking(spark: SparkSession, d: str) -> DataFrame:
     changed = r.parts.where("sz = 17").select(F.col("q").alias("qualified_name")).distinct()
     found = rank.rank_symbols(s, INTENT, edges, changed, G.god_symbols(edges, s))
     return found.select("qualified_name", F.round("score", 12).alias("score"))
+
+
+@query(CODE_SQL + """SELECT CAST((SELECT count(*) FROM fi) AS BIGINT) AS files, CAST((SELECT count(*) FROM sy) AS BIGINT) AS symbols, CAST((SELECT count(*) FROM ed) AS BIGINT) AS edges""")
+def code_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Files, symbols and edges of the graph."""
+    r = Reading(spark, d)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(r.files, "files").crossJoin(count(r.symbols, "symbols")).crossJoin(count(r.graph().edges, "edges"))  # one row each
+
+
+@query(CODE_SQL + """, g AS (SELECT kind, count(DISTINCT q) AS n FROM sy GROUP BY 1), one AS (SELECT DISTINCT kind, q, path FROM sy),
+f AS (SELECT kind, path, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, path) AS r FROM one GROUP BY 1, 2 QUALIFY r <= 5)
+SELECT kind AS id, CAST(any_value(g.n) AS INT) AS members, string_agg(path, ' ' ORDER BY r) AS top_files FROM g JOIN f USING (kind) GROUP BY 1""")
+def code_group_files(spark: SparkSession, d: str) -> DataFrame:
+    """The five fullest files of each group of symbols; the kind of a symbol is its group."""
+    r = Reading(spark, d)
+    once = r.symbols.select("kind", "qualified_name").distinct()
+    groups = once.groupBy(F.col("kind").alias("id")).agg(F.collect_list("qualified_name").alias("members"), F.count(F.lit(1)).cast("int").alias("member_count"))
+    rows = pack.community_rows(groups.withColumns({"label": F.lit("."), "cohesion": F.lit(1.0)}), r.symbols)
+    return spark.createDataFrame([(x["id"], x["memberCount"], " ".join(x["topFiles"])) for x in rows], "id string, members int, top_files string")
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS BIGINT) * 10 AS size FROM part QUALIFY o <= 200),
+f(o, id, used, rest) AS (SELECT 0, NULL::VARCHAR, 0::BIGINT, 9000::BIGINT UNION ALL
+  SELECT c.o, c.id, CASE WHEN size <= rest AND size > 0 THEN size ELSE 0 END, rest - CASE WHEN size <= rest THEN size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1),
+l AS (SELECT id, row_number() OVER (ORDER BY o) AS r, count(*) OVER () AS n FROM f WHERE o > 0 AND used = 0)
+SELECT id, true AS kept FROM f WHERE used > 0 UNION ALL SELECT id, false FROM l WHERE r <= 50 UNION ALL SELECT DISTINCT '...' || (n - 50) || ' more', false FROM l WHERE n > 50""")
+def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+    """What a report keeps of the 200 dearest parts (its list of sources), and what it lists as omitted."""
+    top = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200).collect()
+    items = [{"id": str(x["p_partkey"]), "estimatedTokens": int(x["p_size"]) * 10, "_clip": False} for x in top]
+    kept, left = pack.pack_items(spark, items, 9000)
+    return spark.createDataFrame([(x["id"], True) for x in kept] + [(x["id"], False) for x in left], "id string, kept boolean")
