@@ -75,7 +75,8 @@ def normalized(path: str | Column) -> Column:
 
     def step(s: Column, seg: Column) -> Column:
         keep, up = (seg != "") & (seg != ".") & (seg != ".."), seg == ".."
-        out = F.when(keep, F.array_append(s["out"], seg)).when(up & (F.size(s["out"]) > 0), F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0)))).otherwise(s["out"])
+        shorter = F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0)))
+        out = F.when(keep, F.array_append(s["out"], seg)).when(up & (F.size(s["out"]) > 0), shorter).otherwise(s["out"])
         return F.struct(out.alias("out"), (s["bad"] | (up & (F.size(s["out"]) == 0))).alias("bad"))
 
     return F.aggregate(F.split(_col(path), "/"), state, step, lambda s: F.when(~s["bad"] & (F.size(s["out"]) > 0), F.array_join(s["out"], "/")))

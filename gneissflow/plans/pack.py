@@ -143,7 +143,11 @@ def community_rows(groups: DataFrame, symbols: DataFrame) -> list[dict]:
     files = members.groupBy("community", F.coalesce("path", F.lit("<unknown>")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
     top = rank.top_n(files, ["community"], [F.desc("n"), F.col("path")], 5).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("f"))
     both = groups.join(top, F.col("id") == F.col("community"), "left").orderBy(F.desc("member_count"), T.utf16_key("id"))
-    return [{"id": r["id"], "label": r["label"], "memberCount": r["member_count"], "topFiles": [T.redact_py(x["path"]) for x in r["f"] or []], "cohesion": r["cohesion"]} for r in both.drop("members").collect()]
+    files = lambda r: [T.redact_py(x["path"]) for x in r["f"] or []]
+    return [
+        {"id": r["id"], "label": r["label"], "memberCount": r["member_count"], "topFiles": files(r), "cohesion": r["cohesion"]}
+        for r in both.drop("members").collect()
+    ]
 
 
 def questions(a: Analysis, f: Facts, hits: list[dict]) -> list[dict]:
@@ -165,12 +169,21 @@ def questions(a: Analysis, f: Facts, hits: list[dict]) -> list[dict]:
     return [{"text": T.redact_py(t), "nodeId": T.redact_py(n)} for t, n in out]
 
 
+def _fullest(f: Facts, n: int) -> DataFrame:
+    """path, n of the files with most symbols."""
+    counted = f.files.select("path").join(f.symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
+    return counted.orderBy(F.desc(F.coalesce("n", F.lit(0))), T.utf16_key("path")).limit(n)
+
+
 def outlines(f: Facts) -> list[dict]:
     """The 20 files with most symbols, each with up to 30 symbols that are no members."""
-    counted = f.files.select("path").join(f.symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left").orderBy(F.desc(F.coalesce("n", F.lit(0))), "path").limit(20)
-    top = rank.top_n(f.symbols.where(~F.col("kind").isin("method", "constructor")).join(F.broadcast(counted), "path"), ["path"], [F.col("qualified_name"), F.col("pos")], 30)
-    rows = top.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "qualified_name", "kind", "exported"))).alias("s")).orderBy(F.desc("n"), T.utf16_key("path"))
-    return [{"path": T.redact_py(r["path"]), "symbols": [{"qualifiedName": T.redact_py(s["qualified_name"]), "kind": s["kind"], "exported": s["exported"]} for s in r["s"]]} for r in rows.collect()]
+    counted = _fullest(f, 20)
+    inner = f.symbols.where(~F.col("kind").isin("method", "constructor")).join(F.broadcast(counted), "path")  # 20 rows
+    top = rank.top_n(inner, ["path"], [T.utf16_key("qualified_name"), F.col("pos")], 30)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "qualified_name", "kind", "exported"))).alias("s")
+    rows = top.groupBy("path", "n").agg(listed).orderBy(F.desc("n"), T.utf16_key("path"))
+    shown = lambda x: {"qualifiedName": T.redact_py(x["qualified_name"]), "kind": x["kind"], "exported": x["exported"]}
+    return [{"path": T.redact_py(r["path"]), "symbols": [shown(x) for x in r["s"]]} for r in rows.collect()]
 
 
 def layers(files: DataFrame) -> list[dict]:
@@ -188,9 +201,15 @@ def graph_section(a: Analysis, sc: Scan) -> dict:
     red = T.redact_py
     routes = f.routes.orderBy(T.utf16_key("path"), "pos").collect()
     start = entry_points(f.files, 1)
+
+    def route(r) -> dict:
+        handler = red(r["handler_name"]) if r["handler_name"] else None
+        return {"id": f"route:{r['path']}#{r['method']} {r['route_path']}", "method": r["method"], "path": red(r["route_path"]), "handler": handler}
+
+    gods = a.gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).limit(20).collect()
     optional = {
         "communities": community_rows(a.groups, f.symbols),
-        "routes": sorted(({"id": f"route:{r['path']}#{r['method']} {r['route_path']}", "method": r["method"], "path": red(r["route_path"]), "handler": red(r["handler_name"]) if r["handler_name"] else None} for r in routes), key=lambda r: r["id"]),
+        "routes": sorted((route(r) for r in routes), key=lambda r: r["id"]),
         "deadCode": [{"qualifiedName": red(r["qualified_name"]), "confidence": r["confidence"]} for r in a.dead.collect()],
         "surprises": [{"from": red(h["src"]), "to": red(h["dst"]), "score": h["score"], "reasons": h["reasons"]} for h in hits],
         "questions": questions(a, f, hits),
@@ -202,7 +221,7 @@ def graph_section(a: Analysis, sc: Scan) -> dict:
     }
     return {
         "fileCount": f.files.count(), "symbolCount": f.symbols.count(), "edgeCount": e.count(),
-        "godSymbols": [{"qualifiedName": red(r["qualified_name"]), "score": r["score"]} for r in a.gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).limit(20).collect()],
+        "godSymbols": [{"qualifiedName": red(r["qualified_name"]), "score": r["score"]} for r in gods],
         "boundaryFiles": [red(r["path"]) for r in G.boundary_files(e).orderBy(T.utf16_key("path")).collect()],
     } | {k: v for k, v in optional.items() if v}
 
@@ -225,10 +244,11 @@ def coverage_section(a: Analysis, sc: Scan) -> dict:
     path = F.regexp_replace(P.file_of("caller"), "^file:", "")
     open_ = a.graph.unresolved.where(~P.is_test(path)).orderBy(F.desc("count"), T.utf16_key("caller")).limit(50)
     bad = G.integrity(a.graph.nodes, a.graph.edges).first()
+    languages = sc.facts.files.select("language").distinct().orderBy(T.utf16_key("language"))
     return {
         "unresolvedCalls": [{"callerQualifiedName": T.redact_py(r["caller"]), "count": r["count"]} for r in open_.collect()],
         "skipped": sorted(({"path": T.redact_py(s["path"]), "reason": s["reason"]} for s in sc.skipped), key=lambda s: s["path"]),
-        "truncated": sc.truncated, "languagesSeen": [r[0] for r in sc.facts.files.select("language").distinct().orderBy(T.utf16_key("language")).collect()], "historyWindow": S.HISTORY,
+        "truncated": sc.truncated, "languagesSeen": [r[0] for r in languages.collect()], "historyWindow": S.HISTORY,
         "graphIntegrity": {"missingSources": bad["missing_sources"], "missingTargets": bad["missing_targets"]},
     }
 
@@ -240,12 +260,14 @@ def architecture_text(a: Analysis, sc: Scan, focus: list[str]) -> str:
     edge = [r["path"] for r in G.boundary_files(a.graph.edges).orderBy(T.utf16_key("path")).limit(5).collect()]
     groups = community_rows(a.groups, f.symbols)
     start = entry_points(f.files, 5)
-    hubs = [r["path"] for r in f.files.select("path").join(f.symbols.groupBy("path").count(), "path", "left").orderBy(F.desc(F.coalesce("count", F.lit(0))), "path").limit(5).collect()] if not f.symbols.isEmpty() else []
+    hubs = [r["path"] for r in _fullest(f, 5).collect()] if not f.symbols.isEmpty() else []
+    named = [f"{g['label'] or g['id']}" + (f":{g['topFiles'][0]}" if g["topFiles"] else "") for g in groups[:5]]
     lines = [
         f"Files: {f.files.count()} ({per(F.col('language'))})", f"Symbols: {f.symbols.count()}", f"Directories: {per(P.top_dir('path'))}",
         "Entry points: " + ", ".join(start) if start else "", "God symbols: " + ", ".join(names) if names else "",
-        f"Communities: {len(groups)} (" + ", ".join(f"{g['label'] or g['id']}" + (f":{g['topFiles'][0]}" if g["topFiles"] else "") for g in groups[:5]) + ")" if groups else "",
-        "Boundary files: " + ", ".join(edge) if edge else "", "Scripts: " + ", ".join(sc.scripts) if sc.scripts else "", "Outline hubs: " + ", ".join(T.redact_py(p) for p in hubs) if hubs else "",
+        f"Communities: {len(groups)} ({', '.join(named)})" if groups else "",
+        "Boundary files: " + ", ".join(edge) if edge else "", "Scripts: " + ", ".join(sc.scripts) if sc.scripts else "",
+        "Outline hubs: " + ", ".join(T.redact_py(p) for p in hubs) if hubs else "",
     ]
     if "graph" in focus:
         lines.append("Layers: " + ", ".join(f"{x['name']}: {len(x['nodeIds'])}" for x in layers(f.files)))
@@ -259,19 +281,27 @@ def candidates(a: Analysis, sc: Scan, request: Q.Request) -> list[dict]:
     out = []
     if "architecture" in request.focus:
         text = architecture_text(a, sc, request.focus)
-        out.append({"id": "arch:repository", "kind": "architecture", "title": "Repository architecture", "text": text, "provenance": "heuristic", "confidence": 0.7, "estimatedTokens": T.estimate_tokens_py(text), "_clip": False})
+        out.append({
+            "id": "arch:repository", "kind": "architecture", "title": "Repository architecture", "text": text, "provenance": "heuristic",
+            "confidence": 0.7, "estimatedTokens": T.estimate_tokens_py(text), "_clip": False,
+        })
     if not {"symbols", "source"} & set(request.focus):
         return out
     f = sc.facts
     best = rank.rank_symbols(f.symbols, request.intent, a.graph.edges, a.changed, a.gods).limit(SYMBOLS)
     best = best.withColumn("_r", F.struct((-F.col("score")).alias("s"), "qualified_name"))
     rows = f.symbols.join(F.broadcast(best), "qualified_name").orderBy("_r", T.utf16_key("path"), "pos").limit(SYMBOLS)  # broadcast: 500 rows
-    rows = rows.withColumn("sym_text", T.redact(F.concat_ws("\n", "signature", F.when(F.col("jsdoc") != "", F.col("jsdoc"))))).withColumn("src_text", T.redact("source")).collect()
+    told = F.concat_ws("\n", "signature", F.when(F.col("jsdoc") != "", F.col("jsdoc")))
+    rows = rows.withColumn("sym_text", T.redact(told)).withColumn("src_text", T.redact("source")).collect()
     for kind, prefix, column, most, clip in (("symbol", "sym", "sym_text", SYMBOLS, False), ("source", "source", "src_text", SOURCES, True)):
         if {"symbol": "symbols", "source": "source"}[kind] in request.focus:
             for r in rows[:most]:
                 span = r["range"].asDict()
-                out.append({"id": f"{prefix}:{r['qualified_name']}#L{span['startLine']}-{span['endLine']}", "kind": kind, "title": r["name"], "text": r[column], "path": r["path"], "range": span, "provenance": "extracted", "confidence": r["confidence"], "estimatedTokens": T.estimate_tokens_py(r[column]), "_clip": clip})
+                out.append({
+                    "id": f"{prefix}:{r['qualified_name']}#L{span['startLine']}-{span['endLine']}", "kind": kind, "title": r["name"],
+                    "text": r[column], "path": r["path"], "range": span, "provenance": "extracted", "confidence": r["confidence"],
+                    "estimatedTokens": T.estimate_tokens_py(r[column]), "_clip": clip,
+                })
     return out
 
 
@@ -344,8 +374,8 @@ def verify_unchanged(spark: SparkSession, ws: S.Workspace, sc: Scan, deny: list[
 
 
 def scan_state(spark: SparkSession, ws: S.Workspace, deny: list[str], include: list[str]) -> tuple:
-    listed = _source(spark, "git_files", ws.root).where(~P.denied("path", deny)).where(P.included("path", include)).orderBy(T.utf16_key("path")).limit(Q.LIMITS["maxFiles"])
-    paths = [r["path"] for r in listed.collect()]
+    listed = _source(spark, "git_files", ws.root).where(~P.denied("path", deny)).where(P.included("path", include))
+    paths = [r["path"] for r in listed.orderBy(T.utf16_key("path")).limit(Q.LIMITS["maxFiles"]).collect()]
     status = sorted((r["path"], r["status"]) for r in _source(spark, "git_status", ws.root).collect())
     touched = {p for p, _ in status}
     digests = []
@@ -373,8 +403,8 @@ def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None
     base = S.resolve_ref(ws.root, request.base) if request.base else None
     changed, by_base = request.changed, bool(base and not request.changed)
     if by_base:
-        names = _source(spark, "git_diff_names", ws.root, base=base, head=head).select(P.canonical("path").alias("path")).where("path IS NOT NULL").distinct().orderBy(T.utf16_key("path"))
-        changed = [r["path"] for r in names.collect()]
+        names = _source(spark, "git_diff_names", ws.root, base=base, head=head).select(P.canonical("path").alias("path"))
+        changed = [r["path"] for r in names.where("path IS NOT NULL").distinct().orderBy(T.utf16_key("path")).collect()]
     if changed:
         ok = spark.createDataFrame([(p,) for p in changed], "path string").where(~P.denied("path", deny))
         changed = [r["path"] for r in ok.orderBy(T.utf16_key("path")).collect()]
@@ -398,11 +428,19 @@ def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None
     verify_unchanged(spark, ws, sc, deny, request.include, request.ref, commit)
     evidence, omitted = pack_items(spark, items, request.token_budget)
     refs = {k: v for k, v in (("gitRef", request.ref), ("baseRef", request.base)) if v}
-    request_digest = T.digest_of({"protocolVersion": Q.PROTOCOL, "workspace": ws.workspace_id, "intent": request.intent, "focus": request.focus, "tokenBudget": request.token_budget, "changedPaths": changed, **refs, **scope})
+    request_digest = T.digest_of({
+        "protocolVersion": Q.PROTOCOL, "workspace": ws.workspace_id, "intent": request.intent, "focus": request.focus,
+        "tokenBudget": request.token_budget, "changedPaths": changed, **refs, **scope,
+    })
     capsule_id = "ctx-" + T.digest_of({"requestDigest": request_digest, "snapshotDigest": snapshot["snapshotDigest"], "manifestDigest": target["manifestDigest"]})[:16]
     denied = sc.denied
     big = sum(s["reason"] in ("too-large", "binary") for s in sc.skipped)
-    warnings = [w for w in (f"{denied} file(s) excluded by denylist" if denied else "", f"{big} file(s) skipped (too-large or binary)" if big else "", f"workspace exceeds maxFiles ({Q.LIMITS['maxFiles']}); snapshot is partial" if sc.truncated else "") if w]
+    warnings = [
+        text for text, holds in (
+            (f"{denied} file(s) excluded by denylist", denied), (f"{big} file(s) skipped (too-large or binary)", big),
+            (f"workspace exceeds maxFiles ({Q.LIMITS['maxFiles']}); snapshot is partial", sc.truncated),
+        ) if holds
+    ]
     sections = {"coverage": coverage_section(a, sc)}
     if "graph" in request.focus:
         sections["graph"] = graph_section(a, sc)
