@@ -103,7 +103,11 @@ def mix(docs: DataFrame, levels: list[Level] | None = None, budget: int | None =
     """
     levels = default_levels() if levels is None else levels
     names = [x.name for x in levels]
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_md5"), token_count().alias("n_tokens"), *[x.column.alias(x.name) for x in levels])
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_md5")
+    meta = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), digest, token_count().alias("n_tokens"),
+        *[x.column.alias(x.name) for x in levels],
+    )
     meta = materialize(meta, "meta")
     leaves = materialize(meta.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     plan = leaf_budgets(leaves, levels, budget, share, max_epochs).where("given > 0")
@@ -113,12 +117,14 @@ def mix(docs: DataFrame, levels: list[Level] | None = None, budget: int | None =
     last = at.where("_rest > 0").withColumn("epoch", F.col("_epochs").cast("int"))
 
     def ordered(x: DataFrame) -> DataFrame:
-        u = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_md5")).cast("binary"))
+        parts = [F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_md5")]
+        u = F.md5(F.concat_ws(":", *parts).cast("binary"))
         return x.withColumn("_u", u).withColumn("_bucket", F.substring("_u", 1, BUCKET_HEX))
 
     rows = ordered(whole.withColumn("_rest", F.lit(None).cast("long")).unionByName(last))
     hist = rows.groupBy(*names, "epoch", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
-    hist = hist.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(*names, "epoch").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ahead = Window.partitionBy(*names, "epoch").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_base", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     rows = rows.join(hist, [*names, "epoch", "_bucket"]).where("_rest IS NULL OR _base < _rest")
     inside = Window.partitionBy(*names, "epoch", "_bucket").orderBy("_u", "doc_id", "_md5").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("_base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_rest IS NULL OR start < _rest")
