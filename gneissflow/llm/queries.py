@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_worker_path, spread
-from . import bbit_minhash, hilbert_shard, markov_secrets, mixing, patience_license
-from . import rp_forest, spaced_seeds, subword_quality, token_scan, url_filter
+from . import bbit_minhash, hilbert_shard, html_extract, markov_secrets, mixing, patience_license, rp_forest, spaced_seeds, spelling_groups
+from . import subword_quality, target_resample, token_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +80,25 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_quality.score(docs, model).drop("text_hash")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of each frequent word of the documents."""
+    return spelling_groups.variants(spelling_groups.corpus_words(_documents(spark, sf_dir)))
+
+
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_extract.extract(spread(_table(spark, sf_dir, "pages")))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document, drawn towards the benchmark's words."""
+    return target_resample.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_spaced_seed_decontamination, op2_patience_license_scan, op3_rp_forest_neighbours, op4_hierarchical_mixture, op5_hilbert_shards,
     op6_separator_scan_tokens, op7_bbit_minhash_neardup, op8_markov_secret_scan, op9_url_prefix_filter, op10_subword_quality,
+    op11_spelling_variants, op12_html_main_text, op13_target_resampling,
 )}
 
 ORACLE_SQL = {
@@ -98,6 +114,9 @@ u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l UNION SELECT doc_id,
 r(x, y) AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
 SELECT doc_id, n AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept FROM n JOIN r ON x = doc_id GROUP BY 1, 2""",
     "op4_hierarchical_mixture": mixing.ORACLE_SQL,
+    "op11_spelling_variants": spelling_groups.ORACLE_SQL,
+    "op12_html_main_text": html_extract.ORACLE_SQL,
+    "op13_target_resampling": target_resample.oracle_sql(),
     "op9_url_prefix_filter": r"""
 WITH p AS (
   SELECT page_id,
