@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import round4, utf16_key
+from ..functions.text import utf16_key
 from ..scratch import drop, materialize
 from .skew import LEAST, SHARE, hot_keys, salted_join
 
@@ -159,102 +155,10 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def prune_component(nodes: list[str], pairs: Iterable[tuple[str, str, float]], limit: int, large: int = 20, loose: float = 0.1) -> list[tuple[list[str], float]]:
-    """Parts of one component and their cohesion.
-
-    A part that is too large, or large and loose, loses its weakest pairs until it falls apart.  It
-    falls apart at the weakest link of its maximum spanning forest, so only that link matters; the
-    pairs weaker than it are gone from both halves.
-    """
-    ranked = sorted(((w, a, b) for a, b, w in pairs), key=lambda e: (e[0], e[1], e[2]))
-    todo, out = [(sorted(nodes), ranked)], []
-    while todo:
-        own, links = todo.pop()
-        n = len(own)
-        cohesion = len(links) / (n * (n - 1) / 2) if n > 1 else 0.0
-        if not links or (n <= limit and (n <= large or cohesion >= loose)):
-            out.append((own, cohesion))
-            continue
-        up = {x: x for x in own}
-
-        def root(x: str) -> str:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        weakest = None
-        for i in range(len(links) - 1, -1, -1):  # strongest first: the last one that joins is the cut
-            a, b = root(links[i][1]), root(links[i][2])
-            if a != b:
-                weakest, up[a] = i, b
-        up = {x: x for x in own}
-        rest = links[weakest + 1 :]
-        for _, a, b in rest:
-            up[root(a)] = root(b)
-        parts: dict[str, list[str]] = {}
-        for x in own:
-            parts.setdefault(root(x), []).append(x)
-        held: dict[str, list] = {r: [] for r in parts}
-        for e in rest:
-            held[root(e[1])].append(e)
-        todo += [(parts[r], held[r]) for r in parts]
-    return out
-
-
 def _utf16(text: str) -> bytes:
     return text.encode("utf-16-be", "surrogatepass")
 
 
-def _majority_dir(members: list[str]) -> str:
-    dirs: dict[str, int] = {}
-    for m in members:
-        f = m.split("#")[0]
-        d = f.rsplit("/", 1)[0] if "/" in f else "."
-        dirs[d] = dirs.get(d, 0) + 1
-    return min(dirs, key=lambda d: (-dirs[d], _utf16(d))) if dirs else "."
-
-
-def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, label, members, member_count, cohesion of groups of symbols that belong together.
-
-    Components are found by joins.  A component is cut by one Python task, so its pairs must fit one
-    (some 100 bytes each): cutting needs the order of all its pairs.  Small components share a task.
-    A graph without calls and imports has none.
-    """
-    symbols = nodes.where("kind = 'symbol'").select(F.col("id")).distinct()
-    total = symbols.count()
-    ids = symbols.select(F.col("id").alias("a"))
-    pairs = symbol_pairs(edges).join(ids, "a", "left_semi").join(ids.withColumnRenamed("a", "b"), "b", "left_semi")
-    pairs = materialize(pairs.select("a", "b", "weight"), "weights")
-    limit = max(2, -(-total // 4))
-    comps = components(pairs)
-    grouped = pairs.join(comps.withColumnRenamed("node", "a"), "a")
-
-    buckets = max(1, pairs.count() // 20_000)  # many small components share a group
-
-    def split(table: pa.Table) -> pa.Table:
-        by: dict[str, list[tuple[str, str, float]]] = {}
-        for c, *pair in zip(*(table[x].to_pylist() for x in ("comp", "a", "b", "weight")), strict=True):
-            by.setdefault(c, []).append(tuple(pair))
-        rows = [
-            (sorted((x.removeprefix("sym:") for x in own), key=_utf16), cohesion)
-            for links in by.values()
-            for own, cohesion in prune_component(list({x for a, b, _ in links for x in (a, b)}), links, limit)
-            if len(own) > 1
-        ]
-        return pa.table({
-            "id": pa.array(["c-" + hashlib.sha256("\n".join(m).encode()).hexdigest()[:8] for m, _ in rows], pa.string()),
-            "label": pa.array([_majority_dir(m) for m, _ in rows], pa.string()),
-            "members": pa.array([m for m, _ in rows], pa.list_(pa.string())),
-            "member_count": pa.array([len(m) for m, _ in rows], pa.int32()),
-            "cohesion": pa.array([round4(c) for _, c in rows], pa.float64()),
-        })
-
-    grouped = grouped.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).select("bucket", "comp", "a", "b", "weight")
-    return grouped.groupBy("bucket").applyInArrow(split, "id string, label string, members array<string>, member_count int, cohesion double")
-
-
 def membership(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode("members").alias("member"), F.col("id").alias("community"))
 

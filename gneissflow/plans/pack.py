@@ -19,6 +19,7 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank
 from ..operators import risk as R
+from ..operators.communities import communities
 from ..scratch import materialize
 from ..session import ensure_worker_path
 from ..sources import git as S
@@ -117,7 +118,7 @@ def analyze(spark: SparkSession, sc: Scan, root: str, deny: list[str], changed_p
     g = E.build_graph(f.files, f.symbols, f.imports, f.calls, sc.eligible)
     g = E.CodeGraph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"), materialize(g.unresolved, "unresolved"))
     gods = materialize(G.god_symbols(g.edges, f.symbols), "gods")
-    groups = materialize(G.communities(g.edges, g.nodes), "groups")
+    groups = materialize(communities(g.edges, g.nodes), "groups")
     language = f.symbols.join(f.files.select("path", "language"), "path").select(F.col("qualified_name").alias("member"), "language").distinct()
     hubs = gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).limit(5).select(F.col("qualified_name").alias("member"))
     hits = G.surprises(g.edges, G.membership(groups), hubs, language)

@@ -15,6 +15,7 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank
 from ..operators import risk as R
+from ..operators.communities import communities
 from ..scratch import materialize
 from ..session import spread
 from .registry import query, table
@@ -241,7 +242,49 @@ def communities_pruned(spark: SparkSession, d: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("sym:c"), F.col("o_custkey"), F.lit("#"), F.col(c))
     calls = order_links(spark, d, 400).select(F.lit("CALLS").alias("kind"), name("a").alias("src"), name("b").alias("dst"))
     orders = table(spark, d, "orders").select(name("o_orderkey").alias("id"), F.lit("symbol").alias("kind"))
-    return G.communities(calls, orders).withColumn("members", F.array_join("members", " "))
+    return communities(calls, orders).withColumn("members", F.array_join("members", " "))
+
+
+#: A supplier is a symbol of its nation's file; both engines read it so.
+SUPPLIER = "concat('r', n_regionkey, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE concat('/d', n_nationkey % 3) END, '/n', n_nationkey, '.ts#', CASE WHEN s_suppkey % 11 = 0 THEN 'Z' ELSE 's' END, s_suppkey)"
+
+
+@query(f"""
+WITH RECURSIVE su AS (SELECT s_suppkey AS k, {SUPPLIER} AS q, n_nationkey AS f FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+nx AS (SELECT l_suppkey AS x, l_shipdate AS d, lead(l_suppkey) OVER o AS y, lead(l_shipdate) OVER o AS e FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey)),
+ca AS (SELECT DISTINCT least(a.q, b.q) AS a, greatest(a.q, b.q) AS b FROM nx JOIN su a ON a.k = x JOIN su b ON b.k = y WHERE d = e AND x <> y),
+na AS (SELECT n_nationkey AS f, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS g FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 4 = 1),
+pr AS (SELECT a, b, max(w) AS w FROM (SELECT a, b, 2 AS w FROM ca UNION ALL SELECT least(x.q, y.q), greatest(x.q, y.q), 1 FROM na JOIN su x ON x.f = na.f JOIN su y ON y.f = na.g WHERE x.q <> y.q) GROUP BY 1, 2),
+no AS (SELECT q, row_number() OVER (ORDER BY q) AS i FROM su),
+ln AS (SELECT row_number() OVER (ORDER BY w DESC, a DESC, b DESC) AS r, x.i AS x, y.i AS y FROM pr JOIN no x ON x.q = a JOIN no y ON y.q = b),
+st(r, lab, u, v) AS (SELECT CAST(0 AS BIGINT), (SELECT list(i ORDER BY i) FROM no), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+  SELECT ln.r, list_transform(lab, lambda z: CASE WHEN z = lab[ln.y] THEN lab[ln.x] ELSE z END), lab[ln.x], lab[ln.y] FROM st JOIN ln ON ln.r = st.r + 1),
+jo AS (SELECT z.r, z.u, z.v, p.lab FROM st z JOIN st p ON p.r = z.r - 1 WHERE z.u <> z.v),
+cl AS (SELECT r, lab, u AS c FROM jo UNION ALL SELECT r, lab, v FROM jo UNION ALL SELECT r + 1, lab, unnest(list_distinct(lab)) FROM st WHERE r = (SELECT max(r) FROM st)),
+me AS (SELECT r, list_filter(range(1, len(lab) + 1), lambda i: lab[i] = c) AS m FROM cl),
+co AS (SELECT me.r, m, len(m) AS n, (SELECT count(*) FROM ln WHERE ln.r < me.r AND list_contains(m, ln.x) AND list_contains(m, ln.y)) AS k FROM me),
+ok AS (SELECT * FROM co WHERE n <= greatest(2, CAST(ceil((SELECT count(*) FROM su) / 4) AS BIGINT)) AND (n <= 20 OR k / (n * (n - 1) / 2) >= 0.1)),
+fi AS (SELECT r, m, n, k FROM ok a WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.n > a.n AND list_has_all(b.m, a.m))),
+na2 AS (SELECT r, n, k, q FROM fi JOIN no ON list_contains(m, i)),
+di AS (SELECT r, CASE WHEN contains(split_part(q, '#', 1), '/') THEN regexp_replace(split_part(q, '#', 1), '/[^/]*$', '') ELSE '.' END AS dir, count(*) AS h FROM na2 GROUP BY ALL)
+SELECT 'c-' || sha256(string_agg(q, chr(10) ORDER BY q))[:8] AS id, (SELECT arg_min(dir, {{'h': -h, 'd': dir}}) FROM di WHERE di.r = na2.r) AS label, string_agg(q, ' ' ORDER BY q) AS members,
+  CAST(any_value(n) AS INT) AS member_count, CAST(round(any_value(k) / (any_value(n) * (any_value(n) - 1) / 2), 4) AS DOUBLE) AS cohesion FROM na2 GROUP BY r, n""")
+def supplier_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers are symbols, their nations files: nations of a region import each other in a row, some their
+    region's number; a supplier calls that of the next line of an order shipped on the same day."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    own = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    own = materialize(own.selectExpr("s_suppkey AS k", f"concat('sym:', {SUPPLIER}) AS q", "concat('file:', n_nationkey) AS f"), "suppliers")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    after = [F.lead("l_suppkey").over(w).alias("y"), F.lead("l_shipdate").over(w).alias("e")]
+    calls = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("x"), F.col("l_shipdate").alias("d"), *after).where("d = e AND x <> y").select("x", "y").distinct()
+    calls = calls.join(own.select(F.col("k").alias("x"), F.col("q").alias("src")), "x").join(own.select(F.col("k").alias("y"), F.col("q").alias("dst")), "y")
+    nxt = F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    imports = nation.select("n_nationkey", nxt.alias("g")).where("g IS NOT NULL").union(nation.where("n_nationkey % 4 = 1"))
+    edges = own.selectExpr("'CONTAINS' AS kind", "f AS src", "q AS dst").union(calls.selectExpr("'CALLS'", "src", "dst"))
+    edges = edges.union(imports.selectExpr("'IMPORTS'", "concat('file:', n_nationkey)", "concat('file:', g)"))
+    found = communities(edges, own.select(F.col("q").alias("id"), F.lit("symbol").alias("kind")))
+    return found.withColumn("members", F.array_join("members", " "))
 
 
 @query(EDGES_SQL.replace("WITH nx", "WITH RECURSIVE nx") + """, im AS (SELECT DISTINCT 'file:' || split_part(src, '#', 1) AS s, 'file:' || split_part(dst, '#', 1) AS t FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),

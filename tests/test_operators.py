@@ -10,6 +10,7 @@ from gneissflow.operators import edges as E
 from gneissflow.operators import graph as G
 from gneissflow.operators import history, overlap, rank, skew
 from gneissflow.operators import risk as R
+from gneissflow.operators.communities import communities
 from gneissflow.session import spread
 
 EDGE = "kind string, src string, dst string, confidence double, tier string"
@@ -99,61 +100,14 @@ def test_impact_against_relaxation(spark):
         assert {(r.id, r.depth, round(r.score, 9)) for r in got.collect()} == want
 
 
-def slow_prune(nodes, pairs, limit):
-    """Remove the weakest pair again and again, by the letter."""
-    links = dict(((a, b), w) for a, b, w in pairs)
-
-    def parts(own, links):
-        left, out = set(own), []
-        while left:
-            todo, seen = [left.pop()], set()
-            while todo:
-                x = todo.pop()
-                seen.add(x)
-                todo += [y for p in links for y in p if x in p and y in own and y not in seen and set(p) <= set(own)]
-            left -= seen
-            out.append(sorted(seen))
-        return out
-
-    def density(own):
-        n = len(own)
-        return sum(set(p) <= set(own) for p in links) / (n * (n - 1) / 2) if n > 1 else 0.0
-
-    def go(own):
-        while len(own) > limit or (len(own) > 20 and density(own) < 0.1):
-            inner = [p for p in links if set(p) <= set(own)]
-            if not inner:
-                break
-            del links[min(inner, key=lambda p: (links[p], p))]
-            if len(sub := parts(own, links)) > 1:
-                return [x for s in sub for x in go(s)]
-        return [own]
-
-    return go(sorted(nodes))
-
-
-def test_pruning_against_plain_removal():
-    rng = random.Random(7)
-    for _ in range(60):
-        n = rng.randrange(3, 28)
-        nodes = [f"v{i:02}" for i in range(n)]
-        pairs = {(nodes[rng.randrange(i)], nodes[i]): rng.choice([0.5, 1.0]) for i in range(1, n)}
-        for _ in range(rng.randrange(n)):
-            a, b = sorted(rng.sample(nodes, 2))
-            pairs[a, b] = rng.choice([0.5, 1.0])
-        rows = [(a, b, w) for (a, b), w in pairs.items()]
-        limit = rng.randrange(2, 10)
-        assert sorted(m for m, _ in G.prune_component(nodes, rows, limit)) == sorted(slow_prune(nodes, rows, limit))
-
-
 def test_communities(spark):
     rows = [("CONTAINS", "file:a.ts", "sym:a.ts#x"), ("CONTAINS", "file:a.ts", "sym:a.ts#y"), ("CONTAINS", "file:b.ts", "sym:b.ts#z"), ("CONTAINS", "file:b.ts", "sym:b.ts#w"), ("CALLS", "sym:a.ts#x", "sym:a.ts#y"), ("CALLS", "sym:b.ts#z", "sym:b.ts#w"), ("IMPORTS", "file:a.ts", "file:b.ts")]
     nodes = spark.createDataFrame([(d, "symbol") for k, _, d in rows if k == "CONTAINS"], "id string, kind string")
-    got = G.communities(edges(spark, *rows), nodes).collect()
+    got = communities(edges(spark, *rows), nodes).collect()
     assert len(got) == 2 and all(r.member_count == 2 for r in got) and {r.label for r in got} == {"."}
     path = [("CALLS", f"sym:p#{i:02}", f"sym:p#{i + 1:02}") for i in range(20)]
     line = spark.createDataFrame([(f"sym:p#{i:02}", "symbol") for i in range(21)], "id string, kind string")
-    assert all(r.member_count <= 20 or r.cohesion >= 0.1 for r in G.communities(edges(spark, *path), line).collect())
+    assert all(r.member_count <= 20 or r.cohesion >= 0.1 for r in communities(edges(spark, *path), line).collect())
 
 
 def test_components(spark):
