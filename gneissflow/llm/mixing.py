@@ -57,19 +57,25 @@ def _weight(level: Level) -> Column:
 
 
 def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """Share ``budget`` (of the parent) among siblings by weight and capacity: adds ``given``."""
-    ahead = Window.partitionBy(*parent).orderBy("_ratio", name)
-    rest = ahead.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """Share ``budget`` (of the parent) among siblings by weight and capacity: adds ``given``.
+
+    All sums run over growing frames or whole parents, so the work grows with the siblings; products
+    are decimals of 38 digits.
+    """
+    both = Window.partitionBy(*parent)
+    before = both.orderBy("_ratio", name).rowsBetween(Window.unboundedPreceding, -1)
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
     nodes = nodes.where("weight > 0").withColumn("_ratio", F.col("cap").cast("double") / F.col("weight"))
     nodes = nodes.withColumns({
-        "_taken": F.coalesce(F.sum("cap").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_w": F.sum("weight").over(rest),
+        "_taken": F.coalesce(F.sum("cap").over(before), F.lit(0)),
+        "_w": F.sum("weight").over(both) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
     })
-    nodes = nodes.withColumn("_full", F.col("cap") * F.col("_w") <= (F.col("budget") - F.col("_taken")) * F.col("weight"))
-    both = Window.partitionBy(*parent)
+    nodes = nodes.withColumn("_left", F.col("budget") - F.col("_taken"))
+    nodes = nodes.withColumn("_full", wide("cap") * wide("_w") <= wide("_left") * wide("weight"))
     nodes = nodes.withColumn("_first", F.min(F.when(~F.col("_full"), F.struct("_ratio", F.col(name).alias("n"), "_taken", "_w"))).over(both))
-    part = F.expr("((budget - _first._taken) * weight) div _first._w")
-    return nodes.withColumn("given", F.when(F.col("_full"), F.col("cap")).otherwise(F.least(part, "cap"))).drop("_ratio", "_taken", "_w", "_full", "_first")
+    part = F.expr("CAST((CAST(budget - _first._taken AS decimal(19,0)) * CAST(weight AS decimal(19,0))) div CAST(_first._w AS decimal(19,0)) AS bigint)")
+    given = F.when(F.col("_full"), F.col("cap")).otherwise(F.least(part, "cap"))
+    return nodes.withColumn("given", given).drop("_ratio", "_taken", "_w", "_left", "_full", "_first")
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[Level], budget: int | None, share: tuple[int, int], max_epochs: int) -> DataFrame:
