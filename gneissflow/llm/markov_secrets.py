@@ -30,6 +30,7 @@ CLASSES = len(ALPHABET) + 1
 JOINTS = ALPHABET.index("/")  # class of the first of / _ - =, the last ones of the alphabet
 LLR_PER_PAIR = 0.7
 SAMPLES = 4000
+BLOCKS = (1 << 16, 1 << 9)  # items of the outer and the inner blocks of a fold
 #: Words of the ordinary sample (fixed values).
 WORDS = """
 get set user name file path list item value index count total size page view model data table column row key map node
@@ -119,44 +120,86 @@ def llr_per_pair(text: Column, table: Column) -> Column:
     return F.aggregate(_classes(text), state, step, lambda s: s["sum"] / F.nullif(F.length(text) - 1, F.lit(0)))
 
 
+def _fold(items: Column, fields: dict[str, Column], entry: str, step, done) -> Column:
+    """``done(state)`` after a fold over an array that also lists entries in ``state["out"]``.
+
+    step(s, x) gives the new fields, whether to list an entry, and the entry.  Spark copies the state
+    of a fold at each step, so a list in it would make the fold quadratic: items are folded in blocks,
+    and blocks in blocks, each with a list of its own that is joined on at the block's end.
+    """
+    none = F.array().cast(f"array<{entry}>")
+    state = lambda get, out: F.struct(*[get(n).alias(n) for n in fields], out.alias("out"))
+
+    def one(s: Column, x: Column) -> Column:
+        new, more, e = step(s, x)
+        return state(new.__getitem__, F.when(more, F.concat(s["out"], F.array(e.cast(entry)))).otherwise(s["out"]))
+
+    def over(items: Column, start: Column, sizes: tuple[int, ...], done) -> Column:
+        if not sizes:
+            return F.aggregate(items, start, one, done)
+
+        def blocks(own: Column) -> Column:
+            firsts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(sizes[0]))
+
+            def block(s: Column, i: Column) -> Column:
+                joined = lambda t: state(t.__getitem__, F.concat(s["out"], t["out"]))
+                return over(F.slice(own, i, F.lit(sizes[0])), state(s.__getitem__, none), sizes[1:], joined)
+
+            return F.aggregate(firsts, start, block, done)
+
+        return F.element_at(F.transform(F.array(items), blocks), 1)  # binds the items: they are made once
+
+    return over(items, state(fields.__getitem__, none), BLOCKS, done)
+
+
 def stretches(text: Column, table: Column, threshold: float) -> Column:
     """Array of (a, b): the disjoint stretches of ``LEAST`` characters or more, each between joints or
     ends of ``text``, with the largest sum of the pairs' ratios less ``threshold``; each passes it.
 
     One fold over the characters.  ``w`` is the sum so far, ``wait`` has the starts nearer than
-    ``LEAST``, ``top`` the best start of the others, ``best`` the best choice that ends before here.
+    ``LEAST``, ``top`` the best start of the others, ``total`` the best choice that ends before here.  A
+    choice is its last stretch and the place of the choice before it in the list, which is read once
+    at the end; so a step costs the same wherever in the text it is.
     """
-    outs = "array<struct<a:int,b:int>>"
-    start = f"struct<v:double,a:int,out:{outs}>"
+    start, entry, pair = "struct<v:double,a:int,prev:int>", "struct<a:int,b:int,prev:int>", "struct<a:int,b:int>"
     joint = lambda c: F.coalesce(c, F.lit(JOINTS)).between(JOINTS, CLASSES - 2)
     codes = _classes(text)
-    steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(text)), lambda c, d: F.struct(c.alias("c"), d.alias("d")))
-    state = F.struct(
-        F.lit(None).cast("int").alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("w"), F.array().cast(f"array<{start}>").alias("wait"),
-        F.lit(None).cast(start).alias("top"), F.lit(0.0).alias("total"), F.array().cast(outs).alias("out"),
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        w = s["w"] + F.when(s["last"].isNull(), 0.0).otherwise(F.get(table, s["last"] * CLASSES + x["c"]) - threshold)
-        # the sum is needed in several places: bound once by a one-element array
-        return F.element_at(F.transform(F.array(w), lambda w: moved(s, x, w)), 1)
-
-    def moved(s: Column, x: Column, w: Column) -> Column:
-        here = F.struct((s["total"] - w).alias("v"), s["k"].alias("a"), s["out"].alias("out")).cast(start)
-        wait = F.when(joint(s["last"]), F.concat(s["wait"], F.array(here))).otherwise(s["wait"])
-        far = s["k"] - F.get(s["wait"], F.lit(0))["a"] + 1 >= LEAST
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(codes, F.lit(1), F.length(text) - 1))
+    seen = F.zip_with(codes, before, lambda c, p: F.struct(c.alias("c"), p.alias("p")))
+    score = lambda x: F.when(x["p"].isNull(), 0.0).otherwise(F.get(table, x["p"] * CLASSES + x["c"]) - threshold)
+    after = F.slice(codes, F.lit(2), F.length(text))
+    steps = F.zip_with(seen, after, lambda x, d: F.struct(score(x).alias("s"), joint(x["p"]).alias("from"), joint(d).alias("to")))
+    fields = {
+        "k": F.lit(0), "w": F.lit(0.0), "wait": F.array().cast(f"array<{start}>"), "top": F.lit(None).cast(start),
+        "total": F.lit(0.0), "last": F.lit(-1), "n": F.lit(0),
+    }
+
+    def step(s: Column, x: Column):
+        w = s["w"] + x["s"]
+        here = F.struct((s["total"] - w).alias("v"), s["k"].alias("a"), s["last"].alias("prev")).cast(start)
+        wait = F.when(x["from"], F.concat(s["wait"], F.array(here))).otherwise(s["wait"])
         first = F.get(s["wait"], F.lit(0))
+        far = s["k"] - first["a"] + 1 >= LEAST
         top = F.when(far & (s["top"].isNull() | (first["v"] > s["top"]["v"])), first).otherwise(s["top"])
         wait = F.when(far, F.slice(wait, F.lit(2), F.lit(LEAST))).otherwise(wait)
-        more = joint(x["d"]) & (top["v"] + w > s["total"])
-        pair = F.array(F.struct(top["a"].alias("a"), (s["k"] + 1).alias("b"))).cast(outs)
-        total = F.when(more, top["v"] + w).otherwise(s["total"])
-        out = F.when(more, F.concat(top["out"], pair)).otherwise(s["out"])
-        return F.struct(
-            x["c"].alias("last"), (s["k"] + 1).alias("k"), w.alias("w"), wait.alias("wait"), top.alias("top"), total.alias("total"), out.alias("out"),
-        )
+        more = x["to"] & (top["v"] + w > s["total"])
+        kept = lambda new, name: F.when(more, new).otherwise(s[name])
+        new = {"k": s["k"] + 1, "w": w, "wait": wait, "top": top, "total": kept(top["v"] + w, "total"), "last": kept(s["n"], "last"), "n": kept(s["n"] + 1, "n")}
+        return new, more, F.struct(top["a"].alias("a"), (s["k"] + 1).alias("b"), top["prev"].alias("prev"))
+
+    def chain(s: Column) -> Column:
+        """The stretches of the best choice, back from its last one."""
+
+        def back(t: Column, e: Column):
+            hit = t["i"] == t["want"]
+            return {"want": F.when(hit, e["prev"]).otherwise(t["want"]), "i": t["i"] - 1}, hit, F.struct(e["a"].alias("a"), e["b"].alias("b"))
 
-    return F.aggregate(steps, state, step, lambda s: s["out"])
+        return _fold(F.reverse(s["out"]), {"want": s["last"], "i": s["n"] - 1}, pair, back, lambda t: F.reverse(t["out"]))
+
+    return _fold(steps, fields, entry, step, chain)
+
+
+SPAN = "struct<start:int,end:int,kind:string,match:string>"
 
 
 def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
@@ -164,18 +207,37 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
-    typed = "array<struct<start:int,end:int,kind:string,match:string>>"
     steps = F.arrays_zip(found.alias("m"), parts.alias("g"), F.slice(gaps, F.lit(1), F.size(found)).alias("p"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(typed).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column):
         a = s["at"] + F.length(x["p"])
         b = a + F.length(x["m"])
-        one = F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("match"))
-        return F.struct(b.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+        return {"at": b}, F.length(x["g"]) >= least, F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("match"))
+
+    made = _fold(steps, {"at": F.lit(0)}, SPAN, step, lambda s: s["out"])
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _apart(likely: Column, base: Column) -> Column:
+    """Those of ``likely`` that touch no span of ``base``; both in the order of their starts.
 
-    made = F.aggregate(steps, state, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(typed))
+    Two folds over both together: forwards with the furthest end of a base span so far, backwards with
+    the nearest start of one to come.
+    """
+
+    def merged(arr: Column) -> Column:
+        keyed = lambda a, own: F.transform(a, lambda s: F.struct(s["start"].alias("a"), F.lit(own).alias("own"), s.alias("s")))
+        return F.array_sort(F.concat(keyed(base, 0), keyed(arr, 1)))
+
+    def free(arr: Column, limit: int, meets, at, turn) -> Column:
+        def step(s: Column, x: Column):
+            now = F.when(x["own"] == 0, at(s["at"], x["s"])).otherwise(s["at"])
+            return {"at": now}, (x["own"] == 1) & ~meets(s["at"], x["s"]), x["s"]
+
+        return _fold(turn(merged(arr)), {"at": F.lit(limit)}, SPAN, step, lambda s: turn(s["out"]))
+
+    ahead = free(likely, -1, lambda end, s: end > s["start"], lambda end, s: F.greatest(end, s["end"]), lambda a: a)
+    return free(ahead, (1 << 31) - 1, lambda start, s: start < s["end"], lambda start, s: F.least(start, s["start"]), F.reverse)
 
 
 def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: float = LLR_PER_PAIR, candidate: str = CANDIDATE) -> DataFrame:
@@ -202,20 +264,23 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
     base = F.concat(*[F.col(f"__g_s{i}") for i in range(len(BASE))])
     out = out.withColumn("base_spans", F.when(F.size(base) > 0, ordered(base)).otherwise(base)).drop(*found)
     ratio = ratio_table(table)
-    typed = "array<struct<start:int,end:int,kind:string,match:string>>"
+    raw = F.transform("__g_m", lambda m: F.struct(m.alias("m"), m["match"].cast("binary").alias("bytes")))  # ASCII: a place is a byte
+
+    def passing(x: Column) -> Column:
+        m = x["m"]
 
-    def passing(m: Column) -> Column:
         def part(p: Column) -> Column:
-            a, b, own = m["start"] + p["a"], m["start"] + p["b"], F.substring(m["match"], p["a"] + 1, p["b"] - p["a"])
+            a, b, own = m["start"] + p["a"], m["start"] + p["b"], F.substring(x["bytes"], p["a"] + 1, p["b"] - p["a"]).cast("string")
             return F.struct(a.alias("start"), b.alias("end"), m["kind"].alias("kind"), own.alias("match"))
 
         parts = F.transform(stretches(m["match"], ratio, threshold), part)
-        parts = F.when(m["match"].rlike("[/_=-]"), parts).otherwise(F.array().cast(typed))
-        return F.when(llr_per_pair(m["match"], ratio) >= threshold, F.array(m)).otherwise(parts.cast(typed))
+        parts = F.when(m["match"].rlike("[/_=-]"), parts).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return F.when(llr_per_pair(m["match"], ratio) >= threshold, F.array(m)).otherwise(parts.cast(f"array<{SPAN}>"))
 
-    free = lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    likely = F.filter(F.flatten(F.transform("__g_m", passing)), free)
+    likely = F.flatten(F.transform(raw, passing))
     out = out.withColumn("__g_x", F.when(F.size("__g_m") > 0, likely).otherwise(F.col("__g_m")))
+    clear = F.when((F.size("__g_x") > 0) & (F.size("base_spans") > 0), _apart(F.col("__g_x"), F.col("base_spans"))).otherwise(F.col("__g_x"))
+    out = out.withColumn("__g_x", clear)
     both = F.when(F.size("__g_x") > 0, ordered(F.concat("base_spans", "__g_x"))).otherwise(F.col("base_spans"))
     return out.withColumn("spans", both).drop("__g_m", "__g_x")
 
