@@ -150,20 +150,21 @@ def estimate(mismatch, bits: int = BITS, size: int = ROWS * BANDS):
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold."""
-    likely = (
-        pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-        .where(estimate(_mismatches("sa", "sb")) >= percent / 100 - slack(percent / 100))
-        .select("a", "b")
-    )
-    met = F.size(F.array_intersect("ma", "mb")).cast("long")
-    return (
-        likely.join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
-        .where(met * 100 >= (F.size("ma") + F.size("mb") - met) * percent)
-        .select("a", "b")
-    )
+    """Those of the pairs (a, b) whose full sets reach the threshold.
+
+    A leader stands in the pairs of its whole bucket: pairs of such nodes are dealt out over many tasks
+    on either side, and the node's signature and set go to each of them.
+    """
+    pairs = materialize(pairs, "pairs")
+    hot = {c: hot_keys(pairs, c) for c in ("a", "b")}
+
+    def both(rows: DataFrame, of: DataFrame, what: str) -> DataFrame:
+        rows = salted_join(rows, of.select(F.col("key").alias("a"), F.col(what).alias("_a")), "a", "b", hot["a"])
+        return salted_join(rows, of.select(F.col("key").alias("b"), F.col(what).alias("_b")), "b", "a", hot["b"])
+
+    likely = both(pairs, sigs, "sig").where(estimate(_mismatches("_a", "_b")) >= percent / 100 - slack(percent / 100)).select("a", "b")
+    met = F.size(F.array_intersect("_a", "_b")).cast("long")
+    return both(likely, sets, "members").where(met * 100 >= (F.size("_a") + F.size("_b") - met) * percent).select("a", "b")
 
 
 def _confirm_blocks(percent: int):
