@@ -696,3 +696,49 @@ def test_model_does_not_depend_on_the_order_of_repeated_ids(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     fits = [sq.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 5))]
     assert fits[0].any() and (fits[0] == fits[1]).all()
+
+
+def test_budgets_of_many_siblings_take_time_in_proportion_and_do_not_overflow(spark):
+    def leaves(n, tokens):
+        return spark.range(n).selectExpr("'web' AS mix_domain", "'en' AS mix_lang", "concat('s', id) AS mix_source", f"{tokens} + id * 7919 % 1000003 AS tokens", "1L AS docs")
+
+    def took(n):
+        began = time.time()
+        got = mx.leaf_budgets(leaves(n, 10**10), mx.default_levels(), None, (1, 2), 4).agg(F.sum("given"), F.count("given")).first()
+        assert got[1] == n and 0 <= leaves(n, 10**10).agg(F.sum("tokens")).first()[0] // 2 - got[0] < n
+        return time.time() - began
+
+    took(2000)
+    assert took(160_000) < 8 * max(took(40_000), 2)
+    # 10**13 tokens in each of 100,000 sources: capacity times weights passes 2**63
+    got = mx.leaf_budgets(leaves(100_000, 10**13), mx.default_levels(), 10**12, (1, 2), 4).agg(F.min("given"), F.max("given")).first()
+    assert tuple(got) == (10**7, 10**7)
+
+
+def test_stretches_of_long_mixed_runs_take_time_in_proportion(spark):
+    table = ms.train(ms.labelled_samples(spark, 1000))
+    rng = np.random.default_rng(8)
+    chars = np.array(list(ms.ALPHABET[:62]))
+
+    def mixed(n):
+        parts, size = [], 0
+        while size < n:
+            parts.append("".join(rng.choice(chars, rng.integers(18, 40))) if rng.random() < 0.5 else str(rng.choice(ms.WORDS)))
+            size += len(parts[-1]) + 1
+        return "_".join(parts)[:n]
+
+    def found(text):
+        began = time.time()
+        row = ms.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), table).first()
+        assert all(s.match == text[s.start : s.end] for s in row.spans)
+        return [(s.start, s.end) for s in row.spans if s.kind == "markov"], time.time() - began
+
+    text = mixed(70_000)
+    want = plain.markov_spans(text, plain.base_spans(text), table, ms.CLASSES, ms.ALPHABET, ms.CANDIDATE, ms.LEAST, ms.LLR_PER_PAIR)
+    assert found(text)[0] == sorted((a, b) for a, b, *_ in want)
+    spans, seconds = found(mixed(1_000_000))
+    assert len(spans) > 10_000 and seconds < 60
+    many = " ".join(f"token=abc{i:07}" for i in range(30_000))
+    began = time.time()
+    assert len(ms.find_secrets(spark.createDataFrame([(1, many)], "doc_id long, text string"), table).first().base_spans) == 30_000
+    assert time.time() - began < 40
