@@ -258,7 +258,7 @@ def code_impact(spark: SparkSession, d: str) -> DataFrame:
 INTENT = "find the authToken of small_ring"
 
 
-@query(CODE_SQL + """, tm(t) AS (VALUES ('find'), ('auth'), ('token'), ('small'), ('ring')),
+RANKING_SQL = CODE_SQL + """, tm(t) AS (VALUES ('find'), ('auth'), ('token'), ('small'), ('ring')),
 ts AS (SELECT q, max(exported::INT + p + CASE WHEN lower(name) = 'small_ring' OR ends_with(lower(q), 'small_ring') THEN 15 ELSE 0 END) AS s FROM (
   SELECT k, q, name, exported, sum(3 * contains(lower(name), t)::INT + 2 * contains(lower(q), t)::INT + 2 * contains(lower(path), t)::INT + contains(lower(kind || ' ' || name || ' '), t)::INT) AS p FROM sy, tm GROUP BY ALL) GROUP BY 1),
 chg AS (SELECT DISTINCT q FROM sy WHERE sz = 17),
@@ -266,7 +266,10 @@ nb AS (SELECT DISTINCT q FROM sy WHERE path IN (SELECT target FROM rs WHERE path
 r1 AS (SELECT q, row_number() OVER (ORDER BY s DESC, q) AS r FROM ts), r2 AS (SELECT q, row_number() OVER (ORDER BY n DESC, q) AS r FROM god),
 r3 AS (SELECT q, row_number() OVER (ORDER BY q) AS r FROM chg), r4 AS (SELECT q, row_number() OVER (ORDER BY q) AS r FROM nb)
 SELECT q AS qualified_name, CAST(round(1.0::DOUBLE / (60 + r1.r) + coalesce(1.0::DOUBLE / (60 + r2.r), 0) + coalesce(1.0::DOUBLE / (60 + r3.r), 0) + coalesce(1.0::DOUBLE / (60 + r4.r), 0), 12) AS DOUBLE) AS score
-FROM r1 LEFT JOIN r2 USING (q) LEFT JOIN r3 USING (q) LEFT JOIN r4 USING (q)""")
+FROM r1 LEFT JOIN r2 USING (q) LEFT JOIN r3 USING (q) LEFT JOIN r4 USING (q)"""
+
+
+@query(RANKING_SQL)
 def code_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All symbols by four fused lists: words of a request, hubs, changed symbols (those of size 17), their imports."""
     r = Reading(spark, d)
@@ -276,6 +279,16 @@ def code_ranking(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qualified_name", F.round("score", 12).alias("score"))
 
 
+@query(RANKING_SQL + " ORDER BY 2 DESC, 1 LIMIT 40")
+def code_top_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The 40 best of the same ranking, from the heads of its lists and counted places."""
+    r = Reading(spark, d)
+    s, edges = r.symbols, materialize(r.graph().edges, "code_edges")
+    changed = r.parts.where("sz = 17").select(F.col("q").alias("qualified_name")).distinct()
+    found = rank.top_symbols(s, INTENT, edges, changed, G.god_symbols(edges, s), 40)
+    return found.select("qualified_name", F.round("score", 12).alias("score"))
+
+
 @query(CODE_SQL + """SELECT CAST((SELECT count(*) FROM fi) AS BIGINT) AS files, CAST((SELECT count(*) FROM sy) AS BIGINT) AS symbols, CAST((SELECT count(*) FROM ed) AS BIGINT) AS edges""")
 def code_totals(spark: SparkSession, d: str) -> DataFrame:
     """Files, symbols and edges of the graph."""
@@ -297,14 +310,16 @@ def code_group_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS BIGINT) * 10 AS size FROM part QUALIFY o <= 200),
-f(o, id, used, rest) AS (SELECT 0, NULL::VARCHAR, 0::BIGINT, 9000::BIGINT UNION ALL
-  SELECT c.o, c.id, CASE WHEN size <= rest AND size > 0 THEN size ELSE 0 END, rest - CASE WHEN size <= rest THEN size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1),
-l AS (SELECT id, row_number() OVER (ORDER BY o) AS r, count(*) OVER () AS n FROM f WHERE o > 0 AND used = 0)
-SELECT id, true AS kept FROM f WHERE used > 0 UNION ALL SELECT id, false FROM l WHERE r <= 50 UNION ALL SELECT DISTINCT '...' || (n - 50) || ' more', false FROM l WHERE n > 50""")
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY coalesce(quality, -1) DESC, doc_id) AS o, CAST(doc_id AS VARCHAR) AS id, CAST((coalesce(octet_length(encode(text)), 0) + 3) // 4 AS BIGINT) AS size
+  FROM documents LEFT JOIN labels USING (doc_id)),
+f(o, id, fits, rest) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), false, CAST(200000 AS BIGINT) UNION ALL
+  SELECT c.o, c.id, size <= rest, rest - CASE WHEN size <= rest THEN size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1),
+l AS (SELECT id, row_number() OVER (ORDER BY o) AS r, count(*) OVER () AS n FROM f WHERE o > 0 AND NOT fits)
+SELECT id, true AS kept FROM f WHERE fits UNION ALL SELECT id, false FROM l WHERE r <= 50 UNION ALL SELECT DISTINCT '...' || (n - 50) || ' more', false FROM l WHERE n > 50""")
 def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
-    """What a report keeps of the 200 dearest parts (its list of sources), and what it lists as omitted."""
-    top = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200).collect()
-    items = [{"id": str(x["p_partkey"]), "estimatedTokens": int(x["p_size"]) * 10, "_clip": False} for x in top]
-    kept, left = pack.pack_items(spark, items, 9000)
-    return spark.createDataFrame([(x["id"], True) for x in kept] + [(x["id"], False) for x in left], "id string, kept boolean")
+    """What a budget of 200,000 (a quarter of the bytes of a text) keeps of all documents, the good ones first,
+    and what is listed as left out."""
+    marks = table(spark, d, "labels").select("doc_id", "quality")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).join(marks, "doc_id", "left")
+    items = docs.select(F.col("doc_id").alias("id"), F.expr("CAST((b + 3) div 4 AS bigint)").alias("size"), F.lit(False).alias("clipable"), (-F.coalesce("quality", F.lit(-1))).alias("k"), "doc_id")
+    return rank.packed_list(rank.greedy_pack(items, 200_000, ["k", "doc_id"]))

@@ -17,7 +17,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import edges as E
 from ..operators import graph as G
-from ..operators import history, overlap, rank
+from ..operators import history, overlap, rank, verify
 from ..operators import risk as R
 from ..operators.communities import communities
 from ..scratch import materialize
@@ -289,7 +289,7 @@ def candidates(a: Analysis, sc: Scan, request: Q.Request) -> list[dict]:
     if not {"symbols", "source"} & set(request.focus):
         return out
     f = sc.facts
-    best = rank.rank_symbols(f.symbols, request.intent, a.graph.edges, a.changed, a.gods).limit(SYMBOLS)
+    best = rank.top_symbols(f.symbols, request.intent, a.graph.edges, a.changed, a.gods, SYMBOLS)
     best = best.withColumn("_r", F.struct((-F.col("score")).alias("s"), "qualified_name"))
     rows = f.symbols.join(F.broadcast(best), "qualified_name").orderBy("_r", T.utf16_key("path"), "pos").limit(SYMBOLS)  # broadcast: 500 rows
     told = F.concat_ws("\n", "signature", F.when(F.col("jsdoc") != "", F.col("jsdoc")))
@@ -324,18 +324,16 @@ def fit_insights(sections: dict, budget: int) -> dict:
     return sections
 
 
-def pack_items(spark: SparkSession, items: list[dict], budget: int) -> tuple[list[dict], list[dict]]:
-    """Evidence that fits, and what is left out, by one ordered fold."""
-    if not items:
-        return [], []
-    df = spark.createDataFrame([(i, str(i), x["estimatedTokens"], x["_clip"]) for i, x in enumerate(items)], "o int, id string, size long, clipable boolean")
+def pack_items(items: list[dict], budget: int) -> tuple[list[dict], list[dict]]:
+    """Evidence that fits, and what is left out: one ordered fold over at most 701 candidates."""
     kept, left = [], []
-    for r in rank.greedy_pack(df, budget, ["o"]).orderBy("ord").collect():
-        item = {k: v for k, v in items[int(r["id"])].items() if k != "_clip"}
-        if not r["included"]:
+    folded = rank.fold_pack(budget, ((x["estimatedTokens"], x["_clip"]) for x in items))
+    for x, (used, fits, _) in zip(items, folded, strict=True):
+        item = {k: v for k, v in x.items() if k != "_clip"}
+        if not fits:
             left.append({"id": item["id"], "reason": "token-budget"})
-        elif r["clipped"]:
-            text = T.clip_py(item["text"], r["used"])
+        elif used < x["estimatedTokens"]:
+            text = T.clip_py(item["text"], used)
             kept.append({**item, "text": text, "clipped": True, "estimatedTokens": T.estimate_tokens_py(text)})
         else:
             kept.append(item)
@@ -368,27 +366,24 @@ def verify_unchanged(spark: SparkSession, ws: S.Workspace, sc: Scan, deny: list[
     if commit:
         same = S.resolve_ref(ws.root, ref) == commit
     else:
-        again = scan_state(spark, ws, deny, include)
-        same = S.resolve_workspace(ws.root).head == ws.head and again == scan_state_of(sc)
+        statuses = spark.createDataFrame(sc.statuses, "path string, status string")
+        before = scan_state(sc.contents.select("path"), statuses, sc.contents)
+        listed = _source(spark, "git_files", ws.root).where(~P.denied("path", deny)).where(P.included("path", include))
+        listed = listed.select("path").orderBy(T.utf16_key("path")).limit(Q.LIMITS["maxFiles"])
+        now = _source(spark, "git_status", ws.root).select("path", "status")
+        touched = listed.join(now.select("path").distinct(), "path", "left_semi")
+        after = scan_state(listed, now, S.read_contents(touched, ws.root))
+        same = S.resolve_workspace(ws.root).head == ws.head and verify.same(before, after, ["path"])
     if not same:
         raise EngineError("SOURCE_CHANGED", "the work tree changed during the analysis")
 
 
-def scan_state(spark: SparkSession, ws: S.Workspace, deny: list[str], include: list[str]) -> tuple:
-    listed = _source(spark, "git_files", ws.root).where(~P.denied("path", deny)).where(P.included("path", include))
-    paths = [r["path"] for r in listed.orderBy(T.utf16_key("path")).limit(Q.LIMITS["maxFiles"]).collect()]
-    status = sorted((r["path"], r["status"]) for r in _source(spark, "git_status", ws.root).collect())
-    touched = {p for p, _ in status}
-    digests = []
-    for p in paths:
-        if p in touched:
-            data, reason = S.read_file(os.path.join(ws.root, p))
-            digests.append((p, hashlib.sha256(data).hexdigest() if data is not None else T.digest_of({"path": p, "reason": reason})))
-    return paths, status, digests
-
-
-def scan_state_of(sc: Scan) -> tuple:
-    return [r["path"] for r in sc.contents.select("path").orderBy(T.utf16_key("path")).collect()], sc.statuses, [(d["path"], d["digest"]) for d in sc.dirty]
+def scan_state(paths: DataFrame, statuses: DataFrame, contents: DataFrame) -> DataFrame:
+    """what, path, value: one row for each path, dirty entry, and content of a dirty file."""
+    dirty = contents.join(statuses.select("path").distinct(), "path", "left_semi")
+    rows = paths.select(F.lit("path").alias("what"), "path", F.lit("").alias("value"))
+    rows = rows.union(statuses.select(F.lit("status"), "path", "status"))
+    return rows.union(dirty.select(F.lit("content"), "path", F.coalesce("digest", F.concat(F.lit("not read: "), "reason"))))
 
 
 def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None = None) -> dict:
@@ -427,7 +422,7 @@ def pack(spark: SparkSession, value: dict, after_scan: Callable[[], None] | None
     if after_scan:
         after_scan()
     verify_unchanged(spark, ws, sc, deny, request.include, request.ref, commit)
-    evidence, omitted = pack_items(spark, items, request.token_budget)
+    evidence, omitted = pack_items(items, request.token_budget)
     refs = {k: v for k, v in (("gitRef", request.ref), ("baseRef", request.base)) if v}
     request_digest = T.digest_of({
         "protocolVersion": Q.PROTOCOL, "workspace": ws.workspace_id, "intent": request.intent, "focus": request.focus,

@@ -13,7 +13,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import edges as E
 from ..operators import graph as G
-from ..operators import history, overlap, rank
+from ..operators import history, overlap, rank, verify
 from ..operators import risk as R
 from ..operators.communities import communities
 from ..scratch import materialize
@@ -341,19 +341,18 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, p_partkey AS id, CAST(p_size AS BIGINT) * 10 AS size, p_size > 30 AS clip FROM part QUALIFY o <= 200),
-f(o, id, size, used, rest) AS (
-  SELECT 0, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 9000::BIGINT UNION ALL
-  SELECT c.o, c.id, c.size, CASE WHEN clip THEN least(c.size, greatest(rest, 0)) WHEN c.size <= rest THEN c.size ELSE 0 END,
-         rest - CASE WHEN clip THEN least(c.size, greatest(rest, 0)) WHEN c.size <= rest THEN c.size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1)
-SELECT CAST(o - 1 AS INT) AS ord, CAST(id AS VARCHAR) AS id, size, used, used > 0 AS included, used > 0 AND used < size AS clipped FROM f WHERE o > 0""")
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS o, p_partkey AS id, CAST(p_size AS BIGINT) * 10 AS size, p_size > 30 AND p_partkey % 3 = 0 AS clip FROM part),
+f(o, id, size, used, fits, rest) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, (SELECT sum(size)::BIGINT // 3 FROM c) UNION ALL
+  SELECT c.o, c.id, c.size, CASE WHEN clip THEN least(c.size, rest) WHEN c.size <= rest THEN c.size ELSE 0 END, CASE WHEN clip THEN rest > 0 ELSE c.size <= rest END,
+         rest - CASE WHEN clip THEN least(c.size, rest) WHEN c.size <= rest THEN c.size ELSE 0 END FROM f JOIN c ON c.o = f.o + 1)
+SELECT o - 1 AS ord, CAST(id AS VARCHAR) AS id, size, used, fits AS included, fits AND used < size AS clipped FROM f WHERE o > 0""")
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The 200 dearest parts under a budget of 9,000.  A report packs its best 500 symbols and 200 sources: that
-    list of candidates, a top-k one, is what the operator is for, so the query makes one of its size first."""
-    top = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(200)
-    size, clip = (F.col("p_size").cast("long") * 10).alias("size"), (F.col("p_size") > 30).alias("clipable")
-    items = top.select(F.col("p_partkey").cast("string").alias("id"), size, clip, (-F.col("p_retailprice")).alias("k"), "p_partkey")
-    return rank.greedy_pack(items, 9000, ["k", "p_partkey"])
+    """All parts, the dearest first, under a third of their sizes; some of the large ones can be clipped."""
+    size, clip = (F.col("p_size").cast("long") * 10).alias("size"), ((F.col("p_size") > 30) & (F.col("p_partkey") % 3 == 0)).alias("clipable")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), size, clip, (-F.col("p_retailprice")).alias("k"), "p_partkey")
+    budget = items.agg(F.sum("size")).first()[0] // 3
+    return rank.greedy_pack(items, budget, ["k", "p_partkey"])
 
 
 @query("SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part QUALIFY rank <= 5")
@@ -449,6 +448,24 @@ def set_verify(spark: SparkSession, d: str) -> DataFrame:
     return overlap.differences(a, b)
 
 
+#: The orders at a later time: the dearest are gone, the cheapest have another status, those of the first day stand twice.
+LATER = """SELECT o_orderkey, CASE WHEN o_totalprice < lo * 1.2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderdate, o_totalprice FROM {o} WHERE o_totalprice < hi * 0.98
+UNION ALL SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice FROM {o} WHERE o_orderdate = first AND o_totalprice >= lo * 1.2 AND o_totalprice < hi * 0.98"""
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice, min(o_totalprice) OVER () AS lo, max(o_totalprice) OVER () AS hi, min(o_orderdate) OVER () AS first FROM orders),
+a AS (SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice FROM o), b AS ({LATER.format(o="o")})
+SELECT 'gone' AS side, o_orderkey, o_orderstatus FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'new', o_orderkey, o_orderstatus FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def tree_verify(spark: SparkSession, d: str) -> DataFrame:
+    """What changed between two states of the orders, found by their digest trees."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    ends = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.min("o_orderdate").alias("first"))
+    o.crossJoin(F.broadcast(ends)).createOrReplaceTempView("gneiss_orders")  # one row
+    later = spark.sql(LATER.format(o="gneiss_orders"))
+    return verify.differences(o, later, ["o_orderkey"]).select("side", "o_orderkey", "o_orderstatus")
+
+
 # The stop words.
 @query(r"""
 WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS x FROM conversations),
