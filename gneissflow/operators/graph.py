@@ -19,7 +19,6 @@ TYPE_ONLY = ["interface", "type", "enum"]
 WEIGHT = {"CALLS": 1.0, "IMPORTS": 0.5}
 IMPACT = {"CALLS": 0.5, "IMPORTS": 0.4}
 DEPTH, FLOOR = 3, 0.05
-TOUR_LEAST, TOUR_MOST = 5, 12
 
 
 def bare(id_: str | Column) -> Column:
@@ -155,10 +154,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def _utf16(text: str) -> bytes:
-    return text.encode("utf-16-be", "surrogatepass")
-
-
 def membership(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode("members").alias("member"), F.col("id").alias("community"))
 
@@ -183,31 +178,3 @@ def surprises(edges: DataFrame, member_of: DataFrame, hubs: DataFrame, language_
     reasons = F.array_compact(F.array(*[F.when(t, r) for t, _, r in tests]))
     found = calls.select("src", "dst", score.alias("score"), reasons.alias("reasons")).where("score > 0")
     return found.orderBy(F.desc("score"), utf16_key("src"), utf16_key("dst")).limit(top)
-
-
-def tour(edges: DataFrame, nodes: DataFrame, start: str) -> list[str]:
-    """Reading order from a start node over imports and containment: at most 12 nodes, none under 5.
-
-    Each step asks for the 12 smallest neighbours of the nodes at hand, so little reaches the driver.
-    """
-    if nodes.where(F.col("id") == start).isEmpty():
-        return []
-    steps = edges.where(F.col("kind").isin("IMPORTS", "CONTAINS")).select("src", "dst")
-    steps = materialize(steps.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").distinct(), "steps")
-    order, seen, front = [start], {start}, [start]
-    while front and len(order) < TOUR_MOST:
-        near = steps.where(F.col("src").isin(front)).where(~F.col("dst").isin(list(seen)))
-        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(utf16_key("dst"))))
-        near = near.where(F.col("_n") <= TOUR_MOST * 2).collect()
-        by: dict[str, list[str]] = {}
-        for r in sorted(near, key=lambda r: _utf16(r["dst"])):
-            by.setdefault(r["src"], []).append(r["dst"])
-        nxt = []
-        for x in front:
-            for y in by.get(x, ()):
-                if y not in seen and len(order) < TOUR_MOST:
-                    seen.add(y)
-                    order.append(y)
-                    nxt.append(y)
-        front = nxt
-    return order if len(order) >= TOUR_LEAST else []

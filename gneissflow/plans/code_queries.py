@@ -16,8 +16,8 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, rank
 from ..operators import risk as R
+from ..operators import sections as V
 from ..scratch import materialize
-from . import pack
 from .registry import query, table
 
 FILE = "CAST(floor(k / 20) AS BIGINT)"
@@ -188,26 +188,19 @@ def code_integrity(spark: SparkSession, d: str) -> DataFrame:
 def code_languages(spark: SparkSession, d: str) -> DataFrame:
     """Files, top directories and symbols of each language."""
     r = Reading(spark, d)
-    both = r.symbols.select("path", P.language("path").alias("language"), P.top_dir("path").alias("dir"))
-    counts = [F.countDistinct("path").alias("files"), F.countDistinct("dir").alias("dirs"), F.count(F.lit(1)).alias("symbols")]
-    return both.groupBy("language").agg(*counts)
+    return V.language_rows(r.files, r.symbols)
 
 
 @query(CODE_SQL + """SELECT CASE WHEN path LIKE 'test/%' THEN 'test' WHEN path LIKE 'src/%/index.ts' THEN 'entry' ELSE 'other' END AS layer, string_agg('file:' || path, ' ' ORDER BY path) AS nodes FROM fi GROUP BY 1""")
 def code_layers(spark: SparkSession, d: str) -> DataFrame:
     """The sorted files of each layer."""
-    r = Reading(spark, d)
-    rows = r.files.groupBy(P.layer("path").alias("layer")).agg(F.array_sort(F.collect_list(E.file_id(F.col("path")))).alias("n"))
-    return rows.select("layer", F.array_join("n", " ").alias("nodes"))
+    return V.layer_nodes(Reading(spark, d).files).withColumn("nodes", F.array_join("nodes", " "))
 
 
 @query(CODE_SQL + """SELECT path, CAST(3 AS INT) AS score, CAST(row_number() OVER (ORDER BY path) AS INT) AS rank FROM fi WHERE path LIKE 'src/%/index.ts'""")
 def code_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entry points, best first."""
-    r = Reading(spark, d)
-    scored = r.files.select("path", P.entry_score("path").alias("score")).where("score > 0")
-    places = rank.ranked(scored, "path", [F.desc("score"), T.utf16_key("path")], "rank")
-    return scored.join(places, "path").select("path", "score", F.col("rank").cast("int"))
+    return V.entry_ranking(Reading(spark, d).files)
 
 
 @query(CODE_SQL + """, n AS (SELECT path, count(*) AS n FROM sy GROUP BY 1), top AS (SELECT * FROM n ORDER BY n DESC, path LIMIT 20)
@@ -215,11 +208,7 @@ SELECT path, q AS qualified_name, CAST(row_number() OVER (PARTITION BY path ORDE
 def code_outlines(spark: SparkSession, d: str) -> DataFrame:
     """The first ten symbols, no members, of each of the 20 fullest files."""
     r = Reading(spark, d)
-    s = r.symbols
-    top = s.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), T.utf16_key("path")).limit(20)
-    inner = s.where(~F.col("kind").isin("method", "constructor")).join(F.broadcast(top), "path")  # 20 rows
-    order = [T.utf16_key("qualified_name"), F.col("pos")]
-    return rank.top_n(inner, ["path"], order, 10).select("path", "qualified_name", "rank")
+    return V.outline_rows(r.files, r.symbols, 20, 10).select("path", "qualified_name", "rank")
 
 
 @query(CODE_SQL + """, l AS (SELECT l_partkey, CAST(l_quantity AS BIGINT) + l_linenumber AS c FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 50)),
@@ -293,8 +282,7 @@ def code_top_symbols(spark: SparkSession, d: str) -> DataFrame:
 def code_totals(spark: SparkSession, d: str) -> DataFrame:
     """Files, symbols and edges of the graph."""
     r = Reading(spark, d)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(r.files, "files").crossJoin(count(r.symbols, "symbols")).crossJoin(count(r.graph().edges, "edges"))  # one row each
+    return V.totals(r.files, r.symbols, r.graph().edges)
 
 
 @query(CODE_SQL + """, g AS (SELECT kind, count(DISTINCT q) AS n FROM sy GROUP BY 1), one AS (SELECT DISTINCT kind, q, path FROM sy),
@@ -303,10 +291,45 @@ SELECT kind AS id, CAST(any_value(g.n) AS INT) AS members, string_agg(path, ' '
 def code_group_files(spark: SparkSession, d: str) -> DataFrame:
     """The five fullest files of each group of symbols; the kind of a symbol is its group."""
     r = Reading(spark, d)
-    once = r.symbols.select("kind", "qualified_name").distinct()
-    groups = once.groupBy(F.col("kind").alias("id")).agg(F.collect_list("qualified_name").alias("members"), F.count(F.lit(1)).cast("int").alias("member_count"))
-    rows = pack.community_rows(groups.withColumns({"label": F.lit("."), "cohesion": F.lit(1.0)}), r.symbols)
-    return spark.createDataFrame([(x["id"], x["memberCount"], " ".join(x["topFiles"])) for x in rows], "id string, members int, top_files string")
+    own = r.symbols.select(F.col("qualified_name").alias("member"), F.col("kind").alias("community")).distinct()
+    top = V.group_files(own, r.symbols).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("f"))  # five
+    sizes = own.groupBy("community").agg(F.count(F.lit(1)).cast("int").alias("members"))
+    return sizes.join(top, "community").select(F.col("community").alias("id"), "members", F.array_join(F.col("f.path"), " ").alias("top_files"))
+
+
+@query(CODE_SQL + """, g AS (SELECT DISTINCT kind, q FROM sy), fan AS (SELECT dst[5:] AS q, count(*) AS n FROM ed WHERE kind = 'CALLS' GROUP BY 1)
+SELECT kind AS community, q AS member, CAST(coalesce(n, 0) AS BIGINT) AS n FROM g LEFT JOIN fan USING (q) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY coalesce(n, 0) DESC, q) = 1""")
+def code_group_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """The most-called member of each group of symbols; the kind of a symbol is its group."""
+    r = Reading(spark, d)
+    own = r.symbols.select(F.col("qualified_name").alias("member"), F.col("kind").alias("community")).distinct()
+    return V.group_hubs(own, r.graph().edges)
+
+
+@query(CODE_SQL + "SELECT path, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, path) AS INT) AS rank FROM sy GROUP BY 1 QUALIFY rank <= 5")
+def code_outline_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """The five files with most symbols."""
+    r = Reading(spark, d)
+    return V.fullest_files(r.files, r.symbols, 5)
+
+
+@query(CODE_SQL + """, one AS (SELECT DISTINCT kind, q FROM sy), fan AS (SELECT dst[5:] AS q, count(*) AS n FROM ed WHERE kind = 'CALLS' GROUP BY 1),
+big AS (SELECT kind FROM one GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+hit AS (SELECT src[5:] AS src, dst[5:] AS dst FROM ed WHERE kind = 'CALLS' AND src LIKE 'sym:%' AND split_part(src[5:], '#', 1) <> split_part(dst[5:], '#', 1) ORDER BY 1, 2 LIMIT 1)
+SELECT 1 AS ord, 'What depends on ' || q || '?' AS text, 'sym:' || q AS node_id FROM (SELECT q FROM god ORDER BY n DESC, q LIMIT 1)
+UNION ALL SELECT 2, 'Why does ' || src || ' connect to ' || dst || '?', 'sym:' || src FROM hit
+UNION ALL SELECT 3, 'What tests cover ' || path || '?', 'file:' || path FROM (SELECT min(path) AS path FROM fi WHERE path NOT LIKE 'scripts/%' AND 'file:' || path NOT IN (SELECT dst FROM ed WHERE kind = 'TESTED_BY')) WHERE path IS NOT NULL
+UNION ALL SELECT 4, 'Is ' || q || ' still needed?', 'sym:' || q FROM (SELECT min(q) AS q FROM sy WHERE exported AND path NOT LIKE 'test/%' AND path NOT LIKE '%/index.ts' AND kind <> 'interface' AND 'sym:' || q NOT IN (SELECT dst FROM ed WHERE kind = 'CALLS')) WHERE q IS NOT NULL
+UNION ALL SELECT 5, 'What is the role of community ' || kind || '?', 'sym:' || q FROM (SELECT kind, q FROM one JOIN big USING (kind) LEFT JOIN fan USING (q) ORDER BY coalesce(n, 0) DESC, q LIMIT 1)""")
+def code_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Five questions: the top hub, a call between files, a file without tests, a dead symbol, the largest group."""
+    r = Reading(spark, d)
+    edges = materialize(r.graph().edges, "code_edges")
+    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%'").select(G.bare("src").alias("src"), G.bare("dst").alias("dst"))
+    hits = calls.where(P.file_of("src") != P.file_of("dst")).withColumn("score", F.lit(1))
+    own = r.symbols.select(F.col("qualified_name").alias("member"), F.col("kind").alias("community")).distinct()
+    sizes = own.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return V.questions(G.god_symbols(edges, r.symbols), hits, edges, r.symbols, G.dead_code(edges, r.symbols), sizes, own)
 
 
 @query("""

@@ -19,6 +19,7 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank, verify
 from ..operators import risk as R
+from ..operators import sections as V
 from ..operators.communities import communities
 from ..scratch import materialize
 from ..session import ensure_worker_path
@@ -140,9 +141,7 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def community_rows(groups: DataFrame, symbols: DataFrame) -> list[dict]:
     """Communities, largest first, each with its five fullest files."""
-    members = G.membership(groups).join(symbols.select(F.col("qualified_name").alias("member"), "path").distinct(), "member", "left")
-    files = members.groupBy("community", F.coalesce("path", F.lit("<unknown>")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    top = rank.top_n(files, ["community"], [F.desc("n"), F.col("path")], 5).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("f"))
+    top = V.group_files(G.membership(groups), symbols).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("f"))  # five
     both = groups.join(top, F.col("id") == F.col("community"), "left").orderBy(F.desc("member_count"), T.utf16_key("id"))
     files = lambda r: [T.redact_py(x["path"]) for x in r["f"] or []]
     return [
@@ -151,49 +150,35 @@ def community_rows(groups: DataFrame, symbols: DataFrame) -> list[dict]:
     ]
 
 
-def questions(a: Analysis, f: Facts, hits: list[dict]) -> list[dict]:
+def questions(a: Analysis, f: Facts) -> list[dict]:
     """Up to five questions, each from the first row of one list."""
-    out = []
-    if top := a.gods.orderBy(F.desc("score"), T.utf16_key("qualified_name")).first():
-        out.append((f"What depends on {top['qualified_name']}?", f"sym:{top['qualified_name']}"))
-    if hits:
-        out.append((f"Why does {hits[0]['src']} connect to {hits[0]['dst']}?", f"sym:{hits[0]['src']}"))
-    if gap := G.test_gaps(a.graph.edges, f.symbols).orderBy(T.utf16_key("path")).first():
-        out.append((f"What tests cover {gap['path']}?", f"file:{gap['path']}"))
-    if dead := a.dead.first():
-        out.append((f"Is {dead['qualified_name']} still needed?", f"sym:{dead['qualified_name']}"))
-    if big := a.groups.orderBy(F.desc("member_count"), T.utf16_key("id")).select("id").first():
-        inside = G.membership(a.groups.where(F.col("id") == big["id"]))
-        fan = G.in_degree(a.graph.edges).select(G.bare("dst").alias("member"), "n")
-        hub = inside.join(fan, "member", "left").orderBy(F.desc(F.coalesce("n", F.lit(0))), "member").first()
-        out.append((f"What is the role of community {big['id']}?", f"sym:{hub['member']}"))
-    return [{"text": T.redact_py(t), "nodeId": T.redact_py(n)} for t, n in out]
-
-
-def _fullest(f: Facts, n: int) -> DataFrame:
-    """path, n of the files with most symbols."""
-    counted = f.files.select("path").join(f.symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
-    return counted.orderBy(F.desc(F.coalesce("n", F.lit(0))), T.utf16_key("path")).limit(n)
+    sizes = a.groups.select(F.col("id").alias("community"), F.col("member_count").alias("n"))
+    rows = V.questions(a.gods, a.hits, a.graph.edges, f.symbols, a.dead, sizes, G.membership(a.groups)).orderBy("ord").collect()
+    return [{"text": T.redact_py(r["text"]), "nodeId": T.redact_py(r["node_id"])} for r in rows]
 
 
 def outlines(f: Facts) -> list[dict]:
     """The 20 files with most symbols, each with up to 30 symbols that are no members."""
-    counted = _fullest(f, 20)
-    inner = f.symbols.where(~F.col("kind").isin("method", "constructor")).join(F.broadcast(counted), "path")  # 20 rows
-    top = rank.top_n(inner, ["path"], [T.utf16_key("qualified_name"), F.col("pos")], 30)
-    listed = F.array_sort(F.collect_list(F.struct("rank", "qualified_name", "kind", "exported"))).alias("s")
-    rows = top.groupBy("path", "n").agg(listed).orderBy(F.desc("n"), T.utf16_key("path"))
-    shown = lambda x: {"qualifiedName": T.redact_py(x["qualified_name"]), "kind": x["kind"], "exported": x["exported"]}
-    return [{"path": T.redact_py(r["path"]), "symbols": [shown(x) for x in r["s"]]} for r in rows.collect()]
+    out: dict[str, list] = {}
+    for r in V.outline_rows(f.files, f.symbols).orderBy("file_rank", "rank").collect():
+        out.setdefault(r["path"], []).append({"qualifiedName": T.redact_py(r["qualified_name"]), "kind": r["kind"], "exported": r["exported"]})
+    return [{"path": T.redact_py(p), "symbols": own} for p, own in out.items()]
 
 
 def layers(files: DataFrame) -> list[dict]:
-    rows = files.groupBy(P.layer("path").alias("layer")).agg(F.array_sort(F.collect_list("path")).alias("p")).orderBy(T.utf16_key("layer"))
-    return [{"id": f"layer:{r['layer']}", "name": r["layer"].capitalize(), "nodeIds": [f"file:{p}" for p in r["p"]]} for r in rows.collect()]
+    rows = V.layer_nodes(files).orderBy(T.utf16_key("layer")).collect()
+    return [{"id": f"layer:{r['layer']}", "name": r["layer"].capitalize(), "nodeIds": r["nodes"]} for r in rows]
 
 
 def entry_points(files: DataFrame, n: int) -> list[str]:
-    return [r["path"] for r in files.select("path", P.entry_score("path").alias("s")).where("s > 0").orderBy(F.desc("s"), T.utf16_key("path")).limit(n).collect()]
+    return [r["path"] for r in V.entry_ranking(files).orderBy("rank").limit(n).collect()]
+
+
+def tour(a: Analysis, start: list[str]) -> list[str]:
+    if not start:
+        return []
+    first = a.graph.nodes.where(F.col("id") == f"file:{start[0]}").select("id")
+    return [r["node_id"] for r in V.tour(a.graph.edges, a.graph.nodes, first).orderBy("step").collect()]
 
 
 def graph_section(a: Analysis, sc: Scan) -> dict:
@@ -213,11 +198,11 @@ def graph_section(a: Analysis, sc: Scan) -> dict:
         "routes": sorted((route(r) for r in routes), key=lambda r: r["id"]),
         "deadCode": [{"qualifiedName": red(r["qualified_name"]), "confidence": r["confidence"]} for r in a.dead.collect()],
         "surprises": [{"from": red(h["src"]), "to": red(h["dst"]), "score": h["score"], "reasons": h["reasons"]} for h in hits],
-        "questions": questions(a, f, hits),
+        "questions": questions(a, f),
         "outlines": outlines(f),
         "referenceCensus": [{"qualifiedName": red(r["qualified_name"]), "incomingCalls": r["n"]} for r in G.census(e, 20).collect()],
         "layers": layers(f.files),
-        "tour": [{"order": i, "nodeId": x} for i, x in enumerate(G.tour(e, a.graph.nodes, f"file:{start[0]}"), 1)] if start else [],
+        "tour": [{"order": i, "nodeId": x} for i, x in enumerate(tour(a, start), 1)],
         "dirImports": [{"from": r["from_dir"], "to": r["to_dir"], "count": r["n"]} for r in G.dir_imports(e).collect()],
     }
     return {
@@ -261,7 +246,7 @@ def architecture_text(a: Analysis, sc: Scan, focus: list[str]) -> str:
     edge = [r["path"] for r in G.boundary_files(a.graph.edges).orderBy(T.utf16_key("path")).limit(5).collect()]
     groups = community_rows(a.groups, f.symbols)
     start = entry_points(f.files, 5)
-    hubs = [r["path"] for r in _fullest(f, 5).collect()] if not f.symbols.isEmpty() else []
+    hubs = [r["path"] for r in V.fullest_files(f.files, f.symbols, 5).orderBy("rank").collect()] if not f.symbols.isEmpty() else []
     named = [f"{g['label'] or g['id']}" + (f":{g['topFiles'][0]}" if g["topFiles"] else "") for g in groups[:5]]
     lines = [
         f"Files: {f.files.count()} ({per(F.col('language'))})", f"Symbols: {f.symbols.count()}", f"Directories: {per(P.top_dir('path'))}",
@@ -271,7 +256,7 @@ def architecture_text(a: Analysis, sc: Scan, focus: list[str]) -> str:
         "Outline hubs: " + ", ".join(T.redact_py(p) for p in hubs) if hubs else "",
     ]
     if "graph" in focus:
-        lines.append("Layers: " + ", ".join(f"{x['name']}: {len(x['nodeIds'])}" for x in layers(f.files)))
+        lines.append("Layers: " + ", ".join(f"{r['layer'].capitalize()}: {r['n']}" for r in V.layer_counts(f.files).orderBy(T.utf16_key("layer")).collect()))
         moves = G.dir_imports(a.graph.edges, 8).collect()
         lines.append("Directory imports: " + ", ".join(f"{r['from_dir']}->{r['to_dir']}: {r['n']}" for r in moves) if moves else "")
     return "\n".join(x for x in lines if x)

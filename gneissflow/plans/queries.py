@@ -15,6 +15,7 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank, verify
 from ..operators import risk as R
+from ..operators import sections as V
 from ..operators.communities import communities
 from ..scratch import materialize
 from ..session import spread
@@ -287,17 +288,30 @@ def supplier_communities(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("members", F.array_join("members", " "))
 
 
-@query(EDGES_SQL.replace("WITH nx", "WITH RECURSIVE nx") + """, im AS (SELECT DISTINCT 'file:' || split_part(src, '#', 1) AS s, 'file:' || split_part(dst, '#', 1) AS t FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),
+TOUR_SQL = EDGES_SQL.replace("WITH nx", "WITH RECURSIVE nx") + """, im AS (SELECT DISTINCT 'file:' || split_part(src, '#', 1) AS s, 'file:' || split_part(dst, '#', 1) AS t FROM g WHERE split_part(src, '#', 1) <> split_part(dst, '#', 1)),
 ad AS (SELECT s, list(t ORDER BY t) AS ts FROM im GROUP BY 1),
 w(i, o) AS (SELECT 1, [(SELECT s FROM im GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)] UNION ALL
-  SELECT i + 1, list_slice(o || list_filter(coalesce(ts, []), lambda x: NOT list_contains(o, x)), 1, 12) FROM w LEFT JOIN ad ON s = o[i] WHERE i <= len(o))
-SELECT CAST(unnest(range(1, len(o) + 1)) AS INT) AS step, unnest(o) AS node_id FROM (SELECT arg_max(o, i) AS o FROM w) WHERE len(o) >= 5""")
-def bfs_tour(spark: SparkSession, d: str) -> DataFrame:
+  SELECT i + 1, list_slice(o || list_filter(coalesce(ts, []), lambda x: NOT list_contains(o, x)), 1, {most}) FROM w LEFT JOIN ad ON s = o[i] WHERE i <= len(o))
+SELECT CAST(unnest(range(1, len(o) + 1)) AS INT) AS step, unnest(o) AS node_id FROM (SELECT arg_max(o, i) AS o FROM w) WHERE len(o) >= 5"""
+
+
+def _tour(spark: SparkSession, d: str, most: int | None) -> DataFrame:
     e = materialize(call_edges(spark, d), "call_edges")
-    top = e.where("kind = 'IMPORTS'").groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).collect()
+    top = e.where("kind = 'IMPORTS'").groupBy(F.col("src").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
     ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    order = G.tour(e, ends, top[0]["src"]) if top else []
-    return spark.createDataFrame([(i, x) for i, x in enumerate(order, 1)], "step int, node_id string")
+    return V.tour(e, ends, top, most)
+
+
+@query(TOUR_SQL.replace("{most}", "12"))
+def bfs_tour(spark: SparkSession, d: str) -> DataFrame:
+    """The first 12 files from the one that imports most."""
+    return _tour(spark, d, V.TOUR_MOST)
+
+
+@query(TOUR_SQL.replace("{most}", "len(o) + len(ts)"))
+def bfs_tour_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every file that the one that imports most leads to, in reading order."""
+    return _tour(spark, d, None)
 
 
 @query(EDGES_SQL + """, deg AS (SELECT dst, count(*) AS n FROM g GROUP BY 1), hub AS (SELECT dst AS m FROM deg ORDER BY n DESC, dst LIMIT 5),

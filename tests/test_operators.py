@@ -10,6 +10,7 @@ from gneissflow.operators import edges as E
 from gneissflow.operators import graph as G
 from gneissflow.operators import history, overlap, rank, skew
 from gneissflow.operators import risk as R
+from gneissflow.operators import sections as V
 from gneissflow.operators.communities import communities
 from gneissflow.session import spread
 
@@ -147,9 +148,13 @@ def test_surprises_and_tour(spark):
     got = G.surprises(e, member, spark.createDataFrame([("b",)], "member string"), lang).collect()
     assert [(r.src, r.score, r.reasons) for r in got] == [("a", 7, ["cross-community", "cross-language", "hub-periphery"]), ("b", 2, ["hub-periphery"])]
     nodes = spark.createDataFrame([(f"file:{i}",) for i in (0, 1, 2, 3, 9)] + [("sym:a",)], "id string")
-    assert G.tour(e, nodes, "file:0") == ["file:0", "file:1", "file:2", "file:3", "file:9", "sym:a"]
-    assert G.tour(e, nodes, "file:9") == ["file:9", "file:0", "file:1", "file:2", "file:3", "sym:a"]
-    assert G.tour(e, nodes, "file:2") == [] and G.tour(e, nodes, "file:none") == []
+    def tour(start, *more):
+        return [r.node_id for r in V.tour(e, nodes, spark.createDataFrame([(start,)], "id string"), *more).orderBy("step").collect()]
+
+    assert tour("file:0", None) == tour("file:0", 6) == ["file:0", "file:1", "file:2", "file:3", "file:9", "sym:a"] and tour("file:0", 5) == ["file:0", "file:1", "file:2", "file:3", "file:9"]
+    assert tour("file:0") == ["file:0", "file:1", "file:2", "file:3", "file:9", "sym:a"]
+    assert tour("file:9") == ["file:9", "file:0", "file:1", "file:2", "file:3", "sym:a"]
+    assert tour("file:2") == [] and tour("file:none") == []
 
 
 @pytest.mark.parametrize(("tested", "total"), [(True, 0.6), (False, 0.9)])
