@@ -48,7 +48,7 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_separator_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of each document, found by the separators of the token streams."""
-    return token_scan.separator_scan(token_scan.token_streams(_documents(spark, sf_dir)))
+    return token_scan.separator_scan(token_scan.token_streams(token_scan.placed(_table(spark, sf_dir, "documents"))))
 
 
 def op7_bbit_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOD = 50256
 WIDTH = np.uint16
+ORDER_BITS = 24  # blocks of a task, at most
 
 
 def load_encoding(data: bytes):
@@ -36,8 +37,24 @@ def load_encoding(data: bytes):
 _known: dict[int, object] = {}
 
 
+def placed(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Documents as read from files, with the file's name as ``stream`` and the row's number in it as ``place``.
+
+    Fewer partitions than ``parts`` (the cores) are dealt out in ranges of files and rows.
+    """
+    docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("stream"), F.col("_metadata.row_index").alias("place"))
+    parts = parts or docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= parts:
+        return docs
+    return docs.repartitionByRange(parts, "stream", "place").sortWithinPartitions("stream", "place")
+
+
 def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """stream, block, tokens (little-endian 16-bit ids), doc_ids: one stream for each input task.
+    """stream, block, tokens (little-endian 16-bit ids), doc_ids.
+
+    Where ``docs`` has the columns stream and place (see ``placed``), a task holds a run of a stream's
+    rows in their order, and however the rows are dealt out the documents found are the same: blocks
+    may end anywhere, ``block`` only gives their order.  Other tables are one stream for each task.
 
     Each document's ids are followed by ``EOD``; a null or empty text is a separator alone.  doc_ids
     names the documents whose separator lies in the block, in order, so that counts found by the
@@ -49,8 +66,9 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = hash(shared.value)
         enc = _known.get(mark) or _known.setdefault(mark, load_encoding(shared.value))
-        stream, number = f"part-{TaskContext.get().partitionId():06d}", 0
-        held, ids, size = [], [], 0  # pieces, (end of document, id), tokens held
+        own = f"part-{TaskContext.get().partitionId():06d}"
+        stream, number = None, 0
+        held, ids, size = [], [], 0  # pieces, (end of document, id, place), tokens held
 
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             """The whole blocks that are held (with ``last`` the rest too); each token is copied once."""
@@ -58,30 +76,38 @@ def token_streams(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BL
             flat, at, name = np.concatenate(held), 0, 0
             while size - at >= block or (last and at < size):
                 end, first = min(at + block, size), name
+                order = (ids[first][2] << ORDER_BITS) + number  # ids[first] is the document in which the block begins
                 while name < len(ids) and ids[name][0] < end:
                     name += 1
-                names = pa.array([[i for _, i in ids[first:name]]], pa.list_(pa.int64()))
-                cols = [pa.array([stream]), pa.array([number], pa.int64()), pa.array([flat[at:end].tobytes()], pa.binary()), names]
+                names = pa.array([[i for _, i, _ in ids[first:name]]], pa.list_(pa.int64()))
+                cols = [pa.array([stream]), pa.array([order], pa.int64()), pa.array([flat[at:end].tobytes()], pa.binary()), names]
                 yield pa.RecordBatch.from_arrays(cols, names=["stream", "block", "tokens", "doc_ids"])
                 at, number = end, number + 1
-            held, ids, size = [flat[at:].copy()], [(x - at, i) for x, i in ids[name:]], size - at
+            held, ids, size = [flat[at:].copy()], [(x - at, i, p) for x, i, p in ids[name:]], size - at
 
         for batch in batches:
             for i in range(batch.num_rows):
+                name = batch.column(2)[i].as_py() or own
+                if name != stream:
+                    if size:
+                        yield from cut(True)
+                    stream = name
                 text = batch.column(1)[i].as_py()
                 if text:
                     t = np.asarray(enc.encode_ordinary(text), WIDTH)
                     held.append(t)
                     size += len(t)
                 held.append(np.array([EOD], WIDTH))
-                ids.append((size, batch.column(0)[i].as_py()))
+                ids.append((size, batch.column(0)[i].as_py(), batch.column(3)[i].as_py() or 0))
                 size += 1
                 if size >= block:
                     yield from cut(False)
         if size:
             yield from cut(True)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = {"stream", "place"} <= set(docs.columns)
+    name, place = (F.col("stream"), F.col("place")) if own else (F.lit(None).cast("string"), F.lit(None).cast("long"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), name.alias("stream"), place.cast("long").alias("place"))
     return src.mapInArrow(run, "stream string, block long, tokens binary, doc_ids array<long>")
 
 
