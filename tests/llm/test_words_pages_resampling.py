@@ -242,3 +242,19 @@ def test_drawn_documents_are_nearer_to_the_target(spark, sf):
     got = q.op13_target_resampling(spark, sf).where("n_features >= 20")
     mean = lambda df: df.agg(F.avg("weight")).first()[0]
     assert mean(got.where("rank IS NOT NULL")) > mean(got)
+
+
+# ---- 6 token streams
+
+
+def test_documents_of_a_stream_do_not_depend_on_tasks(spark, sf, tmp_path):
+    """The same rows of two files in 1, 3 and 8 parts, with short blocks that end inside documents."""
+    from gneissflow.llm import token_scan as ts
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(90)
+    docs.repartition(2, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = [Counter(tuple(r) for r in ts.separator_scan(ts.token_streams(ts.placed(docs, n), block=500)).collect()) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2] and found[0].total() == 90
+    plain = {r.doc_id: r.n_tokens for r in ts.separator_scan(ts.token_streams(docs)).collect()}
+    assert plain == {r[2]: r[4] for r in found[0]}
