@@ -13,7 +13,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import edges as E
 from ..operators import graph as G
-from ..operators import history, overlap, rank, verify
+from ..operators import history, overlap, rank, rules, verify
 from ..operators import risk as R
 from ..operators import sections as V
 from ..operators.communities import communities
@@ -426,6 +426,27 @@ def glob_deny(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "path", P.denied("path", ["www.*", "*.html", "m.**/de/**"]).alias("denied"), P.included("path", ["blog", "m.theron.example.net"]).alias("included"))
 
 
+#: A path for each part, and a rule for each order: both engines read them so.
+PART_PATH = """concat('src/d', p_size, '/', CASE p_partkey % 4 WHEN 0 THEN concat('P', p_partkey, '.tsx') WHEN 1 THEN concat('x-', p_partkey, '.mdx') WHEN 2 THEN concat('m', p_partkey, '.js')
+  ELSE concat('a', p_partkey, '/index.ts') END)"""
+ORDER_RULE = """CASE o_orderkey % 6 WHEN 0 THEN concat('p', o_orderkey, '.TSX') WHEN 1 THEN concat('*-', o_orderkey, '.mdx') WHEN 2 THEN concat('src/d', o_orderkey % 50, '/m', o_orderkey, '.js')
+  WHEN 3 THEN concat('src/D', o_orderkey % 50, '/a', o_orderkey, '/**') WHEN 4 THEN concat('a', o_orderkey, '0*') ELSE CASE WHEN o_orderkey < 60 THEN concat('src/**/m', o_orderkey, '*.j*') ELSE concat('none', o_orderkey) END END"""
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT {PART_PATH} AS path FROM part), s AS (SELECT path, unnest(string_split(lower(path), '/')) AS seg FROM p),
+r AS (SELECT DISTINCT lower({ORDER_RULE}) AS t FROM orders),
+h AS (SELECT path FROM s JOIN r ON seg = t UNION SELECT path FROM p JOIN r ON lower(path) = t
+  UNION SELECT path FROM s, r WHERE t LIKE '*%' AND ends_with(seg, t[2:]) UNION SELECT path FROM s, r WHERE t NOT LIKE '%/%' AND t LIKE '%*' AND starts_with(seg, t[:-2])
+  UNION SELECT path FROM p, r WHERE t LIKE '%/**' AND starts_with(lower(path), t[:-3])
+  UNION SELECT path FROM p, r WHERE t LIKE 'src/**/%' AND regexp_full_match(lower(path), 'src/.*/' || replace(replace(t[8:], '.', '[.]'), '*', '[^/]*')))
+SELECT path, path IN (SELECT path FROM h) AS denied FROM p""")
+def deny_index(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any of as many rules as there are orders fits the path of a part."""
+    paths = table(spark, d, "part").selectExpr(f"{PART_PATH} AS path")
+    return rules.denied_by(paths, rules.rule_index(table(spark, d, "orders").selectExpr(f"{ORDER_RULE} AS pattern")))
+
+
 # The layer rules, in their order.
 @query(r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages),
