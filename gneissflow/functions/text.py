@@ -88,12 +88,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def tokenizer(path: str = VOCABULARY):
     """The byte-pair encoding of a vocabulary file; None where the file or the library is missing."""
     try:
-        import tiktoken
-
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            return encoding(f.read())
     except (ImportError, OSError):
         return None
+
+
+def encoding(vocabulary: bytes):
+    """The byte-pair encoding of a vocabulary file's bytes."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
     return tiktoken.Encoding("estimator", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 

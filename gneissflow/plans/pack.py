@@ -15,6 +15,7 @@ from ..errors import EngineError
 from ..extract.facts import Facts, extract_facts
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.tokens import with_tokens
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank, verify
@@ -278,7 +279,10 @@ def candidates(a: Analysis, sc: Scan, request: Q.Request) -> list[dict]:
     best = best.withColumn("_r", F.struct((-F.col("score")).alias("s"), "qualified_name"))
     rows = f.symbols.join(F.broadcast(best), "qualified_name").orderBy("_r", T.utf16_key("path"), "pos").limit(SYMBOLS)  # broadcast: 500 rows
     told = F.concat_ws("\n", "signature", F.when(F.col("jsdoc") != "", F.col("jsdoc")))
-    rows = rows.withColumn("sym_text", T.redact(told)).withColumn("src_text", T.redact("source")).collect()
+    rows = rows.withColumn("sym_text", T.redact(told)).withColumn("src_text", T.redact("source"))
+    for kind in ("sym", "src"):
+        rows = with_tokens(rows, f"{kind}_text", f"{kind}_tokens")
+    rows = rows.collect()
     for kind, prefix, column, most, clip in (("symbol", "sym", "sym_text", SYMBOLS, False), ("source", "source", "src_text", SOURCES, True)):
         if {"symbol": "symbols", "source": "source"}[kind] in request.focus:
             for r in rows[:most]:
@@ -286,7 +290,7 @@ def candidates(a: Analysis, sc: Scan, request: Q.Request) -> list[dict]:
                 out.append({
                     "id": f"{prefix}:{r['qualified_name']}#L{span['startLine']}-{span['endLine']}", "kind": kind, "title": r["name"],
                     "text": r[column], "path": r["path"], "range": span, "provenance": "extracted", "confidence": r["confidence"],
-                    "estimatedTokens": T.estimate_tokens_py(r[column]), "_clip": clip,
+                    "estimatedTokens": r[column.replace("_text", "_tokens")], "_clip": clip,
                 })
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.tokens import with_tokens
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import history, overlap, rank, rules, verify
@@ -469,6 +470,42 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("size"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, text, greatest(1, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT)) AS tokens, 3 * (50 - CAST(ceil(octet_length(encode('{T.MARKER}')) / 4) AS BIGINT)) AS room FROM documents),
+c AS (SELECT *, len(list_filter(range(1, CAST(least(length(text), room) + 1 AS BIGINT)), lambda i: octet_length(encode(text[1:i])) <= room)) AS k FROM d)
+SELECT doc_id, tokens, CASE WHEN tokens <= 50 THEN text ELSE text[1:k] || '{T.MARKER}' END AS clipped FROM c""")
+def document_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Every document cut to 50 tokens of four bytes."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return with_tokens(docs, "text", "tokens", 50, vocabulary=None).select("doc_id", "tokens", "clipped")
+
+
+@query()
+def document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document by the vocabulary, and the document cut to 200 of them."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return with_tokens(docs, "text", "tokens", 200).select("doc_id", "tokens", "clipped")
+
+
+# Names that order differently by UTF-16 units and by code points.
+ODD_NAME = "concat(CASE p_partkey % 4 WHEN 0 THEN chr(128512 + p_size) WHEN 1 THEN chr(64256 + p_size) WHEN 2 THEN chr(57344 + p_size) ELSE p_brand END, p_partkey % 97)"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {ODD_NAME} AS name FROM part),
+k AS (SELECT *, array_to_string(list_transform(range(1, length(name) + 1), lambda i: CASE WHEN unicode(name[i]) < 65536 THEN printf('%04X', unicode(name[i]))
+  ELSE printf('%04X', 55296 + (unicode(name[i]) - 65536) // 1024) || printf('%04X', 56320 + (unicode(name[i]) - 65536) % 1024) END), '') AS u FROM p)
+SELECT p_partkey, name, row_number() OVER (ORDER BY u, p_partkey) AS place FROM k""")
+def utf16_order(spark: SparkSession, d: str) -> DataFrame:
+    """The places of names with characters beyond the first plane, before it in UTF-16 order and behind it by code point."""
+    odd = ODD_NAME.replace("chr(128512 + p_size)", "decode(unhex(concat('D83D', hex(56832 + p_size))), 'UTF-16BE')")
+    for first in ("64256", "57344"):
+        odd = odd.replace(f"chr({first} + p_size)", f"decode(unhex(hex({first} + p_size)), 'UTF-16BE')")
+    names = table(spark, d, "part").selectExpr("p_partkey", f"{odd} AS name")
+    places = rank.ranked(names, "p_partkey", [T.utf16_key("name"), F.asc("p_partkey")], "place")
+    return names.join(places, "p_partkey").select("p_partkey", "name", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS lines FROM documents")
 def line_facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.line_count("text").alias("lines"))
