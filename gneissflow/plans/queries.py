@@ -266,7 +266,7 @@ cl AS (SELECT r, lab, u AS c FROM jo UNION ALL SELECT r, lab, v FROM jo UNION AL
 me AS (SELECT r, list_filter(range(1, len(lab) + 1), lambda i: lab[i] = c) AS m FROM cl),
 co AS (SELECT me.r, m, len(m) AS n, (SELECT count(*) FROM ln WHERE ln.r < me.r AND list_contains(m, ln.x) AND list_contains(m, ln.y)) AS k FROM me),
 ok AS (SELECT * FROM co WHERE n <= greatest(2, CAST(ceil((SELECT count(*) FROM su) / 4) AS BIGINT)) AND (n <= 20 OR k / (n * (n - 1) / 2) >= 0.1)),
-fi AS (SELECT r, m, n, k FROM ok a WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.n > a.n AND list_has_all(b.m, a.m))),
+fi AS (SELECT row_number() OVER () AS r, m, n, k FROM ok a WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.n > a.n AND list_has_all(b.m, a.m))),
 na2 AS (SELECT r, n, k, q FROM fi JOIN no ON list_contains(m, i)),
 di AS (SELECT r, CASE WHEN contains(split_part(q, '#', 1), '/') THEN regexp_replace(split_part(q, '#', 1), '/[^/]*$', '') ELSE '.' END AS dir, count(*) AS h FROM na2 GROUP BY ALL)
 SELECT 'c-' || sha256(string_agg(q, chr(10) ORDER BY q))[:8] AS id, (SELECT arg_min(dir, {{'h': -h, 'd': dir}}) FROM di WHERE di.r = na2.r) AS label, string_agg(q, ' ' ORDER BY q) AS members,
