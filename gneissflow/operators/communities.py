@@ -33,7 +33,7 @@ from .rank import ranked
 
 LARGE, LOOSE, SHARE = 20, 0.1, 4
 BOUND = 1 << 20
-TASK_ROWS = 50_000
+TASK_ROWS = 20_000
 CALL, IMPORT = 1, 0  # strengths: a call is stronger than any import
 
 
