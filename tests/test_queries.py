@@ -17,7 +17,7 @@ def duck(sf):
 
 
 def plain(df):
-    df = df[sorted(df.columns)].astype(object)
+    df = df[sorted(df.columns)].convert_dtypes().astype(object)  # whole numbers with nulls are floats in one engine's frame only
     return sorted(map(str, df.where(df.notna(), None).values.tolist()))
 
 
