@@ -1,27 +1,55 @@
-"""Churn and co-change over a commit log (commit_no, added, deleted, path)."""
+"""Churn and co-change over a commit log (commit_no, added, deleted, path).
+
+A long log is taken in ranges of commits: ``add_ranges`` writes the partial sums of each range as a
+partition of its own, and ``totals`` adds them up.  A new range is so added to an old table without
+reading old commits, and a range that is written again (after a failure, say) replaces itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDEST = 50  # lines of a commit that still counts
 
 
-def narrow_commits(log: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """Rows of commits of at most ``widest`` rows."""
-    counted = log.groupBy("commit_no").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= widest)
-    return log.join(counted.select("commit_no"), "commit_no", "left_semi")
+def narrow_commits(log: DataFrame, widest: int = WIDEST, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of commits of at most ``widest`` rows; with ``by``, commits of different values there are different."""
+    keys = [*by, "commit_no"]
+    counted = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= widest)
+    return log.join(counted.select(*keys), keys, "left_semi")
 
 
-def churn(log: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """path, churn: lines added and deleted; ``-`` counts 0."""
+def churn(log: DataFrame, widest: int = WIDEST, by: Sequence[str] = ()) -> DataFrame:
+    """path, churn: lines added and deleted; ``-`` counts 0.  With ``by``, for each of its values."""
     lines = sum((F.coalesce(F.expr(f"try_cast({c} AS bigint)"), F.lit(0).cast("long")) for c in ("added", "deleted")), F.lit(0).cast("long"))
-    return narrow_commits(log, widest).groupBy("path").agg(F.sum(lines).alias("churn"))
+    return narrow_commits(log, widest, by).groupBy(*by, "path").agg(F.sum(lines).alias("churn"))
 
 
-def cochange(log: DataFrame, widest: int = WIDEST) -> DataFrame:
+def cochange(log: DataFrame, widest: int = WIDEST, by: Sequence[str] = ()) -> DataFrame:
     """a, b, n: how often two paths stand in one commit.  The width bound bounds the pairs."""
-    paths = narrow_commits(log, widest).select("commit_no", "path").distinct()
+    keys = [*by, "commit_no"]
+    paths = narrow_commits(log, widest, by).select(*keys, "path").distinct()
     a, b = paths.withColumnRenamed("path", "a"), paths.withColumnRenamed("path", "b")
-    return a.join(b, "commit_no").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(b, keys).where("a < b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def add_ranges(log: DataFrame, folder: str, widest: int = WIDEST) -> None:
+    """Write churn and co-change of each ``part`` of the log under the folder, in place of what it has for that part.
+
+    A commit lies in one part as a whole.  Rows without a part raise, as no later run could replace them.
+    """
+    named = F.when(F.col("part").isNull(), F.raise_error(F.lit("a commit without a part"))).otherwise(F.col("part").cast("string"))
+    log = log.withColumn("part", named)
+    for name, made in (("churn", churn), ("cochange", cochange)):
+        made(log, widest, ["part"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder}/{name}")
+
+
+def totals(spark: SparkSession, folder: str, kind: str = "string") -> tuple[DataFrame, DataFrame]:
+    """(path, churn, parts) and (a, b, n, parts) over all parts under the folder; ``kind`` is the type of a path."""
+    read = lambda name, columns: spark.read.schema(f"{columns}, part string").parquet(f"{folder}/{name}")
+    parts = F.count(F.lit(1)).alias("parts")
+    sums = read("churn", f"path {kind}, churn long").groupBy("path").agg(F.sum("churn").alias("churn"), parts)
+    return sums, read("cochange", f"a {kind}, b {kind}, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), parts)

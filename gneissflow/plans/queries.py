@@ -18,7 +18,7 @@ from ..operators import history, overlap, rank, rules, verify
 from ..operators import risk as R
 from ..operators import sections as V
 from ..operators.communities import communities
-from ..scratch import materialize
+from ..scratch import folder, materialize
 from ..session import spread
 from .registry import query, table
 
@@ -88,6 +88,36 @@ def cochange_pairs(spark: SparkSession, d: str) -> DataFrame:
     return history.cochange(commit_log(spark, d))
 
 
+def yearly_history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The log in ranges by the year of the order: the years from 1995 on are added to those before."""
+    years = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit_no"), F.coalesce(F.year("o_orderdate"), F.lit(0)).alias("part"))
+    log, where = commit_log(spark, d).join(years, "commit_no"), folder(spark, "history")
+    history.add_ranges(log.where("part < 1995"), where)
+    history.add_ranges(log.where("part >= 1995"), where)
+    return history.totals(spark, where, log.schema["path"].dataType.simpleString())
+
+
+YEARS_SQL = """
+WITH y AS (SELECT l_orderkey AS o, l_partkey AS p, CAST(l_quantity AS BIGINT) + l_linenumber AS lines, coalesce(year(o_orderdate), 0) AS part
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 50))
+"""
+
+
+@query(YEARS_SQL + """
+SELECT p AS path, CAST(sum(lines) AS BIGINT) AS churn, CAST(count(DISTINCT part) AS BIGINT) AS parts FROM y GROUP BY 1""")
+def churn_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return yearly_history(spark, d)[0]
+
+
+@query(YEARS_SQL + """
+, n AS (SELECT DISTINCT o, p, part FROM y)
+SELECT a.p AS a, b.p AS b, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT a.part) AS BIGINT) AS parts
+FROM n a JOIN n b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2""")
+def cochange_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return yearly_history(spark, d)[1]
+
+
 # ---- graph -------------------------------------------------------------------------------------
 
 

@@ -50,12 +50,18 @@ def _remove_all() -> None:
             _remove(spark, path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that are written part by part; it goes with the other intermediate tables."""
+    path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
+    _written[-1].append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at files
     that every executor sees, so a lost executor costs at most the running tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gneiss-{name}-{uuid.uuid4().hex}"
-    _written[-1].append((spark, path))
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -1,12 +1,17 @@
 """Git as Spark data sources: files, status, commit log, diff hunks, changed names, blobs.
 
 ``register(spark)`` makes ``spark.read.format("git_files").option("root", ...)`` and the others
-available.  Each source is one listing by one Git process; contents are read by many tasks.
+available.  Files are listed by one Git process for each group of directories, the log by one for
+each range of commits; status and diffs are one process each.  ``git_files`` takes ``under``, a JSON
+list of files and directories: only directories that may hold them are listed, and no other path is
+emitted.  This is an option and no ``pushFilters`` on purpose: Spark 4.1.2 keeps a Python reader with
+the filters of one query for the next query of the same DataFrame, which then loses rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import stat
@@ -25,6 +30,8 @@ from ..functions.text import digest_of
 MAX_BYTES = 1_000_000
 MAX_OUTPUT = 64 << 20  # of one Git command
 HISTORY = 2000
+RANGE = 250  # commits that one task of the log reads
+LISTINGS = 64  # most directories that are listed by tasks of their own; more are put together
 HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -124,7 +131,7 @@ def parse_hunks(raw: str) -> Iterator[tuple[str, int, int]]:
 
 
 class _Listing(DataSource):
-    """One Git listing as rows; subclasses give the schema and the rows."""
+    """Git listings as rows; subclasses give the schema, the parts of the listing and a part's rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,27 +143,89 @@ class _Listing(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(type(self), dict(self.options))
 
+    @staticmethod
+    def parts(root: str, o: dict) -> list:
+        return [None]
+
 
 class _Reader(DataSourceReader):
     def __init__(self, kind, options: dict):
         self.kind, self.options = kind, options
+        self.root = options.get("root") or options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        return [InputPartition(p) for p in self.kind.parts(self.root, self.options)]
 
     def read(self, partition) -> Iterator[tuple]:
-        root = self.options.get("root") or self.options["path"]
-        yield from self.kind.rows(root, self.options)
+        if partition is not None:  # None: a listing without parts
+            yield from self.kind.rows(self.root, self.options, partition.value)
+
+
+def _tree(root: str, ref: str, folder: str = "") -> tuple[list[str], list[str]]:
+    """(directories, other entries) right under a folder of a commit."""
+    raw = git(root, "ls-tree", "-z", ref, *(["--", f"{folder}/"] if folder else []))
+    folders, others = [], []
+    for entry in raw.decode(errors="surrogateescape").split("\0"):
+        if entry:
+            about, path = entry.split("\t", 1)
+            (folders if about.split()[1] == "tree" else others).append(path)
+    return folders, others
+
+
+def _folders(root: str, ref: str | None, folder: str = "") -> list[str]:
+    """Directories right under a folder of a commit or of the work tree; links and other repositories are none."""
+    if ref:
+        return _tree(root, ref, folder)[0]
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            own = [f"{folder}/{e.name}" if folder else e.name for e in found if e.name != ".git" and e.is_dir(follow_symlinks=False)]
+    except OSError:  # not readable, or gone by now: Git lists what it can of it as a whole
+        return []
+    return sorted(p for p in own if not os.path.lexists(os.path.join(root, p, ".git")))
+
+
+def _within(path: str, under: list[str]) -> bool:
+    """The path is one of ``under`` or lies below one; an empty list has all."""
+    return not under or any(path == p or path.startswith(f"{p}/") for p in under)
 
 
 class GitFiles(_Listing):
+    """Paths of a commit (``ref``), or tracked and untracked ones of the work tree, in no order over tasks;
+    with ``under`` those that are in its list or lie below one of it."""
+
     title, columns = "git_files", "path string"
 
     @staticmethod
-    def rows(root: str, o: dict) -> Iterator[tuple]:
+    def parts(root: str, o: dict) -> list:
+        """Groups of directories, and the rest: (opened directories, directories with a group)."""
+        ref, opened, folders = o.get("ref"), [""], _folders(root, o.get("ref"))
+        under = json.loads(o.get("under") or "[]")
+        chosen = lambda names: [d for d in names if _within(d, under) or any(p.startswith(f"{d}/") for p in under)]
+        closed, folders = set(folders) - set(chosen(folders)), chosen(folders)
+        while folders and len(folders) < LISTINGS // 4:  # one big directory is opened, so that it is not one task
+            inner = {p: _folders(root, ref, p) for p in folders}
+            deeper = [p for p in folders if inner[p]]
+            if not deeper or sum(len(inner[p]) or 1 for p in folders) > LISTINGS * 4:
+                break
+            opened += deeper
+            below = [q for p in folders for q in (inner[p] or [p])]
+            closed |= set(below) - set(chosen(below))
+            folders = chosen(below)
+        groups = [("in", folders[i::LISTINGS]) for i in range(min(LISTINGS, len(folders)))]
+        return [*groups, ("rest", opened, sorted({*folders, *closed}))]
+
+    @staticmethod
+    def rows(root: str, o: dict, part: tuple) -> Iterator[tuple]:
         ref = o.get("ref")
-        raw = git(root, "ls-tree", "-r", "--name-only", "-z", ref) if ref else git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard")
-        for p in sorted({x for x in raw.decode(errors="surrogateescape").split("\0") if x}):
+        if ref and part[0] == "rest":
+            found = [x for folder in part[1] for x in _tree(root, ref, folder)[1]]
+        elif ref:
+            found = git(root, "ls-tree", "-r", "--name-only", "-z", ref, "--", *(f"{p}/" for p in part[1])).decode(errors="surrogateescape").split("\0")
+        else:
+            own = [f":(top,literal){p}/" for p in part[1]] if part[0] == "in" else [".", *(f":(top,exclude,literal){p}/" for p in part[2])]
+            found = git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard", "--", *own).decode(errors="surrogateescape").split("\0")
+        under = json.loads(o.get("under") or "[]")
+        for p in sorted({x for x in found if x and _within(x, under)}):
             yield (p,)
 
 
@@ -164,24 +233,41 @@ class GitStatus(_Listing):
     title, columns = "git_status", "path string, status string"
 
     @staticmethod
-    def rows(root: str, o: dict) -> Iterator[tuple]:
+    def rows(root: str, o: dict, part=None) -> Iterator[tuple]:
         yield from parse_status(git(root, "status", "--porcelain", "-z", "--untracked-files=all").decode(errors="surrogateescape"))
 
 
 class GitNumstat(_Listing):
+    """Changed lines of the last ``limit`` commits up to ``ref``, of those not reached by ``since`` if it is
+    given; ``range`` commits a task.  Commit 1 is the newest one."""
+
     title, columns = "git_numstat", "commit_no long, added string, deleted string, path string"
 
     @staticmethod
-    def rows(root: str, o: dict) -> Iterator[tuple]:
-        raw = git(root, "log", "--numstat", "--no-renames", f"-n{o.get('limit', HISTORY)}", "--format=COMMIT %H", o.get("ref") or "HEAD", check=False)
-        yield from parse_numstat((raw or b"").decode(errors="replace"))
+    def parts(root: str, o: dict) -> list:
+        """(commit, not reached by, commits before, commits) of each range, all from one resolved commit."""
+        ref, since = o.get("ref") or "HEAD", o.get("since")
+        head = None if ref.startswith("-") else git(root, "rev-parse", "--verify", "--quiet", "--end-of-options", f"{ref}^{{commit}}", check=False)
+        if head is None:
+            return []
+        head, stop = head.decode().strip(), [f"^{resolve_ref(root, since)}"] if since else []
+        total = int(git(root, "rev-list", "--count", f"-n{o.get('limit', HISTORY)}", head, *stop))
+        step = int(o.get("range", RANGE))
+        return [(head, stop, i, min(step, total - i)) for i in range(0, total, step)]
+
+    @staticmethod
+    def rows(root: str, o: dict, part: tuple) -> Iterator[tuple]:
+        head, stop, before, n = part
+        raw = git(root, "log", "--numstat", "--no-renames", f"--skip={before}", f"-n{n}", "--format=COMMIT %H", head, *stop)
+        for number, *rest in parse_numstat(raw.decode(errors="replace")):
+            yield before + number, *rest
 
 
 class GitDiff(_Listing):
     title, columns = "git_diff", "path string, start int, end int"
 
     @staticmethod
-    def rows(root: str, o: dict) -> Iterator[tuple]:
+    def rows(root: str, o: dict, part=None) -> Iterator[tuple]:
         span = [f"{o['base']}...{o['head']}"] if o.get("base") else [o["head"]] if o.get("head") else ["HEAD"]
         yield from parse_hunks((git(root, "diff", "--unified=0", "--no-color", "--no-ext-diff", *span, check=False) or b"").decode(errors="replace"))
 
@@ -190,7 +276,7 @@ class GitDiffNames(_Listing):
     title, columns = "git_diff_names", "path string"
 
     @staticmethod
-    def rows(root: str, o: dict) -> Iterator[tuple]:
+    def rows(root: str, o: dict, part=None) -> Iterator[tuple]:
         raw = git(root, "diff", "--name-only", "-z", f"{o['base']}...{o['head']}", check=False) or b""
         for p in raw.decode(errors="surrogateescape").split("\0"):
             if p:
