@@ -5,8 +5,14 @@ the direction between the centres that a few Lloyd steps reach from two random r
 their middle (at the median if that would leave under a twentieth on a side).  Every row is then
 routed to one leaf of each tree.  A query keeps one priority queue over the nodes of all trees,
 ordered by the largest inner product with the centre of a leaf below the node, and takes leaves
-from it until they hold ``SHARE * rows + SPARE`` rows in sum.  Leaf candidates are ranked by their
-exact inner product.
+from it until they hold a share of all rows and ``SPARE`` more in sum.  Leaf candidates are ranked by
+their exact inner product.
+
+The share is measured, not set: for ``PROBES`` rows of the sample the true neighbours in the sample
+are known, and so is what the queue reads until it meets each of them.  The share is what finds
+``TARGET`` of them.  Grouped vectors so read a small part of the rows, vectors without structure a
+large one.  In a larger table the neighbours lie nearer than in its sample, so the share is no less
+than needed there.
 
 Equal vectors are one class with its smallest ids, so copies of one vector do not fill a leaf.
 Neighbouring leaves of a tree form bundles; a vector is sent once to each bundle that it has a leaf
@@ -30,7 +36,8 @@ TREES = 8
 LEAF = 12  # most sample rows of a leaf
 FIT = 8192  # most rows that the trees are fitted on
 SAMPLE, SAMPLE_BYTES = 65536, 32 << 20  # most rows that the leaves' centres come from, and their bytes
-SHARE, SPARE = 0.4, 200  # leaves are taken until they hold SHARE * rows + SPARE rows, repeats included
+SHARE, SPARE = None, 200  # leaves are taken until they hold share * rows + SPARE rows, repeats included; None: measured
+PROBES, NEIGHBOURS, TARGET = 256, 20, 0.95  # rows the share is measured with, their neighbours, part of them to be found
 FIRST = 24  # leaves that give a query its first bound
 BUNDLES = 16  # of a tree at least
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
@@ -45,14 +52,35 @@ class Forest:
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 5):
         self.dim = sample.shape[1] if sample.size else 0
         self.trees = [self._tree(sample[:FIT], np.random.default_rng(seed + t)) for t in range(trees)]
-        self.trees = [(*tree[:3], self._centres(sample, t), tree[4]) for t, tree in enumerate(self.trees)]
+        placed = [self.route(sample, t) for t in range(trees)]
+        self.trees = [(*tree[:3], self._centres(sample, at, len(tree[3])), tree[4]) for at, tree in zip(placed, self.trees, strict=True)]
+        self.share = self._needed(sample, placed) / max(1, len(sample))
         blocks = max(BUNDLES, -(-rows // ROW_BLOCK))
         self.bundles = [min(self.leaves(t), blocks) for t in range(trees)]
 
-    def _centres(self, sample: np.ndarray, t: int) -> np.ndarray:
-        at, total = self.route(sample, t), np.zeros_like(self.trees[t][3])
+    @staticmethod
+    def _centres(sample: np.ndarray, at: np.ndarray, leaves: int) -> np.ndarray:
+        total = np.zeros((leaves, sample.shape[1]))
         np.add.at(total, at, sample)
-        return total / np.maximum(1, np.bincount(at, minlength=len(total)))[:, None]
+        return total / np.maximum(1, np.bincount(at, minlength=leaves))[:, None]
+
+    def _needed(self, sample: np.ndarray, placed: list[np.ndarray]) -> int:
+        """Rows that leaves hold, in the queue's order, before ``TARGET`` of the probes' neighbours are met."""
+        sizes = np.concatenate([np.bincount(at, minlength=len(tree[3])) for at, tree in zip(placed, self.trees, strict=True)])
+        first = np.cumsum([0, *(len(tree[3]) for tree in self.trees)])[:-1]
+        leaf_of = np.stack(placed, axis=1) + first
+        centres, k, needs = np.concatenate([tree[3] for tree in self.trees]), min(NEIGHBOURS, len(sample) - 1), []
+        for i in range(0, min(PROBES, len(sample)) if k > 0 else 0, 64):
+            probes = np.arange(i, min(i + 64, PROBES, len(sample)))
+            scores = sample[probes] @ sample.T
+            scores[np.arange(len(probes)), probes] = -np.inf  # not its own neighbour
+            near = np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
+            order = np.argsort(-(sample[probes] @ centres.T), axis=1, kind="stable")
+            held = sizes[order]
+            before = np.empty_like(held)
+            np.put_along_axis(before, order, held.cumsum(axis=1) - held, axis=1)
+            needs.append(np.stack([before[j][leaf_of[n]].min(axis=1) for j, n in enumerate(near)]))
+        return int(np.quantile(np.concatenate(needs), TARGET, method="higher")) + 1 if needs else 1
 
     def leaves(self, t: int) -> int:
         return len(self.trees[t][3])
@@ -224,15 +252,16 @@ def _sample(classes: DataFrame, total: int, most: int) -> np.ndarray:
 
 def nearest(
     table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-    share: float = SHARE, spare: int = SPARE,
+    share: float | None = SHARE, spare: int = SPARE,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every row whose id ``every`` divides.
 
     Nearness is the inner product.  A row is not its own neighbour (rows with the query's id).
     Ties go to the smaller id.  Null, zero and non-finite vectors, null ids, and vectors whose
     length is not the commonest one (of equally common the smaller) take no part.  Repeated rows
-    count once.  An empty table gives no rows.  Reaches the driver: the sample, and one size for
-    each leaf, both of fixed bounds.
+    count once.  An empty table gives no rows.  ``share`` is the part of the rows that a query reads
+    (repeats over trees included); None takes the one that the forest measured on its sample.  Reaches
+    the driver: the sample, and one size for each leaf, both of fixed bounds.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vec_col)
@@ -262,7 +291,7 @@ def nearest(
     sizes = [[0] * forest.leaves(t) for t in range(len(forest.trees))]
     for r in counted:
         sizes[r["tree"]][r["leaf"]] = r["count"]
-    search = share * total + spare
+    search = (forest.share if share is None else share) * total + spare
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query's leaves by (phase, tree, bundle)."""
