@@ -220,6 +220,21 @@ def test_forest_recall_on_many_vectors(spark):
         assert recall(rp.nearest(table, share=share, spare=spare), ids, vecs.astype(np.float64)) >= 0.9
 
 
+def test_share_follows_the_structure_of_the_vectors(spark):
+    """The measured share: small for grouped vectors, large without structure, enough for the neighbours in both."""
+    rng = np.random.default_rng(12)
+    loose = rng.normal(size=(6000, 32))
+    grouped = rng.normal(size=(150, 32))[rng.integers(0, 150, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    forests = [rp.Forest(x / np.linalg.norm(x, axis=1, keepdims=True), 6000) for x in (loose, grouped)]
+    assert forests[1].share < 0.03 < 0.1 < forests[0].share <= len(forests[0].trees)
+    vecs = (grouped / np.linalg.norm(grouped, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(1, 6001)
+    table = spark.createDataFrame(zip(ids.tolist(), vecs.tolist(), strict=True), "vec_id long, embedding array<float>")
+    assert recall(rp.nearest(table), ids, vecs.astype(np.float64)) >= 0.9
+    for few in (np.zeros((0, 0)), np.ones((1, 3)), np.ones((40, 3)), np.eye(3)):
+        assert 0 <= rp.Forest(few, len(few)).share <= 8
+
+
 def test_leaves_come_from_one_queue(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16))
