@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from pathlib import Path
 
@@ -29,3 +30,21 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+#: Rows that a task reads of what ``dealt`` deals out; a task's sorts and hash tables do not grow with the table then.
+TASK_ROWS = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: one for each core at least, and one for each ``TASK_ROWS``."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by the keys over a number of tasks that follows the rows.
+
+    What groups or joins by these keys next needs no shuffle of its own, so the number holds there too;
+    Spark would merge its partitions up to a size that depends on the cores.
+    """
+    return df.repartition(tasks, *keys)

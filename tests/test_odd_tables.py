@@ -1,11 +1,16 @@
 """Registered queries on tables with odd rows, against their SQL."""
 
 import datetime as dt
+from collections import Counter
+from itertools import combinations, groupby
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gneissflow import session
+from gneissflow.operators import history
 
 
 def against_sql(spark, name, d, *tables):
@@ -30,3 +35,20 @@ def test_hours_of_the_nearest_second(spark, tmp_path, name):
             rows.append((len(rows), at(begin), rows[-1][2], "click", 99.0))
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert len(against_sql(spark, name, str(tmp_path), "events")) > 50
+
+
+def test_history_tasks_follow_the_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    rows = [(i // 3 if i < 900 else 9000, "1", "-", f"p{i * 7 % 40}") for i in range(1000)] + [(None, "1", "1", "p1"), (5000, "1", "1", None), (5000, "1", "1", "p2")]
+    log = spark.createDataFrame(rows, "commit_no long, added string, deleted string, path string")
+    narrow = [r for r in rows if r[0] is not None and r[0] != 9000]
+    pairs = history.cochange(log)
+    # a commit of three paths has three pairs
+    assert history.narrow_commits(log).rdd.getNumPartitions() >= len(rows) / 50 and pairs.rdd.getNumPartitions() >= 900 / 50
+    want = Counter((a, b) for _, g in groupby(narrow, lambda r: r[0]) for a, b in combinations(sorted({r[3] for r in g if r[3]}), 2))
+    assert {(r.a, r.b): r.n for r in pairs.collect()} == want
+    assert {r.path: r.churn for r in history.churn(log).collect()} == Counter({p: sum(int(r[1]) + (r[2] == "1") for r in narrow if r[3] == p) for p in {r[3] for r in narrow}})
+    parts = log.where("commit_no IS NOT NULL").withColumn("part", F.expr("commit_no % 3"))
+    history.add_ranges(parts, str(tmp_path))
+    total = history.totals(spark, str(tmp_path))[1]
+    assert total.rdd.getNumPartitions() >= len(want) / 50 and {(r.a, r.b): r.n for r in total.collect()} == want
