@@ -1,5 +1,8 @@
 """The code graph from fact tables.
 
+Tables that grow with the input are joined by merging: the size of a packed file says little of what sending it
+whole to every task would cost.
+
 files(path, language), symbols(path, pos, kind, name, qualified_name, exported, heritage...),
 imports(path, pos, imported_name, module_specifier), calls(path, pos, caller_qualified_name,
 callee_text, receiver).  ``pos`` is the order within a file; "first" means the smallest.
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..scratch import materialize
+from ..session import dealt
 
 EDGE = ["kind", "src", "dst", "confidence", "tier"]
 
@@ -47,7 +51,7 @@ def first_of(df: DataFrame, keys: list[str], order: str, value: str | list[str])
 def resolve_first(requests: DataFrame, keys: list[str], candidates: str, eligible: DataFrame, as_: str = "target") -> DataFrame:
     """Priority look-up: the first entry of an array that is among ``eligible.path``."""
     tried = requests.select(*keys, F.posexplode(candidates).alias("_pos", "path"))
-    return tried.join(eligible.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by("path", "_pos").alias(as_))
+    return tried.join(eligible.select("path").distinct().hint("merge"), "path").groupBy(*keys).agg(F.min_by("path", "_pos").alias(as_))
 
 
 def resolve_imports(imports: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -55,11 +59,11 @@ def resolve_imports(imports: DataFrame, eligible: DataFrame) -> DataFrame:
     asked = imports.select("path", "module_specifier").distinct().withColumn("_c", P.import_candidates("path", "module_specifier"))
     asked = asked.withColumn("external", F.col("_c").isNull())
     hit = resolve_first(asked.withColumnRenamed("path", "source"), ["source", "module_specifier"], "_c", eligible).withColumnRenamed("source", "path")
-    return asked.drop("_c").join(hit, ["path", "module_specifier"], "left")
+    return asked.drop("_c").join(hit.hint("merge"), ["path", "module_specifier"], "left")
 
 
-def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, eligible: DataFrame | None = None) -> CodeGraph:
-    """Nodes, edges and the census of unresolved calls."""
+def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, eligible: DataFrame | None = None, tasks: int | None = None) -> CodeGraph:
+    """Nodes, edges and the census of unresolved calls; ``tasks``: what the calls are dealt out over (None: left to Spark)."""
     eligible = files if eligible is None else eligible
     f, s = F.col("path"), F.col("qualified_name")
     nodes = files.select(file_id(f).alias("id"), F.lit("file").alias("kind")).union(symbols.select(sym_id(s), F.lit("symbol"))).distinct()
@@ -67,22 +71,22 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     contains = symbols.select(F.lit("CONTAINS").alias("kind"), file_id(f).alias("src"), sym_id(s).alias("dst"), *sure)
 
     found = materialize(resolve_imports(imports, eligible), "resolved")
-    inner = found.where("target IS NOT NULL").join(files.select(F.col("path").alias("target")), "target", "left_semi")
+    inner = found.where("target IS NOT NULL").join(files.select(F.col("path").alias("target")).hint("merge"), "target", "left_semi")
     imported = inner.select(F.lit("IMPORTS").alias("kind"), file_id(f).alias("src"), file_id(F.col("target")).alias("dst"), *sure)
 
     # names: first symbol of a name in a file, first exported one, and what an imported name leads to
     here = first_of(symbols, ["path", "name"], "pos", "qualified_name")
     public = first_of(symbols.where("exported"), ["path", "name"], "pos", "qualified_name")
     named = first_of(imports.where("imported_name IS NOT NULL"), ["path", "imported_name"], "pos", "module_specifier")
-    scope = named.join(inner, ["path", "module_specifier"]).select("path", F.col("imported_name").alias("name"), "target")
-    through = scope.join(public.select(F.col("path").alias("target"), "name", "qualified_name"), ["target", "name"])
+    scope = named.join(inner.hint("merge"), ["path", "module_specifier"]).select("path", F.col("imported_name").alias("name"), "target")
+    through = scope.join(public.select(F.col("path").alias("target"), "name", "qualified_name").hint("merge"), ["target", "name"])
     through = materialize(through.select("path", "name", "target", "qualified_name"), "through")
 
     lines = []
     for kind, part in (("INHERITS", "extends"), ("IMPLEMENTS", "implements")):
         base = symbols.select("path", F.col("qualified_name").alias("own"), F.explode(f"heritage.{part}").alias("name"))
-        near = base.join(here, ["path", "name"], "left").withColumnRenamed("qualified_name", "a")
-        both = near.join(through.select("path", "name", F.col("qualified_name").alias("b")), ["path", "name"], "left")
+        near = base.join(here.hint("merge"), ["path", "name"], "left").withColumnRenamed("qualified_name", "a")
+        both = near.join(through.select("path", "name", F.col("qualified_name").alias("b")).hint("merge"), ["path", "name"], "left")
         local = F.col("a").isNotNull()
         lines.append(both.where("a IS NOT NULL OR b IS NOT NULL").select(
             F.lit(kind).alias("kind"), sym_id(F.col("own")).alias("src"), sym_id(F.coalesce("a", "b")).alias("dst"),
@@ -103,12 +107,18 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     )
     own = symbols.select("path", F.col("qualified_name").alias("sibling")).distinct().withColumn("to_sibling", F.col("sibling"))
     member = public.select(F.col("path").alias("via_file"), F.col("name").alias("prop"), F.col("qualified_name").alias("to_member"))
-    c = (
-        c.join(here.withColumnRenamed("qualified_name", "to_here"), ["path", "name"], "left")
-        .join(through.select("path", "name", F.col("qualified_name").alias("to_import"), F.col("target").alias("via_file")), ["path", "name"], "left")
-        .join(member, ["via_file", "prop"], "left")
-        .join(own, ["path", "sibling"], "left")
-    )
+    # both sides are dealt out, as Spark would else deal out the calls anew by its own number
+    to_here = dealt(here.withColumnRenamed("qualified_name", "to_here"), tasks, "path", "name")
+    c = dealt(c, tasks, "path", "name").join(to_here.hint("merge"), ["path", "name"], "left")
+    led = through.select("path", "name", F.col("qualified_name").alias("to_import"), F.col("target").alias("via_file"))
+    c = c.join(dealt(led, tasks, "path", "name").hint("merge"), ["path", "name"], "left")
+    # most calls have no property: their null keys, which match nothing, are dealt out too
+    none = F.col("via_file").isNull() | F.col("prop").isNull()
+    c = c.withColumn("_salt", F.when(none, F.pmod(F.xxhash64("path", "pos"), 4096) + 1).otherwise(0).cast("int"))
+    c = dealt(c, tasks, "via_file", "prop", "_salt")
+    member = dealt(member.withColumn("_salt", F.lit(0)), tasks, "via_file", "prop", "_salt")
+    c = c.join(member.hint("merge"), ["via_file", "prop", "_salt"], "left").drop("_salt")
+    c = dealt(c, tasks, "path", "sibling").join(dealt(own, tasks, "path", "sibling").hint("merge"), ["path", "sibling"], "left")
     ident, prop = F.col("receiver") == "identifier", F.col("receiver") == "property"
     to = F.when(ident, F.coalesce("to_here", "to_import")).when(prop, F.col("to_member")).otherwise(F.col("to_sibling"))
     strong = (ident & F.col("to_here").isNotNull()) | F.col("to_sibling").isNotNull()
@@ -116,15 +126,15 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     called = c.where("to IS NOT NULL").select(
         F.lit("CALLS").alias("kind"), "src", sym_id(F.col("to")).alias("dst"), "confidence", F.lit("extracted").alias("tier"), F.col("pos").alias("ord"),
     )
-    outside = imports.join(found.where("external"), ["path", "module_specifier"], "left_semi")
+    outside = imports.join(found.where("external").hint("merge"), ["path", "module_specifier"], "left_semi")
     outside = outside.where("imported_name IS NOT NULL AND imported_name <> ''").select("path", F.col("imported_name").alias("base")).distinct()
-    open_ = c.where("to IS NULL").join(outside, ["path", "base"], "left_anti")
+    open_ = dealt(c.where("to IS NULL").select("path", "base", "who"), tasks, "path", "base").join(dealt(outside, tasks, "path", "base").hint("merge"), ["path", "base"], "left_anti")
     unresolved = open_.groupBy(F.col("who").alias("caller")).agg(F.count(F.lit(1)).alias("count"))
 
     edges = contains.unionByName(imported)
     for x in (*lines, called):
         edges = edges.unionByName(x)
-    edges = first_wins(edges)
+    edges = first_wins(dealt(edges, tasks, "src", "dst"))
     return CodeGraph(nodes, edges.unionByName(tested_by(files, edges)), unresolved)
 
 
@@ -138,6 +148,6 @@ def tested_by(files: DataFrame, edges: DataFrame) -> DataFrame:
     imports = edges.where(F.col("kind") == "IMPORTS").where(P.is_test(path("src")) & ~P.is_test(path("dst")))
     by_import = edge(imports, F.col("dst"), 0.8)
     rest = files.where(P.is_test("path")).select(F.col("path").alias("source"), file_id(F.col("path")).alias("src"), P.test_subjects("path").alias("_c"))
-    rest = rest.join(by_import.select("src").distinct(), "src", "left_anti")
+    rest = rest.join(by_import.select("src").distinct().hint("merge"), "src", "left_anti")
     by_name = edge(resolve_first(rest, ["src"], "_c", files), file_id(F.col("target")).alias("dst"), 0.7)
     return by_import.unionByName(by_name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.text import utf16_key
 from ..scratch import drop, materialize
+from ..session import dealt, tasks_for
 from .skew import LEAST, SHARE, hot_keys, salted_join
 
 #: Names that never count as hubs (fixed values).
@@ -43,7 +44,7 @@ def god_symbols(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     cross = F.col("src").startswith("sym:") & (P.file_of(bare("src")) != P.file_of("qualified_name"))
     counted = calls.groupBy("qualified_name").agg(F.count(F.lit(1)).alias("score"), F.bool_or(cross).alias("_x"))
     public = symbols.where("exported").select("qualified_name").distinct().withColumn("_p", F.lit(True))
-    return counted.join(public, "qualified_name", "left").where(F.col("_x") | F.col("_p")).select("qualified_name", "score")
+    return counted.join(public.hint("merge"), "qualified_name", "left").where(F.col("_x") | F.col("_p")).select("qualified_name", "score")
 
 
 def boundary_files(edges: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def dead_code(edges: DataFrame, symbols: DataFrame, top: int = 50) -> DataFrame:
     calls = edges.where("kind = 'CALLS'")
     gate = calls.select(F.lit(1).alias("_g")).limit(1)
     live = symbols.where("exported AND NOT is_test").where(~F.col("kind").isin(TYPE_ONLY)).where(~P.is_dead_entry("path"))
-    dead = live.join(calls.select(F.col("dst")).distinct(), F.concat(F.lit("sym:"), F.col("qualified_name")) == F.col("dst"), "left_anti")
+    dead = live.join(calls.select(F.col("dst")).distinct().hint("merge"), F.concat(F.lit("sym:"), F.col("qualified_name")) == F.col("dst"), "left_anti")
     found = dead.crossJoin(F.broadcast(gate)).select("qualified_name", F.lit(0.6).alias("confidence"))  # one row
     return found.orderBy(utf16_key("qualified_name")).limit(top)
 
@@ -73,12 +74,12 @@ def dead_code(edges: DataFrame, symbols: DataFrame, top: int = 50) -> DataFrame:
 def test_gaps(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files with symbols that no test covers; shims are left out."""
     tested = edges.where("kind = 'TESTED_BY'").select(bare("dst").alias("path")).distinct()
-    return symbols.select("path").distinct().where(~P.is_shim("path")).join(tested, "path", "left_anti")
+    return symbols.select("path").distinct().where(~P.is_shim("path")).join(tested.hint("merge"), "path", "left_anti")
 
 
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: edges whose source, and whose target, is no node."""
-    ids = nodes.select(F.col("id")).distinct()
+    ids = nodes.select(F.col("id")).distinct().hint("merge")
     a = edges.join(ids, F.col("src") == F.col("id"), "left_anti").agg(F.count(F.lit(1)).alias("missing_sources"))
     b = edges.join(ids, F.col("dst") == F.col("id"), "left_anti").agg(F.count(F.lit(1)).alias("missing_targets"))
     return a.crossJoin(b)
@@ -93,12 +94,13 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     weight = F.when(F.col("kind") == "CALLS", IMPACT["CALLS"]).otherwise(IMPACT["IMPORTS"])
     back = edges.where(F.col("kind").isin(*IMPACT)).groupBy("src", "dst").agg(F.max(weight).alias("w"))
     back = materialize(back, "back")
+    back = dealt(back, tasks_for(back.sparkSession, back.count()), "dst")
     seen = seeds.select("id").distinct().withColumns({"depth": F.lit(0), "score": F.lit(1.0)})
     level = seen
     for depth in range(1, DEPTH + 1):
-        reached = level.join(back, F.col("id") == F.col("dst")).groupBy("src").agg(F.max(F.col("score") * F.col("w")).alias("score"))
+        reached = level.hint("merge").join(back, F.col("id") == F.col("dst")).groupBy("src").agg(F.max(F.col("score") * F.col("w")).alias("score"))
         reached = reached.select(F.col("src").alias("id"), F.lit(depth).alias("depth"), "score").where(F.col("score") >= FLOOR)
-        level = materialize(reached.join(seen.select("id"), "id", "left_anti"), "level")
+        level = materialize(reached.join(seen.select("id").hint("merge"), "id", "left_anti"), "level")
         seen = seen.unionByName(level)
     return seen.where("depth > 0")
 

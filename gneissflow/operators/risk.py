@@ -27,7 +27,7 @@ def risk(symbols: DataFrame, edges: DataFrame, churn: DataFrame, largest: DataFr
     # two directories tell whether one of the callers' is another than the symbol's own
     ends = calls.groupBy("qualified_name").agg(F.min("_dir").alias("_d0"), F.max("_dir").alias("_d1"), F.count(F.lit(1)).alias("fan_in"))
     x = symbols.select("qualified_name", "name", "path")
-    x = x.join(tested, "path", "left").join(churn.select("path", "churn"), "path", "left").join(ends, "qualified_name", "left")
+    x = x.join(tested.hint("merge"), "path", "left").join(churn.select("path", "churn").hint("merge"), "path", "left").join(ends.hint("merge"), "qualified_name", "left")
     x = x.crossJoin(F.broadcast(largest))  # one row
     own = P.top_dir("path")
     x = x.withColumn("far", F.coalesce((F.col("_d0") != own) | (F.col("_d1") != own), F.lit(False)))

@@ -34,7 +34,7 @@ def group_files(member_of: DataFrame, symbols: DataFrame, most: int = 5) -> Data
 def group_hubs(member_of: DataFrame, edges: DataFrame) -> DataFrame:
     """community, member, n: the member that most calls lead to, ties in UTF-16 order."""
     fan = in_degree(edges).where("dst LIKE 'sym:%'").select(bare("dst").alias("member"), "n")
-    rows = member_of.join(fan, "member", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = member_of.join(fan.hint("merge"), "member", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = F.min_by(F.struct("member", "n"), F.struct(-F.col("n"), utf16_key("member"))).alias("b")
     return rows.groupBy("community").agg(best).select("community", "b.member", "b.n")
 

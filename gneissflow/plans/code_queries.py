@@ -18,6 +18,7 @@ from ..operators import history, rank
 from ..operators import risk as R
 from ..operators import sections as V
 from ..scratch import materialize
+from ..session import dealt, tasks_for
 from .registry import query, table
 
 FILE = "CAST(floor(k / 20) AS BIGINT)"
@@ -54,15 +55,17 @@ class Reading:
         )
         aims = self.parts.where(IMPORTED).selectExpr("*", f"{path_of('f + 1 + k % 7')} AS aim")
         self.imports = aims.selectExpr("path", "k % 20 AS pos", "name AS imported_name", f"{SPECIFIER} AS module_specifier")
-        both = self.lines.join(self.parts.select(F.col("k").alias("l_partkey"), "path", "q"), "l_partkey")
-        both = both.join(self.parts.select(F.col("k").alias("l_suppkey"), F.col("name").alias("called")), "l_suppkey")
+        self.tasks = tasks_for(spark, self.lines.count())
+        both = dealt(self.lines, self.tasks, "l_partkey").join(self.parts.select(F.col("k").alias("l_partkey"), "path", "q").hint("merge"), "l_partkey")
+        called = self.parts.select(F.col("k").alias("l_suppkey"), F.col("name").alias("called"))
+        both = dealt(both, self.tasks, "l_suppkey").join(called.hint("merge"), "l_suppkey")
         self.calls = both.selectExpr(
             "path", "l_orderkey * 10 + l_linenumber AS pos", "CASE WHEN l_quantity < 5 THEN '' ELSE q END AS caller_qualified_name",
             f"{CALLEE} AS callee_text", f"{RECEIVER} AS receiver",
         )
 
     def graph(self) -> E.CodeGraph:
-        return E.build_graph(self.files, self.symbols, self.imports, self.calls)
+        return E.build_graph(self.files, self.symbols, self.imports, self.calls, tasks=self.tasks)
 
 
 CODE_SQL = rf"""
@@ -222,7 +225,7 @@ def code_risk(spark: SparkSession, d: str) -> DataFrame:
     """Risk of every symbol of the graph, with churn by the file of a part."""
     r = Reading(spark, d)
     edges = materialize(r.graph().edges, "code_edges")
-    log = r.lines.join(r.parts.select(F.col("k").alias("l_partkey"), "path"), "l_partkey")
+    log = dealt(r.lines, r.tasks, "l_partkey").join(r.parts.select(F.col("k").alias("l_partkey"), "path").hint("merge"), "l_partkey")
     added = F.col("l_quantity").cast("long").cast("string").alias("added")
     log = log.select(F.col("l_orderkey").alias("commit_no"), added, F.col("l_linenumber").cast("string").alias("deleted"), "path")
     churn = materialize(history.churn(log), "churn")

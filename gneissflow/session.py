@@ -41,10 +41,10 @@ def tasks_for(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
 
 
-def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     """``df`` dealt out by the keys over a number of tasks that follows the rows.
 
     What groups or joins by these keys next needs no shuffle of its own, so the number holds there too;
-    Spark would merge its partitions up to a size that depends on the cores.
+    Spark would merge its partitions up to a size that depends on the cores.  Without a number: as it is.
     """
-    return df.repartition(tasks, *keys)
+    return df if tasks is None else df.repartition(tasks, *keys)

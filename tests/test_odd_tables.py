@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gneissflow import session
 from gneissflow.operators import history
-from gneissflow.plans import queries
+from gneissflow.plans import code_queries, queries
 
 
 def against_sql(spark, name, d, *tables):
@@ -60,3 +60,11 @@ def test_call_edges_follow_the_rows(spark, sf, monkeypatch):
     edges = queries.call_edges(spark, sf)
     assert edges.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() / 100
     assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()  # names are not sent whole
+
+
+def test_code_graph_sends_no_table_whole(spark, sf, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    g = code_queries.Reading(spark, sf).graph()
+    for df in (g.edges, g.unresolved, code_queries.code_integrity(spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
