@@ -116,7 +116,8 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     none = F.col("via_file").isNull() | F.col("prop").isNull()
     c = c.withColumn("_salt", F.when(none, F.pmod(F.xxhash64("path", "pos"), 4096) + 1).otherwise(0).cast("int"))
     c = dealt(c, tasks, "via_file", "prop", "_salt")
-    member = dealt(member.withColumn("_salt", F.lit(0)), tasks, "via_file", "prop", "_salt")
+    zero = F.pmod(F.hash("via_file"), F.lit(1))  # a constant would fall out of the keys, and all null keys meet in one task
+    member = dealt(member.withColumn("_salt", zero), tasks, "via_file", "prop", "_salt")
     c = c.join(member.hint("merge"), ["via_file", "prop", "_salt"], "left").drop("_salt")
     c = dealt(c, tasks, "path", "sibling").join(dealt(own, tasks, "path", "sibling").hint("merge"), ["path", "sibling"], "left")
     ident, prop = F.col("receiver") == "identifier", F.col("receiver") == "property"

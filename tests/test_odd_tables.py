@@ -1,6 +1,7 @@
 """Registered queries on tables with odd rows, against their SQL."""
 
 import datetime as dt
+import re
 from collections import Counter
 from itertools import combinations, groupby
 
@@ -65,6 +66,8 @@ def test_call_edges_follow_the_rows(spark, sf, monkeypatch):
 def test_code_graph_sends_no_table_whole(spark, sf, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     g = code_queries.Reading(spark, sf).graph()
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
     for df in (g.edges, g.unresolved, code_queries.code_integrity(spark, sf)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = plan_of(df)
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert re.search(r"via_file#\d+, prop#\d+, _salt#\d+\], \[via_file", plan_of(g.unresolved))  # null keys are dealt out
