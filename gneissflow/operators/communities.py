@@ -14,6 +14,9 @@ over x's or y's link to such an M and the largest symbols of the two files.  So
 symbols plus imports.  The pairs that a cluster still has are counted from positions in files: x has
 as many pairs to larger symbols as there are larger symbols in its files' partners.
 
+*Whole components first.*  A component that is neither too large nor loose is a cluster as it is, by its
+counts; only the links of others are folded.
+
 *No task sees a large component.*  Its links are cut into ranges of ``BOUND`` in their order.  A round
 folds one range of every large component; what a range has joined is one vertex of the next, with
 its number of symbols and pairs.  Components of less than ``BOUND`` links are folded at once, many in
@@ -23,13 +26,15 @@ a task.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import utf16_key
 from ..scratch import drop, materialize
-from .graph import bare, components
+from .graph import bare, near_components
 from .rank import ranked
+from .skew import LEAST, salted_join
+from .skew import SHARE as HOT
 
 LARGE, LOOSE, SHARE = 20, 0.1, 4
 BOUND = 1 << 20
@@ -194,6 +199,12 @@ def _with_state(links: DataFrame, state: DataFrame | None) -> DataFrame:
     return links
 
 
+def _is_kept(limit: int) -> Column:
+    """Whether a cluster of n symbols and m pairs is small enough, and not large and loose."""
+    n = F.col("n")
+    return (n <= limit) & ((n <= LARGE) | (F.col("m") / (n * (n - 1) / 2) >= LOOSE))
+
+
 def clusters(links: DataFrame, limit: int, bound: int = BOUND) -> DataFrame:
     """s, cluster, n, m: the cluster each vertex ends in, its vertices and its pairs.
 
@@ -202,21 +213,29 @@ def clusters(links: DataFrame, limit: int, bound: int = BOUND) -> DataFrame:
     pairs count for a's side until this link.
     """
     links = links.select("w", "a", "b", F.col("a").alias("u"), F.when(F.col("b") < 0, F.col("a")).otherwise(F.col("b")).alias("v"), "add", "beyond")
-    comp = materialize(components(links.where("b >= 0"), "a", "b"), "link_components")
+    comp = materialize(near_components(links.where("b >= 0")), "link_components")
     links = materialize(links.join(comp.withColumnRenamed("node", "a"), "a"), "links")
-    sizes = links.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"))
-    giant = materialize(sizes.where(F.col("rows") > bound).select("comp", "rows"), "giants")  # fewer than rows / bound
-    small = links.join(F.broadcast(giant.select("comp")), "comp", "left_anti")
-    buckets = max(1, links.count() // TASK_ROWS)
-    small = _with_state(small, None).withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).drop("comp")
+    sizes = links.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("add").alias("m"))
+    sizes = sizes.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp")
+    sizes = materialize(sizes.withColumn("whole", _is_kept(limit)), "sizes")
+    rows, cut = F.col("rows"), ~F.col("whole")
+    total, few, most = sizes.agg(F.sum("rows"), F.sum(F.when(cut & (rows <= bound), rows)), F.max(F.when(cut, rows))).first()
+    hot = [r[0] for r in sizes.where(rows > max((total or 0) / HOT, LEAST - 1)).select("comp").collect()]  # fewer than HOT
+    kept = sizes.where("whole").select("comp", F.concat(F.lit("c"), "comp").alias("cluster"), "n", "m")
+    whole = salted_join(comp, kept, "comp", "node", hot).select(F.col("node").alias("s"), "cluster", "n", "m")
+    if most is None:
+        return whole
+    links = salted_join(links, sizes.where(cut).select("comp", "rows"), "comp", "a", hot)
+    small = _with_state(links.where(rows <= bound).drop("rows"), None)
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(max(1, (few or 0) // TASK_ROWS)))).drop("comp")
     done = materialize(small.groupBy("bucket").applyInArrow(_folder(limit, True), _FOLDED), "folded")
     placed = done.where("kind = 'vertex'").select(F.col("x").alias("s"), "cluster")
     found = done.where("kind = 'cluster'").select("cluster", "n", "m")
-    rounds = giant.agg(F.max("rows")).first()[0]
-    if rounds is not None:
-        more, kept = _ranges(links.join(F.broadcast(giant), "comp"), limit, bound, -(-rounds // bound))
-        placed, found = placed.unionByName(more), found.unionByName(kept)
-    return placed.where("cluster IS NOT NULL").join(found, "cluster").select("s", "cluster", "n", "m")
+    if most > bound:
+        more, large = _ranges(links.where(rows > bound), limit, bound, -(-most // bound))
+        placed, found = placed.unionByName(more), found.unionByName(large)
+    parts = placed.where("cluster IS NOT NULL").join(found, "cluster").select("s", "cluster", "n", "m")
+    return whole.unionByName(parts)
 
 
 def _ranges(links: DataFrame, limit: int, bound: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -249,8 +268,7 @@ def _ranges(links: DataFrame, limit: int, bound: int, rounds: int) -> tuple[Data
             fresh = state.join(folded.where("kind = 'vertex'").select("x"), "x", "left_anti").unionByName(fresh)
         state = materialize(fresh, "roots")
         found.append(folded.where("kind = 'cluster'").select("cluster", "n", "m"))
-    loose = F.col("m") / (F.col("n") * (F.col("n") - 1) / 2)
-    whole = state.where((F.col("n") <= limit) & ((F.col("n") <= LARGE) | (loose >= LOOSE)))
+    whole = state.where(_is_kept(limit))
     at = at.join(whole.select(F.col("x").alias("root"), F.col("name").alias("_c")), "root", "left")
     kept = whole.select(F.col("name").alias("cluster"), "n", "m")
     for one in found:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +160,66 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
+#: Links that a task of ``near_components`` joins up at once, whatever a task holds.
+CHUNK = 500_000
+
+
+def _stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each end of the links, with the smallest node it reaches by them."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = np.split(at, 2)
+    low = np.arange(len(nodes))
+    while True:
+        best = np.minimum(low[a], low[b])
+        new = low.copy()
+        for end in (a, b):
+            np.minimum.at(new, low[end], best)  # what a label leads to learns the better label
+            np.minimum.at(new, end, best)
+        new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def _star_tables(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star() -> pa.RecordBatch:
+            nodes, low = _stars(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["node", "low"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield star()
+                held, n = [], 0
+        if n:
+            yield star()
+
+    return run
+
+
+def near_components(pairs: DataFrame, a: str = "a", b: str = "b", chunk: int = CHUNK) -> DataFrame:
+    """``components`` of whole-numbered nodes, most of whose links lead to near numbers.
+
+    Links are dealt out in ranges of their smaller ends.  A task gives each node of ``chunk`` links the
+    smallest node that they reach; only such nodes as several chunks saw differently link what is left,
+    and go through the rounds.  Any links give right results; far ones only leave more to the rounds.
+    """
+    one = pairs.select(F.least(a, b).cast("long").alias("x"), F.greatest(a, b).cast("long").alias("y")).where("x <> y")
+    tasks = tasks_for(one.sparkSession, one.count())
+    stars = materialize(one.repartitionByRange(tasks, "x", "y").mapInArrow(_star_tables(chunk), "node long, low long"), "stars")
+    found = materialize(stars.groupBy("node").agg(F.min("low").alias("low"), F.max("low").alias("high")), "lows")
+    torn = found.where("low < high").select("node", F.col("low").alias("to"))
+    if torn.isEmpty():
+        return found.select("node", F.col("low").alias("comp"))
+    rest = components(materialize(stars.join(torn, "node").where("low > to").select("to", "low").distinct(), "torn"), "to", "low")
+    rest = rest.select(F.col("node").alias("low"), "comp")
+    out = salted_join(found, rest, "low", "node", hot_keys(found, "low"), "left")
+    return out.select("node", F.coalesce("comp", "low").alias("comp"))
+
+
 def membership(groups: DataFrame) -> DataFrame:
     return groups.select(F.explode("members").alias("member"), F.col("id").alias("community"))
 
