@@ -107,10 +107,25 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     )
     own = symbols.select("path", F.col("qualified_name").alias("sibling")).distinct().withColumn("to_sibling", F.col("sibling"))
     member = public.select(F.col("path").alias("via_file"), F.col("name").alias("prop"), F.col("qualified_name").alias("to_member"))
-    # both sides are dealt out, as Spark would else deal out the calls anew by its own number
+    led = through.select("path", "name", F.col("qualified_name").alias("to_import"), F.col("target").alias("via_file"))
+
+    # edges: each kind of receiver meets only what it may lead to, and calls that lead nowhere drop out before any join
+    to, sure_of = F.col("to"), F.col("confidence")
+    names = here.withColumnRenamed("qualified_name", "h").join(led.hint("merge"), ["path", "name"], "full")
+    names = names.select("path", "name", F.coalesce("h", "to_import").alias("to"), F.when(F.col("h").isNotNull(), 0.95).otherwise(0.9).alias("confidence"))
+    meet = lambda a, b, *keys: dealt(a, tasks, *keys).join(dealt(b, tasks, *keys).hint("merge"), list(keys))
+    plain = meet(c.where("receiver = 'identifier' AND name IS NOT NULL").select("path", "name", "pos", "src"), names, "path", "name")
+    owned = c.where("receiver = 'property' AND name IS NOT NULL AND prop IS NOT NULL").select("path", "name", "prop", "pos", "src")
+    owned = meet(owned, led.select("path", "name", "via_file"), "path", "name").select("via_file", "prop", "pos", "src")
+    owned = meet(owned, member, "via_file", "prop").select("src", F.col("to_member").alias("to"), F.lit(0.9).alias("confidence"), "pos")
+    inside = meet(c.where("sibling IS NOT NULL").select("path", "sibling", "pos", "src"), own, "path", "sibling")
+    inside = inside.select("src", F.col("to_sibling").alias("to"), F.lit(0.95).alias("confidence"), "pos")
+    called = plain.select("src", to, sure_of, "pos").unionByName(owned).unionByName(inside)
+    called = called.select(F.lit("CALLS").alias("kind"), "src", sym_id(to).alias("dst"), sure_of, F.lit("extracted").alias("tier"), F.col("pos").alias("ord"))
+
+    # calls that lead nowhere; both sides are dealt out, as Spark would else deal out the calls anew by its own number
     to_here = dealt(here.withColumnRenamed("qualified_name", "to_here"), tasks, "path", "name")
     c = dealt(c, tasks, "path", "name").join(to_here.hint("merge"), ["path", "name"], "left")
-    led = through.select("path", "name", F.col("qualified_name").alias("to_import"), F.col("target").alias("via_file"))
     c = c.join(dealt(led, tasks, "path", "name").hint("merge"), ["path", "name"], "left")
     # most calls have no property: their null keys, which match nothing, are dealt out too
     none = F.col("via_file").isNull() | F.col("prop").isNull()
@@ -122,11 +137,7 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls:
     c = dealt(c, tasks, "path", "sibling").join(dealt(own, tasks, "path", "sibling").hint("merge"), ["path", "sibling"], "left")
     ident, prop = F.col("receiver") == "identifier", F.col("receiver") == "property"
     to = F.when(ident, F.coalesce("to_here", "to_import")).when(prop, F.col("to_member")).otherwise(F.col("to_sibling"))
-    strong = (ident & F.col("to_here").isNotNull()) | F.col("to_sibling").isNotNull()
-    c = c.withColumns({"to": to, "confidence": F.when(strong, 0.95).otherwise(0.9)})
-    called = c.where("to IS NOT NULL").select(
-        F.lit("CALLS").alias("kind"), "src", sym_id(F.col("to")).alias("dst"), "confidence", F.lit("extracted").alias("tier"), F.col("pos").alias("ord"),
-    )
+    c = c.withColumn("to", to)
     outside = imports.join(found.where("external").hint("merge"), ["path", "module_specifier"], "left_semi")
     outside = outside.where("imported_name IS NOT NULL AND imported_name <> ''").select("path", F.col("imported_name").alias("base")).distinct()
     open_ = dealt(c.where("to IS NULL").select("path", "base", "who"), tasks, "path", "base").join(dealt(outside, tasks, "path", "base").hint("merge"), ["path", "base"], "left_anti")

@@ -114,15 +114,32 @@ def symbol_pairs(edges: DataFrame) -> DataFrame:
 
     An import stands for all pairs of the two files' symbols, so the rows grow with the product of the
     numbers of symbols of two files (of some hundreds each), never with the square of the graph.
+
+    No pair of an import is shuffled: a symbol x of one file meets the other file once, with the symbols
+    there that a call links it with, and leaves these out.  Two files are one row whichever imports the
+    other, so the pairs are distinct, unless a symbol lies in several files.
     """
-    holds = edges.where("kind = 'CONTAINS' AND dst LIKE 'sym:%'").select(F.col("src").alias("f"), F.col("dst").alias("s"))
-    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%'")
-    calls = calls.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(WEIGHT["CALLS"]).alias("w"))
-    imports = edges.where("kind = 'IMPORTS'").select("src", "dst")
-    spread = imports.join(holds.select(F.col("f").alias("src"), F.col("s").alias("x")), "src")
-    spread = spread.join(holds.select(F.col("f").alias("dst"), F.col("s").alias("y")), "dst")
-    both = calls.union(spread.select("x", "y", F.lit(WEIGHT["IMPORTS"]).alias("w"))).where("x <> y")
-    return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("w").alias("weight"))
+    holds = edges.where("kind = 'CONTAINS' AND src IS NOT NULL AND dst LIKE 'sym:%'").select(F.col("src").alias("f"), F.col("dst").alias("s"))
+    holds = materialize(holds.distinct(), "holds")
+    calls = edges.where("kind = 'CALLS' AND src LIKE 'sym:%' AND dst LIKE 'sym:%' AND src <> dst")
+    calls = materialize(calls.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "calls")
+    imports = edges.where("kind = 'IMPORTS' AND src IS NOT NULL AND dst IS NOT NULL")
+    imports = materialize(imports.select(F.least("src", "dst").alias("f"), F.greatest("src", "dst").alias("g")).distinct(), "file_pairs")
+
+    of = lambda f, s: holds.select(F.col("f").alias(f), F.col("s").alias(s)).hint("merge")
+    ends = salted_join(calls, of("fa", "a"), "a", "b", hot_keys(calls, "a"))
+    ends = salted_join(ends, of("fb", "b"), "b", "a", hot_keys(calls, "b"))
+    first = F.col("fa") <= F.col("fb")
+    known = ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.greatest("fa", "fb").alias("g"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"))
+    known = known.groupBy("x", "g").agg(F.collect_set("y").alias("known"))  # of one file
+    half = salted_join(imports, of("f", "x"), "f", "g", hot_keys(imports, "f"))
+    half = materialize(half.join(known.hint("merge"), ["x", "g"], "left"), "half_pairs")
+    both = salted_join(half, of("g", "y"), "g", "x", hot_keys(half, "g"))
+    both = both.where("x < y OR (f <> g AND x > y)").where(F.coalesce(~F.array_contains("known", F.col("y")), F.lit(True)))
+    both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if not holds.groupBy("s").count().where("count > 1").isEmpty():
+        both = both.distinct()
+    return calls.withColumn("weight", F.lit(WEIGHT["CALLS"])).union(both.withColumn("weight", F.lit(WEIGHT["IMPORTS"])))
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import history, rank
 from ..operators import risk as R
 from ..operators import sections as V
 from ..scratch import materialize
-from ..session import dealt, tasks_for
+from ..session import dealt, spread, tasks_for
 from .registry import query, table
 
 FILE = "CAST(floor(k / 20) AS BIGINT)"
@@ -44,7 +44,7 @@ class Reading:
     def __init__(self, spark: SparkSession, d: str):
         p = table(spark, d, "part").selectExpr("p_partkey AS k", f"{NAME} AS name", "p_size AS sz").selectExpr("*", f"{FILE} AS f")
         p = p.selectExpr("*", f"{path_of('f')} AS path")
-        self.parts = materialize(p.selectExpr("*", f"{QUALIFIED} AS q", f"{KIND} AS kind"), "parts")
+        self.parts = materialize(spread(p).selectExpr("*", f"{QUALIFIED} AS q", f"{KIND} AS kind"), "parts")
         self.lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
         self.files = self.parts.select("path").distinct().withColumn("language", P.language("path"))
         base = lambda odd, name: f"CASE WHEN kind = 'class' AND sz % 2 = {odd} THEN array('{name}') ELSE array() END"
@@ -55,7 +55,9 @@ class Reading:
         )
         aims = self.parts.where(IMPORTED).selectExpr("*", f"{path_of('f + 1 + k % 7')} AS aim")
         self.imports = aims.selectExpr("path", "k % 20 AS pos", "name AS imported_name", f"{SPECIFIER} AS module_specifier")
-        self.tasks = tasks_for(spark, self.lines.count())
+        tasks = tasks_for(spark, self.lines.count())
+        # fewer than Spark deals out by itself are left to it: it would deal out so many anyway, and not merge small ones
+        self.tasks = tasks if tasks >= int(spark.conf.get("spark.sql.shuffle.partitions")) else None
         both = dealt(self.lines, self.tasks, "l_partkey").join(self.parts.select(F.col("k").alias("l_partkey"), "path", "q").hint("merge"), "l_partkey")
         called = self.parts.select(F.col("k").alias("l_suppkey"), F.col("name").alias("called"))
         both = dealt(both, self.tasks, "l_suppkey").join(called.hint("merge"), "l_suppkey")
@@ -151,7 +153,7 @@ SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(max(w) AS DOUBLE) AS weight F
 def symbol_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Links between symbols: calls, and imports between their files."""
     r = Reading(spark, d)
-    return G.symbol_pairs(materialize(r.graph().edges, "code_edges"))
+    return G.symbol_pairs(r.graph().edges)
 
 
 @query(CODE_SQL + "SELECT q AS qualified_name, CAST(n AS BIGINT) AS score FROM god")
